@@ -12,7 +12,7 @@ SALTS = 16
 
 def estimated_bytes(df: DataFrame) -> int:
     """Size of ``df`` as the optimizer estimates it from file and plan statistics; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fits_broadcast(df: DataFrame) -> bool:

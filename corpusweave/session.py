@@ -51,3 +51,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage; a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    """A parameter table (rules, namespaces, labels) built inside the plan, so that Spark knows it is tiny."""
+    from pyspark.sql import functions as F
+
+    structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row, strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
