@@ -17,7 +17,7 @@ class Query:
     sql: str | None = None
 
 
-FAMILIES = ["catalogue"]
+FAMILIES = ["redirects", "categories"]
 
 
 def registry() -> dict[str, Query]:
