@@ -17,7 +17,7 @@ class Query:
     sql: str | None = None
 
 
-FAMILIES = ["redirects", "categories"]
+FAMILIES = ["links"]
 
 
 def registry() -> dict[str, Query]:
