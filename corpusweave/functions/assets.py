@@ -25,19 +25,18 @@ def asset_path(url: Column | str, escape: bool = False) -> Column:
     """Snapshot path of an absolute asset URL; null when the URL cannot be read."""
     url = col(url)
     plain = decode_uri(url)
-
-    def thumb(i: int) -> Column:
-        return F.regexp_extract(plain, THUMB_PATTERN, i)
-
-    original = F.regexp_extract(thumb(4), r"^(.*?)/?$", 1)
-    thumb_name = F.when(F.char_length(original) <= F.char_length(thumb(6)), thumb(6)).otherwise(F.concat(original, thumb(7)))
+    # one regex pass: directory, original file, last segment, extra extension; a single piece if there is no match
+    groups = F.split(F.regexp_replace(plain, THUMB_PATTERN, "$1\u0001$4\u0001$6\u0001$7"), "\u0001")
+    original = F.regexp_replace(F.get(groups, F.lit(1)), "/$", "")
+    last, extension = F.get(groups, F.lit(2)), F.get(groups, F.lit(3))
+    thumb_name = F.when(F.char_length(original) <= F.char_length(last), last).otherwise(F.concat(original, extension))
     path = url_path(url)
     loader = path.endswith("/load.php") & query_param(url, "modules").isNotNull() & query_param(url, "image").isNotNull()
     variant = F.coalesce(F.concat(F.lit("_"), query_param(url, "variant")), F.lit(""))
     hashed = F.concat(F.md5(plain), F.lit("_"), F.when(
         loader, F.concat(F.lit("load.php_"), query_param(url, "modules"), F.lit("_"), query_param(url, "image"), variant, F.lit(".svg")),
     ).otherwise(F.regexp_extract(F.regexp_replace(path, r"/+$", ""), r"([^/]*)$", 1)))
-    is_thumb, is_formula, is_fandom = plain.rlike(THUMB_PATTERN), plain.rlike(FORMULA_PATTERN), plain.rlike(FANDOM_PATTERN)
+    is_thumb, is_formula, is_fandom = F.size(groups) == 4, plain.rlike(FORMULA_PATTERN), plain.rlike(FANDOM_PATTERN)
     name = (
         F.when(is_thumb, thumb_name)
         .when(is_formula, F.concat(F.regexp_extract(plain, FORMULA_PATTERN, 2), F.lit(".svg")))
@@ -45,7 +44,7 @@ def asset_path(url: Column | str, escape: bool = False) -> Column:
         .otherwise(F.when(url.rlike(r"^[a-zA-Z][a-zA-Z\d+\-.]*:"), hashed))
     )
     folder = (
-        F.when(is_thumb, thumb(1))
+        F.when(is_thumb, F.get(groups, F.lit(0)))
         .when(is_formula, F.regexp_extract(plain, FORMULA_PATTERN, 1))
         .when(is_fandom, F.regexp_extract(plain, FANDOM_PATTERN, 1))
         .otherwise(F.lit(""))

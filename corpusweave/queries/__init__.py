@@ -17,7 +17,7 @@ class Query:
     sql: str | None = None
 
 
-FAMILIES = ["links"]
+FAMILIES = ["content"]
 
 
 def registry() -> dict[str, Query]:

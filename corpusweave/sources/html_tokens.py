@@ -9,13 +9,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN_COLUMNS = ("seq int, kind string, elem_id int, parent_id int, tag string, attrs map<string,string>, "
                  "text string, depth int, end_seq int")
 
+# rows held before a batch is handed on; a batch exceeds it by at most one page
+BATCH_ROWS = 20000
+
 # fixed values: elements without content, and the open elements each start tag closes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_BLOCK = frozenset(
@@ -39,7 +42,7 @@ class _Tokens(HTMLParser):
         self.open: list[int] = []
         self.elements = 0
 
-    def _emit(self, kind: str, tag: str | None = None, attrs: dict | None = None, text: str | None = None) -> int:
+    def _emit(self, kind: str, tag: str | None = None, attrs: list | None = None, text: str | None = None) -> int:
         parent = self.rows[self.open[-1]][2] if self.open else None
         self.rows.append([len(self.rows), kind, None, parent, tag, attrs, text, len(self.open), len(self.rows)])
         return len(self.rows) - 1
@@ -66,7 +69,7 @@ class _Tokens(HTMLParser):
                 self._close(depth)
             elif name in BARRIERS:
                 break
-        number = self._emit("start", tag, {k: "" if v is None else v for k, v in attrs})
+        number = self._emit("start", tag, [(k, v or "") for k, v in dict(attrs).items()])
         self.rows[number][2] = self.elements
         self.elements += 1
         if tag not in VOID:
@@ -99,23 +102,34 @@ class _Tokens(HTMLParser):
 
 def tokenize(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key plus the token columns, one row per start tag, end tag, text run, comment or doctype."""
-    names = [key, "seq", "kind", "elem_id", "parent_id", "tag", "attrs", "text", "depth", "end_seq"]
-    nullable_int = {"elem_id": "Int32", "parent_id": "Int32"}
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for page, body in zip(batch[key], batch[html]):
+    key_type = pages.schema[key].dataType.simpleString()
+    schema = f"{key} {key_type}, {TOKEN_COLUMNS}"
+    arrow_types = [pa.int64() if key_type == "bigint" else pa.int32() if key_type == "int" else pa.string(),
+                   pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32(), pa.int32()]
+    names = [part.strip().split(" ")[0] for part in (key, "seq", "kind", "elem_id", "parent_id", "tag", "attrs", "text", "depth", "end_seq")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(column, type=kind) for column, kind in zip(zip(*rows), arrow_types)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for incoming in batches:
+            for page, body in zip(incoming.column(0).to_pylist(), incoming.column(1).to_pylist()):
                 if body is None:
                     continue
                 reader = _Tokens()
                 reader.feed(body)
                 reader.close()
                 reader._close(0)
-                # one page at a time: a batch of output never exceeds one document
-                yield pd.DataFrame([[page, *row] for row in reader.rows], columns=names).astype(nullable_int)
-
-    key_type = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(parse, f"{key} {key_type}, {TOKEN_COLUMNS}")
+                held.extend((page, *row) for row in reader.rows)
+                if len(held) > BATCH_ROWS:
+                    yield batch(held)
+                    held = []
+        if held:
+            yield batch(held)
+
+    return pages.select(key, html).mapInArrow(parse, schema)
 
 
 def css_classes(attrs: Column | str = "attrs") -> Column:

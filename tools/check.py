@@ -52,7 +52,7 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     prefixes = sys.argv[2:]
     folder = f"/root/testdata/sf{sf}"
-    spark = build_session("local[8]", 8, spark__ui__enabled="false", spark__driver__memory="8g")
+    spark = build_session("local[8]", 8, spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
     for t in TABLES:
