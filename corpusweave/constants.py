@@ -97,8 +97,8 @@ KNOWN_PROJECTS = [
 PLURAL_CATEGORIES = ["zero", "one", "two", "few", "many", "other"]
 
 # --- fixed values: MIME ----------------------------------------------------------------------------
-IMAGE_MIME_PATTERN = r"^image+[/-\w.]+$"
-BITMAP_MIME_PATTERN = r"^image+[/-\w.]+(jpeg|png|apng|gif)$"
+IMAGE_MIME_PATTERN = r"^image+[/\-\w.]+$"
+BITMAP_MIME_PATTERN = r"^image+[/\-\w.]+(jpeg|png|apng|gif)$"
 WEBP_CANDIDATE_MIME_PATTERN = r"image+[/]+(jpeg|png|apng|gif)"
 MIME_BY_EXTENSION = {
     ".js": "text/javascript", ".css": "text/css", ".json": "application/json", ".woff": "font/woff",

@@ -17,7 +17,7 @@ class Query:
     sql: str | None = None
 
 
-FAMILIES = ["content"]
+FAMILIES = ["variants", "quality", "assets"]
 
 
 def registry() -> dict[str, Query]:
