@@ -98,7 +98,8 @@ def classify(links: DataFrame, site: Site, flags: Flags = Flags()) -> DataFrame:
         .when(F.col("__title").isNotNull(), "wiki")
         .otherwise("external")
     )
-    decided = staged.withColumn("action", action)
+    # a later filter on the action must not be pushed below it, or the chain would be evaluated twice
+    decided = staged.select("*", F.explode(F.array(action)).alias("action"))
     act = F.col("action")
     anchor = F.regexp_extract(url, r"(#[^#]*)$", 1)
     new_href = (

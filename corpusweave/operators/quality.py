@@ -19,6 +19,10 @@ def _json_at(body: Column, dotted: str) -> Column:
     return F.get_json_object(body, "$" + "".join(f"['{step}']" for step in dotted.split(".")))
 
 
+def _path_column(dotted: str) -> str:
+    return f"__json {dotted}"
+
+
 def _rule_holds(rule: tuple) -> Column:
     _, code, url, http, content_type, empty, raw, path, text, _ = rule
     holds = [F.lit(True)]
@@ -35,7 +39,7 @@ def _rule_holds(rule: tuple) -> Column:
     if raw:
         holds.append(F.col("raw_body").contains(raw))
     if path:
-        holds.append(_json_at(F.col("json_body"), path).contains(text))
+        holds.append(F.col(f"`{_path_column(path)}`").contains(text))
     out = holds[0]
     for h in holds[1:]:
         out = out & h
@@ -50,7 +54,11 @@ def with_first_rule(failures: DataFrame) -> DataFrame:
     number = F.coalesce(*[F.when(_rule_holds(rule), F.lit(n + 1)) for n, rule in enumerate(c.ERROR_RULES)])
     messages = F.array(*[F.lit(rule[0]) for rule in c.ERROR_RULES])
     hard = F.array(*[F.lit(rule[-1]) for rule in c.ERROR_RULES])
-    marked = failures.withColumn("rule_no", number.cast("long"))
+    # each JSON path is read once per row, however many rules look at it
+    paths = sorted({rule[7] for rule in c.ERROR_RULES if rule[7]})
+    read = failures.withColumns({_path_column(p): _json_at(F.col("json_body"), p) for p in paths})
+    # a filter on the verdict must not be pushed below it, or every rule would be evaluated twice
+    marked = read.select(*failures.columns, F.explode(F.array(number.cast("long"))).alias("rule_no"))
     at = (F.col("rule_no") - 1).cast("int")
     return marked.withColumns({"message": F.get(messages, at), "hard": F.get(hard, at)})
 

@@ -17,7 +17,8 @@ class Query:
     sql: str | None = None
 
 
-FAMILIES = ["variants", "quality", "assets"]
+FAMILIES = ["catalogue", "redirects", "categories", "links", "content", "assets", "dependencies", "variants", "quality",
+            "outputs", "streams"]
 
 
 def registry() -> dict[str, Query]:

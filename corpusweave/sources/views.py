@@ -175,7 +175,8 @@ def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
            14: "maxlag", 19: "categorylockdown"}
 
     def pick(values: dict[int, object]) -> Column:
-        return F.coalesce(*[F.when(failed & (shape == i), F.lit(v)) for i, v in values.items()])
+        table = F.create_map(*[F.lit(x).cast("bigint") if n % 2 == 0 else F.lit(x) for kv in values.items() for n, x in enumerate(kv)])
+        return F.when(failed, F.try_element_at(table, shape))
 
     raw = pick({1: "Page has been deleted.", 6: "Our servers are currently under maintenance or experiencing a technical problem",
                 15: "", 16: "slow down", 17: "bad gateway", 18: "forbidden", 0: "not found"})
