@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from corpusweave.constants import (
     ASSET_DIR, FANDOM_PATTERN, FORMULA_PATTERN, MULT_IN_URL_PATTERN, THUMB_PATTERN, WIDTH_IN_URL_PATTERN,
 )
-from corpusweave.functions.text import col, encode_component
-from corpusweave.functions.urls import query_param, url_path
+from corpusweave.functions.text import col, encode_component, let
+from corpusweave.functions.urls import query_param, url_parts
 
 # escapes of these characters survive URI decoding
 RESERVED = "3B 2F 3F 3A 40 26 3D 2B 24 2C 23".split()
@@ -24,33 +24,40 @@ def decode_uri(url: Column | str) -> Column:
 def asset_path(url: Column | str, escape: bool = False) -> Column:
     """Snapshot path of an absolute asset URL; null when the URL cannot be read."""
     url = col(url)
-    plain = decode_uri(url)
-    # one regex pass: directory, original file, last segment, extra extension; a single piece if there is no match
-    groups = F.split(F.regexp_replace(plain, THUMB_PATTERN, "$1\u0001$4\u0001$6\u0001$7"), "\u0001")
-    original = F.regexp_replace(F.get(groups, F.lit(1)), "/$", "")
-    last, extension = F.get(groups, F.lit(2)), F.get(groups, F.lit(3))
-    thumb_name = F.when(F.char_length(original) <= F.char_length(last), last).otherwise(F.concat(original, extension))
-    path = url_path(url)
-    loader = path.endswith("/load.php") & query_param(url, "modules").isNotNull() & query_param(url, "image").isNotNull()
-    variant = F.coalesce(F.concat(F.lit("_"), query_param(url, "variant")), F.lit(""))
-    hashed = F.concat(F.md5(plain), F.lit("_"), F.when(
-        loader, F.concat(F.lit("load.php_"), query_param(url, "modules"), F.lit("_"), query_param(url, "image"), variant, F.lit(".svg")),
-    ).otherwise(F.regexp_extract(F.regexp_replace(path, r"/+$", ""), r"([^/]*)$", 1)))
-    is_thumb, is_formula, is_fandom = F.size(groups) == 4, plain.rlike(FORMULA_PATTERN), plain.rlike(FANDOM_PATTERN)
-    name = (
-        F.when(is_thumb, thumb_name)
-        .when(is_formula, F.concat(F.regexp_extract(plain, FORMULA_PATTERN, 2), F.lit(".svg")))
-        .when(is_fandom, F.regexp_extract(plain, FANDOM_PATTERN, 2))
-        .otherwise(F.when(url.rlike(r"^[a-zA-Z][a-zA-Z\d+\-.]*:"), hashed))
-    )
-    folder = (
-        F.when(is_thumb, F.get(groups, F.lit(0)))
-        .when(is_formula, F.regexp_extract(plain, FORMULA_PATTERN, 1))
-        .when(is_fandom, F.regexp_extract(plain, FANDOM_PATTERN, 1))
-        .otherwise(F.lit(""))
-    )
-    folder = F.when(folder == "", folder).otherwise(F.concat(F.md5(folder), F.lit("/")))
-    return F.concat(F.lit(ASSET_DIR + "/"), folder, encode_component(name) if escape else name)
+
+    def thumb(plain: Column, groups: Column) -> Column:
+        original = F.regexp_replace(F.get(groups, F.lit(1)), "/$", "")
+        last, extension = F.get(groups, F.lit(2)), F.get(groups, F.lit(3))
+        name = F.when(F.char_length(original) <= F.char_length(last), last).otherwise(F.concat(original, extension))
+        return placed(F.get(groups, F.lit(0)), name)
+
+    def placed(folder: Column, name: Column) -> Column:
+        return F.concat(F.md5(folder), F.lit("/"), encode_component(name) if escape else name)
+
+    def hashed(plain: Column) -> Column:
+        def named(parts: Column) -> Column:
+            path = F.get(parts, F.lit(2))
+            base = F.regexp_extract(F.regexp_replace(path, r"/+$", ""), r"([^/]*)$", 1)
+            variant = F.coalesce(F.concat(F.lit("_"), query_param(url, "variant")), F.lit(""))
+            loaded = F.concat(F.lit("load.php_"), query_param(url, "modules"), F.lit("_"), query_param(url, "image"), variant, F.lit(".svg"))
+            return F.when(path.endswith("/load.php"), F.coalesce(loaded, base)).otherwise(base)
+
+        name = F.concat(F.md5(plain), F.lit("_"), let(url_parts(url), named))
+        return F.when(url.rlike(r"^[a-zA-Z][a-zA-Z\d+\-.]*:"), encode_component(name) if escape else name)
+
+    def special(plain: Column) -> Column:
+        return (
+            F.when(plain.rlike(FORMULA_PATTERN), placed(F.regexp_extract(plain, FORMULA_PATTERN, 1), F.concat(F.regexp_extract(plain, FORMULA_PATTERN, 2), F.lit(".svg"))))
+            .when(plain.rlike(FANDOM_PATTERN), placed(F.regexp_extract(plain, FANDOM_PATTERN, 1), F.regexp_extract(plain, FANDOM_PATTERN, 2)))
+            .otherwise(hashed(plain))
+        )
+
+    def of(plain: Column) -> Column:
+        # one regex pass: directory, original file, last segment, extra extension; a single piece if there is no match
+        groups = F.split(F.regexp_replace(plain, THUMB_PATTERN, "$1\u0001$4\u0001$6\u0001$7"), "\u0001")
+        return let(groups, lambda g: F.when(F.size(g) == 4, thumb(plain, g)).otherwise(special(plain)))
+
+    return F.concat(F.lit(ASSET_DIR + "/"), let(decode_uri(url), of))
 
 
 def url_width(url: Column | str) -> Column:

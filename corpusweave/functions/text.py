@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often the body names it.
+
+    Naming an expression n times copies it n times into the plan; nested URL rules would grow past what
+    the JIT compiles. A lambda variable is one small reference.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:
     for old, new in pairs:
         c = F.replace(c, F.lit(old), F.lit(new))
@@ -27,7 +38,7 @@ def encode_component(c: Column | str) -> Column:
 
 def decode_component(c: Column | str) -> Column:
     """Percent-decoding; undecodable input is kept, and ``+`` stays a plus."""
-    return F.coalesce(F.try_url_decode(F.replace(col(c), F.lit("+"), F.lit("%2B"))), col(c))
+    return let(col(c), lambda x: F.coalesce(F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))), x))
 
 
 def title_path(title: Column | str) -> Column:
@@ -40,8 +51,7 @@ def path_title(path: Column | str) -> Column:
 
 def link_href(title: Column | str) -> Column:
     """The href under which a title is reached inside the snapshot."""
-    path = title_path(title)
-    path = F.when(path.startswith("/"), F.concat(F.lit("./"), path)).otherwise(path)
+    path = F.regexp_replace(title_path(title), "^/", ".//")
     return F.replace(encode_component(path), F.lit("%2F"), F.lit("/"))
 
 
@@ -70,6 +80,8 @@ def truncate_words(text: Column | str, max_bytes: int = TITLE_WORD_MAX_BYTES) ->
 
 def plain_number(c: Column) -> Column:
     """A double as a plain decimal string without a trailing ``.0``."""
-    small = (F.abs(c) < 1e-3) & (c != 0)
-    text = F.when(small, F.call_function("format_number", c, F.lit("0.####################"))).otherwise(c.cast("string"))
-    return F.regexp_replace(text, r"\.0$", "")
+    def text(x: Column) -> Column:
+        small = (F.abs(x) < 1e-3) & (x != 0)
+        return F.when(small, F.call_function("format_number", x, F.lit("0.####################"))).otherwise(x.cast("string"))
+
+    return F.regexp_replace(let(c, text), r"\.0$", "")

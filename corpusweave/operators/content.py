@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusweave import constants as c
 from corpusweave.functions.assets import asset_path
-from corpusweave.functions.text import encode_component, plain_number, relative_href
+from corpusweave.functions.text import encode_component, let, plain_number, relative_href, title_path
 from corpusweave.functions.urls import Site, absolute_url
 from corpusweave.plans.intervals import count_inside, count_nearest, drop_subtrees, is_start
 from corpusweave.sources.html_tokens import css_classes
@@ -293,8 +293,6 @@ def main_page_heading(override: Column, display_title: Column) -> Column:
 
 
 def footer_facts(pages: DataFrame, site: Site, license_name: Column, license_url: Column, unknown: str) -> DataFrame:
-    from corpusweave.functions.text import title_path
-
     link = F.concat(F.lit(site.article_url + "?title="), encode_component(title_path("title")), F.lit("&oldid="), F.col("revision_id"))
     return pages.withColumns({
         "last_edit": F.date_format("timestamp", "yyyy-MM-dd"), "permalink": link,
@@ -305,18 +303,23 @@ def footer_facts(pages: DataFrame, site: Site, license_name: Column, license_url
 
 def page_config(head_html: Column, extra: Mapping[str, str] | None = None) -> Column:
     """Configuration found in the head, as a map of JSON texts: user keys dropped, fixed keys forced; null if unreadable."""
-    found = F.coalesce(*[F.nullif(F.regexp_extract(head_html, p, 1), F.lit("")) for p in c.CONFIG_PATTERNS])
-    fixed = F.regexp_replace(F.regexp_replace(found, r'":\s*!0([,}])', '":true$1'), r'":\s*!1([,}])', '":false$1')
-    text = F.when(found.contains('"wgBreakFrames":!'), fixed).otherwise(found)
-    # open JSON: the values keep their own type as JSON text
-    values = F.try_variant_get(F.try_parse_json(text), "$", "map<string,variant>")
-    as_text = F.transform_values(values, lambda k, v: F.to_json(v))
-    as_text = F.coalesce(as_text, F.create_map().cast("map<string,string>"))
-    as_text = F.transform_values(as_text, lambda k, v: F.when((k == "wgAction") & (v == '"nosuchaction"'), F.lit('"view"')).otherwise(v))
     dropped = [*c.USER_CONFIG_KEYS, *c.FORCED_CONFIG, *(extra or {})]
     added = {**(extra or {}), **c.FORCED_CONFIG}
     forced = F.create_map(*[F.lit(x) if x is not None else F.lit("null") for kv in added.items() for x in kv])
-    return F.map_concat(F.map_filter(as_text, lambda k, v: ~k.isin(*dropped)), forced)
+
+    def repaired(found: Column) -> Column:
+        fixed = F.regexp_replace(F.regexp_replace(found, r'":\s*!0([,}])', '":true$1'), r'":\s*!1([,}])', '":false$1')
+        return F.when(found.contains('"wgBreakFrames":!'), fixed).otherwise(found)
+
+    def texts(values: Column) -> Column:
+        # open JSON: the values keep their own type as JSON text
+        kept = F.map_filter(values, lambda k, v: ~k.isin(*dropped))
+        return F.transform_values(kept, lambda k, v: let(
+            F.to_json(v), lambda t: F.when((k == "wgAction") & (t == '"nosuchaction"'), F.lit('"view"')).otherwise(t)))
+
+    found = F.coalesce(*[F.nullif(F.regexp_extract(head_html, p, 1), F.lit("")) for p in c.CONFIG_PATTERNS])
+    parsed = F.try_variant_get(F.try_parse_json(let(found, repaired)), "$", "map<string,variant>")
+    return F.map_concat(F.coalesce(let(parsed, texts), F.create_map().cast("map<string,string>")), forced)
 
 
 def normal_classes(css: Column, replacements: list[tuple[str, str]]) -> Column:

@@ -67,16 +67,17 @@ def classify(links: DataFrame, site: Site, flags: Flags = Flags()) -> DataFrame:
     }).withColumns({
         "__rel": F.when(F.col("__web") & (F.size("__rel1") == 0), F.array(F.lit(c.REL_EXTERNAL))).otherwise(F.col("__rel1")),
         "__geo": F.when(is_map_href(F.col("__url")), geo_href("__url")),
-        "__title": href_title("__url", site),
+        "__title": href_title("__url", site), "__abs": absolute_url("__url", site.origin + "/"),
     }).withColumns({
         "__outside": ~(F.col("__url").startswith(site.article_url) & ~has("__class", "external")) & ~has("__class", c.CLASS_MIRROR_LINK),
         "__foreign": has("__rel", c.REL_EXTERNAL) | has("__rel", c.REL_INTERWIKI) | has("__class", "extiw"),
         "__is_wiki": has("__rel", c.REL_WIKI),
+        "__asset": F.when(media_wanted(F.col("__url"), flags), asset_path("__abs", escape=True)),
     })
     url = F.col("__url")
     external = has("__class", "external") | F.col("__foreign")
     media = ~F.col("__is_wiki") & ~is_map_href(url) & (has("__rel", c.REL_MEDIA) | has("__class", "internal"))
-    asset_url = absolute_url(url, site.origin + "/")
+    asset_url = F.col("__abs")
     leaves = F.col("__outside") & (external | has("__rel", "nofollow"))
     other_rel = F.col("__outside") & (F.size("__rel") > 0) & ~F.col("__is_wiki") & ~has("__rel", c.REL_REFERENCED_BY)
     action = (
@@ -88,7 +89,7 @@ def classify(links: DataFrame, site: Site, flags: Flags = Flags()) -> DataFrame:
         .when(url == "", "delete")
         .when(url.startswith("#"), "keep")
         .when(~F.col("__is_wiki") & F.col("__geo").isNotNull(), "geo")
-        .when(media & media_wanted(url, flags) & asset_path(asset_url).isNotNull(), "media")
+        .when(media & F.col("__asset").isNotNull(), "media")
         .when(media & media_wanted(url, flags), "delete")
         .when(media, "unwrap")
         .when(leaves & url.startswith("/"), "external")
@@ -104,7 +105,7 @@ def classify(links: DataFrame, site: Site, flags: Flags = Flags()) -> DataFrame:
     anchor = F.regexp_extract(url, r"(#[^#]*)$", 1)
     new_href = (
         F.when(act == "geo", F.col("__geo"))
-        .when(act == "media", relative_href("page_path", asset_path(asset_url, escape=True)))
+        .when(act == "media", relative_href("page_path", "__asset"))
         .when((act == "external") & (url.startswith("/") | ~leaves), asset_url)
         .when(act == "wiki", F.concat(link_href("__title"), anchor))
         .when(act.isin("keep", "external"), url)

@@ -49,6 +49,16 @@ def module_entries(modules: DataFrame) -> DataFrame:
     return entries(modules, "module", path, F.lit(""), mime, F.lit(0))
 
 
+def partial_entries(partials: DataFrame) -> DataFrame:
+    """Listing pages with an entry of their own, from ``categories.listing_partials``; they have no title."""
+    return entries(partials.filter("path IS NOT NULL"), "partial", F.col("path"), F.lit(""), "text/html", F.lit(0))
+
+
+def metadata_entries(metadata: DataFrame) -> DataFrame:
+    """``metadata``: key, value."""
+    return entries(metadata, "metadata", F.col("key"), F.lit(""), "text/plain", F.octet_length("value"))
+
+
 def manifest(*parts: DataFrame) -> DataFrame:
     out = parts[0].select(*ENTRY_COLUMNS)
     for part in parts[1:]:

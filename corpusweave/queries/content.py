@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusweave import constants as c
 from corpusweave.operators import content as ops
 from corpusweave.plans.intervals import is_start
+from corpusweave.plans.layout import spread
 from corpusweave.queries import Family, Query
 from corpusweave.sources import html_tokens, views
 from corpusweave.sources.views import with_views
@@ -175,7 +176,7 @@ def page_config(spark, sf_dir):
         F.lit(',"wgRequestId":"q","wgList":['), k, F.lit(',2]}'))
     head = F.when(k % 4 == 1, F.concat(F.lit("<script>{mw.config.set("), config, F.lit(");mw.loader.state({});"))).when(
         k % 4 == 3, F.lit("<head></head>")).otherwise(F.concat(F.lit('<script>RLPAGE=1;RLCONF='), config, F.lit(';\nRLSTATE={"a":"b"};')))
-    events = views.table(spark, sf_dir, "events").select("event_id", ops.page_config(head, {"wgExtra": "1"}).alias("config"))
+    events = spread(views.table(spark, sf_dir, "events")).select("event_id", ops.page_config(head, {"wgExtra": "1"}).alias("config"))
     return events.select("event_id", F.explode("config").alias("key", "value"))
 
 

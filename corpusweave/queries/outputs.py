@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusweave.operators import categories as category_ops
 from corpusweave.operators import outputs as ops
 from corpusweave.operators import redirects as redirect_ops
 from corpusweave.queries import Family
@@ -27,7 +28,10 @@ def _manifest(spark, sf_dir):
     assets = uses.select(_cat("_assets_/P", F.col("image"), ".png").alias("path"), F.lit("image/png").alias("mime"), "bytes")
     modules = views.table(spark, sf_dir, "part").select(
         F.when(F.col("p_size") % 2 == 0, "js").otherwise("css").alias("kind"), _cat("m", F.col("p_size")).alias("module")).distinct()
-    return ops.manifest(ops.page_entries(pages), ops.redirect_entries(redirects), ops.asset_entries(assets), ops.module_entries(modules))
+    partials = category_ops.listing_partials(views.parts(spark, sf_dir), 20)
+    metadata = views.table(spark, sf_dir, "region").select(F.col("r_name").alias("key"), _cat("Region ", F.col("r_name")).alias("value"))
+    return ops.manifest(ops.page_entries(pages), ops.redirect_entries(redirects), ops.asset_entries(assets), ops.module_entries(modules),
+                        ops.partial_entries(partials), ops.metadata_entries(metadata))
 
 
 _MANIFEST_SQL = """
@@ -35,17 +39,20 @@ mf AS (SELECT 'page' AS kind, 'Page_' || page_id AS path, CASE WHEN page_id % 2
   UNION ALL SELECT CASE WHEN fragment <> '' THEN 'stub' ELSE 'redirect' END, replace(from_title, ' ', '_'), from_title, CASE WHEN fragment <> '' THEN 'text/html' END, TRUE,
     CASE WHEN fragment <> '' THEN strlen(to_title) + strlen(fragment) + 1 ELSE 0 END FROM v_refs
   UNION ALL SELECT 'asset', '_assets_/P' || l_partkey || '.png', '', 'image/png', FALSE, max(CAST(l_quantity AS BIGINT)) FROM lineitem GROUP BY l_partkey
-  UNION ALL SELECT DISTINCT 'module', '_mw_/m' || p_size || CASE WHEN p_size % 2 = 0 THEN '.js' ELSE '.css' END, '', CASE WHEN p_size % 2 = 0 THEN 'text/javascript' ELSE 'text/css' END, FALSE, 0 FROM part)"""
+  UNION ALL SELECT DISTINCT 'module', '_mw_/m' || p_size || CASE WHEN p_size % 2 = 0 THEN '.js' ELSE '.css' END, '', CASE WHEN p_size % 2 = 0 THEN 'text/javascript' ELSE 'text/css' END, FALSE, 0 FROM part
+  UNION ALL SELECT 'partial', '_categories_partials_' || category || '_' || CASE type WHEN 'subcat' THEN 'subcats' WHEN 'page' THEN 'pages' ELSE 'files' END || '_' || n, '', 'text/html', FALSE, 0
+    FROM (SELECT category, type, unnest(range(1, (count(*) - 1) // 20 + 2)) AS n, (count(*) - 1) // 20 + 1 AS last FROM v_parts GROUP BY category, type) WHERE last > 1
+  UNION ALL SELECT 'metadata', r_name, '', 'text/plain', FALSE, strlen(r_name) + 7 FROM region)"""
 
 
-@QUERIES.add(with_views("pages", "docs", body=_MANIFEST_SQL + " SELECT kind, path, title, mime, front, bytes FROM mf"))
+@QUERIES.add(with_views("pages", "docs", "parts", body=_MANIFEST_SQL + " SELECT kind, path, title, mime, front, bytes FROM mf"))
 def entry_manifest(spark, sf_dir):
     path = new_table_path(spark, "manifest")
     ops.write_manifest(_manifest(spark, sf_dir), path)
     return spark.read.parquet(path).select(*ops.ENTRY_COLUMNS)
 
 
-@QUERIES.add(with_views("pages", "docs", body=_MANIFEST_SQL + """
+@QUERIES.add(with_views("pages", "docs", "parts", body=_MANIFEST_SQL + """
 SELECT kind, CASE WHEN kind IS NOT NULL OR g < 2 THEN mime END AS mime, entries, bytes FROM (
   SELECT kind, coalesce(mime, 'none') AS mime, grouping(kind, coalesce(mime, 'none')) AS g, count(*) AS entries, CAST(sum(bytes) AS BIGINT) AS bytes FROM mf GROUP BY ROLLUP (kind, coalesce(mime, 'none')))"""))
 def entry_stats(spark, sf_dir):

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.plans.layout import spread
+
 TOKEN_COLUMNS = ("seq int, kind string, elem_id int, parent_id int, tag string, attrs map<string,string>, "
                  "text string, depth int, end_seq int")
 
@@ -69,7 +71,10 @@ class _Tokens(HTMLParser):
                 self._close(depth)
             elif name in BARRIERS:
                 break
-        number = self._emit("start", tag, [(k, v or "") for k, v in dict(attrs).items()])
+        first: dict[str, str] = {}
+        for name, value in attrs:
+            first.setdefault(name, value or "")
+        number = self._emit("start", tag, list(first.items()))
         self.rows[number][2] = self.elements
         self.elements += 1
         if tag not in VOID:
@@ -96,6 +101,12 @@ class _Tokens(HTMLParser):
     def handle_comment(self, data: str) -> None:
         self._emit("comment", text=data)
 
+    def handle_pi(self, data: str) -> None:
+        self._emit("comment", text=f"?{data}")
+
+    def unknown_decl(self, data: str) -> None:
+        self._emit("comment", text=f"[{data}")
+
     def handle_decl(self, decl: str) -> None:
         self._emit("decl", text=decl)
 
@@ -129,7 +140,7 @@ def tokenize(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
         if held:
             yield batch(held)
 
-    return pages.select(key, html).mapInArrow(parse, schema)
+    return spread(pages.select(key, html)).mapInArrow(parse, schema)
 
 
 def css_classes(attrs: Column | str = "attrs") -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.functions.urls import Site
+from corpusweave.plans.keyed import lookup
+from corpusweave.plans.layout import spread
 
 SITE = Site(origin="https://wiki.example.org", article_path="/wiki/", script_path="/w/index.php")
 
@@ -23,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, html, heading, title (first word of the heading), host, lang, path."""
     heading = F.regexp_extract("html", r"(?s)<h1>(.*?)</h1>", 1)
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages")).select(
         "page_id", "url", "html", heading.alias("heading"),
         F.split(heading, " ")[0].alias("title"),
         F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host"),
@@ -91,8 +93,6 @@ def text_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The join key is a digest; the hottest text may be a third of the table, hence the salted lookup.
     """
-    from corpusweave.plans.keyed import lookup
-
     docs = documents(spark, sf_dir).withColumn("digest", F.sha2("text", 256)).drop("text")
     firsts = docs.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     return lookup(docs, firsts, ["digest"], "inner").drop("digest")
@@ -152,7 +152,8 @@ def asset_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("/P"), F.col("l_partkey"), F.lit(".png/"), px, F.lit("px-P"), F.col("l_partkey"), F.lit(".png"),
     )
     seq = F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
-    return table(spark, sf_dir, "lineitem").select(
+    uses = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"))
+    return uses.select(
         F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("image"), url.alias("url"),
         F.when(quantity >= 5, quantity * 20).alias("width"), seq.alias("seq"), F.col("l_linenumber").alias("pos"),
         F.col("l_suppkey").alias("supplier"), quantity.alias("quantity"), F.col("l_returnflag").alias("flag"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusweave.plans.layout import spread
 from corpusweave.sources.views import table
 
 # element added to section i of document d, chosen by (d + i) % 12; {k} is d + i
@@ -39,7 +40,7 @@ def wiki_pages(spark: SparkSession, sf_dir: str, extras: list[str] | None = None
         return F.concat(F.lit('<section data-mw-section-id="'), i.cast("string"), F.lit('">'), heading, filled, F.lit("</section>"))
 
     sections = F.array_join(F.transform(F.split("text", "\n"), section), "")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit("Doc_"), "doc_id", F.lit("/x")).alias("page_path"), "lang",
         F.concat(F.lit("<html><head><title>Doc "), "doc_id", F.lit("</title></head><body>"), sections, F.lit("</body></html>")).alias("html"))
 

@@ -66,7 +66,7 @@ def test_geo_href(column):
 
 def test_absolute_url(column):
     cases = {
-        "//google.com": "https://google.com",
+        "//google.com": "https://google.com/",
         "/wiki/A": "https://en.wikipedia.org/wiki/A",
         "../x.png": "https://en.wikipedia.org/x.png",
         "./y": "https://en.wikipedia.org/w/y",
