@@ -16,7 +16,9 @@ from corpusweave.plans.ranks import rank_in_group
 
 def _json_at(body: Column, dotted: str) -> Column:
     """Value at a path of literal keys (a ``*`` is a key like any other)."""
-    return F.get_json_object(body, "$" + "".join(f"['{step}']" for step in dotted.split(".")))
+    path = "$" + "".join(f"['{step}']" for step in dotted.split("."))
+    # get_json_object would read ['*'] as a wildcard
+    return F.try_variant_get(F.try_parse_json(body), path, "string") if "*" in dotted else F.get_json_object(body, path)
 
 
 def _path_column(dotted: str) -> str:

@@ -76,4 +76,5 @@ def main():
     print("failures:", bad)
 
 
-main()
+if __name__ == "__main__":
+    main()
