@@ -11,7 +11,6 @@ from corpusweave.sources import views
 from corpusweave.sources.views import with_views
 
 QUERIES = Family()
-D = F.col("doc_id")
 
 
 def _cat(*parts):
@@ -23,10 +22,11 @@ WITH r AS (SELECT doc_id, i, 'Alias ' || (doc_id // 2 * (i + 1)) AS from_title,
              CASE WHEN i = 1 THEN 'Part ' || (doc_id % 7) ELSE '' END AS fragment FROM documents, range(2) t(i))
 SELECT from_title, arg_max(to_title, doc_id * 2 + i) AS to_title, arg_max(fragment, doc_id * 2 + i) AS fragment FROM r GROUP BY from_title""")
 def redirect_explode(spark, sf_dir):
-    half = F.floor(D / 2)
+    d = F.col("doc_id")
+    half = F.floor(d / 2)
     refs = F.array(
         F.struct(_cat("Alias ", half).alias("title"), F.lit(None).cast("string").alias("fragment")),
-        F.struct(_cat("Alias ", half * 2).alias("title"), _cat("Part ", D % 7).alias("fragment")),
+        F.struct(_cat("Alias ", half * 2).alias("title"), _cat("Part ", d % 7).alias("fragment")),
     )
     return ops.explode_redirects(views.documents(spark, sf_dir).select("doc_id", "title", refs.alias("redirects")), "doc_id")
 
@@ -39,9 +39,10 @@ t AS (SELECT doc_id, CASE WHEN clash THEN page ELSE ref END AS f, CASE WHEN clas
 SELECT 'redirect' AS kind, f AS from_title, arg_max(t, doc_id) AS to_title, arg_max(g, doc_id) AS fragment FROM t GROUP BY f
 UNION ALL SELECT DISTINCT 'removed', page, '', '' FROM m WHERE clash""")
 def redirect_conflict(spark, sf_dir):
-    ref = F.when(D % 10 == 5, _cat("Doc ", D - 1)).otherwise(_cat("Alias ", F.floor(D / 3)))
+    d = F.col("doc_id")
+    ref = F.when(d % 10 == 5, _cat("Doc ", d - 1)).otherwise(_cat("Alias ", F.floor(d / 3)))
     pages = views.documents(spark, sf_dir).select(
-        "doc_id", "title", F.array(F.struct(ref.alias("title"), _cat("Part ", D % 7).alias("fragment"))).alias("redirects"))
+        "doc_id", "title", F.array(F.struct(ref.alias("title"), _cat("Part ", d % 7).alias("fragment"))).alias("redirects"))
     redirects, removed = ops.swap_conflicts(pages, "doc_id")
     gone = removed.select(F.lit("removed").alias("kind"), F.col("title").alias("from_title"), F.lit("").alias("to_title"), F.lit("").alias("fragment"))
     return redirects.select(F.lit("redirect").alias("kind"), "from_title", "to_title", "fragment").unionByName(gone)
@@ -52,9 +53,10 @@ f AS (SELECT doc_id, title AS from_title, CASE WHEN doc_id % 3 = 0 THEN 'Doc ' |
 SELECT to_title AS from_title, arg_min(from_title, doc_id) AS to_title, '' AS fragment FROM f
 WHERE to_title NOT IN (SELECT title FROM v_docs WHERE doc_id = first_id) AND to_title NOT IN (SELECT from_title FROM v_refs) GROUP BY to_title"""))
 def redirect_moved(spark, sf_dir):
+    d = F.col("doc_id")
     copies = views.text_copies(spark, sf_dir)
     fetched = copies.select("doc_id", F.col("title").alias("from_title"),
-                            F.when(D % 3 == 0, _cat("Doc ", D + 1)).otherwise(_cat("Moved ", F.floor(D / 2))).alias("to_title"))
+                            F.when(d % 3 == 0, _cat("Doc ", d + 1)).otherwise(_cat("Moved ", F.floor(d / 2))).alias("to_title"))
     return ops.moved_back(fetched, copies.filter("doc_id = first_id"), views.redirect_refs(spark, sf_dir), "doc_id")
 
 
@@ -80,14 +82,15 @@ jd AS (SELECT *, CASE WHEN from_title IN (SELECT title FROM pg) THEN 'source is
 
 def _cases(spark, sf_dir):
     """Pages, and redirects of every admissible and inadmissible kind."""
+    d = F.col("doc_id")
     docs = views.text_copies(spark, sf_dir)
     pages = docs.filter("doc_id = first_id AND ns IN (0, 2)").select("title")
     shape = ["from_title", "to_title", "fragment"]
     redirects = views.redirect_refs(spark, sf_dir).select(*shape)
     for rows in (
-        docs.filter("doc_id % 50 = 0").select(_cat("Loop ", D).alias("from_title"), _cat("Loop ", D).alias("to_title"), F.lit("").alias("fragment")),
+        docs.filter("doc_id % 50 = 0").select(_cat("Loop ", d).alias("from_title"), _cat("Loop ", d).alias("to_title"), F.lit("").alias("fragment")),
         docs.filter("doc_id = first_id AND doc_id % 40 = 2").select(F.col("title").alias("from_title"), F.lit("Doc 0").alias("to_title"), F.lit("").alias("fragment")),
-        docs.select(_cat("Alias ", D).alias("from_title"), F.col("title").alias("to_title"), F.when(D % 2 == 1, F.lit("My part")).otherwise(F.lit("")).alias("fragment")),
+        docs.select(_cat("Alias ", d).alias("from_title"), F.col("title").alias("to_title"), F.when(d % 2 == 1, F.lit("My part")).otherwise(F.lit("")).alias("fragment")),
     ):
         redirects = redirects.unionByName(rows)
     return pages, redirects
