@@ -44,6 +44,19 @@ def _positive(value: Column) -> Column:
     return F.when(number > 0, number)
 
 
+def page_deps(element_refs: DataFrame, classified_links: DataFrame, style_refs: DataFrame, key: str = "page_id") -> DataFrame:
+    """All files a page needs: key, url, kind, width, path.
+
+    ``element_refs`` as from ``token_refs``; ``classified_links`` as from ``links.classify``; ``style_refs``:
+    key, full_url of inline styles. Several uses of one URL stay; ``best_resolution`` weighs them all.
+    """
+    none = F.lit(None).cast("long")
+    media = classified_links.filter("asset_url IS NOT NULL").select(key, F.col("asset_url").alias("url"), F.lit("media").alias("kind"), none.alias("width"))
+    styles = style_refs.select(key, F.col("full_url").alias("url"), F.lit("media").alias("kind"), none.alias("width"))
+    refs = element_refs.select(key, "url", "kind", "width").unionByName(media).unionByName(styles)
+    return with_paths(refs).filter("path IS NOT NULL")
+
+
 def first_uses(refs: DataFrame, page: str, order: str) -> DataFrame:
     """One row per page and URL: its first use."""
     return refs.groupBy(page, "url").agg(F.min_by("kind", order).alias("kind"), F.min(order).alias(order))

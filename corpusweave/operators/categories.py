@@ -70,7 +70,7 @@ def letter_groups(paged: DataFrame, numeric: bool = False, digits_header: str =
 
 
 def listing_partials(members: DataFrame, page_size: int = LISTING_PAGE_SIZE) -> DataFrame:
-    """One row per listing page: whether it is inline, its own entry path, and links to its neighbours.
+    """One row per listing page: whether it is inline, its own entry path, links to its neighbours, its layout.
 
     Paging follows from the member counts, so no member is ranked for it.
     """
@@ -89,6 +89,7 @@ def listing_partials(members: DataFrame, page_size: int = LISTING_PAGE_SIZE) ->
         F.when(many, F.concat(base, F.lit("_"), F.col("page"))).alias("path"),
         F.when(many & (F.col("page") > 1), link(F.col("page") - 1)).alias("previous"),
         F.when(many & (F.col("page") < F.col("last")), link(F.col("page") + 1)).alias("next"),
+        (F.least(F.lit(page_size).cast("long"), F.col("members") - (F.col("page") - 1) * page_size) > GALLERY_COLUMNS_ABOVE).alias("columns"),
     )
 
 

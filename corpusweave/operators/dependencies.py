@@ -6,10 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusweave import constants as c
 from corpusweave.functions.assets import asset_path
-from corpusweave.functions.urls import absolute_url
+from corpusweave.functions.text import relative_href
+from corpusweave.functions.urls import Site, absolute_url
 from corpusweave.plans.closure import first_positions, reach
 from corpusweave.plans.keyed import members_of, missing_from
 from corpusweave.plans.ranks import rank_in_group
@@ -33,6 +35,27 @@ def css_urls(sheets: DataFrame) -> DataFrame:
     return full.select("sheet", F.col("pos").cast("long").alias("pos"), "full_url", "path", F.concat(F.lit("../"), safe).alias("replacement"))
 
 
+def inline_sheets(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFrame:
+    """Texts of ``style`` elements as sheets (key, seq, url, body); their URLs are taken as relative to the site."""
+    before = F.lag("tag").over(Window.partitionBy(key).orderBy("seq"))
+    marked = tokens.withColumn("__style", (F.col("kind") == "text") & before.eqNullSafe(F.lit("style")))
+    return marked.filter("__style AND text <> ''").select(key, "seq", F.lit(site.origin + "/").alias("url"), F.col("text").alias("body"))
+
+
+def rewrite_inline_styles(tokens: DataFrame, site: Site, page_path: Column, key: str = "page_id") -> DataFrame:
+    """URLs in ``style`` elements lead to the snapshot; the sheet is rewritten inside its row."""
+    before = F.lag("tag").over(Window.partitionBy(key).orderBy("seq"))
+    marked = tokens.withColumn("__style", (F.col("kind") == "text") & before.eqNullSafe(F.lit("style")))
+    refs = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(URL_PATTERN), F.lit(1)), lambda u: (u != "") & ~u.startswith("data")))
+
+    def local(ref: Column) -> Column:
+        path = relative_href(page_path, asset_path(absolute_url(ref, site.origin + "/"), escape=True))
+        return F.replace(F.replace(F.replace(path, F.lit("'"), F.lit("%27")), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29"))
+
+    rewritten = F.aggregate(refs, F.col("text"), lambda text, ref: F.coalesce(F.replace(text, ref, local(ref)), text))
+    return marked.withColumn("text", F.when(F.col("__style"), rewritten).otherwise(F.col("text"))).drop("__style")
+
+
 def css_imports(sheets: DataFrame) -> DataFrame:
     """Import edges in source order: src, pos, dst, supports, media."""
     statements = sheets.select(F.col("url").alias("src"), F.posexplode(F.regexp_extract_all("body", F.lit(IMPORT_PATTERN), F.lit(0))).alias("pos", "statement"))

@@ -12,6 +12,15 @@ from corpusweave.plans.keyed import missing_from
 from corpusweave.plans.ranks import rank_in_group
 
 
+# --- run checks ------------------------------------------------------------------------------------
+
+def require_empty(violations: DataFrame, message: str, shown: int = 5) -> None:
+    """Stop the run if there is any violation; only a few rows are brought to the driver, for the message."""
+    rows = violations.limit(shown).collect()
+    if rows:
+        raise ValueError(f"{message}: " + "; ".join(str(r.asDict()) for r in rows))
+
+
 # --- first matching rule ---------------------------------------------------------------------------
 
 def _json_at(body: Column, dotted: str) -> Column:

@@ -85,10 +85,10 @@ def member_groups(spark, sf_dir):
 
 
 @QUERIES.add(with_views("parts", body=_MEMBERS_SQL + """
-, q AS (SELECT DISTINCT category, type, page, last, '_categories_partials_' || category || '_' || CASE type WHEN 'subcat' THEN 'subcats' WHEN 'page' THEN 'pages' ELSE 'files' END AS base FROM p)
+, q AS (SELECT DISTINCT category, type, page, last, n, '_categories_partials_' || category || '_' || CASE type WHEN 'subcat' THEN 'subcats' WHEN 'page' THEN 'pages' ELSE 'files' END AS base FROM p)
 SELECT category, type, page, page = 1 AS is_inline, CASE WHEN last > 1 THEN base || '_' || page END AS path,
   CASE WHEN last > 1 AND page > 1 THEN './' || base || '_' || (page - 1) END AS previous,
-  CASE WHEN last > 1 AND page < last THEN './' || base || '_' || (page + 1) END AS next FROM q"""))
+  CASE WHEN last > 1 AND page < last THEN './' || base || '_' || (page + 1) END AS next, least(20, n - (page - 1) * 20) > 6 AS columns FROM q"""))
 def member_partials(spark, sf_dir):
     return ops.listing_partials(views.parts(spark, sf_dir), PAGE_SIZE)
 

@@ -21,5 +21,6 @@ def line_titles(value: Column | str) -> Column:
 
 
 def read_list_file(spark: SparkSession, path: str) -> DataFrame:
-    """pos, title of a list file; a list file is read by Spark, never by the driver."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(line_titles("value")).alias("pos", "title"))
+    """pos, title of a list file, read line by line; ``pos`` grows with the line number but has gaps."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.replace("value", F.lit("\r"), F.lit("")).alias("line"))
+    return lines.filter("line <> ''").select("pos", path_title("line").alias("title"))

@@ -211,3 +211,35 @@ def test_catalogue_keeps_absent_fields_absent(spark):
     df = spark.createDataFrame([(dict(title="A", ns=0, contentmodel="wikitext"),)], f"p {PAGE_RECORD}").select("p.*")
     row = catalogue.catalogue_rows(df).first()
     assert row.title == "A" and all(v is None for k, v in row.asDict().items() if k != "title")
+
+
+def test_inline_styles(spark):
+    html = "<style>a{background:url('/im/x.png')} b{background:url(data:z)} c{src:url(\"../im/x(1).woff\")}</style><p>url(k)</p>"
+    folder = "../_assets_/" + __import__("hashlib").md5(b"https://en.wikipedia.org/im/").hexdigest()
+    want = html.replace("/im/x.png", folder + "/x.png", 1).replace("../im/x(1).woff", folder + "/x%281%29.woff")
+    assert cleaned(spark, html.replace("x(1)", "x%281%29"), lambda t: dependencies.rewrite_inline_styles(t, SITE, F.lit(DEEP))) == want
+
+
+def test_page_deps(spark):
+    html = '<img src="/im/a.png" width="50"><a href="//up.example.org/im/s.ogg" resource="./Media:s">s</a><style>p{background:url(/im/b.png)}</style>'
+    tokens = html_tokens.tokenize(spark.createDataFrame([(1, html)], "page_id int, html string"))
+    anchors = links.classify(links.anchors(tokens).withColumn("page_path", F.lit("A")), SITE)
+    sheets = dependencies.inline_sheets(tokens, SITE)
+    styles = sheets.select("page_id", F.lit("https://en.wikipedia.org/im/b.png").alias("full_url"))
+    assert [r.full_url for r in dependencies.css_urls(sheets).collect()] == ["https://en.wikipedia.org/im/b.png"]
+    deps = assets.page_deps(assets.token_refs(tokens, SITE), anchors, styles)
+    assert sorted((r.url, r.kind, r.width) for r in deps.collect()) == [
+        ("https://en.wikipedia.org/im/a.png", "image", 50), ("https://en.wikipedia.org/im/b.png", "media", None), ("https://up.example.org/im/s.ogg", "media", None)]
+
+
+def test_list_file(spark, tmp_path):
+    from corpusweave.sources.page_list import read_list_file
+
+    (tmp_path / "list.txt").write_bytes(b"Main_Page\r\n\r\n Brian May\nA_B\n")
+    assert [r.title for r in read_list_file(spark, str(tmp_path / "list.txt")).orderBy("pos").collect()] == ["Main Page", " Brian May", "A B"]
+
+
+def test_require_empty(spark):
+    quality.require_empty(spark.range(0), "none")
+    with pytest.raises(ValueError, match="too many: .*'id': 0"):
+        quality.require_empty(spark.range(3), "too many")

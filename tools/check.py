@@ -1,4 +1,7 @@
-"""Compare registered queries with their SQL twins: ``python tools/check.py [sf] [name prefix ...]``."""
+"""Compare registered queries with their SQL twins: ``python tools/check.py [sf] [name prefix ...]``.
+
+``CHECK_NO_BROADCAST=1`` turns broadcasts off, so that every lookup takes its salted form.
+"""
 
 import math
 import os
@@ -54,6 +57,8 @@ def main():
     folder = f"/root/testdata/sf{sf}"
     spark = build_session("local[8]", 8, spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="8g")
     spark.sparkContext.setLogLevel("ERROR")
+    if os.environ.get("CHECK_NO_BROADCAST"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
