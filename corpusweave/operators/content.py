@@ -138,18 +138,56 @@ def globe_map_links(tokens: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def replace_iframes(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFrame:
-    """Embedded frames become a link: videos with a thumbnail, everything else a card; without source they go."""
+    """Embedded frames become a link: videos with a thumbnail, everything else a card; without source they go.
+
+    The new elements are tokens like any other, so later steps see the thumbnail. Token numbers are
+    spread by 8 to make room, and new elements get negative numbers.
+    """
+    room = 8
     iframe = is_start("iframe")
     emptied = drop_subtrees(tokens, (F.col("tag") == "iframe") & (F.coalesce(attr("src"), F.lit("")) == ""), key)
     running = Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = emptied.withColumn("__to", F.max(F.when(iframe, F.col("end_seq"))).over(running))
-    outer = marked.filter((F.col("__to").isNull()) | (F.col("__to") < F.col("seq")) | iframe).drop("__to")
+    outer = marked.filter(F.col("__to").isNull() | (F.col("__to") < F.col("seq")) | iframe).drop("__to")
     staged = outer.withColumn("__frame", F.when(iframe, iframe_parts(attr("src"), site)))
-    return staged.withColumns({
-        "text": F.when(iframe, iframe_markup(F.col("__frame"), F.col(ATTRS))).otherwise(F.col("text")),
-        "kind": F.when(iframe, F.lit("text")).otherwise(F.col("kind")),
-        "elem_id": F.when(iframe, F.lit(None).cast("int")).otherwise(F.col("elem_id")),
-    }).drop("__frame")
+
+    attrs, parts = F.col(ATTRS), F.col("__frame")
+    first, second, parent = -(F.col("seq") * 2 + 1), -(F.col("seq") * 2 + 2), F.col("parent_id")
+
+    def mapping(*pairs: tuple[str, Column | str]) -> Column:
+        return F.create_map(*[x if isinstance(x, Column) else F.lit(x) for pair in pairs for x in pair])
+
+    anchor = mapping(("class", "external"), ("href", parts["href"]))
+    image = F.map_concat(F.map_filter(attrs, lambda k, v: ~k.isin("src", "alt", "loading")),
+                         mapping(("src", parts["thumbnail"]), ("alt", "Video thumbnail"), ("loading", "lazy")))
+    card = F.map_concat(F.map_filter(attrs, lambda k, v: k != "class"),
+                        mapping(("class", F.concat_ws(" ", attrs["class"], F.lit("mwo-external-video-card")))))
+    labelled = F.map_concat(anchor, mapping(("aria-label", "View this content externally")))
+    # kind, element, parent, tag, attributes, text, levels below the frame, number of the last token inside
+    layouts = {
+        "thumbnail": [("start", first, parent, "a", anchor, None, 0, 2), ("start", second, first, "img", image, None, 1, 1),
+                      ("end", first, parent, "a", None, None, 0, 2)],
+        "link": [("start", first, parent, "a", labelled, None, 0, 2), ("text", None, first, None, None, "View this content externally", 1, 1),
+                 ("end", first, parent, "a", None, None, 0, 2)],
+        "card": [("start", first, parent, "div", card, None, 0, 4), ("start", second, first, "a", anchor, None, 1, 3),
+                 ("text", None, second, None, None, "Open embedded content (external)", 2, 2), ("end", second, first, "a", None, None, 1, 3),
+                 ("end", first, parent, "div", None, None, 0, 4)],
+    }
+    # ordinary tokens stay one row each
+    places = F.coalesce(*[F.when(parts["kind"] == kind, F.sequence(F.lit(0), F.lit(len(rows) - 1))) for kind, rows in layouts.items()], F.array(F.lit(0)))
+    dealt = staged.withColumn("__at", F.explode(places))
+
+    def pick(field: int, own: Column) -> Column:
+        choices = [F.when((parts["kind"] == kind) & (F.col("__at") == at), row[field] if isinstance(row[field], Column) else F.lit(row[field]))
+                   for kind, rows in layouts.items() for at, row in enumerate(rows) if row[field] is not None]
+        return F.when(parts.isNull(), own).otherwise(F.coalesce(*choices))
+
+    return dealt.withColumns({
+        "kind": pick(0, F.col("kind")), "elem_id": pick(1, F.col("elem_id")), "parent_id": pick(2, parent), "tag": pick(3, F.col("tag")),
+        ATTRS: pick(4, attrs), "text": pick(5, F.col("text")), "depth": F.when(parts.isNull(), F.col("depth")).otherwise(F.col("depth") + pick(6, F.lit(0))),
+        "seq": F.col("seq") * room + F.col("__at"),
+        "end_seq": F.when(parts.isNull(), F.col("end_seq") * room).otherwise(F.col("seq") * room + pick(7, F.lit(0))),
+    }).select(*tokens.columns)
 
 
 def iframe_target(src: Column, site: Site) -> tuple[Column, Column, Column]:
@@ -173,27 +211,6 @@ def iframe_parts(src: Column, site: Site) -> Column:
     )
 
 
-def _attributes(attrs: Column) -> Column:
-    quoted = F.transform(F.map_entries(attrs), lambda e: F.concat(
-        F.lit(" "), e["key"], F.lit('="'), F.replace(F.replace(e["value"], F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"')))
-    return F.array_join(quoted, "")
-
-
-def iframe_markup(parts: Column, attrs: Column) -> Column:
-    """HTML for what ``iframe_parts`` decided."""
-    href = F.concat(F.lit(' class="external" href="'), F.replace(parts["href"], F.lit("&"), F.lit("&amp;")), F.lit('"'))
-    others = F.map_filter(attrs, lambda k, v: ~k.isin("src", "alt", "loading"))
-    image = F.concat(F.lit("<img"), _attributes(others), F.lit(' src="'), parts["thumbnail"], F.lit('" alt="Video thumbnail" loading="lazy">'))
-    card_class = F.concat_ws(" ", attrs["class"], F.lit("mwo-external-video-card"))
-    card = F.concat(F.lit("<div"), _attributes(F.map_filter(attrs, lambda k, v: k != "class")), F.lit(' class="'), card_class, F.lit('">'),
-                    F.lit("<a"), href, F.lit(">Open embedded content (external)</a></div>"))
-    return (
-        F.when(parts["kind"] == "thumbnail", F.concat(F.lit("<a"), href, F.lit(">"), image, F.lit("</a>")))
-        .when(parts["kind"] == "link", F.concat(F.lit("<a"), href, F.lit(' aria-label="View this content externally">View this content externally</a>')))
-        .when(parts["kind"] == "card", card)
-    )
-
-
 def media_attributes(tokens: DataFrame, site: Site, page_path: Column) -> DataFrame:
     """Sources of images, audio, video and posters lead to the snapshot; unreadable or indirect images go."""
     base = site.origin + "/"

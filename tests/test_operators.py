@@ -118,6 +118,15 @@ def test_iframes(spark):
         assert cleaned(spark, f"<p>{html}</p>", lambda t: content.replace_iframes(t, SITE)) == f"<p>{want}</p>"
 
 
+def test_video_thumbnail_is_an_asset(spark):
+    tokens = html_tokens.tokenize(spark.createDataFrame([(1, '<p>a<iframe width="70" src="https://youtu.be/abc">x</iframe>b</p><img src="/q.png">')], "page_id int, html string"))
+    replaced = content.replace_iframes(tokens, SITE)
+    refs = assets.token_refs(replaced, SITE).orderBy("seq").collect()
+    assert [(r.url, r.width) for r in refs] == [("https://img.youtube.com/vi/abc/hqdefault.jpg", 70), ("https://en.wikipedia.org/q.png", None)]
+    # the spread numbers still nest
+    assert html_tokens.serialise(content.drop_subtrees(replaced, F.col("tag") == "p")).first().html == '<img src="/q.png">'
+
+
 def test_empty_section_with_heading_only(spark):
     html = '<section><h2>a</h2></section><section><div class="mw-heading">b</div><p>t</p></section><section><section><h2>c</h2></section></section>'
     want = '<section><div class="mw-heading">b</div><p>t</p></section><section></section>'
