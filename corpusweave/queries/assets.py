@@ -153,14 +153,14 @@ def media_drop(spark, sf_dir):
 
 
 @QUERIES.add("""
-SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 OR p_size % 7 = 0 OR p_partkey % 11 = 0 THEN 'miss' WHEN p_partkey % 5 > 2 THEN 'stale' WHEN p_partkey % 2 = 0 THEN 'hit' ELSE 'revalidate' END AS state,
-  CASE WHEN NOT (p_partkey % 3 = 0 OR p_size % 7 = 0 OR p_partkey % 11 = 0 OR p_partkey % 5 > 2) THEN '"e' || p_partkey || '"' END AS if_none_match FROM part""")
+SELECT p_partkey, CASE WHEN p_size < 15 OR p_size % 7 = 0 OR p_partkey % 11 = 0 THEN 'miss' WHEN p_partkey % 5 > 2 THEN 'stale' WHEN p_partkey % 2 = 0 THEN 'hit' ELSE 'revalidate' END AS state,
+  CASE WHEN NOT (p_size < 15 OR p_size % 7 = 0 OR p_partkey % 11 = 0 OR p_partkey % 5 > 2) THEN '"e' || p_partkey || '"' END AS if_none_match FROM part""")
 def cache_reconcile(spark, sf_dir):
     key, part = F.col("p_partkey"), views.table(spark, sf_dir, "part")
     version = ops.cache_version(F.col("p_size"), webp=True)
     wanted = part.select("p_partkey", _cat("https://img.example.org/P", key, ".png").alias("url"), version.alias("version"),
                          F.when(key % 2 == 0, _cat('"e', key, '"')).when(key % 4 == 1, F.lit('"other"')).alias("upstream_etag"))
-    cache = part.filter(key % 3 != 0).select(
+    cache = part.filter("p_size >= 15").select(
         _cat("img.example.org/P", key, ".png").alias("cache_key"), F.when(key % 5 <= 2, version).otherwise(F.lit("1")).alias("cached_version"),
         F.when(key % 11 != 0, _cat(F.when(key % 4 == 0, "W/").otherwise(""), '"e', key, '"')).alias("cached_etag"), (F.col("p_size") % 7 * 10).alias("length"))
     return ops.reconcile_cache(wanted, cache).select("p_partkey", "state", "if_none_match")

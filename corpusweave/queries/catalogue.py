@@ -148,13 +148,13 @@ def filter_content_model(spark, sf_dir):
 
 
 @QUERIES.add(with_views("pages", body="""
-ig AS (SELECT replace(heading, ' ', '_') AS t FROM v_pages WHERE page_id % 5 = 0 UNION SELECT heading FROM v_pages WHERE page_id % 7 = 0)
+ig AS (SELECT replace(heading, ' ', '_') AS t FROM v_pages WHERE lang = 'de' UNION SELECT heading FROM v_pages WHERE lang = 'es')
 SELECT page_id, heading AS title FROM v_pages WHERE heading NOT IN (SELECT t FROM ig) AND replace(heading, ' ', '_') NOT IN (SELECT t FROM ig)"""))
 def filter_ignored(spark, sf_dir):
-    pages = views.pages(spark, sf_dir).select("page_id", F.col("heading").alias("title"))
-    ignored = pages.filter("page_id % 5 = 0").select(F.replace("title", F.lit(" "), F.lit("_")).alias("title")).unionByName(
-        pages.filter("page_id % 7 = 0").select("title"))
-    return ops.without_ignored(pages, ignored)
+    pages = views.pages(spark, sf_dir).select("page_id", "lang", F.col("heading").alias("title"))
+    ignored = pages.filter("lang = 'de'").select(F.replace("title", F.lit(" "), F.lit("_")).alias("title")).unionByName(
+        pages.filter("lang = 'es'").select("title"))
+    return ops.without_ignored(pages, ignored).drop("lang")
 
 
 @QUERIES.add("""

@@ -94,13 +94,13 @@ def member_partials(spark, sf_dir):
 
 
 @QUERIES.add("""
-WITH known AS (SELECT DISTINCT p_type AS t FROM part WHERE p_size = 7 AND p_partkey % 3 = 0 UNION SELECT DISTINCT p_brand FROM part WHERE p_size = 9 AND p_partkey % 5 = 0),
+WITH known AS (SELECT p_type AS t FROM part WHERE p_type < 'P' UNION SELECT p_brand FROM part WHERE p_brand LIKE 'Brand#1%'),
 x AS (SELECT p_partkey AS member, p_type IN (SELECT t FROM known) AS a, p_brand IN (SELECT t FROM known) AS b, p_type, p_brand FROM part)
 SELECT member, CASE WHEN a AND b THEN p_type || '|' || p_brand WHEN a THEN p_type ELSE p_brand END AS categories FROM x WHERE a OR b""")
 def page_category_list(spark, sf_dir):
     part = views.parts(spark, sf_dir)
-    known = part.filter("size = 7 AND member % 3 = 0").select(F.col("category").alias("title")).unionByName(
-        part.filter("size = 9 AND member % 5 = 0").select(F.col("parent").alias("title")))
+    known = part.filter("category < 'P'").select(F.col("category").alias("title")).unionByName(
+        part.filter("parent LIKE 'Brand#1%'").select(F.col("parent").alias("title")))
     lists = ops.page_category_lists(part.select("member", F.array("category", "parent").alias("categories")), known, "member")
     return lists.select("member", F.array_join("categories", "|").alias("categories"))
 

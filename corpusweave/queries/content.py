@@ -193,14 +193,10 @@ def css_class_norm(spark, sf_dir):
         "page_id", ops.normal_classes(body, c.BODY_CLASS_REPLACEMENTS).alias("body_class"), ops.normal_classes(html, c.HTML_CLASS_REPLACEMENTS).alias("html_class"))
 
 
-@QUERIES.add(with_views("pages", body="SELECT page_id FROM v_pages WHERE len(regexp_extract_all(html, '<a ')) > 4 AND html LIKE '%href=\"/the\"%' OR page_id = 0"))
+@QUERIES.add(with_views("pages", body="SELECT page_id FROM v_pages WHERE html LIKE '%href=\"/the\"%' OR page_id = 0"))
 def hook_keep(spark, sf_dir):
     tokens = html_tokens.tokenize(views.table(spark, sf_dir, "pages"))
-    counted = tokens.filter(is_start("a"))
-    many = counted.groupBy("page_id").agg(F.count(F.lit(1)).alias("links")).filter("links > 4")
-    wanted = ops.keep_pages(counted, F.col("attrs")["href"] == "/the", "page_id")
-    main = views.table(spark, sf_dir, "pages").filter("page_id = 0").select("page_id")
-    return wanted.join(many, "page_id", "left_semi").unionByName(main).distinct()
+    return ops.keep_pages(tokens, is_start("a") & (F.col("attrs")["href"] == "/the"), "page_id", main_page=F.col("page_id") == 0)
 
 
 @QUERIES.add("""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusweave.operators import dependencies as ops
+from corpusweave.plans.keyed import missing_from
 from corpusweave.queries import Family
+from corpusweave.session import small_table
 from corpusweave.sources import views
 
 QUERIES = Family()
@@ -20,7 +22,7 @@ def _sheets(spark, sf_dir):
     """One sheet per supplier, importing two others and, back up the tree, its parent; the last ones import missing sheets."""
     k = F.col("s_suppkey")
     body = _cat('@import url("', k * 2 + 1, ".css\") screen;\n@IMPORT '", k * 2 + 2, ".css' supports(display: grid) print and (x);\n@import url(",
-                F.floor((k - 1) / 2).cast("long"), ".css);\n.a{background:url(img/", k, '.png)} .b{background:url("data:image/png;base64,x")} .c{src:url(\'../f/n',
+                F.when(k > 2, F.floor((k - 1) / 2).cast("long")).otherwise(-1), ".css);\n.a{background:url(img/", k, '.png)} .b{background:url("data:image/png;base64,x")} .c{src:url(\'../f/n',
                 F.col("s_nationkey"), "(1.woff')} .d{background:URL()}")
     return views.table(spark, sf_dir, "supplier").select("s_suppkey", _cat(HOST, k, ".css").alias("url"), body.alias("body"))
 
@@ -38,7 +40,7 @@ _EDGES_SQL = """
 WITH RECURSIVE e AS (
   SELECT s_suppkey AS s, 0 AS pos, s_suppkey * 2 + 1 AS d, '' AS supports, 'screen' AS media FROM supplier
   UNION ALL SELECT s_suppkey, 1, s_suppkey * 2 + 2, 'display: grid', 'print and (x)' FROM supplier
-  UNION ALL SELECT s_suppkey, 2, CAST(floor((s_suppkey - 1) / 2) AS BIGINT), '', '' FROM supplier)"""
+    UNION ALL SELECT s_suppkey, 2, CASE WHEN s_suppkey > 2 THEN CAST(floor((s_suppkey - 1) / 2) AS BIGINT) ELSE -1 END, '', '' FROM supplier)"""
 
 
 @QUERIES.add(_EDGES_SQL + """
@@ -49,12 +51,14 @@ def css_imports(spark, sf_dir):
 
 # between any two sheets of this tree there is one simple path, so the paths can be listed
 @QUERIES.add(_EDGES_SQL + """
-, w AS (SELECT s_suppkey AS root, s_suppkey AS node, [s_suppkey] AS path, CAST([] AS INTEGER[]) AS place FROM supplier WHERE s_suppkey < 3
+, w AS (SELECT s_suppkey AS root, s_suppkey AS node, [s_suppkey] AS path, CAST([] AS INTEGER[]) AS place FROM supplier WHERE s_suppkey NOT IN (SELECT d FROM e)
   UNION ALL SELECT root, d, list_append(path, d), list_append(place, pos) FROM w JOIN e ON s = node WHERE d IN (SELECT s_suppkey FROM supplier) AND NOT list_contains(path, d))
 SELECT 'https://css.example.org/css/' || root || '.css' AS root, 'https://css.example.org/css/' || node || '.css' AS sheet, row_number() OVER (PARTITION BY root ORDER BY place) AS position FROM w""")
 def css_flatten(spark, sf_dir):
     sheets = _sheets(spark, sf_dir)
-    return ops.css_flatten_order(sheets.filter("s_suppkey < 3").select(F.col("url").alias("root")), ops.css_imports(sheets), sheets)
+    imports = ops.css_imports(sheets)
+    roots = missing_from(sheets.select("url"), imports.select(F.col("dst").alias("url")), ["url"])
+    return ops.css_flatten_order(roots.select(F.col("url").alias("root")), imports, sheets)
 
 
 def _pages(spark, sf_dir):
@@ -99,15 +103,12 @@ c AS (SELECT module FROM (SELECT 'm' || p_partkey AS module FROM part WHERE p_si
 SELECT module FROM c WHERE module IN (SELECT module FROM reg)""")
 def module_closure(spark, sf_dir):
     key, part = F.col("p_partkey"), views.table(spark, sf_dir, "part")
-    zero = part.filter(key == 0)
     module = _cat("m", key).alias("module")
-    players = zero.select(F.explode(F.array(F.lit("ext.tmh.player"), F.lit("ext.tmh.player.inline"))).alias("module"))
+    players = small_table(spark, ["module"], [("ext.tmh.player",), ("ext.tmh.player.inline",)])
     registry = part.select(module).unionByName(players)
     edges = part.select(_cat("m", key).alias("src"), F.explode(F.array(_cat("m", F.floor(key / 2)), _cat("m", F.floor(key / 3)), _cat("ghost", F.col("p_size")))).alias("dst"))
-    edges = edges.unionByName(zero.select(F.inline(F.array(
-        F.struct(F.lit("m0").alias("src"), F.lit("m1").alias("dst")), F.struct(F.lit("ext.tmh.player.inline").alias("src"), F.lit("m5").alias("dst"))))))
-    used = part.filter("p_size = 49").select(module).unionByName(zero.select(F.lit("ext.tmh.player").alias("module"))).unionByName(
-        zero.select(F.lit("unknown.module").alias("module")))
+    edges = edges.unionByName(small_table(spark, ["src", "dst"], [("m0", "m1"), ("ext.tmh.player.inline", "m5")]))
+    used = part.filter("p_size = 49").select(module).unionByName(small_table(spark, ["module"], [("ext.tmh.player",), ("unknown.module",)]))
     return ops.module_closure(used, edges, registry)
 
 

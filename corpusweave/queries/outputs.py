@@ -8,7 +8,7 @@ from corpusweave.operators import categories as category_ops
 from corpusweave.operators import outputs as ops
 from corpusweave.operators import redirects as redirect_ops
 from corpusweave.queries import Family
-from corpusweave.session import new_table_path
+from corpusweave.session import new_table_path, small_table
 from corpusweave.sources import views
 from corpusweave.sources.views import with_views
 
@@ -64,19 +64,19 @@ SELECT 'index' AS kind, 'home' AS path, CAST(1 AS BIGINT) AS entries
 UNION ALL SELECT 'collision', title, count(*) FROM (SELECT CASE page_id WHEN 0 THEN 'index' WHEN 1 THEN 'x' ELSE title END AS title FROM v_pages) GROUP BY title HAVING count(*) > 1"""))
 def index_path(spark, sf_dir):
     pages = views.pages(spark, sf_dir).select("page_id", F.when(F.col("page_id") == 0, F.lit("index")).when(F.col("page_id") == 1, F.lit("x")).otherwise(F.col("title")).alias("title"))
-    redirects = views.pages(spark, sf_dir).filter("page_id = 2").select(F.lit("welcome").alias("from_title"))
+    redirects = small_table(spark, ["from_title"], [("welcome",)])
     index = ops.index_path(pages, redirects).select(F.lit("index").alias("kind"), F.col("index_path").alias("path"), F.lit(1).cast("long").alias("entries"))
     collisions = ops.path_collisions(pages.select(F.col("title").alias("path")))
     return index.unionByName(collisions.select(F.lit("collision").alias("kind"), "path", "entries"))
 
 
 @QUERIES.add(with_views("docs", body="""
-l AS (SELECT d.doc_id AS pos, coalesce(r.to_title, d.title) AS title FROM v_docs d LEFT JOIN v_refs r ON r.from_title = d.title WHERE d.doc_id % 2 = 0),
+l AS (SELECT d.doc_id AS pos, coalesce(r.to_title, d.title) AS title FROM v_docs d LEFT JOIN v_refs r ON r.from_title = d.title WHERE d.lang = 'en'),
 f AS (SELECT l.pos, l.title, p.doc_id % 3 = 0 AS has_image FROM l JOIN v_docs p ON p.title = l.title AND p.doc_id = p.first_id),
 i AS (SELECT *, count(*) FILTER (has_image) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS seen FROM f)
 SELECT pos, title, has_image, 'tiles' AS layout FROM i WHERE has_image AND seen <= 100"""))
 def index_select(spark, sf_dir):
     copies = views.text_copies(spark, sf_dir)
     pages = copies.filter("doc_id = first_id").select("title", (F.col("doc_id") % 3 == 0).alias("has_image"))
-    listed = copies.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("pos"), "title")
+    listed = copies.filter("lang = 'en'").select(F.col("doc_id").alias("pos"), "title")
     return ops.index_entries(listed, pages, views.redirect_refs(spark, sf_dir))

@@ -37,12 +37,12 @@ def host_creator(spark, sf_dir):
 
 @QUERIES.add("""
 SELECT page_id, v.format FROM pages, (VALUES (''), ('nopic'), ('nodet')) v(format)
-WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = page_id AND ((doc_id % 3 = 0 AND v.format = 'nopic') OR (doc_id % 2 = 0 AND v.format = '')))""")
+WHERE NOT EXISTS (SELECT 1 FROM documents WHERE doc_id = page_id AND ((lang <> 'en' AND v.format = 'nopic') OR (lang = 'en' AND v.format = '')))""")
 def resume_skip(spark, sf_dir):
     work = ops.fan_out(views.table(spark, sf_dir, "pages").select("page_id"), ["", "nopic", "nodet"]).select("page_id", "format")
     docs = views.table(spark, sf_dir, "documents")
-    written = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").alias("page_id"), F.lit("nopic").alias("format")).unionByName(
-        docs.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("page_id"), F.lit("").alias("format")))
+    written = docs.filter("lang <> 'en'").select(F.col("doc_id").alias("page_id"), F.lit("nopic").alias("format")).unionByName(
+        docs.filter("lang = 'en'").select(F.col("doc_id").alias("page_id"), F.lit("").alias("format")))
     return ops.still_to_do(work, written, ["page_id", "format"])
 
 
