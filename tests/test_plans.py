@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusweave.plans import closure, intervals, keyed, ranks
+from corpusweave.operators import content
+from corpusweave.plans import closure, intervals, keyed, layout, ranks
 from corpusweave.session import shared_folder, small_table
 from corpusweave.sources import html_tokens
 
@@ -136,5 +137,22 @@ def test_count_inside_and_nearest(spark):
     assert [r.n for r in nearest.collect()] == [1, 2]
 
 
+def test_bucketed_tokens_are_cleaned_without_a_shuffle(spark, tmp_path):
+    pages = spark.createDataFrame([(i, HTML) for i in range(40)], "page_id int, html string")
+    table = layout.write_by_key(html_tokens.tokenize(pages), "tokens_by_page", str(tmp_path / "tokens"), "page_id", "seq", 4)
+    cleaned = html_tokens.serialise(content.remove_empty_galleries(content.remove_linkless(table)))
+    assert "Exchange" not in cleaned._jdf.queryExecution().executedPlan().toString()
+    assert cleaned.count() == 40
+    spark.sql("DROP TABLE tokens_by_page")
+
+
+def test_spread_leaves_shuffled_and_split_input_alone(spark):
+    split = spark.range(100, numPartitions=64)
+    assert layout.spread(split) is split
+    shuffled = spark.range(100).groupBy((F.col("id") % 3).alias("k")).count()
+    assert layout.spread(shuffled) is shuffled
+    assert layout.spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_shared_folder_is_read_from_the_session(spark):
     assert spark.conf.get("spark.checkpoint.dir") == shared_folder(spark)
