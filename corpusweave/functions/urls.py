@@ -148,7 +148,9 @@ def geo_href(href: Column | str) -> Column:
         pair = F.split(F.get(pieces, F.lit(0)), ";")
         return F.when(F.size(pair) == 2, both(F.get(pair, F.lit(0)), F.get(pair, F.lit(1)))).otherwise(sexagesimal(pieces))
 
-    lat_q, lon_q = (query_param(href, k).try_cast("double") for k in ("lat", "lon"))
+    # the leading number of the parameter counts, whatever follows it
+    number = r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
+    lat_q, lon_q = (F.regexp_extract(query_param(href, k), number, 1).try_cast("double") for k in ("lat", "lon"))
     point = (
         F.when(href.rlike(r"(?i)poimap2\.php"), F.concat(plain_number(lat_q), F.lit(","), plain_number(lon_q)))
         .when(href.rlike(r"(?i)geohack\.php"), let(F.split(F.upper(query_param(href, "params")), "_"), geohack))

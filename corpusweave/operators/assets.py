@@ -19,7 +19,10 @@ FULL_SIZE = 10_000_000
 # --- references ------------------------------------------------------------------------------------
 
 def token_refs(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFrame:
-    """key, url, kind, width, seq of every asset a page's elements name; images without a readable source are left out."""
+    """key, url, kind, width, seq of the images, posters and subtitles a page's elements name.
+
+    Images without a readable source are left out. Sound and film come from ``media_sources``.
+    """
     attr = F.col("attrs")
     src = F.coalesce(attr["src"], F.lit(""))
     usable = (src != "") & ~src.contains("./Special:FilePath/") & ~src.startswith("data:")
@@ -32,13 +35,34 @@ def token_refs(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFrame
     found = F.array_compact(F.array(
         ref(is_start("img") & usable, "image", src, width),
         ref(is_start("video") & (F.coalesce(attr["poster"], F.lit("")) != ""), "image", attr["poster"], _positive(attr["width"])),
-        ref(is_start("video", "audio", "source") & usable, "video", src, none),
         ref(is_start("track") & usable, "subtitle", src, none),
     ))
-    rows = tokens.filter(is_start("img", "video", "audio", "source", "track")).select(key, "seq", F.inline(found))
+    rows = tokens.filter(is_start("img", "video", "track")).select(key, "seq", F.inline(found))
     return rows.select(key, absolute_url("href", site.origin + "/").alias("url"), "kind", "width", "seq")
 
 
+def media_sources(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFrame:
+    """The one source taken for each video and audio element, in the columns of ``token_refs``.
+
+    An element with ``source`` children is judged by them alone; without, its own address counts. A video without a
+    webm source yields no row: the element goes. ``tokens`` is read twice, so it should be a table.
+    """
+    attr = F.col("attrs")
+    owners = tokens.filter(is_start("video", "audio")).select(
+        key, F.col("elem_id").alias("owner"), F.col("tag").alias("element"), F.col("seq").alias("at"),
+        F.coalesce(attr["src"], F.when(F.col("tag") == "audio", attr["resource"])).alias("own_src"), attr["width"].try_cast("double").cast("long").alias("display_width"))
+    children = tokens.filter(is_start("source")).select(
+        key, F.col("parent_id").alias("owner"), F.col("seq").alias("pos"), attr["src"].alias("src"), attr["type"].alias("type"),
+        F.coalesce(_positive(attr["data-file-width"]), _positive(attr["data-width"])).alias("width"))
+    candidates = owners.join(children, [key, "owner"], "left").withColumns({
+        "src": F.when(F.col("pos").isNull(), F.col("own_src")).otherwise(F.col("src")), "pos": F.coalesce("pos", "at"),
+    }).filter("src IS NOT NULL AND src <> ''").drop("own_src")
+    films = choose_video_source(candidates.filter("element = 'video'"), key, "owner")
+    sounds = choose_audio_source(candidates.filter("element = 'audio'"), key, "owner")
+    return films.unionByName(sounds).select(
+        key, absolute_url("src", site.origin + "/").alias("url"), F.lit("video").alias("kind"), F.lit(None).cast("long").alias("width"), F.col("at").alias("seq"))
+
+
 def _positive(value: Column) -> Column:
     number = F.regexp_extract(F.coalesce(value, F.lit("")), r"^\s*\+?([0-9]+)", 1).try_cast("long")
     return F.when(number > 0, number)
@@ -47,7 +71,7 @@ def _positive(value: Column) -> Column:
 def page_deps(element_refs: DataFrame, classified_links: DataFrame, style_refs: DataFrame, key: str = "page_id") -> DataFrame:
     """All files a page needs: key, url, kind, width, path.
 
-    ``element_refs`` as from ``token_refs``; ``classified_links`` as from ``links.classify``; ``style_refs``:
+    ``element_refs`` as from ``token_refs`` and ``media_sources``; ``classified_links`` as from ``links.classify``; ``style_refs``:
     key, full_url of inline styles. Several uses of one URL stay; ``best_resolution`` weighs them all.
     """
     none = F.lit(None).cast("long")
@@ -85,8 +109,8 @@ def best_resolution(refs: DataFrame, first: list[Column], keep: list[str]) -> Da
 
 # --- source choice ---------------------------------------------------------------------------------
 
-def choose_video_source(sources: DataFrame, video: str) -> DataFrame:
-    """One webm source per video: pos, src, width, display_width in; the chosen row out.
+def choose_video_source(sources: DataFrame, *video: str) -> DataFrame:
+    """One webm source per video (its key columns): pos, src, width, display_width in; the chosen row out.
 
     With a display width: the smallest source at least as wide, else the widest; among equals the last
     vp9, else the first. Without: the widest, then vp9, then the first.
@@ -101,13 +125,13 @@ def choose_video_source(sources: DataFrame, video: str) -> DataFrame:
         vp9.cast("int"),
         F.when(sized & vp9, F.col("pos")).otherwise(-F.col("pos")).cast("long"),
     )
-    return best_per_key(sources.filter(F.col("src").endswith(".webm")), [video], rank)
+    return best_per_key(sources.filter(F.col("src").endswith(".webm")), video, rank)
 
 
-def choose_audio_source(sources: DataFrame, audio: str) -> DataFrame:
+def choose_audio_source(sources: DataFrame, *audio: str) -> DataFrame:
     """The first ogg source, else the first."""
     ogg = F.coalesce(F.col("type").startswith("audio/ogg"), F.lit(False)) | F.coalesce(F.col("src").endswith(".ogg"), F.lit(False))
-    return best_per_key(sources, [audio], F.struct(ogg.cast("int"), (-F.col("pos")).cast("long")))
+    return best_per_key(sources, audio, F.struct(ogg.cast("int"), (-F.col("pos")).cast("long")))
 
 
 def subtitle_refs(tracks: DataFrame, site: Site) -> DataFrame:

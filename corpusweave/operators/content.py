@@ -301,7 +301,8 @@ def title_text(display_title: Column, page_title: Column) -> Column:
 
 
 def document_title(html: Column) -> Column:
-    return strip_tags(F.regexp_extract(html, r"(?i)<title( [^>]*)?>(.*)</title>", 2))
+    on_one_line = F.nullif(F.regexp_extract(html, r"(?i)<title( [^>]*)?>(.*)</title>", 2), F.lit(""))
+    return strip_tags(F.coalesce(on_one_line, F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title>", 1)))
 
 
 def main_page_heading(override: Column, display_title: Column) -> Column:

@@ -10,6 +10,7 @@ from corpusweave.functions.urls import absolute_url
 from corpusweave.operators import assets as ops
 from corpusweave.operators.links import Flags
 from corpusweave.queries import Family
+from corpusweave.session import new_table_path
 from corpusweave.sources import html_tokens, views
 from corpusweave.sources.views import with_views
 from corpusweave.sources.wiki_html import wiki_pages
@@ -35,7 +36,11 @@ r AS (SELECT page_id, 'https://img.example.org/a/ab/P' || k || '.png' AS url, 'i
   UNION SELECT page_id, 'https://wiki.example.org/v/' || k || '.webm', 'video', NULL FROM s WHERE k % 12 = 10)
 SELECT page_id, url, kind, CAST(width AS BIGINT) AS width FROM r"""))
 def asset_refs_html(spark, sf_dir):
-    refs = ops.token_refs(html_tokens.tokenize(wiki_pages(spark, sf_dir)), views.SITE)
+    # the tokens have three readers
+    path = new_table_path(spark, "tokens")
+    html_tokens.tokenize(wiki_pages(spark, sf_dir)).write.parquet(path)
+    tokens = spark.read.parquet(path)
+    refs = ops.token_refs(tokens, views.SITE).unionByName(ops.media_sources(tokens, views.SITE))
     uses = ops.first_uses(refs, "page_id", "seq").drop("seq")
     return uses.join(ops.requested_widths(refs, "page_id"), ["page_id", "url"], "left").select("page_id", "url", "kind", "width")
 

@@ -35,6 +35,11 @@ def run_available(spark: SparkSession, stream: DataFrame, mode: str, sink: Calla
     return query
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows a finished run dropped because they came after the watermark."""
+    return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
+
+
 def ingest_catalogue(spark: SparkSession, stream: DataFrame, key: str, seq: str, path: str) -> DataFrame:
     """Upsert landed changes by key. Each micro-batch is reduced to its last row per key before it is written."""
     run_available(spark, stream, "append", batch_table_sink(path, lambda b: best_per_key(b, [key], F.col(seq))), "ingest")

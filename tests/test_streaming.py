@@ -41,6 +41,14 @@ def test_repeated_batches_are_dropped(spark):
     assert sorted(r.key for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
 
 
+def test_late_rows_are_counted(spark):
+    files = [[row("a", 1, 600)], [row("b", 1, 601)], [row("c", 1, 0)]]
+    path = new_table_path(spark, "late")
+    run = jobs.run_available(spark, jobs.without_repeats(land(spark, files), ["key"], "ts", "1 hour"), "append", jobs.batch_table_sink(path), "late")
+    assert sorted(r.key for r in spark.read.parquet(path).collect()) == ["a", "b"]
+    assert jobs.late_rows(run) == 1
+
+
 def test_silences_close_sessions(spark):
     files = [[row("a", 1, 0), row("a", 2, 5)], [row("a", 3, 60)], [row("b", 1, 600)]]
     path = new_table_path(spark, "sessions")
