@@ -57,7 +57,7 @@ def asset_path(url: Column | str, escape: bool = False) -> Column:
         groups = F.split(F.regexp_replace(plain, THUMB_PATTERN, "$1\u0001$4\u0001$6\u0001$7"), "\u0001")
         return let(groups, lambda g: F.when(F.size(g) == 4, thumb(plain, g)).otherwise(special(plain)))
 
-    return F.concat(F.lit(ASSET_DIR + "/"), let(decode_uri(url), of))
+    return F.concat(F.lit(ASSET_DIR + "/"), let(F.when(url.contains("%"), decode_uri(url)).otherwise(url), of))
 
 
 def url_width(url: Column | str) -> Column:

@@ -12,7 +12,7 @@ from corpusweave import constants as c
 from corpusweave.functions.assets import asset_path
 from corpusweave.functions.text import encode_component, let, plain_number, relative_href, title_path
 from corpusweave.functions.urls import Site, absolute_url
-from corpusweave.plans.intervals import count_inside, count_nearest, drop_subtrees, is_start
+from corpusweave.plans.intervals import count_inside, count_nearest, drop_subtrees, inside_of, is_start
 from corpusweave.sources.html_tokens import css_classes
 
 ATTRS = "attrs"
@@ -27,7 +27,7 @@ def has_class(*names: str) -> Column:
 
 
 def _drop_if_none_inside(tokens: DataFrame, boxes: Column, needed: Column, key: str) -> DataFrame:
-    counted = count_inside(tokens, needed, "__n", key)
+    counted = count_inside(tokens, {"__n": needed}, key)
     return drop_subtrees(counted, boxes & (F.col("__n") == 0), key).drop("__n")
 
 
@@ -49,8 +49,12 @@ def remove_linkless(tokens: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def remove_empty_galleries(tokens: DataFrame, key: str = "page_id") -> DataFrame:
-    boxes = _drop_if_none_inside(tokens, has_class("gallerybox"), is_start("img", "audio", "video"), key)
-    return _drop_if_none_inside(boxes, has_class("gallery"), is_start() & has_class("gallerybox"), key)
+    # a gallery keeps a box exactly if some medium in it is in a box, so both are decided by one count
+    box, gallery, medium = has_class("gallerybox"), has_class("gallery"), is_start("img", "audio", "video")
+    boxed = tokens.withColumn("__boxed", inside_of(box, key))
+    counted = count_inside(boxed, {"__media": medium, "__kept": medium & F.col("__boxed")}, key)
+    empty = (box & (F.col("__media") == 0)) | (gallery & (F.col("__kept") == 0))
+    return drop_subtrees(counted, empty, key).drop("__boxed", "__media", "__kept")
 
 
 def remove_ids(tokens: DataFrame, key: str = "page_id") -> DataFrame:

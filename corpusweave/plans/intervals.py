@@ -6,6 +6,8 @@ element, which the same partitioning serves: a chain of these steps shuffles the
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,12 +28,17 @@ def drop_subtrees(tokens: DataFrame, removed: Column, key: str = "page_id") -> D
     return tokens.withColumn("__to", hidden_to).filter("__to IS NULL OR __to < seq").drop("__to")
 
 
-def count_inside(tokens: DataFrame, hit: Column, name: str, key: str = "page_id") -> DataFrame:
-    """Adds to each element's tokens the number of tokens satisfying ``hit`` strictly inside it (null elsewhere)."""
+def inside_of(outer: Column, key: str = "page_id") -> Column:
+    """Whether a token lies in (or is the start of) an element whose start token satisfies ``outer``."""
+    return F.coalesce(F.max(F.when(is_start() & outer, F.col("end_seq"))).over(_running(key)) >= F.col("seq"), F.lit(False))
+
+
+def count_inside(tokens: DataFrame, hits: Mapping[str, Column], key: str = "page_id") -> DataFrame:
+    """Adds to each element's tokens, per entry of ``hits``, the number of satisfying tokens strictly inside it (null elsewhere)."""
     element = Window.partitionBy(key, "elem_id")
-    counted = tokens.withColumn("__run", F.sum(F.when(hit, 1).otherwise(0)).over(_running(key)))
-    inside = F.max("__run").over(element) - F.min("__run").over(element)
-    return counted.withColumn(name, F.when(F.col("elem_id").isNotNull(), inside)).drop("__run")
+    runs = {f"__run_{name}": F.sum(F.when(hit, 1).otherwise(0)).over(_running(key)) for name, hit in hits.items()}
+    counts = {name: F.when(F.col("elem_id").isNotNull(), F.max(f"__run_{name}").over(element) - F.min(f"__run_{name}").over(element)) for name in hits}
+    return tokens.withColumns(runs).withColumns(counts).drop(*runs)
 
 
 def count_nearest(tokens: DataFrame, tag: str, hit: Column, name: str, key: str = "page_id") -> DataFrame:

@@ -118,6 +118,19 @@ def test_reference_call_spans(spark):
     assert cleaned(spark, html, content.reference_spans) == '<sup id="a">[<i>1</i>]</sup><span>k</span>'
 
 
+def test_galleries(spark):
+    box, full = '<li class="gallerybox">t</li>', '<li class="gallerybox"><img src="a"></li>'
+    cases = {
+        f'<ul class="gallery">{box}{full}</ul>': f'<ul class="gallery">{full}</ul>',
+        f'<ul class="gallery">{box}</ul>': "",
+        '<ul class="gallery"><li><img src="a"></li></ul>': "",
+        f'<ul class="gallery"><li class="gallerybox"><ul class="gallery">{box}</ul><img src="b"></li></ul>': '<ul class="gallery"><li class="gallerybox"><img src="b"></li></ul>',
+        f"{full}{box}": full,
+    }
+    for html, want in cases.items():
+        assert cleaned(spark, f"<div>{html}</div>", content.remove_empty_galleries) == f"<div>{want}</div>"
+
+
 def test_iframes(spark):
     cases = {
         "<iframe></iframe>": "",

@@ -131,7 +131,7 @@ def test_unwrap_keeps_content(spark):
 def test_count_inside_and_nearest(spark):
     tokens = tokens_of(spark, "<ul><li><ul><li>x</li><li>y</li></ul></li><li>z</li></ul>")
     text = F.col("kind") == "text"
-    inside = intervals.count_inside(tokens, text, "n").filter("kind = 'start' AND tag = 'ul'").orderBy("seq")
+    inside = intervals.count_inside(tokens, {"n": text}).filter("kind = 'start' AND tag = 'ul'").orderBy("seq")
     nearest = intervals.count_nearest(tokens, "ul", text, "n").filter("kind = 'start' AND tag = 'ul'").orderBy("seq")
     assert [r.n for r in inside.collect()] == [3, 2]
     assert [r.n for r in nearest.collect()] == [1, 2]
