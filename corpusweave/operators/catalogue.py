@@ -107,6 +107,16 @@ def upsert(changes: DataFrame, key: str, seq: str) -> DataFrame:
     return best_per_key(changes, [key], F.col(seq))
 
 
+def existing(titles: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Adds ``exists`` to asked-for titles."""
+    found = catalogue.select("title").distinct().withColumn("exists", F.lit(True))
+    return lookup(titles, found, ["title"]).withColumn("exists", F.coalesce("exists", F.lit(False)))
+
+
+def delete(catalogue: DataFrame, titles: DataFrame) -> DataFrame:
+    return missing_from(catalogue, titles, ["title"])
+
+
 def missing_titles(required: DataFrame, pages: DataFrame, redirects: DataFrame) -> DataFrame:
     """Titles that must exist but are neither a page nor a redirect; the caller aborts unless this is empty."""
     known = pages.select("title").unionByName(redirects.select(F.col("from_title").alias("title")))

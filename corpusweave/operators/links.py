@@ -12,6 +12,7 @@ from corpusweave import constants as c
 from corpusweave.functions.assets import asset_path
 from corpusweave.functions.text import link_href, relative_href, title_path
 from corpusweave.functions.urls import Site, absolute_url, geo_href, href_title, is_map_href, scheme
+from corpusweave.plans.intervals import drop_subtrees
 from corpusweave.plans.keyed import lookup
 
 
@@ -26,12 +27,12 @@ class Flags:
 
 
 def anchors(tokens: DataFrame, key: str = "page_id") -> DataFrame:
-    """All links of a page in document order: key, pos, tag, href, class, rel, resource."""
+    """All links of a page in document order: key, elem_id, pos, tag, href, class, rel, resource."""
     starts = tokens.filter((F.col("kind") == "start") & F.col("tag").isin("a", "area"))
     attr = F.col("attrs")
     order = F.row_number().over(Window.partitionBy(key).orderBy("seq")) - 1
     return starts.select(
-        key, order.cast("long").alias("pos"), "tag", F.coalesce(attr["href"], F.lit("")).alias("href"),
+        key, "elem_id", order.cast("long").alias("pos"), "tag", F.coalesce(attr["href"], F.lit("")).alias("href"),
         F.coalesce(attr["class"], F.lit("")).alias("class"), F.coalesce(attr["rel"], F.lit("")).alias("rel"),
         attr["resource"].alias("resource"),
     )
@@ -135,6 +136,26 @@ def final_hrefs(wiki_links: DataFrame) -> DataFrame:
     return wiki_links.withColumn("new_href", relative)
 
 
+def rewrite_links(tokens: DataFrame, decided: DataFrame, known: DataFrame, key: str = "page_id") -> DataFrame:
+    """Tokens with every link as decided: ``decided`` is ``classify(anchors(tokens))`` with its page_path.
+
+    Wiki links outside the snapshot are unwrapped like the rest of that kind; their text stays.
+    """
+    resolved = resolve(decided, known)
+    lost = (F.col("action") == "wiki") & (F.col("state") == "unwrap")
+    final = final_hrefs(resolved.filter("action = 'wiki'")).unionByName(resolved.filter("action <> 'wiki'"))
+    verdicts = final.select(
+        key, "elem_id", F.when(lost, "unwrap").otherwise(F.col("action")).alias("__action"), F.col("new_href").alias("__href"), F.col("mark_external").alias("__mark"))
+    joined = tokens.join(verdicts, [key, "elem_id"], "left")
+    classes = F.concat_ws(" ", F.col("attrs")["class"], F.lit("external"))
+    attrs = F.transform_values("attrs", lambda k, v: F.when(k == "href", F.coalesce("__href", v)).when((k == "class") & F.col("__mark"), classes).otherwise(v))
+    attrs = F.when(F.col("__mark") & F.col("attrs")["class"].isNull(), F.map_concat(attrs, F.create_map(F.lit("class"), F.lit("external")))).otherwise(attrs)
+    kept = drop_subtrees(joined, F.coalesce(F.col("__action") == "delete", F.lit(False)), key)
+    kept = kept.filter("`__action` IS NULL OR `__action` <> 'unwrap'")
+    changed = (F.col("kind") == "start") & F.col("__action").isin("wiki", "external", "geo", "media")
+    return kept.withColumn("attrs", F.when(changed, attrs).otherwise(F.col("attrs"))).select(*tokens.columns)
+
+
 def fan_in(links: DataFrame, known: DataFrame) -> DataFrame:
     """Targets by number of links and of linking pages. Counted first, so the join sees each title once."""
     counted = links.groupBy("title", "page_id").agg(F.count(F.lit(1)).alias("n")).groupBy("title").agg(

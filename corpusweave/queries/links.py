@@ -8,8 +8,10 @@ from corpusweave.functions.text import link_href, relative_href
 from corpusweave.functions.urls import geo_href, href_title
 from corpusweave.operators import links as ops
 from corpusweave.queries import Family
+from corpusweave.session import new_table_path
 from corpusweave.sources import html_tokens, views
 from corpusweave.sources.views import with_views
+from corpusweave.sources.wiki_html import EXTRAS, wiki_pages, wiki_sql
 
 QUERIES = Family()
 SITE = views.SITE
@@ -109,6 +111,19 @@ def link_resolve(spark, sf_dir):
     return ops.resolve(links, known(spark, sf_dir)).select("page_id", "pos", "title", "state")
 
 
+@QUERIES.add(wiki_sql({
+    0: EXTRAS[0].replace("./Doc_{k}", "../Doc_{k}"), 6: EXTRAS[6].replace('href="/edit"', 'href="https://wiki.example.org/edit" class="external"')}))
+def link_rewrite(spark, sf_dir):
+    # the tokens are read for the links and for the rewriting
+    path = new_table_path(spark, "tokens")
+    html_tokens.tokenize(wiki_pages(spark, sf_dir)).write.parquet(path)
+    tokens = spark.read.parquet(path)
+    anchors = ops.anchors(tokens).withColumn("page_path", F.concat(F.lit("Doc_"), "page_id", F.lit("/x")))
+    linked = views.sections(spark, sf_dir).select(F.concat(F.lit("Doc "), F.col("doc_id") + F.col("section")).alias("title")).distinct()
+    known = ops.known_titles(linked, linked.select(F.lower("title").alias("from_title")))
+    return html_tokens.serialise(ops.rewrite_links(tokens, ops.classify(anchors, SITE), known)).select("page_id", F.md5("html").alias("html_md5"))
+
+
 @QUERIES.add(with_views("pages", "hrefs", body="""
 SELECT page_id, pos, CASE WHEN page_path LIKE '%/%' THEN '../' ELSE './' END || target AS href,
   repeat('../', CASE WHEN page_path LIKE '%/%' THEN 3 ELSE 2 END) || target AS deep_href

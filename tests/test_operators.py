@@ -46,6 +46,23 @@ def test_links(spark):
     assert got == [case[5:] for case in LINKS]
 
 
+def test_links_are_rewritten_in_the_page(spark):
+    html = ('<p><a href="/wiki/Here" rel="mw:WikiLink">h</a><a href="/wiki/Gone"><b>g</b></a><a class="new" href="/wiki/Red">r</a><a>empty</a>'
+            '<a href="//x.org/y" title="t">x</a><area href="/wiki/Old#s"></p>')
+    tokens = html_tokens.tokenize(spark.createDataFrame([(1, html)], "page_id int, html string"))
+    decided = links.classify(links.anchors(tokens).withColumn("page_path", F.lit(DEEP)), SITE)
+    known = links.known_titles(spark.createDataFrame([("Here",)], "title string"), spark.createDataFrame([("Old",)], "from_title string"))
+    out = html_tokens.serialise(links.rewrite_links(tokens, decided, known)).first().html
+    assert out == ('<p><a href="../Here" rel="mw:WikiLink">h</a><b>g</b>r<a href="https://x.org/y" title="t" class="external">x</a><area href="../Old#s"></p>')
+
+
+def test_keyed_catalogue(spark):
+    pages = spark.createDataFrame([("A", 1), ("B", 2)], "title string, n int")
+    asked = spark.createDataFrame([("A",), ("Z",)], "title string")
+    assert {(r.title, r.exists) for r in catalogue.existing(asked, pages).collect()} == {("A", True), ("Z", False)}
+    assert [r.title for r in catalogue.delete(pages, asked).collect()] == ["B"]
+
+
 def test_unresolved_links_are_unwrapped_and_redirects_kept(spark):
     df = spark.createDataFrame([("A",), ("B",), ("C",)], "title string")
     known = links.known_titles(spark.createDataFrame([("A",)], "title string"), spark.createDataFrame([("B",), ("A",)], "from_title string"))
