@@ -10,7 +10,7 @@ from corpusweave.functions.assets import asset_path, url_multiplier, url_width
 from corpusweave.functions.text import relative_href
 from corpusweave.functions.urls import Site, absolute_url, query_param, url_host, without_http
 from corpusweave.operators.links import Flags
-from corpusweave.plans.intervals import is_start
+from corpusweave.plans.intervals import drop_subtrees, inside_of, is_start
 from corpusweave.plans.keyed import best_per_key, lookup
 
 FULL_SIZE = 10_000_000
@@ -42,7 +42,7 @@ def token_refs(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFrame
 
 
 def media_sources(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFrame:
-    """The one source taken for each video and audio element, in the columns of ``token_refs``.
+    """The one source taken for each video and audio element, in the columns of ``token_refs`` plus source_seq.
 
     An element with ``source`` children is judged by them alone; without, its own address counts. A video without a
     webm source yields no row: the element goes. ``tokens`` is read twice, so it should be a table.
@@ -60,7 +60,20 @@ def media_sources(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFr
     films = choose_video_source(candidates.filter("element = 'video'"), key, "owner")
     sounds = choose_audio_source(candidates.filter("element = 'audio'"), key, "owner")
     return films.unionByName(sounds).select(
-        key, absolute_url("src", site.origin + "/").alias("url"), F.lit("video").alias("kind"), F.lit(None).cast("long").alias("width"), F.col("at").alias("seq"))
+        key, absolute_url("src", site.origin + "/").alias("url"), F.lit("video").alias("kind"), F.lit(None).cast("long").alias("width"), F.col("at").alias("seq"),
+        F.col("pos").alias("source_seq"))
+
+
+def prune_sources(tokens: DataFrame, chosen: DataFrame, key: str = "page_id") -> DataFrame:
+    """Keep of each video and audio element the chosen source only; elements without one go. ``chosen`` as from ``media_sources``."""
+    places = chosen.select(key, F.inline(F.array(
+        F.struct(F.col("seq").alias("seq"), F.lit(True).alias("__owner"), F.lit(False).alias("__source")),
+        F.struct(F.col("source_seq").alias("seq"), F.lit(False).alias("__owner"), F.lit(True).alias("__source")))))
+    flags = places.groupBy(key, "seq").agg(F.bool_or("__owner").alias("__owner"), F.bool_or("__source").alias("__source"))
+    joined = tokens.join(flags, [key, "seq"], "left").withColumn("__media", inside_of(F.col("tag").isin("video", "audio"), key))
+    lost = (F.col("tag").isin("video", "audio") & ~F.coalesce("__owner", F.lit(False))) | (
+        (F.col("tag") == "source") & F.col("__media") & ~F.coalesce("__source", F.lit(False)))
+    return drop_subtrees(joined, lost, key).select(*tokens.columns)
 
 
 def _positive(value: Column) -> Column:

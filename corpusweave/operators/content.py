@@ -280,6 +280,12 @@ def is_formula_image(attrs: Column) -> Column:
     return F.coalesce(attrs["class"].contains("mwe-math-fallback-image-inline"), F.lit(False)) | attrs["typeof"].eqNullSafe(F.lit("mw:Extension/math"))
 
 
+def drop_indirect_images(tokens: DataFrame) -> DataFrame:
+    """Images without an address of their own are not shown in any variant."""
+    src = F.coalesce(attr("src"), F.lit(""))
+    return tokens.filter(~(is_start("img") & ((src == "") | src.contains("./Special:FilePath/"))))
+
+
 def image_placeholders(tokens: DataFrame) -> DataFrame:
     """Replaces images by placeholders; inline data and formula images stay."""
     attrs = F.col(ATTRS)

@@ -130,10 +130,10 @@ def resolve(links: DataFrame, known: DataFrame) -> DataFrame:
     return lookup(links, known, ["title"]).withColumn("state", F.coalesce("state", F.lit("unwrap")))
 
 
-def final_hrefs(wiki_links: DataFrame) -> DataFrame:
-    """Hrefs of kept wiki links as seen from their page; only pages below the root need the steps up."""
-    relative = F.when(F.col("page_path").contains("/"), relative_href("page_path", "new_href")).otherwise(F.col("new_href"))
-    return wiki_links.withColumn("new_href", relative)
+def final_hrefs(decided: DataFrame) -> DataFrame:
+    """Hrefs of wiki links as seen from their page; only pages below the root need the steps up."""
+    below = (F.col("action") == "wiki") & F.col("page_path").contains("/")
+    return decided.withColumn("new_href", F.when(below, relative_href("page_path", "new_href")).otherwise(F.col("new_href")))
 
 
 def rewrite_links(tokens: DataFrame, decided: DataFrame, known: DataFrame, key: str = "page_id") -> DataFrame:
@@ -141,9 +141,8 @@ def rewrite_links(tokens: DataFrame, decided: DataFrame, known: DataFrame, key:
 
     Wiki links outside the snapshot are unwrapped like the rest of that kind; their text stays.
     """
-    resolved = resolve(decided, known)
     lost = (F.col("action") == "wiki") & (F.col("state") == "unwrap")
-    final = final_hrefs(resolved.filter("action = 'wiki'")).unionByName(resolved.filter("action <> 'wiki'"))
+    final = final_hrefs(resolve(decided, known))
     verdicts = final.select(
         key, "elem_id", F.when(lost, "unwrap").otherwise(F.col("action")).alias("__action"), F.col("new_href").alias("__href"), F.col("mark_external").alias("__mark"))
     joined = tokens.join(verdicts, [key, "elem_id"], "left")

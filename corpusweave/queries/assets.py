@@ -40,7 +40,7 @@ def asset_refs_html(spark, sf_dir):
     path = new_table_path(spark, "tokens")
     html_tokens.tokenize(wiki_pages(spark, sf_dir)).write.parquet(path)
     tokens = spark.read.parquet(path)
-    refs = ops.token_refs(tokens, views.SITE).unionByName(ops.media_sources(tokens, views.SITE))
+    refs = ops.token_refs(tokens, views.SITE).unionByName(ops.media_sources(tokens, views.SITE).drop("source_seq"))
     uses = ops.first_uses(refs, "page_id", "seq").drop("seq")
     return uses.join(ops.requested_widths(refs, "page_id"), ["page_id", "url"], "left").select("page_id", "url", "kind", "width")
 
