@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusweave.llm import bpe, packing
+from corpusweave.llm import bpe, packing, rules, simhash
 from corpusweave.queries import Family
 
 QUERIES = Family()
@@ -24,3 +24,33 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @QUERIES.add()
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER)
+
+
+@QUERIES.add()
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.groups(table(spark, folder, "documents"))
+
+
+@QUERIES.add(sql=r"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+split AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM docs),
+windows AS (SELECT doc_id, i, words[i:i + 7] AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM split)),
+twice AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup
+    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+same AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, words, unnest(range(1, len(words))) AS i FROM split) WHERE words[i] = words[i + 1] GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.dup, 0) AS n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines,
+    CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper, CAST(length(regexp_replace(text, '[^a-z]', '', 'g')) AS BIGINT) AS n_lower,
+    CAST(length(regexp_replace(text, '[^!]', '', 'g')) AS BIGINT) AS n_marks, coalesce(same.n, 0) AS n_stutters
+    FROM split LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN same USING (doc_id))
+SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
+        + 8 * (n_upper > n_lower AND n_upper > 0)::INT + 16 * (10 * n_marks > 3 * n_words)::INT + 32 * (2 * n_dup_lines > n_lines)::INT
+        + 64 * (word_chars > 16 * n_words)::INT + 128 * (word_chars < 2 * n_words)::INT + 256 * (10 * n_stutters > 3 * n_words)::INT AS BIGINT) AS failed,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed = 0 AS kept
+FROM m
+""")
+def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judged(table(spark, folder, "documents"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.pandas.types import from_arrow_schema, from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 #: Rows that are Python objects at the same time in a task; the Arrow batch itself is bounded by Spark.
 SLICE = 128
@@ -45,6 +47,31 @@ def map_documents(df: DataFrame, columns: Sequence[Column | str], schema: pa.Sch
     return df.select(*columns).mapInArrow(work, from_arrow_schema(schema))
 
 
+def add_struct(df: DataFrame, column: str, name: str, schema: pa.Schema, start: Callable[[], Callable[[str], tuple]]) -> DataFrame:
+    """``df`` with one more column: a struct of what a function gives for the text in ``column`` (null: empty)."""
+    names = list(df.columns)
+    kind = pa.struct(list(schema))
+    out = StructType([*df.schema.fields, StructField(name, from_arrow_type(kind))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                found = zip(*(each(t or "") for t in part.column(names.index(column)).to_pylist()), strict=True)
+                struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(found, schema, strict=True)], fields=list(schema))
+                yield pa.RecordBatch.from_arrays([*part.columns, struct], names=[*names, name])
+
+    return df.mapInArrow(work, out)
+
+
+def word_windows(words: Sequence[bytes], width: int) -> tuple[bytes, list[int], list[int]]:
+    """The words joined by one space, and where each window of ``width`` words starts and ends in that."""
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[:-1].tolist()][:max(0, len(words) - width + 1)]
+    return b" ".join(words), starts, (ends[width - 1:] - 1).tolist()
+
+
 class Memo(dict):
     """Remembers ``fn`` for up to ``limit`` arguments, then starts anew: bounded memory, whatever the input."""
 
