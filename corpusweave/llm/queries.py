@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusweave.llm import bpe, byte_cnn, packing, rules, simhash
+from corpusweave.llm import bpe, byte_cnn, language, packing, rules, simhash
 from corpusweave.queries import Family
 
 QUERIES = Family()
@@ -59,3 +59,8 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @QUERIES.add()
 def op3_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
     return byte_cnn.predictions(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@QUERIES.add()
+def op5_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.predictions(table(spark, folder, "documents"))
