@@ -21,17 +21,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusweave.llm.rows import Memo, fold, map_documents, slices, text_or_empty
+from corpusweave.llm.rows import fold, map_documents, slices, text_or_empty
 
 SAMPLE, WORDS, GRAMS = 1500, 30_000, 20_000
 LONGEST = 5
 #: Log10 lost for each character less of context, and the count given to what a language doesn't have.
 PENALTY, SMALL = 0.4, 0.1
-REMEMBERED = 300_000
+REMEMBERED, BLOCK = 300_000, 20_000
 LETTERS = re.compile(r"[^\W\d_]+")
 COUNTS = "lang string, size int, piece string, n long"
 
@@ -88,69 +89,85 @@ def counts(docs: DataFrame, trained_on: Column, sample: int = SAMPLE) -> DataFra
 @dataclass
 class Model:
     langs: list[str]
-    pieces: list[dict[str, np.ndarray]] = field(default_factory=list)  # by size; [0]: words
-    missing: list[np.ndarray] = field(default_factory=list)
+    rows: list[dict[str, int]] = field(default_factory=list)  # by size, [0] for words: the row of a piece in ``scores``
+    scores: np.ndarray | None = None  # rows x languages, with the penalty of an n-gram's size; the last row is for an unknown character
 
     @classmethod
-    def of(cls, rows: list[tuple[str, int, str, int]]) -> Model:
-        langs = sorted({r[0] for r in rows})
-        model, place = cls(langs), {lang: i for i, lang in enumerate(langs)}
+    def of(cls, counted: pa.Table) -> Model:
+        langs = sorted(counted.column("lang").unique().to_pylist())
+        model, place, blocks, row = cls(langs), {lang: i for i, lang in enumerate(langs)}, [], 0
         for size in range(LONGEST + 1):
-            total, table = np.zeros(len(langs)), {}
-            for lang, of_size, piece, n in rows:
-                if of_size == size:
-                    table.setdefault(piece, np.full(len(langs), SMALL))[place[lang]] += n
-                    total[place[lang]] += n
-            total = np.maximum(total, 1) + SMALL * (len(table) + 1)
-            model.pieces.append({piece: np.log10(n / total) for piece, n in table.items()})
-            model.missing.append(np.log10(SMALL / total))
+            part = counted.filter(pc.equal(counted.column("size"), size))
+            table: dict[str, int] = {}
+            at = [table.setdefault(piece, len(table)) for piece in part.column("piece").to_pylist()]
+            counts = np.full((len(table), len(langs)), SMALL)
+            counts[at, [place[lang] for lang in part.column("lang").to_pylist()]] += part.column("n").to_numpy()
+            total = np.maximum(counts.sum(axis=0), 1) + SMALL
+            blocks.append(np.log10(counts / total) - PENALTY * (LONGEST - size if size else 0))
+            model.rows.append({piece: row + i for piece, i in table.items()})
+            row += len(table)
+            if size == 1:
+                unknown = np.log10(SMALL / total) - PENALTY * LONGEST
+        model.scores = np.vstack([*blocks, unknown])
         return model
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.pieces[0].get(word)
-        if known is not None:
-            return known
-        edged, score = f"<{word}>", np.zeros(len(self.langs))
+    def unseen(self, word: str) -> np.ndarray:
+        """The n-grams of the word, divided by its length: it counts about as much as a known one."""
+        edged, found = f"<{word}>", []
         for end in range(2, len(edged) + 1):  # the sign before the word is context only
             for size in range(min(LONGEST, end), 0, -1):
-                found = self.pieces[size].get(edged[end - size:end])
-                if found is not None:
-                    score = score + found - PENALTY * (LONGEST - size)
+                row = self.rows[size].get(edged[end - size:end])
+                if row is not None:
                     break
-            else:
-                score = score + self.missing[1] - PENALTY * LONGEST
-        return score / max(1, len(edged) - 2)  # a word counts about as much as a known one, however long
-
-    def predictor(self):
-        """text -> (language, posterior); remembers words, one per task."""
-        if not self.langs:
-            return lambda text: ("und", 0.0)
-        memo = Memo(self.word, REMEMBERED)
-
-        def predict(text: str) -> tuple[str, float]:
-            total = np.zeros(len(self.langs))
-            seen = Counter(LETTERS.findall(text.lower()))
-            if not seen:
-                return "und", 0.0
-            for word, n in seen.items():
-                total += n * memo[word]
-            best = int(total.argmax())
-            return self.langs[best], float(1 / np.exp(np.clip((total - total[best]) * math.log(10), -700, 0)).sum())
-
-        return predict
+            found.append(-1 if row is None else row)
+        return self.scores[found].sum(axis=0) / (len(edged) - 1)
+
+
+class Predictor(dict):
+    """Word -> row of its scores: of a known word from the model, of up to ``REMEMBERED`` others as they come up. One per task."""
+
+    def __init__(self, model: Model):
+        super().__init__(model.rows[0] if model.langs else ())
+        self.model = model
+        if model.langs:
+            self.scores = np.vstack([model.scores, np.empty((REMEMBERED, len(model.langs)))])
+            self.used = len(model.scores)
+
+    def __missing__(self, word: str) -> int:
+        self.scores[self.used] = self.model.unseen(word)
+        self[word] = self.used
+        self.used += 1
+        return self.used - 1
+
+    def __call__(self, text: str) -> tuple[str, float]:
+        langs, words = self.model.langs, LETTERS.findall(text.lower())
+        if not langs or not words:
+            return "und", 0.0
+        total = np.zeros(len(langs))
+        for at in range(0, len(words), BLOCK):
+            part = words[at:at + BLOCK]
+            if self.used + len(part) > len(self.scores):  # start anew
+                self.clear()
+                self.update(self.model.rows[0])
+                self.used = len(self.model.scores)
+            total += self.scores[list(map(self.__getitem__, part))].sum(axis=0)
+        best = int(total.argmax())
+        return langs[best], float(1 / np.exp(np.clip((total - total[best]) * math.log(10), -700, 0)).sum())
 
 
 def fit(docs: DataFrame, trained_on: Column, sample: int = SAMPLE) -> Model:
     """The collected rows are bounded: per language WORDS and LONGEST times GRAMS."""
-    return Model.of([tuple(r) for r in counts(docs, trained_on, sample).collect()])
+    return Model.of(counts(docs, trained_on, sample).toArrow())
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def start():
-        predict = model.predictor()
+        predict = Predictor(shared.value)
         return lambda doc_id, text: [(doc_id, *predict(text))]
 
     return map_documents(docs, ["doc_id", text_or_empty()], schema, start)
