@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusweave.llm import bpe, byte_cnn, language, packing, rules, simhash
+from corpusweave.llm import bpe, byte_cnn, language, order_minhash, packing, rules, simhash
 from corpusweave.queries import Family
 
 QUERIES = Family()
@@ -64,3 +64,8 @@ def op3_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
 @QUERIES.add()
 def op5_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predictions(table(spark, folder, "documents"))
+
+
+@QUERIES.add()
+def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.edits(table(spark, folder, "documents"))
