@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusweave.llm import bpe, byte_cnn, language, order_minhash, packing, rules, simhash
+from corpusweave.llm import bpe, byte_cnn, language, main_text, order_minhash, packing, rules, simhash, warc
 from corpusweave.queries import Family
 
 QUERIES = Family()
@@ -69,3 +69,19 @@ def op5_language(spark: SparkSession, folder: str) -> DataFrame:
 @QUERIES.add()
 def op9_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.edits(table(spark, folder, "documents"))
+
+
+@QUERIES.add()
+def op8_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.main_texts(table(spark, folder, "pages"))
+
+
+@QUERIES.add(sql="""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+""")
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages"))
