@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusweave.llm import bpe, byte_cnn, language, main_text, order_minhash, packing, rules, simhash, warc
+from corpusweave.llm import bpe, byte_cnn, language, main_text, maxent, order_minhash, packing, rules, simhash, warc
 from corpusweave.queries import Family
 
 QUERIES = Family()
@@ -85,3 +85,8 @@ FROM f
 """)
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages"))
+
+
+@QUERIES.add()
+def op6_maxent(spark: SparkSession, folder: str) -> DataFrame:
+    return maxent.held_out_scores(table(spark, folder, "documents"))
