@@ -65,7 +65,7 @@ CONTENT, OTHER, OPEN = 1, 0, None
 @dataclass
 class Block:
     text: str
-    linked: int
+    density: float  # share of its letters in links
     links: int
     declared: int | None
     label: int | None = OPEN
@@ -96,7 +96,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal links, breaks
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            found.append(Block(joined, len(" ".join(html.unescape("".join(linked)).split())), links, stack[-1][1] if stack else None))
+            letters = sum(map(len, html.unescape("".join(linked)).split()))
+            found.append(Block(joined, letters / (len(joined) - joined.count(" ")), links, stack[-1][1] if stack else None))
         text.clear()
         linked.clear()
         links, breaks = 0, 0
@@ -141,7 +142,7 @@ def blocks(page: str) -> list[Block]:
 
 def first_pass(block: Block, article: bool) -> int | None:
     """``article``: the page declares its content somewhere, so undeclared blocks are something else."""
-    density = block.linked / len(block.text)
+    density = block.density
     if block.declared == OTHER:
         return OTHER
     if block.declared == CONTENT:
