@@ -69,3 +69,14 @@ def url_multiplier(url: Column | str) -> Column:
     """Density multiplier of ``-<n>x.``; only read when there is no width mark."""
     found = F.nullif(F.regexp_extract(col(url), MULT_IN_URL_PATTERN, 1), F.lit(""))
     return F.when(url_width(url).isNull(), found.try_cast("double"))
+
+
+def subtitle_url(full: Column) -> Column:
+    """The address of a subtitle track in the format that browsers read."""
+    return F.when(full.rlike(r"[?&]trackformat="), F.regexp_replace(full, r"([?&]trackformat=)[^&#]*", "$1vtt")).otherwise(
+        F.concat(full, F.lit("&trackformat=vtt")))
+
+
+def subtitle_path(url: Column) -> Column:
+    """Where a subtitle track lies in the snapshot; null if its address names no title or language."""
+    return F.concat(query_param(url, "title"), F.lit("-"), query_param(url, "lang"), F.lit(".vtt"))

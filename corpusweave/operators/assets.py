@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusweave import constants as c
-from corpusweave.functions.assets import asset_path, url_multiplier, url_width
+from corpusweave.functions.assets import asset_path, subtitle_path, subtitle_url, url_multiplier, url_width
 from corpusweave.functions.text import relative_href
-from corpusweave.functions.urls import Site, absolute_url, query_param, url_host, without_http
+from corpusweave.functions.urls import Site, absolute_url, url_host, without_http
 from corpusweave.operators.links import Flags
 from corpusweave.plans.intervals import drop_subtrees, inside_of, is_start
 from corpusweave.plans.keyed import best_per_key, lookup
@@ -37,43 +38,46 @@ def token_refs(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFrame
         ref(is_start("video") & (F.coalesce(attr["poster"], F.lit("")) != ""), "image", attr["poster"], _positive(attr["width"])),
         ref(is_start("track") & usable, "subtitle", src, none),
     ))
-    rows = tokens.filter(is_start("img", "video", "track")).select(key, "seq", F.inline(found))
-    return rows.select(key, absolute_url("href", site.origin + "/").alias("url"), "kind", "width", "seq")
+    rows = tokens.filter(is_start("img", "video", "track")).select(key, "seq", F.inline(found)).withColumn("url", absolute_url("href", site.origin + "/"))
+    return rows.select(key, F.when(F.col("kind") == "subtitle", subtitle_url(F.col("url"))).otherwise(F.col("url")).alias("url"), "kind", "width", "seq")
 
 
-def media_sources(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFrame:
-    """The one source taken for each video and audio element, in the columns of ``token_refs`` plus source_seq.
+def _with_choice(tokens: DataFrame, key: str) -> DataFrame:
+    """Adds to video and audio elements and their sources: __at (where the element starts), __chosen (the start token of the source taken, the
+    element itself where it has no sources) and __address. Windows inside the page; no token is joined to another.
 
-    An element with ``source`` children is judged by them alone; without, its own address counts. A video without a
-    webm source yields no row: the element goes. ``tokens`` is read twice, so it should be a table.
+    An element with ``source`` children is judged by them alone; without, its own address counts. A video without a webm
+    source has no choice.
     """
-    attr = F.col("attrs")
-    owners = tokens.filter(is_start("video", "audio")).select(
-        key, F.col("elem_id").alias("owner"), F.col("tag").alias("element"), F.col("seq").alias("at"),
-        F.coalesce(attr["src"], F.when(F.col("tag") == "audio", attr["resource"])).alias("own_src"), attr["width"].try_cast("double").cast("long").alias("display_width"))
-    children = tokens.filter(is_start("source")).select(
-        key, F.col("parent_id").alias("owner"), F.col("seq").alias("pos"), attr["src"].alias("src"), attr["type"].alias("type"),
-        F.coalesce(_positive(attr["data-file-width"]), _positive(attr["data-width"])).alias("width"))
-    candidates = owners.join(children, [key, "owner"], "left").withColumns({
-        "src": F.when(F.col("pos").isNull(), F.col("own_src")).otherwise(F.col("src")), "pos": F.coalesce("pos", "at"),
-    }).filter("src IS NOT NULL AND src <> ''").drop("own_src")
-    films = choose_video_source(candidates.filter("element = 'video'"), key, "owner")
-    sounds = choose_audio_source(candidates.filter("element = 'audio'"), key, "owner")
-    return films.unionByName(sounds).select(
-        key, absolute_url("src", site.origin + "/").alias("url"), F.lit("video").alias("kind"), F.lit(None).cast("long").alias("width"), F.col("at").alias("seq"),
-        F.col("pos").alias("source_seq"))
-
-
-def prune_sources(tokens: DataFrame, chosen: DataFrame, key: str = "page_id") -> DataFrame:
-    """Keep of each video and audio element the chosen source only; elements without one go. ``chosen`` as from ``media_sources``."""
-    places = chosen.select(key, F.inline(F.array(
-        F.struct(F.col("seq").alias("seq"), F.lit(True).alias("__owner"), F.lit(False).alias("__source")),
-        F.struct(F.col("source_seq").alias("seq"), F.lit(False).alias("__owner"), F.lit(True).alias("__source")))))
-    flags = places.groupBy(key, "seq").agg(F.bool_or("__owner").alias("__owner"), F.bool_or("__source").alias("__source"))
-    joined = tokens.join(flags, [key, "seq"], "left").withColumn("__media", inside_of(F.col("tag").isin("video", "audio"), key))
-    lost = (F.col("tag").isin("video", "audio") & ~F.coalesce("__owner", F.lit(False))) | (
-        (F.col("tag") == "source") & F.col("__media") & ~F.coalesce("__source", F.lit(False)))
-    return drop_subtrees(joined, lost, key).select(*tokens.columns)
+    attr, owner, source = F.col("attrs"), is_start("video", "audio"), is_start("source")
+    family = Window.partitionBy(key, "__owner")
+    own = F.struct("tag", "seq", attr["width"].try_cast("double").cast("long").alias("display_width"))
+    staged = tokens.withColumn("__owner", F.when(owner, F.col("elem_id")).when(source, F.col("parent_id"))).withColumns({
+        "__own": F.max(F.when(owner, own)).over(family), "__sources": F.count_if(source).over(family)})
+    address = F.when(source, attr["src"]).when(F.col("tag") == "audio", F.coalesce(attr["src"], attr["resource"])).otherwise(attr["src"])
+    candidate = F.col("__owner").isNotNull() & F.col("__own").isNotNull() & (source | (F.col("__sources") == 0))
+    staged = staged.withColumn("__address", F.when(candidate, F.nullif(address, F.lit(""))))
+    pos, src = F.col("seq"), F.col("__address")
+    width = F.coalesce(_positive(attr["data-file-width"]), _positive(attr["data-width"]))
+    film = F.max_by(pos, F.when(src.endswith(".webm") & (F.col("__own.tag") == "video"), video_rank(src, width, F.col("__own.display_width"), pos)))
+    sound = F.max_by(pos, F.when(src.isNotNull() & (F.col("__own.tag") == "audio"), audio_rank(src, attr["type"], pos)))
+    return staged.withColumns({"__at": F.col("__own.seq"), "__chosen": F.coalesce(film.over(family), sound.over(family))}).drop("__own", "__sources", "__owner")
+
+
+def media_sources(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFrame:
+    """The one source taken for each video and audio element, in the columns of ``token_refs`` plus source_seq."""
+    kept = _with_choice(tokens, key).filter(F.col("__chosen") == F.col("seq"))
+    return kept.select(
+        key, absolute_url("__address", site.origin + "/").alias("url"), F.lit("video").alias("kind"), F.lit(None).cast("long").alias("width"),
+        F.col("__at").alias("seq"), F.col("seq").alias("source_seq"))
+
+
+def prune_sources(tokens: DataFrame, key: str = "page_id") -> DataFrame:
+    """Keep of each video and audio element the chosen source only; elements without one go."""
+    marked = _with_choice(tokens, key).withColumn("__media", inside_of(F.col("tag").isin("video", "audio"), key))
+    lost = (F.col("tag").isin("video", "audio") & F.col("__chosen").isNull()) | (
+        (F.col("tag") == "source") & F.col("__media") & ~F.col("__chosen").eqNullSafe(F.col("seq")))
+    return drop_subtrees(marked, lost, key).select(*tokens.columns)
 
 
 def _positive(value: Column) -> Column:
@@ -105,7 +109,9 @@ def requested_widths(refs: DataFrame, page: str) -> DataFrame:
 
 
 def with_paths(refs: DataFrame, escape: bool = False) -> DataFrame:
-    return refs.withColumn("path", asset_path("url", escape))
+    """Adds path; subtitles (by ``kind``, where refs have it) lie under their title and language."""
+    path = asset_path("url", escape)
+    return refs.withColumn("path", F.when(F.col("kind") == "subtitle", subtitle_path(F.col("url"))).otherwise(path) if "kind" in refs.columns else path)
 
 
 def best_resolution(refs: DataFrame, first: list[Column], keep: list[str]) -> DataFrame:
@@ -122,39 +128,45 @@ def best_resolution(refs: DataFrame, first: list[Column], keep: list[str]) -> Da
 
 # --- source choice ---------------------------------------------------------------------------------
 
-def choose_video_source(sources: DataFrame, *video: str) -> DataFrame:
-    """One webm source per video (its key columns): pos, src, width, display_width in; the chosen row out.
+def video_rank(src: Column, width: Column, display_width: Column, pos: Column) -> Column:
+    """Order of webm sources; the largest is taken.
 
     With a display width: the smallest source at least as wide, else the widest; among equals the last
     vp9, else the first. Without: the widest, then vp9, then the first.
     """
-    vp9 = F.col("src").endswith(".vp9.webm")
-    width = F.coalesce("width", F.lit(0))
-    diff = width - F.col("display_width")
-    sized = F.coalesce(F.col("display_width") > 0, F.lit(False))
-    rank = F.struct(
+    vp9 = src.endswith(".vp9.webm")
+    width = F.coalesce(width, F.lit(0))
+    diff = width - display_width
+    sized = F.coalesce(display_width > 0, F.lit(False))
+    return F.struct(
         F.when(sized, diff >= 0).otherwise(F.lit(True)).cast("int"),
         F.when(sized, -F.abs(diff)).otherwise(width).cast("long"),
         vp9.cast("int"),
-        F.when(sized & vp9, F.col("pos")).otherwise(-F.col("pos")).cast("long"),
+        F.when(sized & vp9, pos).otherwise(-pos).cast("long"),
     )
+
+
+def audio_rank(src: Column, kind: Column, pos: Column) -> Column:
+    """The first ogg source, else the first; the largest is taken."""
+    ogg = F.coalesce(kind.startswith("audio/ogg"), F.lit(False)) | F.coalesce(src.endswith(".ogg"), F.lit(False))
+    return F.struct(ogg.cast("int"), (-pos).cast("long"))
+
+
+def choose_video_source(sources: DataFrame, *video: str) -> DataFrame:
+    """One webm source per video (its key columns): pos, src, width, display_width in; the chosen row out."""
+    rank = video_rank(F.col("src"), F.col("width"), F.col("display_width"), F.col("pos"))
     return best_per_key(sources.filter(F.col("src").endswith(".webm")), video, rank)
 
 
 def choose_audio_source(sources: DataFrame, *audio: str) -> DataFrame:
-    """The first ogg source, else the first."""
-    ogg = F.coalesce(F.col("type").startswith("audio/ogg"), F.lit(False)) | F.coalesce(F.col("src").endswith(".ogg"), F.lit(False))
-    return best_per_key(sources, audio, F.struct(ogg.cast("int"), (-F.col("pos")).cast("long")))
+    """One source per audio element: pos, src, type in; the chosen row out."""
+    return best_per_key(sources, audio, audio_rank(F.col("src"), F.col("type"), F.col("pos")))
 
 
 def subtitle_refs(tracks: DataFrame, site: Site) -> DataFrame:
     """Adds url (as vtt), path and src of subtitle tracks: page_path, src."""
-    full = tracks.withColumn("__full", absolute_url("src", site.origin + "/"))
-    title, lang = query_param(F.col("__full"), "title"), query_param(F.col("__full"), "lang")
-    vtt = F.when(F.col("__full").rlike(r"[?&]trackformat="), F.regexp_replace("__full", r"([?&]trackformat=)[^&#]*", "$1vtt")).otherwise(
-        F.concat("__full", F.lit("&trackformat=vtt")))
-    path = F.concat(title, F.lit("-"), lang, F.lit(".vtt"))
-    return full.withColumns({"url": vtt, "path": path, "new_src": relative_href("page_path", path)}).drop("__full")
+    url = subtitle_url(absolute_url("src", site.origin + "/"))
+    return tracks.withColumn("url", url).withColumn("path", subtitle_path(F.col("url"))).withColumn("new_src", relative_href("page_path", "path"))
 
 
 def media_decision(tag: Column, src: Column, is_formula: Column, flags: Flags) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusweave import constants as c
-from corpusweave.functions.assets import asset_path
+from corpusweave.functions.assets import asset_path, subtitle_path, subtitle_url
 from corpusweave.functions.text import encode_component, let, plain_number, relative_href, title_path
 from corpusweave.functions.urls import Site, absolute_url
 from corpusweave.plans.intervals import count_inside, count_nearest, drop_subtrees, inside_of, is_start
@@ -49,12 +49,13 @@ def remove_linkless(tokens: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def remove_empty_galleries(tokens: DataFrame, key: str = "page_id") -> DataFrame:
-    # a gallery keeps a box exactly if some medium in it is in a box, so both are decided by one count
-    box, gallery, medium = has_class("gallerybox"), has_class("gallery"), is_start("img", "audio", "video")
-    boxed = tokens.withColumn("__boxed", inside_of(box, key))
-    counted = count_inside(boxed, {"__media": medium, "__kept": medium & F.col("__boxed")}, key)
-    empty = (box & (F.col("__media") == 0)) | (gallery & (F.col("__kept") == 0))
-    return drop_subtrees(counted, empty, key).drop("__boxed", "__media", "__kept")
+    """Boxes without a medium go, then galleries without a box of their own."""
+    box, gallery = has_class("gallerybox"), has_class("gallery")
+    counted = count_inside(tokens, {"__media": is_start("img", "audio", "video")}, key)
+    # a box that stays, and that no emptied box around it takes along, has a medium; so boxes are counted as they are
+    counted = count_inside(counted, {"__boxes": is_start() & box & (F.col("__media") > 0)}, key)
+    empty = (box & (F.col("__media") == 0)) | (gallery & (F.col("__boxes") == 0))
+    return drop_subtrees(counted, empty, key).drop("__media", "__boxes")
 
 
 def remove_ids(tokens: DataFrame, key: str = "page_id") -> DataFrame:
@@ -78,10 +79,12 @@ def remove_citations(tokens: DataFrame, key: str = "page_id") -> DataFrame:
 def remove_empty_sections(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     """Sections whose child elements are headings only. Children are counted as they stand before any removal."""
     heading = (F.col("tag") == "h2") | has_class("mw-heading", "pcs-edit-section-header")
-    filled = tokens.filter(is_start() & ~heading & F.col("parent_id").isNotNull()).select(
-        key, F.col("parent_id").alias("elem_id"), F.lit(True).alias("__filled")).distinct()
-    marked = tokens.join(filled, [key, "elem_id"], "left")
-    return drop_subtrees(marked, (F.col("tag") == "section") & F.col("__filled").isNull(), key).drop("__filled")
+    # start tokens speak for their parent, end tokens listen for their own element and tell its start
+    ended = F.col("kind") == "end"
+    family = Window.partitionBy(key, F.when(ended, F.col("elem_id")).otherwise(F.col("parent_id")))
+    heard = tokens.withColumn("__heard", F.max(F.when(is_start() & ~heading, True)).over(family))
+    marked = heard.withColumn("__filled", F.max(F.when(ended, F.col("__heard"))).over(Window.partitionBy(key, "elem_id")))
+    return drop_subtrees(marked, (F.col("tag") == "section") & F.col("__filled").isNull(), key).drop("__filled", "__heard")
 
 
 def remove_scripts(tokens: DataFrame, allow_all: bool = False, key: str = "page_id") -> DataFrame:
@@ -218,10 +221,13 @@ def iframe_parts(src: Column, site: Site) -> Column:
 def media_attributes(tokens: DataFrame, site: Site, page_path: Column) -> DataFrame:
     """Sources of images, audio, video and posters lead to the snapshot; unreadable or indirect images go."""
     base = site.origin + "/"
-    tags = is_start("img", "video", "audio", "source")
+    tags = is_start("img", "video", "audio", "source", "track")
     staged = tokens.withColumns({
-        "__src": F.when(tags, absolute_url(attr("src"), base)), "__poster": F.when(is_start("video"), absolute_url(attr("poster"), base)),
-    }).withColumns({"__src": asset_path("__src", escape=True), "__poster": asset_path("__poster", escape=True)}).withColumns({
+        "__full": F.when(tags, absolute_url(attr("src"), base)), "__poster": F.when(is_start("video"), absolute_url(attr("poster"), base)),
+    }).withColumns({
+        "__src": F.when(is_start("track"), subtitle_path(subtitle_url(F.col("__full")))).otherwise(asset_path("__full", escape=True)),
+        "__poster": asset_path("__poster", escape=True),
+    }).withColumns({
         "__src": relative_href(page_path, "__src"), "__poster": relative_href(page_path, "__poster"),
     })
     src = F.coalesce(attr("src"), F.lit(""))
@@ -229,13 +235,14 @@ def media_attributes(tokens: DataFrame, site: Site, page_path: Column) -> DataFr
     lost = is_start("img") & ((src == "") | src.contains("./Special:FilePath/") | (~inline & F.col("__src").isNull()))
     dropped = F.when(is_start("img") & ~inline, F.array(F.lit("srcset"), F.lit("resource"), F.lit("loading"))).when(
         is_start("img"), F.array(F.lit("loading"))).when(
-        is_start("video") & attr("poster").isNotNull(), F.array(F.lit("controls"), F.lit("resource"))).otherwise(F.array(F.lit("controls")))
+        is_start("video") & attr("poster").isNotNull(), F.array(F.lit("controls"), F.lit("resource"))).when(
+        is_start("video"), F.array(F.lit("controls"))).otherwise(F.array().cast("array<string>"))
     kept = F.map_filter(ATTRS, lambda k, v: ~F.array_contains(dropped, k))
-    local = F.transform_values(kept, lambda k, v: F.when((k == "src") & ~inline, F.col("__src")).when(k == "poster", F.col("__poster")).when(
+    local = F.transform_values(kept, lambda k, v: F.when((k == "src") & ~inline, F.when(is_start("track"), F.coalesce("__src", v)).otherwise(F.col("__src"))).when(k == "poster", F.col("__poster")).when(
         (k == "height") & is_start("video") & (v.try_cast("double") < 40), F.lit("40")).otherwise(v))
     added = F.when(is_start("img"), F.create_map(F.lit("loading"), F.lit("lazy"))).when(
         is_start("video"), F.create_map(F.lit("controls"), F.lit("40"))).otherwise(F.create_map().cast("map<string,string>"))
-    return staged.filter(~lost).withColumn(ATTRS, F.when(tags, F.map_concat(local, added)).otherwise(F.col(ATTRS))).drop("__src", "__poster")
+    return staged.filter(~lost).withColumn(ATTRS, F.when(tags, F.map_concat(local, added)).otherwise(F.col(ATTRS))).drop("__src", "__full", "__poster")
 
 
 # --- no-picture placeholder ------------------------------------------------------------------------
@@ -366,16 +373,26 @@ def keep_pages(tokens: DataFrame, wanted: Column, key: str, main_page: Column |
 
 
 def transform_pages(tokens: DataFrame, step: Callable[[DataFrame], DataFrame], main_page: Column | None = None) -> DataFrame:
-    """Apply a user's token step to all pages, or to all but the main page."""
+    """Apply a user's token step to all pages, or to all but the main page.
+
+    Tokens are read once. Those of the main page go through the step veiled: of a kind of their own, without tag, attributes and text, so
+    no rule of a step meets them; afterwards they have their own values again. A step keeps columns that it doesn't know.
+    """
     if main_page is None:
         return step(tokens)
-    return step(tokens.filter(~main_page)).unionByName(tokens.filter(main_page))
+    names = ["kind", "tag", ATTRS, "text"]
+    staged = tokens.withColumn("__main", F.when(main_page, F.struct(*names)))
+    blank = {"kind": F.lit("main"), "tag": F.lit(""), ATTRS: F.create_map().cast("map<string,string>"), "text": F.lit("")}
+    veiled = staged.withColumns({n: F.when(F.col("__main").isNull(), F.col(n)).otherwise(v) for n, v in blank.items()})
+    out = step(veiled)
+    return out.withColumns({n: F.when(F.col("__main").isNull(), F.col(n)).otherwise(F.col("__main")[n]) for n in names}).drop("__main")
 
 
 def keep_language_section(tokens: DataFrame, language: str, key: str = "page_id") -> DataFrame:
     """Pages with a section heading of the language; other languages' ``details`` and minor headings' go."""
     heading = is_start() & has_class("sectionlangue")
-    kept = tokens.join(keep_pages(tokens, heading & attr("id").eqNullSafe(F.lit(language)), key), key, "left_semi")
+    wanted = F.max(F.when(heading & attr("id").eqNullSafe(F.lit(language)), True)).over(Window.partitionBy(key))
+    kept = tokens.withColumn("__wanted", wanted).filter("__wanted").drop("__wanted")
     unwanted = (heading & ~attr("id").eqNullSafe(F.lit(language))) | is_start("h4")
     counted = count_nearest(kept, "details", unwanted, "__bad", key)
     left = drop_subtrees(counted, (F.col("tag") == "details") & (F.col("__bad") > 0), key).drop("__bad")

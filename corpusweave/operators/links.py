@@ -145,13 +145,20 @@ def rewrite_links(tokens: DataFrame, decided: DataFrame, known: DataFrame, key:
     final = final_hrefs(resolve(decided, known))
     verdicts = final.select(
         key, "elem_id", F.when(lost, "unwrap").otherwise(F.col("action")).alias("__action"), F.col("new_href").alias("__href"), F.col("mark_external").alias("__mark"))
-    joined = tokens.join(verdicts, [key, "elem_id"], "left")
+    # brought to the element's tokens by a window of the page, so that tokens keep to their page in the shuffle
+    columns = ["__action", "__href", "__mark"]
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in tokens.schema.fields if f.name not in (key, "elem_id")]
+    told = tokens.withColumn("__told", F.lit(None).cast(verdicts.select(F.struct(*columns).alias("v")).schema["v"].dataType)).unionByName(
+        verdicts.select(key, "elem_id", *blank, F.struct(*columns).alias("__told")))
+    element = Window.partitionBy(key, "elem_id")
+    joined = told.withColumn("__told", F.when(F.col("elem_id").isNotNull(), F.max("__told").over(element))).filter("kind IS NOT NULL")
+    joined = joined.select(*tokens.columns, "__told.*")
     classes = F.concat_ws(" ", F.col("attrs")["class"], F.lit("external"))
     attrs = F.transform_values("attrs", lambda k, v: F.when(k == "href", F.coalesce("__href", v)).when((k == "class") & F.col("__mark"), classes).otherwise(v))
     attrs = F.when(F.col("__mark") & F.col("attrs")["class"].isNull(), F.map_concat(attrs, F.create_map(F.lit("class"), F.lit("external")))).otherwise(attrs)
     kept = drop_subtrees(joined, F.coalesce(F.col("__action") == "delete", F.lit(False)), key)
     kept = kept.filter("`__action` IS NULL OR `__action` <> 'unwrap'")
-    changed = (F.col("kind") == "start") & F.col("__action").isin("wiki", "external", "geo", "media")
+    changed = (F.col("kind") == "start") & F.col("__action").isin("wiki", "external", "geo", "media", "keep")
     return kept.withColumn("attrs", F.when(changed, attrs).otherwise(F.col("attrs"))).select(*tokens.columns)
 
 
@@ -159,7 +166,7 @@ def fan_in(links: DataFrame, known: DataFrame) -> DataFrame:
     """Targets by number of links and of linking pages. Counted first, so the join sees each title once."""
     counted = links.groupBy("title", "page_id").agg(F.count(F.lit(1)).alias("n")).groupBy("title").agg(
         F.sum("n").alias("links"), F.count(F.lit(1)).alias("pages"))
-    return lookup(counted, known, ["title"], spread=False).select(
+    return lookup(counted, known, ["title"]).select(
         "title", "links", "pages", F.coalesce("state", F.lit("unwrap")).alias("state"))
 
 

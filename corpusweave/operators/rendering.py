@@ -34,14 +34,11 @@ def clean_pages(tokens: DataFrame, site: Site, page_path: Column, flags: Flags =
 
 
 def place_media(tokens: DataFrame, site: Site, page_path: Column, flags: Flags = Flags(), key: str = "page_id") -> DataFrame:
-    """Media of cleaned pages: sources chosen and led to the snapshot, or replaced where the variant leaves them out.
-
-    ``tokens`` is read several times, so it should be a table.
-    """
+    """Media of cleaned pages: sources chosen and led to the snapshot, or replaced where the variant leaves them out."""
     if flags.nopic or flags.novid or flags.nodet:
         heard = drop_subtrees(tokens, F.col("tag").isin("video", "audio"), key)
     else:
-        heard = assets.prune_sources(tokens, assets.media_sources(tokens, site, key), key)
+        heard = assets.prune_sources(tokens, key)
     if flags.nopic:
         heard = content.image_placeholders(content.drop_indirect_images(heard))
     return content.remove_empty_frames(content.media_attributes(heard, site, page_path), key)

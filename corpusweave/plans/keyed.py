@@ -7,49 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
 
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Size of ``df`` as the optimizer estimates it from file and plan statistics; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760").lower()
-    for suffix, factor in (("kb", 1 << 10), ("mb", 1 << 20), ("gb", 1 << 30), ("b", 1)):
-        if limit.endswith(suffix):
-            limit = str(int(limit.removesuffix(suffix)) * factor)
-            break
-    return int(limit) > 0 and estimated_bytes(df) <= int(limit)
-
-
-def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left",
-           salts: int = SALTS, spread: bool | None = None) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join ``rows`` (any key may be hot) to ``table`` (one row per key).
 
-    A table whose estimated size is under the broadcast limit is left to Spark, which broadcasts it.
-    A larger one is copied once per salt, so that a hot key of ``rows`` is shared by ``salts`` tasks.
+    A plain join: a partition of ``rows`` that a hot key makes large is split by map output while the query runs (adaptive skew joins,
+    which ``session.build_session`` turns on), whether its rows differ or not, and the one row of ``table`` is read by each piece. Nothing is
+    copied for other keys, and small and large tables behave alike.
     """
-    if spread is None:
-        spread = not fits_broadcast(table)
-    if not spread:
-        return rows.join(table, list(keys), how)
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in _hashable(rows)]), F.lit(salts)).cast("int"))
-    copies = table.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
-
-
-def _hashable(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    return rows.join(table, list(keys), how)
 
 
-def members_of(rows: DataFrame, table: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
-    return lookup(rows, table.select(*keys).distinct(), keys, "left_semi", **kw)
+def members_of(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return lookup(rows, table.select(*keys).distinct(), keys, "left_semi")
 
 
-def missing_from(rows: DataFrame, table: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
-    return lookup(rows, table.select(*keys).distinct(), keys, "left_anti", **kw)
+def missing_from(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return lookup(rows, table.select(*keys).distinct(), keys, "left_anti")
 
 
 def best_per_key(df: DataFrame, keys: Sequence[str], order: Column | Sequence[Column]) -> DataFrame:

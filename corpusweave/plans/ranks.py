@@ -40,7 +40,7 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order: Sequence[Column |
         F.sum("__size").over(pieces).alias("__total"),
     )
     local = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))
-    out = lookup(ranged.withColumn("__local", local), offsets, [*group, "__part"], "inner", spread=False)
+    out = lookup(ranged.withColumn("__local", local), offsets, [*group, "__part"], "inner")
     out = out.withColumn(rank, (F.col("__local") + F.col("__before")).cast("long"))
     if total:
         out = out.withColumn(total, F.col("__total").cast("long"))

@@ -13,9 +13,9 @@ QUERIES = Family()
 PAGE_SIZE = 20
 
 
-@QUERIES.add("SELECT DISTINCT p_type AS title FROM part WHERE p_size > 5 AND p_size % 10 <> 0 UNION SELECT DISTINCT p_brand FROM part WHERE p_size > 5")
+@QUERIES.add("SELECT DISTINCT p_type AS title FROM part WHERE p_size % 10 <> 0 UNION SELECT DISTINCT p_brand FROM part")
 def visible_categories(spark, sf_dir):
-    part = views.parts(spark, sf_dir).filter("size > 5")
+    part = views.parts(spark, sf_dir)
     cats = F.array(F.struct(F.col("category").alias("title"), (F.col("size") % 10 == 0).alias("hidden")),
                    F.struct(F.col("parent").alias("title"), F.lit(None).cast("boolean").alias("hidden")))
     return ops.visible_categories(part.select(cats.alias("categories")))
@@ -53,10 +53,10 @@ def member_prefix(spark, sf_dir):
     return _members(spark, sf_dir).select("member", "title", "prefix")
 
 
-@QUERIES.add(with_views("parts", body="SELECT category, title FROM v_parts WHERE member IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50)"))
+@QUERIES.add(with_views("parts", body="SELECT category, title FROM v_parts WHERE member IN (SELECT l_partkey FROM lineitem GROUP BY l_partkey HAVING count(*) % 2 = 0)"))
 def member_restrict(spark, sf_dir):
-    used = views.table(spark, sf_dir, "lineitem").filter("l_quantity = 50").select(F.col("l_partkey").alias("member"))
-    catalogue = views.parts(spark, sf_dir).join(used.distinct(), "member", "left_semi").select("title")
+    used = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("member")).agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 0")
+    catalogue = views.parts(spark, sf_dir).join(used, "member", "left_semi").select("title")
     return ops.restrict_members(views.parts(spark, sf_dir), catalogue).select("category", "title")
 
 
@@ -106,15 +106,17 @@ def page_category_list(spark, sf_dir):
 
 
 @QUERIES.add("""
-WITH m AS (SELECT c_nationkey AS k, count(*) FILTER (c_mktsegment = 'BUILDING') AS s, count(*) FILTER (c_mktsegment = 'MACHINERY') AS f,
-             count(*) FILTER (c_mktsegment NOT IN ('BUILDING', 'MACHINERY')) AS p FROM customer WHERE c_acctbal > 9800 GROUP BY c_nationkey),
-n AS (SELECT n_name AS category, n_nationkey % 2 = 0 AS nogallery, coalesce(s, 0) AS s, coalesce(p, 0) AS p, coalesce(f, 0) AS f FROM nation LEFT JOIN m ON k = n_nationkey)
-SELECT category, s + p + f AS size, s + p + f = 0 AS empty_note, s + p + f > 0 AS limited_note, f > 0 AND NOT nogallery AS gallery, p > 6 AS page_columns FROM n""")
+WITH m AS (SELECT c_nationkey || '/' || c_mktsegment AS category, count(*) FILTER (c_acctbal < 0) AS s, count(*) FILTER (c_acctbal >= 5000) AS f,
+             count(*) FILTER (c_acctbal >= 0 AND c_acctbal < 5000) AS p FROM customer GROUP BY c_nationkey, c_mktsegment),
+g AS (SELECT unnest(['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY', 'NONE']) AS segment),
+n AS (SELECT n_nationkey || '/' || segment AS category, n_nationkey % 2 = 0 AS nogallery FROM nation, g),
+c AS (SELECT category, nogallery, coalesce(s, 0) AS s, coalesce(p, 0) AS p, coalesce(f, 0) AS f FROM n LEFT JOIN m USING (category))
+SELECT category, s + p + f AS size, s + p + f = 0 AS empty_note, s + p + f > 0 AS limited_note, f > 0 AND NOT nogallery AS gallery, p > 6 AS page_columns FROM c""")
 def category_flags(spark, sf_dir):
-    nation = views.table(spark, sf_dir, "nation")
-    kind = F.when(F.col("c_mktsegment") == "BUILDING", F.lit("subcat")).when(F.col("c_mktsegment") == "MACHINERY", F.lit("file")).otherwise(F.lit("page"))
-    customers = views.table(spark, sf_dir, "customer").filter("c_acctbal > 9800").select(F.col("c_nationkey").alias("n_nationkey"), kind.alias("type"))
-    counts = ops.member_counts(customers.withColumnRenamed("n_nationkey", "category"))
-    counts = nation.join(counts, nation.n_nationkey == counts.category).select(F.col("n_name").alias("category"), "subcats", "pages", "files")
-    cats = nation.select(F.col("n_name").alias("category"), (F.col("n_nationkey") % 2 == 0).alias("nogallery"))
-    return ops.listing_flags(cats, counts, restricted=True)
+    """One category per nation and market segment; no customer is in the segment NONE, so those are empty."""
+    kind = F.when(F.col("c_acctbal") < 0, F.lit("subcat")).when(F.col("c_acctbal") >= 5000, F.lit("file")).otherwise(F.lit("page"))
+    customers = views.table(spark, sf_dir, "customer").select(F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("category"), kind.alias("type"))
+    segments = F.explode(F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "NONE"))))
+    nations = views.table(spark, sf_dir, "nation").select("n_nationkey", segments.alias("segment"))
+    cats = nations.select(F.concat_ws("/", "n_nationkey", "segment").alias("category"), (F.col("n_nationkey") % 2 == 0).alias("nogallery"))
+    return ops.listing_flags(cats, ops.member_counts(customers), restricted=True)

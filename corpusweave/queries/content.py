@@ -48,7 +48,8 @@ _cleaned("html_serialise", lambda t: t, wiki_sql())
 _cleaned("clean_tags", ops.remove_tags, wiki_sql({6: EXTRAS[6].split("<link")[0]}))
 _cleaned("clean_classes", ops.remove_classes, wiki_sql({7: '<div id="purgelink">x</div>'}))
 _cleaned("clean_nolink", ops.remove_linkless, wiki_sql({1: ""}))
-_cleaned("clean_gallery", ops.remove_empty_galleries, wiki_sql({2: EXTRAS[2].replace('<li class="gallerybox">t</li>', ""), 3: ""}))
+_cleaned("clean_gallery", ops.remove_empty_galleries, wiki_sql({
+    2: EXTRAS[2].replace('<li class="gallerybox">t</li>', ""), 3: "", 15: '<ul class="gallery"><li class="gallerybox"></li></ul>'}))
 _cleaned("clean_ids", ops.remove_ids, wiki_sql({7: EXTRAS[7].replace('<div id="purgelink">x</div>', "")}, first_only=True))
 _cleaned("lead_only", ops.lead_section, wiki_sql(lead_only=True))
 _cleaned("strip_citations", ops.remove_citations, wiki_sql({4: ""}))
@@ -77,6 +78,9 @@ _MEDIA_SQL = wiki_sql({
     2: '<ul class="gallery"><li class="gallerybox"><img src="../@A@/P{k}.png" width="120" loading="lazy"></li><li class="gallerybox">t</li></ul>',
     9: '<figure><figcaption>f</figcaption></figure><span typeof="mw:File/Frameless"></span><figure><img src="../@I@/i.png" loading="lazy"></figure>',
     10: '<video poster="../@A@/V{k}.jpg" height="40" controls="40"><source src="../@V@/{k}.webm"></video><img src="data:image/png,z" loading="lazy">',
+    12: '<audio controls="" src="../@V@/{k}.ogg"></audio>',
+    14: '<video controls="40"><source src="../@V@/{k}.webm"><track src="../V{k}.webm-en.vtt"></video>',
+    15: EXTRAS[15].replace('src="/im/n.png"', 'src="../@I@/n.png" loading="lazy"'),
 })
 for _mark, _dir in (("@A@", "https://img.example.org/"), ("@I@", "https://wiki.example.org/im/"), ("@V@", "https://wiki.example.org/v/")):
     _MEDIA_SQL = _MEDIA_SQL.replace(_mark, "_assets_/' || md5('" + _dir + "') || '")

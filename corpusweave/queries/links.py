@@ -163,13 +163,13 @@ def link_fanin(spark, sf_dir):
 
 
 @QUERIES.add(with_views("pages", body=f"""
-w AS (SELECT page_id, lang, string_split(heading, ' ')[1:4] AS arr FROM v_pages),
+w AS (SELECT page_id, lang, string_split(heading, ' ') AS arr FROM v_pages),
 cat AS (SELECT title FROM v_titles UNION SELECT array_to_string(arr[1:2], '/') FROM w WHERE lang = 'en' AND len(arr) > 1),
 b AS (SELECT page_id, arr, unnest(range(1, len(arr))) AS level FROM w WHERE len(arr) > 1),
 p AS (SELECT page_id, arr, level, array_to_string(arr[1:level], '/') AS parent, replace(arr[level], '_', ' ') AS label FROM b)
 SELECT page_id, level, parent, label, CASE WHEN parent IN (SELECT title FROM cat) THEN repeat('../', len(arr) - 1) || {_ENCODE.format(t='parent')} END AS href FROM p"""))
 def breadcrumbs(spark, sf_dir):
-    words = F.slice(F.split("heading", " "), 1, 4)
+    words = F.split("heading", " ")
     pages = views.pages(spark, sf_dir).select("page_id", "lang", F.array_join(words, "/").alias("title"), words.alias("words"))
     catalogue = views.page_titles(spark, sf_dir).select("title").unionByName(
         pages.filter((F.col("lang") == "en") & (F.size("words") > 1)).select(F.array_join(F.slice("words", 1, 2), "/").alias("title")))

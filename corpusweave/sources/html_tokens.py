@@ -34,6 +34,8 @@ CLOSED_BY_START = {
 # an implied end never reaches beyond one of these
 BARRIERS = frozenset("body html table ul ol dl section article div td th select button".split())
 
+FOREIGN, HTML_IN_FOREIGN = frozenset(("svg", "math")), frozenset(("foreignobject", "annotation-xml", "desc"))
+
 
 class _Tokens(HTMLParser):
     """Collects tokens; text keeps its entities, so that serialising gives back the same bytes."""
@@ -82,6 +84,16 @@ class _Tokens(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and (tag in FOREIGN or self._in_foreign()):
+            self._close(len(self.open) - 1)
+
+    def _in_foreign(self) -> bool:
+        """Whether the nearest element that decides it is drawing or formula markup, where a self-closing tag is an empty element."""
+        for number in reversed(self.open[:-1]):
+            name = self.rows[number][4]
+            if name in FOREIGN or name in HTML_IN_FOREIGN:
+                return name in FOREIGN
+        return False
 
     def handle_endtag(self, tag: str) -> None:
         for depth in range(len(self.open) - 1, -1, -1):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusweave.plans.layout import spread
 from corpusweave.sources.views import table
 
-# element added to section i of document d, chosen by (d + i) % 12; {k} is d + i
+# element added to section i of document d, chosen by (d + i) modulo their number; {k} is d + i
 EXTRAS = [
     '<div class="hatnote">see <a href="./Doc_{k}">x</a></div>',
     '<div class="hatnote">no link</div>',
@@ -23,7 +23,13 @@ EXTRAS = [
     '<video poster="//img.example.org/a/ab/V{k}.jpg" height="20"><source src="/v/{k}.webm"></video><img src="./Special:FilePath/x.png"><img src="data:image/png,z">',
     '<a class="mw-kartographer-maplink" href="#">48 N <b>2</b> E</a><script>if (a < b) { run("</p>"); }</script>'
     '<iframe width="9" src="https://www.youtube.com/embed/v{k}"></iframe><iframe src="https://x.example.org/e?k={k}"></iframe><iframe></iframe>',
+    '<audio controls="" src="/v/{k}.ogg"></audio>',
+    '<svg><path d="M{k}"/><g><circle r="1"/></g></svg><math><mspace width="1"/><mi>a</mi></math>',
+    '<video><source src="/v/{k}.webm"><track src="/w/api.php?title=V{k}.webm&amp;lang=en&amp;trackformat=srt"></video>',
+    '<ul class="gallery"><li class="gallerybox"><ul class="gallery"><li><img src="/im/n.png"></li></ul></li></ul>',
 ]
+# as they are written back: empty elements of drawings and formulas have an end tag
+WRITTEN = [*EXTRAS[:13], '<svg><path d="M{k}"></path><g><circle r="1"></circle></g></svg><math><mspace width="1"></mspace><mi>a</mi></math>', *EXTRAS[14:]]
 MIN_WORDS = 4
 
 
@@ -49,15 +55,15 @@ def wiki_sql(changed: dict[int, str] | None = None, first_only: bool = False, le
     """SQL for (page_id, html_md5) of these pages with some extras replaced: what a cleaning step should leave."""
     changed = changed or {}
     quote = lambda e: "replace('" + e.replace("'", "''") + "', '{k}', CAST(k AS VARCHAR))"
-    after = " ".join(f"WHEN k % 12 = {n} {'AND nth = 1' if first_only else ''} THEN {quote(e)}" for n, e in changed.items())
-    before = " ".join(f"WHEN k % 12 = {n} THEN {quote(e)}" for n, e in enumerate(EXTRAS))
+    after = " ".join(f"WHEN k % {len(EXTRAS)} = {n} {'AND nth = 1' if first_only else ''} THEN {quote(e)}" for n, e in changed.items())
+    before = " ".join(f"WHEN k % {len(EXTRAS)} = {n} THEN {quote(e)}" for n, e in enumerate(WRITTEN))
     extra = f"CASE {after} {before} END"
     keep = " AND ".join(["TRUE", *(["i = 0"] if lead_only else []), *(["words >= 4"] if drop_empty else [])])
     return f"""
 WITH l AS (SELECT doc_id, lang, string_split(text, chr(10)) AS arr FROM documents WHERE {where}),
 u AS (SELECT doc_id, unnest(arr) AS line, unnest(range(len(arr))) AS i FROM l),
 w0 AS (SELECT doc_id, i, doc_id + i AS k, len(string_split(line, ' ')) AS words, replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS body FROM u),
-w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k % 12, words >= 4 ORDER BY i) AS nth FROM w0),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k % {len(EXTRAS)}, words >= 4 ORDER BY i) AS nth FROM w0),
 s AS (SELECT doc_id, i, words, '<section data-mw-section-id="' || i || '">' || CASE WHEN i > 0 THEN '<h2>S ' || i || '</h2>' ELSE '' END
   || CASE WHEN words >= 4 THEN '<p>' || body || '</p>' || {extra} ELSE '' END || '</section>' AS piece FROM w),
 g AS (SELECT doc_id, coalesce(string_agg(CASE WHEN {keep} THEN piece END, '' ORDER BY i), '') AS pieces FROM s GROUP BY doc_id)
