@@ -36,10 +36,10 @@ def with_content_model(pages: DataFrame, extra: Sequence[str] = ()) -> DataFrame
 
 def without_ignored(pages: DataFrame, ignored: DataFrame) -> DataFrame:
     """Drop pages whose title, or its underscore form, is on the ignore list."""
-    listed = ignored.select(F.col("title").alias("__listed"))
-    marked = pages.withColumn("__listed", F.col("title"))
-    marked = missing_from(marked, listed, ["__listed"])
-    return missing_from(marked.withColumn("__listed", title_path("title")), listed, ["__listed"]).drop("__listed")
+    # a listed text names a title if it equals the title or its underscore form: one list of both forms per page, one join
+    forms = pages.select("title").distinct().select("title", F.explode(F.array_distinct(F.array("title", title_path("title")))).alias("__listed"))
+    named = members_of(forms, ignored.select(F.col("title").alias("__listed")), ["__listed"])
+    return missing_from(pages, named, ["title"])
 
 
 def scoped_redirects(redirects: Column, page_ns: Column, mirrored: Sequence[int]) -> Column:

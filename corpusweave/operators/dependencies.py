@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from corpusweave.functions.urls import Site, absolute_url
 from corpusweave.plans.closure import first_positions, reach
 from corpusweave.plans.keyed import members_of, missing_from
 from corpusweave.plans.ranks import rank_in_group
-from corpusweave.session import small_table
+from corpusweave.session import cut, small_table
 
 # fixed values: the two url forms of style sheets
 IMPORT_PATTERN = r"""(?i)@import\s+(?:url\(\s*(['"]?)(.*?)\1\s*\)|(['"])(.*?)\3)\s*([^;]*);"""
@@ -42,17 +42,22 @@ def inline_sheets(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFr
     return marked.filter("__style AND text <> ''").select(key, "seq", F.lit(site.origin + "/").alias("url"), F.col("text").alias("body"))
 
 
-def rewrite_inline_styles(tokens: DataFrame, site: Site, page_path: Column, key: str = "page_id") -> DataFrame:
-    """URLs in ``style`` elements lead to the snapshot; the sheet is rewritten inside its row."""
-    before = F.lag("tag").over(Window.partitionBy(key).orderBy("seq"))
-    marked = tokens.withColumn("__style", (F.col("kind") == "text") & before.eqNullSafe(F.lit("style")))
-    refs = F.array_distinct(F.filter(F.regexp_extract_all("text", F.lit(URL_PATTERN), F.lit(1)), lambda u: (u != "") & ~u.startswith("data")))
+def local_urls(text: Column, base: Column | str, to_page: Callable[[Column], Column]) -> Column:
+    """The text of a sheet with its URLs, taken as relative to ``base``, replaced by what ``to_page`` makes of their place in the snapshot."""
+    refs = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(1)), lambda u: (u != "") & ~u.startswith("data")))
 
     def local(ref: Column) -> Column:
-        path = relative_href(page_path, asset_path(absolute_url(ref, site.origin + "/"), escape=True))
+        path = to_page(asset_path(absolute_url(ref, base), escape=True))
         return F.replace(F.replace(F.replace(path, F.lit("'"), F.lit("%27")), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29"))
 
-    rewritten = F.aggregate(refs, F.col("text"), lambda text, ref: F.coalesce(F.replace(text, ref, local(ref)), text))
+    return F.aggregate(refs, text, lambda done, ref: F.coalesce(F.replace(done, ref, local(ref)), done))
+
+
+def rewrite_inline_styles(tokens: DataFrame, site: Site, page_path: Column, key: str = "page_id") -> DataFrame:
+    """URLs in ``style`` elements lead to the snapshot; the sheet is rewritten inside its row."""
+    before = F.lag("tag").over(Window.partitionBy(key).orderBy("seq"))
+    marked = tokens.withColumn("__style", (F.col("kind") == "text") & before.eqNullSafe(F.lit("style")))
+    rewritten = local_urls(F.col("text"), site.origin + "/", lambda path: relative_href(page_path, path))
     return marked.withColumn("text", F.when(F.col("__style"), rewritten).otherwise(F.col("text"))).drop("__style")
 
 
@@ -78,6 +83,36 @@ def css_flatten_order(roots: DataFrame, imports: DataFrame, sheets: DataFrame) -
     return rank_in_group(placed, ["root"], ["place"], rank="position").select("root", F.col("node").alias("sheet"), "position")
 
 
+def css_flatten_text(roots: DataFrame, imports: DataFrame, sheets: DataFrame) -> DataFrame:
+    """root, text: each root's sheet with its imports in their places, each sheet once, URLs leading to the snapshot.
+
+    An imported sheet stands inside what its import asks for, ``@supports`` within ``@media``; both hold for what it imports itself. Pieces of text
+    are ordered by the path of import positions that leads to them, so nothing is put together before the one aggregate per root.
+    """
+    edges = members_of(imports, sheets.select(F.col("url").alias("dst")), ["dst"])
+    placed = cut(first_positions(roots, edges))
+    last = F.size("place") - 1
+    above = placed.select("root", F.col("node").alias("src"), F.col("place").alias("above"))
+    entered = placed.withColumns({"above": F.when(last >= 0, F.slice("place", F.lit(1), F.greatest(last, F.lit(0)))), "pos": F.get("place", last)})
+    entered = entered.join(above, ["root", "above"], "left").join(edges.select("src", "pos", "supports", "media"), ["src", "pos"], "left")
+    supports, media = (F.coalesce(name, F.lit("")) for name in ("supports", "media"))
+    begin = F.concat(F.lit("\n/* start "), "node", F.lit(" */\n\n"), F.when(media != "", F.concat(F.lit("@media "), media, F.lit(" {\n"))).otherwise(""),
+                     F.when(supports != "", F.concat(F.lit("@supports ("), supports, F.lit(") {\n"))).otherwise(""))
+    end = F.concat(F.when(supports != "", "\n}\n").otherwise(""), F.when(media != "", "\n}\n").otherwise(""), F.lit("\n/* end   "), F.col("node"), F.lit(" */\n"))
+    segments = F.transform(F.split("body", IMPORT_PATTERN, -1), lambda text: local_urls(text, F.col("url"), lambda path: F.concat(F.lit("../"), path)))
+    texts = sheets.select(F.col("url").alias("node"), segments.alias("segments"))
+    base = F.transform("place", lambda p: p * 2 + 1)  # imports have odd places, what stands between them even ones
+
+    def piece(place: Column, text: Column) -> Column:
+        return F.struct(F.concat(base, F.array(place)).alias("place"), text.alias("text"))
+
+    own = F.transform("segments", lambda text, i: piece((i * 2).cast("long"), text))
+    pieces = F.concat(F.array(piece(F.lit(-1).cast("long"), begin)), own, F.array(piece(F.lit(1 << 62).cast("long"), end)))
+    dealt = entered.join(texts, "node").select("root", F.explode(pieces).alias("piece"))
+    ordered = F.array_sort(F.collect_list("piece"))
+    return dealt.groupBy("root").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("text"))
+
+
 # --- modules ---------------------------------------------------------------------------------------
 
 def module_edges(pages: DataFrame, key: str) -> DataFrame:

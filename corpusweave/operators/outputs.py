@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusweave import constants as c
 from corpusweave.functions.text import title_path, truncate_words
 from corpusweave.plans.keyed import best_per_key, lookup
+from corpusweave.session import cut
 
 ENTRY_COLUMNS = ["kind", "path", "title", "mime", "front", "bytes"]
 
@@ -29,12 +30,21 @@ def page_entries(pages: DataFrame) -> DataFrame:
     return entries(pages, "page", title_path("title"), shown, "text/html", F.octet_length("html"))
 
 
+def redirect_stub(title: Column, target: Column) -> Column:
+    """The page that stands for a redirect to a section and forwards to it."""
+    url = F.concat(F.lit("./"), target)
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        title, url = F.replace(title, F.lit(raw), F.lit(entity)), F.replace(url, F.lit(raw), F.lit(entity))
+    return F.concat(F.lit('<html><head><title>'), title, F.lit('</title><meta http-equiv="refresh" content="0;URL=\''), url, F.lit('\'"></head><body></body></html>'))
+
+
 def redirect_entries(routed: DataFrame) -> DataFrame:
     """Native redirects and HTML stubs from ``redirects.routed``; ignored ones write nothing."""
+    stub = F.octet_length(redirect_stub(F.col("title"), F.col("target")))
     written = routed.filter("route <> 'ignored'")
     return written.select(
         F.col("route").alias("kind"), "path", "title", F.when(F.col("route") == "stub", F.lit("text/html")).alias("mime"),
-        F.lit(True).alias("front"), F.when(F.col("route") == "stub", F.octet_length("target")).otherwise(0).cast("long").alias("bytes"))
+        F.lit(True).alias("front"), F.when(F.col("route") == "stub", stub).otherwise(0).cast("long").alias("bytes"))
 
 
 def asset_entries(assets: DataFrame) -> DataFrame:
@@ -43,15 +53,21 @@ def asset_entries(assets: DataFrame) -> DataFrame:
 
 
 def module_entries(modules: DataFrame) -> DataFrame:
-    """``modules``: kind (js, css), module."""
+    """``modules``: kind (js, css), module, text (as it is written)."""
     mime = F.when(F.col("kind") == "js", F.lit("text/javascript")).otherwise(F.lit("text/css"))
     path = F.concat(F.lit(c.MODULE_DIR + "/"), "module", F.lit("."), "kind")
-    return entries(modules, "module", path, F.lit(""), mime, F.lit(0))
+    return entries(modules, "module", path, F.lit(""), mime, F.coalesce(F.octet_length("text"), F.lit(0)))
 
 
 def partial_entries(partials: DataFrame) -> DataFrame:
-    """Listing pages with an entry of their own, from ``categories.listing_partials``; they have no title."""
-    return entries(partials.filter("path IS NOT NULL"), "partial", F.col("path"), F.lit(""), "text/html", F.lit(0))
+    """Listing pages with an entry of their own, from ``categories.listing_partials`` with their ``html``; they have no title."""
+    return entries(partials.filter("path IS NOT NULL"), "partial", F.col("path"), F.lit(""), "text/html", F.coalesce(F.octet_length("html"), F.lit(0)))
+
+
+def placeholder_entries(failures: DataFrame) -> DataFrame:
+    """Notes in place of pages that failed without ending the run. They have no title, so links lead somewhere and no search finds them.
+    ``failures``: as from ``quality.route_failures``, with ``html``, the note."""
+    return entries(failures.filter("entry_path IS NOT NULL"), "placeholder", F.col("entry_path"), F.lit(""), "text/html", F.octet_length("html"))
 
 
 def metadata_entries(metadata: DataFrame) -> DataFrame:
@@ -93,15 +109,13 @@ def index_entries(listed: DataFrame, pages: DataFrame, redirects: DataFrame, lim
     """
     targets = best_per_key(redirects.select(F.col("from_title").alias("title"), "to_title"), ["title"], F.col("to_title"))
     entered = lookup(listed.select("pos", "title"), targets, ["title"]).select("pos", F.coalesce("to_title", "title").alias("title"))
-    found = lookup(entered, pages.select("title", "has_image"), ["title"], "inner")
+    found = cut(lookup(entered, pages.select("title", "has_image"), ["title"], "inner"))
     first = found.filter("has_image").orderBy("pos").limit(limit)
-    facts = first.agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last"))
-    images = facts.select("n").scalar()
-    stop = facts.select(F.when(F.col("n") >= limit, F.col("last"))).scalar()
-    shown = found.filter(stop.isNull() | (F.col("pos") <= stop))
+    images, last = first.agg(F.count(F.lit(1)), F.max("pos")).first()
+    shown = found.filter(F.col("pos") <= last) if images >= limit else found
     tiled = images > c.INDEX_MIN_IMAGES
-    return shown.filter(~tiled | F.col("has_image")).select(
-        "pos", "title", "has_image", F.when(tiled, F.lit("tiles")).otherwise(F.lit("list")).alias("layout"))
+    shown = shown.filter("has_image") if tiled else shown
+    return shown.select("pos", "title", "has_image", F.lit("tiles" if tiled else "list").alias("layout"))
 
 
 def entry_stats(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from corpusweave import constants as c
 from corpusweave.functions.text import title_path
 from corpusweave.plans.keyed import missing_from
 from corpusweave.plans.ranks import rank_in_group
+from corpusweave.session import cut
 
 
 # --- run checks ------------------------------------------------------------------------------------
@@ -93,6 +94,11 @@ def page_budget(pages: DataFrame, routed: DataFrame) -> DataFrame:
     counts = pages.select(F.lit(1).alias("page"), F.lit(0).alias("bad")).unionByName(
         routed.filter("route = 'hard'").select(F.lit(0).alias("page"), F.lit(1).alias("bad")))
     totals = counts.agg(F.coalesce(F.sum("page"), F.lit(0)).alias("pages"), F.coalesce(F.sum("bad"), F.lit(0)).alias("hard"))
+    return pages_over_budget(totals)
+
+
+def pages_over_budget(totals: DataFrame) -> DataFrame:
+    """Adds allowed and exceeded to counts of pages and hard failures."""
     allowed = F.greatest(F.lit(c.PAGE_FAILURES_FLOOR).cast("long"), F.floor(F.col("pages") / c.PAGES_PER_ALLOWED_FAILURE).cast("long"))
     return totals.withColumn("allowed", allowed).withColumn("exceeded", F.col("hard") > F.col("allowed"))
 
@@ -145,14 +151,16 @@ def progress_steps(work: DataFrame, order: str, ok: str, every: int = 10) -> Dat
 
     Nothing is reported before the first success.
     """
-    ranked = rank_in_group(work, [], [order], rank="done", total="total")
-    first_ok = ranked.filter(F.col(ok)).agg(F.min("done").alias("first_ok"))
+    ranked = cut(rank_in_group(work.select(order, ok), [], [order], rank="done", total="total"))
+    first_ok = ranked.filter(F.col(ok)).agg(F.min("done")).first()[0]
+    if first_ok is None:
+        first_ok = (1 << 63) - 1
 
     def tenths(done: Column) -> Column:
         return F.floor((done * 2000 + F.col("total")) / (F.col("total") * 2))
 
-    steps = ranked.filter(F.col("done") % every == 0).filter(F.col("done") >= first_ok.scalar())
-    moved = (F.col("done") - every < first_ok.scalar()) | (tenths(F.col("done")) != tenths(F.col("done") - every))
+    steps = ranked.filter(F.col("done") % every == 0).filter(F.col("done") >= F.lit(first_ok))
+    moved = (F.col("done") - every < F.lit(first_ok)) | (tenths(F.col("done")) != tenths(F.col("done") - every))
     return steps.filter(moved).select("done", (tenths(F.col("done")) / 10).alias("percent"))
 
 

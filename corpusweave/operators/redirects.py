@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,13 +77,14 @@ def admitted(redirects: DataFrame, pages: DataFrame) -> DataFrame:
     return judge(redirects, pages).filter("reason = 'written'").drop("reason")
 
 
-def routed(redirects: DataFrame, lead_only: bool = False) -> DataFrame:
-    """How an admitted redirect is written: natively, as an HTML stub (section targets), or not at all."""
+def routed(redirects: DataFrame, lead_only: bool | Column = False, keep: Sequence[str] = ()) -> DataFrame:
+    """How an admitted redirect is written: natively, as an HTML stub (section targets), or not at all. ``lead_only`` may differ by row."""
+    lead = lead_only if isinstance(lead_only, Column) else F.lit(lead_only)
     section = F.concat(title_path("to_title"), F.lit("#"), title_path("fragment"))
     has_fragment = F.col("fragment") != ""
     return redirects.select(
-        title_path("from_title").alias("path"), truncate_words("from_title").alias("title"),
-        F.when(has_fragment & F.lit(lead_only), F.lit("ignored")).when(has_fragment, F.lit("stub")).otherwise(F.lit("redirect")).alias("route"),
+        *keep, title_path("from_title").alias("path"), truncate_words("from_title").alias("title"),
+        F.when(has_fragment & lead, F.lit("ignored")).when(has_fragment, F.lit("stub")).otherwise(F.lit("redirect")).alias("route"),
         F.when(has_fragment, section).otherwise(title_path("to_title")).alias("target"),
     )
 

@@ -19,6 +19,8 @@ def reach(seeds: DataFrame, edges: DataFrame, key: str, ignore: DataFrame | None
 
     frontier = cut(allowed(seeds.select(key).distinct()).withColumn("round", F.lit(0)))
     seen = frontier
+    # read and shuffled once; every round then brings its frontier to where the edges lie
+    edges = cut(edges.select("src", "dst").repartition("src"))
     step = 0
     while not frontier.isEmpty():
         step += 1
@@ -37,6 +39,7 @@ def first_positions(roots: DataFrame, edges: DataFrame) -> DataFrame:
     Returns root, node, place (array of positions, empty for the root itself). Only the smallest path per
     node is kept in each round, so paths are never enumerated, and a cycle only yields longer paths.
     """
+    edges = cut(edges.select("src", "pos", "dst").repartition("src"))
     placed = cut(roots.select("root", F.col("root").alias("node"), F.array().cast("array<bigint>").alias("place")))
     frontier = placed
     while not frontier.isEmpty():

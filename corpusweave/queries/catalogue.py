@@ -82,13 +82,11 @@ u AS (SELECT 'file' AS kind, doc_id, unnest(arr) AS t, unnest(range(len(arr))) A
   UNION ALL SELECT 'inline', doc_id, unnest(arr), unnest(range(len(arr))) FROM i0)
 SELECT kind, doc_id, pos, replace(t, '_', ' ') AS title FROM u""")
 def page_list_intake(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
-
     def rows(kind, titles):
-        return docs.select(F.lit(kind).alias("kind"), "doc_id", F.posexplode(titles).alias("pos", "title"))
+        return F.transform(titles, lambda t, i: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("pos"), t.alias("title")))
 
-    both = rows("file", page_list.line_titles("text")).unionByName(rows("inline", page_list.inline_titles("text")))
-    return both.withColumn("pos", F.col("pos").cast("long"))
+    both = F.concat(rows("file", page_list.line_titles("text")), rows("inline", page_list.inline_titles("text")))
+    return views.table(spark, sf_dir, "documents").select("doc_id", F.inline(both))
 
 
 @QUERIES.add(with_views("pages", body="""

@@ -61,6 +61,28 @@ def css_flatten(spark, sf_dir):
     return ops.css_flatten_order(roots.select(F.col("url").alias("root")), imports, sheets)
 
 
+_NAME = "'https://css.example.org/css/' || {} || '.css'"
+
+
+@QUERIES.add(_EDGES_SQL + f"""
+, w AS (SELECT s_suppkey AS root, s_suppkey AS node, [s_suppkey] AS path, CAST([] AS INTEGER[]) AS place FROM supplier WHERE s_suppkey NOT IN (SELECT d FROM e)
+  UNION ALL SELECT root, d, list_append(path, d), list_append(place, pos) FROM w JOIN e ON s = node WHERE d IN (SELECT s_suppkey FROM supplier) AND NOT list_contains(path, d)),
+q AS (SELECT root, node, list_transform(place, lambda p: 2 * p + 1) AS base, place[-1] AS via, s_nationkey AS nk FROM w JOIN supplier ON s_suppkey = node),
+p AS (SELECT root, list_append(base, -1) AS key, chr(10) || '/* start ' || {_NAME.format("node")} || ' */' || chr(10) || chr(10)
+    || CASE via WHEN 0 THEN '@media screen {{' || chr(10) WHEN 1 THEN '@media print and (x) {{' || chr(10) || '@supports (display: grid) {{' || chr(10) ELSE '' END AS text FROM q
+  UNION ALL SELECT root, list_append(base, u), chr(10) FROM q, (VALUES (2), (4)) x(u)
+  UNION ALL SELECT root, list_append(base, 6), chr(10) || '.a{{background:url(../_assets_/' || md5('https://css.example.org/css/img/') || '/' || node || '.png)}} .b{{background:url("data:image/png;base64,x")}} .c{{src:url(''../_assets_/'
+    || md5('https://css.example.org/f/') || '/n' || nk || '%281.woff'')}} .d{{background:URL()}}' FROM q
+  UNION ALL SELECT root, list_append(base, 1000), repeat(chr(10) || '}}' || chr(10), CASE via WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END) || chr(10) || '/* end   ' || {_NAME.format("node")} || ' */' || chr(10) FROM q)
+SELECT {_NAME.format("root")} AS root, md5(string_agg(text, '' ORDER BY key)) AS text_md5, CAST(sum(length(text)) AS BIGINT) AS chars FROM p GROUP BY p.root""")
+def css_text(spark, sf_dir):
+    sheets = _sheets(spark, sf_dir)
+    imports = ops.css_imports(sheets)
+    roots = missing_from(sheets.select("url"), imports.select(F.col("dst").alias("url")), ["url"])
+    flat = ops.css_flatten_text(roots.select(F.col("url").alias("root")), imports, sheets)
+    return flat.select("root", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.char_length("text").cast("long").alias("chars"))
+
+
 def _pages(spark, sf_dir):
     key, size = F.col("p_partkey"), F.col("p_size")
     return views.table(spark, sf_dir, "part").select(

@@ -23,25 +23,30 @@ def _manifest(spark, sf_dir):
     pages = views.pages(spark, sf_dir).select(
         _cat("Page ", F.col("page_id")).alias("title"), F.when(F.col("page_id") % 2 == 0, F.col("heading")).alias("display_title"), "html")
     copies = views.text_copies(spark, sf_dir)
-    redirects = redirect_ops.routed(redirect_ops.admitted(views.redirect_refs(spark, sf_dir), copies.filter("doc_id = first_id")))
+    redirects = redirect_ops.routed(redirect_ops.admitted(views.redirect_refs(copies), copies.filter("doc_id = first_id")))
     uses = views.asset_uses(spark, sf_dir).groupBy("image").agg(F.max("quantity").alias("bytes"))
     assets = uses.select(_cat("_assets_/P", F.col("image"), ".png").alias("path"), F.lit("image/png").alias("mime"), "bytes")
     modules = views.table(spark, sf_dir, "part").select(
-        F.when(F.col("p_size") % 2 == 0, "js").otherwise("css").alias("kind"), _cat("m", F.col("p_size")).alias("module")).distinct()
-    partials = category_ops.listing_partials(views.parts(spark, sf_dir), 20)
+        F.when(F.col("p_size") % 2 == 0, "js").otherwise("css").alias("kind"), _cat("m", F.col("p_size")).alias("module"),
+        F.repeat(F.lit("é;"), F.col("p_size")).alias("text")).distinct()
+    partials = category_ops.listing_partials(views.parts(spark, sf_dir), 20).withColumn("html", _cat("<p>", F.col("path"), "</p>"))
+    k = F.col("s_suppkey")
+    failures = views.table(spark, sf_dir, "supplier").select(F.when(k % 3 != 0, _cat("Lost_", k)).alias("entry_path"), F.lit("<p>gone</p>").alias("html"))
     metadata = views.table(spark, sf_dir, "region").select(F.col("r_name").alias("key"), _cat("Region ", F.col("r_name")).alias("value"))
     return ops.manifest(ops.page_entries(pages), ops.redirect_entries(redirects), ops.asset_entries(assets), ops.module_entries(modules),
-                        ops.partial_entries(partials), ops.metadata_entries(metadata))
+                        ops.partial_entries(partials), ops.placeholder_entries(failures), ops.metadata_entries(metadata))
 
 
 _MANIFEST_SQL = """
 mf AS (SELECT 'page' AS kind, 'Page_' || page_id AS path, CASE WHEN page_id % 2 = 0 AND heading <> '' THEN heading ELSE 'Page ' || page_id END AS title, 'text/html' AS mime, TRUE AS front, CAST(strlen(html) AS BIGINT) AS bytes FROM v_pages
   UNION ALL SELECT CASE WHEN fragment <> '' THEN 'stub' ELSE 'redirect' END, replace(from_title, ' ', '_'), from_title, CASE WHEN fragment <> '' THEN 'text/html' END, TRUE,
-    CASE WHEN fragment <> '' THEN strlen(to_title) + strlen(fragment) + 1 ELSE 0 END FROM v_refs
+    CASE WHEN fragment <> '' THEN strlen('<html><head><title>' || from_title || '</title><meta http-equiv="refresh" content="0;URL=''./'
+      || replace(to_title, ' ', '_') || '#' || replace(fragment, ' ', '_') || chr(39) || '"></head><body></body></html>') ELSE 0 END FROM v_refs
   UNION ALL SELECT 'asset', '_assets_/P' || l_partkey || '.png', '', 'image/png', FALSE, max(CAST(l_quantity AS BIGINT)) FROM lineitem GROUP BY l_partkey
-  UNION ALL SELECT DISTINCT 'module', '_mw_/m' || p_size || CASE WHEN p_size % 2 = 0 THEN '.js' ELSE '.css' END, '', CASE WHEN p_size % 2 = 0 THEN 'text/javascript' ELSE 'text/css' END, FALSE, 0 FROM part
-  UNION ALL SELECT 'partial', '_categories_partials_' || category || '_' || CASE type WHEN 'subcat' THEN 'subcats' WHEN 'page' THEN 'pages' ELSE 'files' END || '_' || n, '', 'text/html', FALSE, 0
+  UNION ALL SELECT DISTINCT 'module', '_mw_/m' || p_size || CASE WHEN p_size % 2 = 0 THEN '.js' ELSE '.css' END, '', CASE WHEN p_size % 2 = 0 THEN 'text/javascript' ELSE 'text/css' END, FALSE, 3 * p_size FROM part
+  UNION ALL SELECT 'partial', '_categories_partials_' || category || '_' || CASE type WHEN 'subcat' THEN 'subcats' WHEN 'page' THEN 'pages' ELSE 'files' END || '_' || n AS path, '', 'text/html', FALSE, strlen(path) + 7
     FROM (SELECT category, type, unnest(range(1, (count(*) - 1) // 20 + 2)) AS n, (count(*) - 1) // 20 + 1 AS last FROM v_parts GROUP BY category, type) WHERE last > 1
+  UNION ALL SELECT 'placeholder', 'Lost_' || s_suppkey, '', 'text/html', FALSE, 11 FROM supplier WHERE s_suppkey % 3 <> 0
   UNION ALL SELECT 'metadata', r_name, '', 'text/plain', FALSE, strlen(r_name) + 7 FROM region)"""
 
 
@@ -79,4 +84,4 @@ def index_select(spark, sf_dir):
     copies = views.text_copies(spark, sf_dir)
     pages = copies.filter("doc_id = first_id").select("title", (F.col("doc_id") % 3 == 0).alias("has_image"))
     listed = copies.filter("lang = 'en'").select(F.col("doc_id").alias("pos"), "title")
-    return ops.index_entries(listed, pages, views.redirect_refs(spark, sf_dir))
+    return ops.index_entries(listed, pages, views.redirect_refs(copies))

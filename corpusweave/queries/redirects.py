@@ -57,7 +57,7 @@ def redirect_moved(spark, sf_dir):
     copies = views.text_copies(spark, sf_dir)
     fetched = copies.select("doc_id", F.col("title").alias("from_title"),
                             F.when(d % 3 == 0, _cat("Doc ", d + 1)).otherwise(_cat("Moved ", F.floor(d / 2))).alias("to_title"))
-    return ops.moved_back(fetched, copies.filter("doc_id = first_id"), views.redirect_refs(spark, sf_dir), "doc_id")
+    return ops.moved_back(fetched, copies.filter("doc_id = first_id"), views.redirect_refs(copies), "doc_id")
 
 
 @QUERIES.add(with_views("fetch", body="""
@@ -86,13 +86,19 @@ def _cases(spark, sf_dir):
     docs = views.text_copies(spark, sf_dir)
     pages = docs.filter("doc_id = first_id AND ns IN (0, 2)").select("title")
     shape = ["from_title", "to_title", "fragment"]
-    redirects = views.redirect_refs(spark, sf_dir).select(*shape)
-    for rows in (
-        docs.select(_cat("Loop ", d).alias("from_title"), _cat("Loop ", d).alias("to_title"), F.lit("").alias("fragment")),
-        docs.filter("doc_id = first_id").select(F.col("title").alias("from_title"), F.lit("Doc 0").alias("to_title"), F.lit("").alias("fragment")),
-        docs.select(_cat("Alias ", d).alias("from_title"), F.col("title").alias("to_title"), F.when(d % 2 == 1, F.lit("My part")).otherwise(F.lit("")).alias("fragment")),
-    ):
-        redirects = redirects.unionByName(rows)
+    title, first = F.col("title"), F.col("first_id")
+
+    def case(source, target, fragment):
+        return F.struct(*[value.alias(name) for name, value in zip(shape, (source, target, fragment), strict=True)])
+
+    part = F.when(d % 2 == 1, _cat("Part ", d % 7)).otherwise(F.lit(""))
+    cases = F.array_compact(F.array(
+        F.when(d > first, case(title, _cat("Doc ", first), part)),
+        case(_cat("Loop ", d), _cat("Loop ", d), F.lit("")),
+        F.when(d == first, case(title, F.lit("Doc 0"), F.lit(""))),
+        case(_cat("Alias ", d), title, F.when(d % 2 == 1, F.lit("My part")).otherwise(F.lit(""))),
+    ))
+    redirects = docs.select("doc_id", "first_id", "title").select(F.inline(cases))
     return pages, redirects
 
 
@@ -111,8 +117,8 @@ FROM jd, v WHERE reason = 'written'"""))
 def redirect_route(spark, sf_dir):
     pages, redirects = _cases(spark, sf_dir)
     written = ops.admitted(redirects, pages)
-    full, lead = (ops.routed(written, lead_only).withColumn("variant", F.lit(name)) for name, lead_only in (("full", False), ("lead", True)))
-    return full.unionByName(lead)
+    variants = F.array(*[F.struct(F.lit(name).alias("variant"), F.lit(lead).alias("lead")) for name, lead in (("full", False), ("lead", True))])
+    return ops.routed(written.select("*", F.inline(variants)), F.col("lead"), ["variant"])
 
 
 @QUERIES.add(with_views("docs", body=_CASES_SQL + """

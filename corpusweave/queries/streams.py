@@ -22,7 +22,7 @@ def _stream(spark, sf_dir):
 @QUERIES.add("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def stream_ingest(spark, sf_dir):
     changes = _stream(spark, sf_dir).select("user_id", "event_id", "event_type", "value")
-    return jobs.ingest_catalogue(spark, changes, "user_id", "event_id", new_table_path(spark, "ingest"))
+    return jobs.ingest_catalogue(spark, changes, "user_id", "event_id", new_table_path(spark, "ingest"), new_table_path(spark, "ingest-checkpoint"))
 
 
 @QUERIES.add("""
@@ -30,7 +30,7 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS files, co
   count(*) FILTER (event_type = 'error') > 50 AND count(*) FILTER (event_type = 'error') * 10000.0 / count(*) > 10 AS exceeded FROM events GROUP BY 1""")
 def stream_budget(spark, sf_dir):
     log = _stream(spark, sf_dir).select("ts", (F.col("event_type") == "error").alias("failed"))
-    windows = jobs.live_budget(spark, log, "ts", "failed", "1 day", "1 day", new_table_path(spark, "budget"))
+    windows = jobs.live_budget(spark, log, "ts", "failed", "1 day", "1 day", new_table_path(spark, "budget"), new_table_path(spark, "budget-checkpoint"))
     return windows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "files", "fails", "exceeded")
 
 
@@ -39,5 +39,27 @@ def stream_dedup(spark, sf_dir):
     # repeats of a cursor lie within one hour, so an hour of watermark catches every one
     cursors = _stream(spark, sf_dir).select("user_id", "ts", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"))
     path = new_table_path(spark, "cursors")
-    jobs.run_available(spark, jobs.without_repeats(cursors, ["user_id", "hour"], "ts", "1 hour"), "append", jobs.batch_table_sink(path), "dedup")
+    stream = jobs.without_repeats(cursors, ["user_id", "hour"], "ts", "1 hour")
+    jobs.run_available(stream, "append", jobs.batch_table_sink(path), new_table_path(spark, "cursors-checkpoint"))
     return spark.read.parquet(path).select("user_id", "hour")
+
+
+@QUERIES.add("""
+SELECT count(*) AS pages, count(*) FILTER (event_type = 'error' AND event_id % 50 = 0) AS hard, greatest(5, count(*) // 100000) AS allowed,
+  count(*) FILTER (event_type = 'error' AND event_id % 50 = 0) > greatest(5, count(*) // 100000) AS exceeded FROM events""")
+def stream_page_budget(spark, sf_dir):
+    log = _stream(spark, sf_dir).select(((F.col("event_type") == "error") & (F.col("event_id") % 50 == 0)).alias("hard"))
+    return jobs.live_page_budget(spark, log, "hard", new_table_path(spark, "pages"), new_table_path(spark, "pages-checkpoint"))
+
+
+# a session is given out when the watermark has passed its end; the last one of a user may still be open
+@QUERIES.add("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e),
+g AS (SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS events FROM s GROUP BY user_id, session)
+SELECT user_id AS source, strftime(first, '%Y-%m-%d %H:%M:%S') AS start, events FROM g WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)""")
+def stream_stalls(spark, sf_dir):
+    path = new_table_path(spark, "stalls")
+    stream = jobs.silences(_stream(spark, sf_dir), F.col("user_id"), "ts", "6 hours", "0 seconds")
+    jobs.run_available(stream, "append", jobs.batch_table_sink(path), new_table_path(spark, "stalls-checkpoint"))
+    return spark.read.parquet(path).select("source", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusweave.functions.urls import Site
 from corpusweave.plans.keyed import lookup
 from corpusweave.plans.layout import spread
+from corpusweave.session import cut
 
 SITE = Site(origin="https://wiki.example.org", article_path="/wiki/", script_path="/w/index.php")
 
@@ -91,17 +92,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with ``first_id``, the lowest id among exact copies of the text.
 
-    The join key is a digest; the hottest text may be a third of the table, hence the salted lookup.
+    The texts are hashed once and the result, without them, is kept in the shared folder: its readers in one query take it as an argument.
     """
     docs = documents(spark, sf_dir).withColumn("digest", F.sha2("text", 256)).drop("text")
     firsts = docs.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    return lookup(docs, firsts, ["digest"], "inner").drop("digest")
+    return cut(lookup(docs, firsts, ["digest"], "inner").drop("digest"))
 
 
-def redirect_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def redirect_refs(copies: DataFrame) -> DataFrame:
     """Redirects of ``documents``: a later copy of a text leads to its first document, odd ids with a fragment."""
-    copies = text_copies(spark, sf_dir).filter("doc_id > first_id")
-    return copies.select(
+    return copies.filter("doc_id > first_id").select(
         "doc_id", F.col("title").alias("from_title"), F.concat(F.lit("Doc "), F.col("first_id")).alias("to_title"),
         "first_id", F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("Part "), F.col("doc_id") % 7)).otherwise(F.lit("")).alias("fragment"),
         "ns", (F.col("first_id") % 4).alias("to_ns"),

@@ -7,14 +7,16 @@ results are exactly-once; readers merge the folders.
 from __future__ import annotations
 
 from collections.abc import Callable
+from threading import Event
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from corpusweave.operators.quality import files_over_budget
+from corpusweave.operators.quality import files_over_budget, pages_over_budget
 from corpusweave.plans.keyed import best_per_key
-from corpusweave.session import new_table_path
 
 
 def batch_table_sink(path: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
@@ -25,40 +27,81 @@ def batch_table_sink(path: str, prepare: Callable[[DataFrame], DataFrame] | None
     return write
 
 
-def run_available(spark: SparkSession, stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], name: str) -> StreamingQuery:
-    """Process everything that has landed, then stop; the stream's checkpoint lies in the shared folder."""
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", new_table_path(spark, f"{name}-checkpoint"))
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return query
+class LateRows(StreamingQueryListener):
+    """Counts, over a whole run, the rows that a stream drops because they came after the watermark."""
 
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+        self.ended: dict[str, Event] = {}
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows a finished run dropped because they came after the watermark."""
-    return sum(op.numRowsDroppedByWatermark for progress in query.recentProgress for op in progress.stateOperators)
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
 
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        run = str(event.progress.runId)
+        self.dropped[run] = self.dropped.get(run, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
 
-def ingest_catalogue(spark: SparkSession, stream: DataFrame, key: str, seq: str, path: str) -> DataFrame:
-    """Upsert landed changes by key. Each micro-batch is reduced to its last row per key before it is written."""
-    run_available(spark, stream, "append", batch_table_sink(path, lambda b: best_per_key(b, [key], F.col(seq))), "ingest")
-    landed = spark.read.parquet(path).drop("batch")
-    return best_per_key(landed, [key], F.col(seq))
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
 
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self.ended.setdefault(str(event.runId), Event()).set()
 
-def live_budget(spark: SparkSession, stream: DataFrame, time: str, failed: str, window: str, late: str, path: str) -> DataFrame:
+    def of(self, run: str) -> int:
+        """The count of a run that has ended; listeners are told a little later than the caller."""
+        self.ended.setdefault(run, Event()).wait(30)
+        return self.dropped.get(run, 0)
+
+
+def run_available(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> int:
+    """Process what has landed since the last run with this checkpoint, then stop; returns the rows that came too late.
+
+    ``checkpoint`` is a folder that all runs of the stream share and no other stream uses; files that a run has taken are not taken again.
+    """
+    spark, late = stream.sparkSession, LateRows()
+    spark.streams.addListener(late)
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return late.of(str(query.runId))
+    finally:
+        spark.streams.removeListener(late)
+
+
+def written(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """What the runs of a sink have written, with its batch; nothing yet is an empty table."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # no batch has been written
+        return spark.createDataFrame([], StructType([*like.schema.fields, StructField("batch", IntegerType())]))
+
+
+def ingest_catalogue(spark: SparkSession, stream: DataFrame, key: str, seq: str, path: str, checkpoint: str) -> DataFrame:
+    """Upsert landed changes by key into the table under ``path``. Each micro-batch is reduced to its last row per key before it is written; a
+    later run with the same ``path`` and ``checkpoint`` goes on where this one ended."""
+    run_available(stream, "append", batch_table_sink(path, lambda b: best_per_key(b, [key], F.col(seq))), checkpoint)
+    return best_per_key(written(spark, path, stream).drop("batch"), [key], F.col(seq))
+
+
+def live_budget(spark: SparkSession, stream: DataFrame, time: str, failed: str, window: str, late: str, path: str, checkpoint: str) -> DataFrame:
     """Files, failures and the budget check per time window, updated while the stream runs: start, files, fails, exceeded."""
     counts = stream.withWatermark(time, late).groupBy(F.window(time, window)).agg(
         F.count(F.lit(1)).alias("files"), F.count_if(failed).alias("fails"))
     rows = counts.select(F.col("window.start").alias("start"), "files", "fails", files_over_budget(F.col("files"), F.col("fails")).alias("exceeded"))
-    run_available(spark, rows, "update", batch_table_sink(path), "budget")
-    return best_per_key(spark.read.parquet(path), ["start"], F.col("batch")).drop("batch")
+    run_available(rows, "update", batch_table_sink(path), checkpoint)
+    return best_per_key(written(spark, path, rows), ["start"], F.col("batch")).drop("batch")
+
+
+def live_page_budget(spark: SparkSession, stream: DataFrame, hard: str, path: str, checkpoint: str) -> DataFrame:
+    """Pages so far, how many failed hard, how many may, and whether the run must end: one row, renewed with each micro-batch."""
+    rows = pages_over_budget(stream.groupBy().agg(F.count(F.lit(1)).alias("pages"), F.count_if(hard).alias("hard")))
+    run_available(rows, "update", batch_table_sink(path), checkpoint)
+    return written(spark, path, rows).orderBy(F.desc("batch")).limit(1).drop("batch")
 
 
 def without_repeats(stream: DataFrame, keys: list[str], time: str, late: str) -> DataFrame:
     """Drop repeated batches: a key seen again within the watermark is the same batch. Later rows are dropped by Spark and
-    show up in the query's ``numRowsDroppedByWatermark``."""
+    counted by ``run_available``."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 

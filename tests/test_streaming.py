@@ -23,13 +23,13 @@ def row(key, seq, minute, failed=False):
 
 def test_ingest_over_several_batches(spark):
     files = [[row("a", 1, 0), row("b", 2, 0), row("a", 3, 0)], [row("b", 4, 1), row("c", 5, 1)], [row("a", 0, 2)]]
-    out = jobs.ingest_catalogue(spark, land(spark, files).drop("ts", "failed"), "key", "seq", new_table_path(spark, "ingest"))
+    out = jobs.ingest_catalogue(spark, land(spark, files).drop("ts", "failed"), "key", "seq", new_table_path(spark, "ingest"), new_table_path(spark, "checkpoint"))
     assert {(r.key, r.value) for r in out.collect()} == {("a", "a3"), ("b", "b4"), ("c", "c5")}
 
 
 def test_budget_is_updated_across_batches(spark):
     files = [[row("x", i, i % 10, failed=i % 2 == 0) for i in range(60)], [row("x", i, i % 10, failed=True) for i in range(60)]]
-    out = jobs.live_budget(spark, land(spark, files), "ts", "failed", "1 hour", "1 hour", new_table_path(spark, "budget"))
+    out = jobs.live_budget(spark, land(spark, files), "ts", "failed", "1 hour", "1 hour", new_table_path(spark, "budget"), new_table_path(spark, "checkpoint"))
     (only,) = out.collect()
     assert (only.files, only.fails, only.exceeded) == (120, 90, True)
 
@@ -37,20 +37,52 @@ def test_budget_is_updated_across_batches(spark):
 def test_repeated_batches_are_dropped(spark):
     files = [[row("a", 1, 0), row("b", 1, 5)], [row("a", 1, 6), row("c", 1, 7)]]
     path = new_table_path(spark, "dedup")
-    jobs.run_available(spark, jobs.without_repeats(land(spark, files), ["key"], "ts", "1 hour"), "append", jobs.batch_table_sink(path), "dedup")
+    jobs.run_available(jobs.without_repeats(land(spark, files), ["key"], "ts", "1 hour"), "append", jobs.batch_table_sink(path), new_table_path(spark, "checkpoint"))
     assert sorted(r.key for r in spark.read.parquet(path).collect()) == ["a", "b", "c"]
 
 
 def test_late_rows_are_counted(spark):
     files = [[row("a", 1, 600)], [row("b", 1, 601)], [row("c", 1, 0)]]
     path = new_table_path(spark, "late")
-    run = jobs.run_available(spark, jobs.without_repeats(land(spark, files), ["key"], "ts", "1 hour"), "append", jobs.batch_table_sink(path), "late")
+    late = jobs.run_available(jobs.without_repeats(land(spark, files), ["key"], "ts", "1 hour"), "append", jobs.batch_table_sink(path), new_table_path(spark, "checkpoint"))
     assert sorted(r.key for r in spark.read.parquet(path).collect()) == ["a", "b"]
-    assert jobs.late_rows(run) == 1
+    assert late == 1
 
 
 def test_silences_close_sessions(spark):
     files = [[row("a", 1, 0), row("a", 2, 5)], [row("a", 3, 60)], [row("b", 1, 600)]]
     path = new_table_path(spark, "sessions")
-    jobs.run_available(spark, jobs.silences(land(spark, files), F.col("key"), "ts", "10 minutes", "1 minute"), "append", jobs.batch_table_sink(path), "sessions")
+    jobs.run_available(jobs.silences(land(spark, files), F.col("key"), "ts", "10 minutes", "1 minute"), "append", jobs.batch_table_sink(path), new_table_path(spark, "checkpoint"))
     assert sorted((r.source, r.events) for r in spark.read.parquet(path).collect()) == [("a", 1), ("a", 2)]
+
+
+def test_a_second_run_takes_new_files_only(spark):
+    path, table, checkpoint = (new_table_path(spark, n) for n in ("landed", "ingest", "checkpoint"))
+    stream = lambda: spark.readStream.schema(SCHEMA).parquet(path).drop("ts", "failed")
+
+    def land_one(*rows):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+
+    spark.createDataFrame([], SCHEMA).write.parquet(path)  # a source without rows yet
+    assert jobs.ingest_catalogue(spark, stream(), "key", "seq", table, checkpoint).count() == 0
+    land_one(row("a", 1, 0), row("b", 2, 0))
+    jobs.ingest_catalogue(spark, stream(), "key", "seq", table, checkpoint)
+    land_one(row("a", 3, 1))
+    out = jobs.ingest_catalogue(spark, stream(), "key", "seq", table, checkpoint)
+    assert {(r.key, r.value) for r in out.collect()} == {("a", "a3"), ("b", "b2")}
+    assert spark.read.parquet(table).count() == 3, "a file was taken twice"
+
+
+def test_late_rows_of_a_long_run_are_all_counted(spark):
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    files = [[row("a", 1, 600)], [row("b", 1, 601)], *[[row(f"c{i}", 1, i)] for i in range(4)]]
+    path = new_table_path(spark, "late")
+    late = jobs.run_available(jobs.without_repeats(land(spark, files), ["key"], "ts", "1 hour"), "append", jobs.batch_table_sink(path), new_table_path(spark, "checkpoint"))
+    spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert late == 4
+
+
+def test_page_budget_of_a_stream(spark):
+    files = [[row("x", i, i % 10, failed=i % 10 == 0) for i in range(40)], [row("x", i, i % 10, failed=True) for i in range(3)]]
+    out = jobs.live_page_budget(spark, land(spark, files), "failed", new_table_path(spark, "pages"), new_table_path(spark, "checkpoint"))
+    assert tuple(out.first()) == (43, 7, 5, True)
