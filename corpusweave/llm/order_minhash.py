@@ -12,6 +12,8 @@ fingerprint; two empty ones are alike (1.0). Texts are read whole; beyond 2^23 w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,13 +109,13 @@ def _parts(docs: DataFrame, key: Column, parts: int) -> Column:
     return let(coarse, lambda c: c + F.size(F.filter(F.slice(F.array(*map(F.lit, bounds)), c + 1, F.lit(width)), lambda b: b < key)))
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], parts: int) -> DataFrame:
-    """Each row with ``next_`` columns: of the following row by ``key``, after the last of the first.
+def with_next(docs: DataFrame, key: str, derive: Callable[[DataFrame], DataFrame], columns: list[str], parts: int) -> DataFrame:
+    """Each row of ``derive(docs)`` with ``next_`` columns: of the following row by ``key``, after the last of the first.
 
     Rows are shuffled once, by range of the key; inside a range the next row is a window's lead, and the last row of a range takes
     the first one of the next range. Only the bounds and first keys of the ranges pass the driver, as many as there are ranges.
     """
-    ranged = docs.select(key, *columns, _parts(docs, F.col(key), parts).alias("__part"))
+    ranged = derive(docs).select(key, *columns, _parts(docs, F.col(key), parts).alias("__part"))
     rest = [key, *[c for c in columns if c != key]]
     following = Window.partitionBy("__part").orderBy(*rest)
     led = ranged.withColumn("__next", F.lead(F.struct(*columns)).over(following))
@@ -122,7 +124,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str], parts: int) -> Data
         firsts = [(0, NO_ID)]
     ahead = [F.struct(F.lit(part).alias("__part"), F.lit(firsts[(i + 1) % len(firsts)][1]).alias("__key")) for i, (part, _) in enumerate(firsts)]
     heads = docs.sparkSession.range(1).select(F.inline(F.array(*ahead)))
-    first_rows = docs.join(F.broadcast(heads), F.col(key) == F.col("__key")).groupBy("__part").agg(F.min(F.struct(*columns)).alias("__first"))
+    first_rows = derive(docs.join(F.broadcast(heads), F.col(key) == F.col("__key"))).groupBy("__part").agg(F.min(F.struct(*columns)).alias("__first"))
     joined = led.join(first_rows, "__part", "left").withColumn("__next", F.coalesce("__next", "__first"))
     return joined.select(key, *columns, *[F.col(f"__next.{c}").alias(f"next_{c}") for c in columns])
 
@@ -135,9 +137,8 @@ def edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     parts = parts or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), text_or_empty())
-    marked = rows.withColumn("fingerprint", fingerprint(F.col("text")))
     half = F.shiftright(F.char_length("text"), 1)
-    paired = with_next(marked, "doc_id", ["text", "fingerprint"], parts)
+    paired = with_next(rows, "doc_id", lambda df: df.withColumn("fingerprint", fingerprint(F.col("text"))), ["text", "fingerprint"], parts)
     edited = paired.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "fingerprint", "next_fingerprint", F.concat(
         F.expr("left(text, char_length(text) - shiftright(char_length(text), 1))"), F.left(F.col("next_text"), half)).alias("edited"))
     edited = edited.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
