@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -76,6 +77,7 @@ class Encoder:
         self.fits = Memo(self._compatible, PAIRS)
         self.words = Memo(self._word, WORDS)
         self.pieces = Memo(self._piece, PIECES)
+        self.packed = Memo(lambda piece: array("I", self._piece(piece)).tobytes(), PIECES)
 
     def _compatible(self, pair: tuple[int, int]) -> bool:
         """Would merging the joined text of two tokens end in these two? Undo their merges, the latest first, down to the letters at
@@ -129,6 +131,12 @@ class Encoder:
         cut = filter(None, SPACE.split(text)) if SEPARATORS.search(text) else text.split()
         return chain.from_iterable(map(self.pieces.__getitem__, cut))
 
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit numbers."""
+        if self.specials is not None and self.specials.search(text) or SEPARATORS.search(text):
+            return array("I", self.encode(text)).tobytes()
+        return b"".join(map(self.packed.__getitem__, text.split()))
+
     def encode(self, text: str) -> list[int]:
         if self.specials is None or not self.specials.search(text):
             return list(self._plain(text))

@@ -15,7 +15,6 @@ Every token lies in exactly one piece. A document without tokens has the end tok
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,6 +29,7 @@ from corpusweave.llm.rows import slices, text_or_empty
 CAPACITY = 4096
 GRAIN = 64
 END = 2
+END_BYTES = END.to_bytes(4, "little")
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
@@ -102,13 +102,13 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grain: int = GRAI
         raise ValueError("capacity and grain are powers of two, the grain not above the capacity")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, encode = Packer(TaskContext.get().partitionId() << 40, capacity, grain), encoder(path).encode
+        packer, encode = Packer(TaskContext.get().partitionId() << 40, capacity, grain), encoder(path).encode_bytes
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
 
         for ids, texts in slices(batches):
-            rows = [row for doc_id, text in zip(ids, texts, strict=True) for row in packer.add(doc_id, array("I", [*encode(text), END]).tobytes())]
+            rows = [row for doc_id, text in zip(ids, texts, strict=True) for row in packer.add(doc_id, encode(text) + END_BYTES)]
             if rows:
                 yield batch(rows)
         if rows := list(packer.finish()):
