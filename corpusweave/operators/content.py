@@ -122,7 +122,9 @@ def reference_spans(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     """Reference spans become ``sup`` with only their id; empty ones go."""
     element = Window.partitionBy(key, "elem_id")
     called = is_start("span") & attr("rel").eqNullSafe(F.lit("dc:references"))
-    filled = drop_subtrees(tokens, called & (F.col("end_seq") <= F.col("seq") + 1), key)
+    # token numbers may have gaps, so an empty element is one whose next token is its own end
+    following = F.lead("elem_id").over(Window.partitionBy(key).orderBy("seq"))
+    filled = drop_subtrees(tokens.withColumn("__next", following), called & F.col("__next").eqNullSafe(F.col("elem_id")), key).drop("__next")
     marked = filled.withColumn("__call", (F.max(F.when(called, 1).otherwise(0)).over(element) == 1) & F.col("elem_id").isNotNull())
     return marked.withColumns({
         "tag": F.when(F.col("__call"), F.lit("sup")).otherwise(F.col("tag")),

@@ -149,7 +149,7 @@ def rewrite_links(tokens: DataFrame, decided: DataFrame, known: DataFrame, key:
     columns = ["__action", "__href", "__mark"]
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in tokens.schema.fields if f.name not in (key, "elem_id")]
     told = tokens.withColumn("__told", F.lit(None).cast(verdicts.select(F.struct(*columns).alias("v")).schema["v"].dataType)).unionByName(
-        verdicts.select(key, "elem_id", *blank, F.struct(*columns).alias("__told")))
+        verdicts.select(key, "elem_id", *blank, F.struct(*columns).alias("__told"))).repartition(key)
     element = Window.partitionBy(key, "elem_id")
     joined = told.withColumn("__told", F.when(F.col("elem_id").isNotNull(), F.max("__told").over(element))).filter("kind IS NOT NULL")
     joined = joined.select(*tokens.columns, "__told.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.functions.urls import Site
-from corpusweave.operators import assets, content, dependencies
+from corpusweave.operators import assets, content, dependencies, links
 from corpusweave.operators.links import Flags
 from corpusweave.plans.intervals import drop_subtrees
 
@@ -42,3 +42,13 @@ def place_media(tokens: DataFrame, site: Site, page_path: Column, flags: Flags =
     if flags.nopic:
         heard = content.image_placeholders(content.drop_indirect_images(heard))
     return content.remove_empty_frames(content.media_attributes(heard, site, page_path), key)
+
+
+def render(tokens: DataFrame, known: DataFrame, site: Site, page_path: Column, flags: Flags = Flags(), key: str = "page_id") -> DataFrame:
+    """Links, cleaning and media in their order. ``tokens`` is a table (``html_tokens.tokenize_to_table``), as links are looked up apart from it.
+
+    Tokens are shuffled once, by page; the only other shuffle is that of link titles and known titles.
+    """
+    decided = links.classify(links.anchors(tokens, key).withColumn("page_path", page_path), site, flags)
+    linked = links.rewrite_links(tokens, decided, known, key)
+    return place_media(clean_pages(linked, site, page_path, flags, key=key), site, page_path, flags, key)

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from corpusweave import constants as c
 from corpusweave.operators import content as ops
+from corpusweave.operators import links, rendering
 from corpusweave.plans.intervals import is_start
 from corpusweave.plans.layout import spread
 from corpusweave.queries import Family, Query
+from corpusweave.session import new_table_path
 from corpusweave.sources import html_tokens, views
 from corpusweave.sources.views import with_views
 from corpusweave.sources.wiki_html import EXTRAS, wiki_pages, wiki_sql
@@ -94,6 +96,31 @@ def media_attrs(spark, sf_dir):
     return html_tokens.serialise(ops.media_attributes(tokens, views.SITE, path)).select("page_id", F.md5("html").alias("html_md5"))
 
 
+_RENDERED_SQL = wiki_sql({
+    0: '<div class="hatnote">see <a href="../Doc_{k}">x</a></div>', 1: "", 3: "", 5: '<sup id="r{k}">[2]</sup>', 6: "", 7: ("", '<div id="purgelink">x</div>'),
+    2: '<ul class="gallery"><li class="gallerybox"><img src="../@A@/P{k}.png" width="120" loading="lazy"></li></ul>',
+    8: '<div class="big thumb" style="color:red">y</div>', 9: '<figure><img src="../@I@/i.png" loading="lazy"></figure>',
+    10: '<video poster="../@A@/V{k}.jpg" height="40" controls="40"><source src="../@V@/{k}.webm"></video><img src="data:image/png,z" loading="lazy">',
+    11: '<a class="mw-kartographer-maplink" href="#">🌍</a><a class="external" href="https://www.youtube.com/watch?v=v{k}"><img width="9" src="../@Y@{k}@/hqdefault.jpg" alt="Video thumbnail" loading="lazy"></a>'
+        '<div src="https://x.example.org/e?k={k}" class="mwo-external-video-card"><a class="external" href="https://x.example.org/e?k={k}">Open embedded content (external)</a></div>',
+    12: '<audio controls="" src="../@V@/{k}.ogg"></audio>', 14: '<video controls="40"><source src="../@V@/{k}.webm"><track src="../V{k}.webm-en.vtt"></video>',
+    15: '<ul class="gallery"><li class="gallerybox"></li></ul>',
+}, drop_empty=True)
+for _mark, _dir in (("@A@", "https://img.example.org/a/ab/"), ("@I@", "https://wiki.example.org/im/"), ("@V@", "https://wiki.example.org/v/")):
+    _RENDERED_SQL = _RENDERED_SQL.replace(_mark, "_assets_/' || md5('" + _dir.replace("/a/ab/", "/") + "') || '")
+_RENDERED_SQL = _RENDERED_SQL.replace("@Y@{k}@", "_assets_/' || md5('https://img.youtube.com/vi/v' || k || '/') || '")
+
+
+@QUERIES.add(_RENDERED_SQL)
+def render_pages(spark, sf_dir):
+    """Pages through all steps: links, cleaning, media. The tokens are written once; from there on only titles leave their page."""
+    tokens = html_tokens.tokenize_to_table(wiki_pages(spark, sf_dir), new_table_path(spark, "tokens"))
+    path = F.concat(F.lit("Doc_"), F.col("page_id"), F.lit("/x"))
+    titles = views.sections(spark, sf_dir).select(F.concat(F.lit("Doc "), F.col("doc_id") + F.col("section")).alias("title")).distinct()
+    return html_tokens.serialise(rendering.render(tokens, links.known_titles(titles, titles.select(F.lower("title").alias("from_title"))), views.SITE, path)).select(
+        "page_id", F.md5("html").alias("html_md5"))
+
+
 @QUERIES.add("""
 WITH p AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'https://www.youtube.com/embed/v' || p_partkey || '?rel=0' WHEN 1 THEN '//youtu.be/v' || p_partkey
   WHEN 2 THEN 'https://www.youtube.com/watch?list=x' WHEN 3 THEN '/embed/' || p_partkey ELSE '' END AS src FROM part)

@@ -155,6 +155,12 @@ def tokenize(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
     return spread(pages.select(key, html)).mapInArrow(parse, schema)
 
 
+def tokenize_to_table(pages: DataFrame, path: str, key: str = "page_id", html: str = "html") -> DataFrame:
+    """``tokenize`` written to ``path`` and read again: a chain of steps over it parses no page a second time."""
+    tokenize(pages, key, html).write.parquet(path)
+    return pages.sparkSession.read.parquet(path)
+
+
 def css_classes(attrs: Column | str = "attrs") -> Column:
     attrs = F.col(attrs) if isinstance(attrs, str) else attrs
     return F.filter(F.split(F.coalesce(attrs["class"], F.lit("")), r"\s+"), lambda w: w != "")

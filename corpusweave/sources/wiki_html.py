@@ -51,11 +51,13 @@ def wiki_pages(spark: SparkSession, sf_dir: str, extras: list[str] | None = None
         F.concat(F.lit("<html><head><title>Doc "), "doc_id", F.lit("</title></head><body>"), sections, F.lit("</body></html>")).alias("html"))
 
 
-def wiki_sql(changed: dict[int, str] | None = None, first_only: bool = False, lead_only: bool = False, drop_empty: bool = False, where: str = "TRUE") -> str:
-    """SQL for (page_id, html_md5) of these pages with some extras replaced: what a cleaning step should leave."""
+def wiki_sql(changed: dict[int, str | tuple[str, str]] | None = None, first_only: bool = False, lead_only: bool = False, drop_empty: bool = False, where: str = "TRUE") -> str:
+    """SQL for (page_id, html_md5) of these pages with some extras replaced: what a cleaning step should leave. A pair holds for the first of
+    its kind on a page and for the others."""
     changed = changed or {}
     quote = lambda e: "replace('" + e.replace("'", "''") + "', '{k}', CAST(k AS VARCHAR))"
-    after = " ".join(f"WHEN k % {len(EXTRAS)} = {n} {'AND nth = 1' if first_only else ''} THEN {quote(e)}" for n, e in changed.items())
+    after = " ".join(f"WHEN k % {len(EXTRAS)} = {n} {'AND nth = 1' if first_only else ''} THEN {quote(e)}" for n, e in changed.items() if isinstance(e, str))
+    after += "".join(f" WHEN k % {len(EXTRAS)} = {n} AND nth = 1 THEN {quote(e[0])} WHEN k % {len(EXTRAS)} = {n} THEN {quote(e[1])}" for n, e in changed.items() if not isinstance(e, str))
     before = " ".join(f"WHEN k % {len(EXTRAS)} = {n} THEN {quote(e)}" for n, e in enumerate(WRITTEN))
     extra = f"CASE {after} {before} END"
     keep = " AND ".join(["TRUE", *(["i = 0"] if lead_only else []), *(["words >= 4"] if drop_empty else [])])

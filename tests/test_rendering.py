@@ -1,12 +1,13 @@
 """A page through all content steps."""
 
 import hashlib
+import re
 
 from pyspark.sql import functions as F
 
 from corpusweave.functions.urls import Site
-from corpusweave.operators import links, rendering
-from corpusweave.session import cut
+from corpusweave.operators import content, links, rendering
+from corpusweave.session import cut, new_table_path
 from corpusweave.sources import html_tokens
 
 SITE = Site(origin="https://en.wikipedia.org")
@@ -50,3 +51,25 @@ def test_lead_only_without_pictures(spark):
 def test_no_pictures(spark):
     out = rendered(spark, links.Flags(nopic=True))
     assert "<video" not in out and out.count("data:image/svg+xml") == 2 and "_assets_" not in out
+
+
+def test_chain_shuffles_tokens_once_and_parses_them_nowhere(spark):
+    path = F.concat(F.lit("Doc_"), F.col("page_id"))
+    tokens = html_tokens.tokenize_to_table(spark.createDataFrame([(1, HTML), (2, HTML)], "page_id int, html string"), new_table_path(spark, "tokens"))
+    known = links.known_titles(spark.createDataFrame([("Here",)], "title string"), spark.createDataFrame([], "from_title string"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = rendering.render(tokens, known, SITE, path)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys = re.findall(r"Exchange hashpartitioning\((\w+)#\d+, ", plan)
+    assert len(re.findall("Exchange hashpartitioning", plan)) == len(keys), "a shuffle by more than one column"
+    # anchors are numbered by page and then looked up by title; tokens and verdicts meet by page
+    assert sorted(keys) == sorted(["page_id"] * keys.count("page_id") + ["title"] * keys.count("title")) and keys.count("page_id") <= 2 and keys.count("title") <= 2
+    assert "MapInArrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_empty_reference_spans_go_after_frames_made_gaps(spark):
+    html = '<iframe src="https://youtu.be/v"></iframe><span rel="dc:references" id="r"></span><span rel="dc:references" id="q">[1]</span>'
+    tokens = html_tokens.tokenize(spark.createDataFrame([(1, html)], "page_id int, html string"))
+    out = html_tokens.serialise(content.reference_spans(content.replace_iframes(tokens, SITE))).first().html
+    assert out.endswith('</a><sup id="q">[1]</sup>')
