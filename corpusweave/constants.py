@@ -3,6 +3,8 @@
 Everything here is data: results are only right if these strings, numbers and patterns are exactly these.
 """
 
+from dataclasses import dataclass
+
 # --- fixed values: link decisions ------------------------------------------------------------------
 CLASS_NO_REWRITE = "mwo-norewrite"
 CLASS_SELF_LINK = "mw-selflink"
@@ -124,37 +126,50 @@ API_CODES_NOT_RETRIED = [
 DB_ERROR_CODE = "internal_api_error_DBQueryError"
 
 PARSE_URL = "api.php?action=parse&format=json"
+@dataclass(frozen=True)
+class ErrorRule:
+    """A rule of the error table: the conditions that are given must all hold. ``hard`` failures count against the page budget."""
+
+    message: str
+    error_code: str | None = None
+    url: str | None = None
+    http: tuple[int, ...] | list[int] | None = None
+    content_type: str | None = None
+    empty_body: bool = False
+    raw_text: str | None = None
+    json_path: str | None = None
+    json_text: str | None = None
+    hard: bool = False
+
+
 # Ordered; the first rule whose given conditions all hold decides.
-# (message key, error code, url part, http codes, content type, empty body, raw text, json path, json text, hard)
 ERROR_RULES = [
-    ("DELETED_PAGE", None, None, [404], None, False, None, None, None, False),
-    ("DELETED_PAGE", None, None, None, None, False, "Page has been deleted.", None, None, False),
-    ("DELETED_PAGE", None, None, None, None, False, None, "error.code", "missingtitle", False),
-    ("PERMISSION_DENIED", None, None, None, None, False, None, "error.code", "permissiondenied", False),
-    ("CATEGORY_LOCKDOWN", None, None, None, None, False, None, "error.code", "categorylockdown", False),
-    ("CLIENT_SIDE_TIMEOUT", "ERR_CANCELED", None, None, None, False, None, None, None, True),
-    ("ACTION_PARSE_UPSTREAM_TIMEOUT", None, PARSE_URL, [200, 504], "application/json", False, None, "error.code",
-     "internal_api_error_Wikimedia\\RequestTimeout\\RequestTimeoutException", True),
-    ("ACTION_PARSE_HTML_503_ERROR", None, PARSE_URL, [503], "text/html", False,
-     "Our servers are currently under maintenance or experiencing a technical problem", None, None, True),
-    ("ACTION_PARSE_BAD_REVISION_ERROR", None, PARSE_URL, [200], "application/json", False, None, "error.code",
-     "internal_api_error_MediaWiki\\Revision\\BadRevisionException", True),
-    ("ACTION_PARSE_UNREACHABLE_EXCEPTION_ERROR", None, PARSE_URL, [200], "application/json", False, None,
-     "error.code", "internal_api_error_Wikimedia\\Assert\\UnreachableException", True),
-    ("ACTION_PARSE_INVARIANT_EXCEPTION_ERROR", None, PARSE_URL, [200], "application/json", False, None,
-     "error.code", "internal_api_error_Wikimedia\\Assert\\InvariantException", True),
-    ("ACTION_PARSE_PARSOID_RESOURCE_LIMIT_EXCEEDED", None, PARSE_URL, [200], "application/json", False, None,
-     "error.code", "internal_api_error_Wikimedia\\Parsoid\\Core\\ResourceLimitExceededException", True),
-    ("ACTION_PARSE_GENERIC_INTERNAL_API_ERROR", None, PARSE_URL, [200], "application/json", False, None,
-     "error.code", "internal_api_error_Error", True),
-    ("ACTION_PARSE_INVALID_ARGUMENT_EXCEPTION_ERROR", None, PARSE_URL, [200], "application/json", False, None,
-     "error.code", "internal_api_error_InvalidArgumentException", True),
-    ("ACTION_PARSE_INTERNAL_API_TYPE_ERROR", None, PARSE_URL, [200], "application/json", False, None,
-     "error.code", "internal_api_error_TypeError", True),
-    # the last path step is the literal key '*', not a wildcard
-    ("ACTION_PARSE_TRUNCATED_RESPONSE", None, PARSE_URL, None, None, False, None, "warnings.result.*",
-     "This result was truncated", True),
-    ("ACTION_PARSE_EMPTY_500_RESPONSE", None, PARSE_URL, [500], "text/html", True, None, None, None, True),
+    ErrorRule("DELETED_PAGE", http=[404]),
+    ErrorRule("DELETED_PAGE", raw_text="Page has been deleted."),
+    ErrorRule("DELETED_PAGE", json_path="error.code", json_text="missingtitle"),
+    ErrorRule("PERMISSION_DENIED", json_path="error.code", json_text="permissiondenied"),
+    ErrorRule("CATEGORY_LOCKDOWN", json_path="error.code", json_text="categorylockdown"),
+    ErrorRule("CLIENT_SIDE_TIMEOUT", error_code="ERR_CANCELED", hard=True),
+    ErrorRule("ACTION_PARSE_UPSTREAM_TIMEOUT", url=PARSE_URL, http=[200, 504], content_type="application/json", json_path="error.code",
+              json_text="internal_api_error_Wikimedia\\RequestTimeout\\RequestTimeoutException", hard=True),
+    ErrorRule("ACTION_PARSE_HTML_503_ERROR", url=PARSE_URL, http=[503], content_type="text/html",
+              raw_text="Our servers are currently under maintenance or experiencing a technical problem", hard=True),
+    ErrorRule("ACTION_PARSE_BAD_REVISION_ERROR", url=PARSE_URL, http=[200], content_type="application/json", json_path="error.code",
+              json_text="internal_api_error_MediaWiki\\Revision\\BadRevisionException", hard=True),
+    ErrorRule("ACTION_PARSE_UNREACHABLE_EXCEPTION_ERROR", url=PARSE_URL, http=[200], content_type="application/json",
+              json_path="error.code", json_text="internal_api_error_Wikimedia\\Assert\\UnreachableException", hard=True),
+    ErrorRule("ACTION_PARSE_INVARIANT_EXCEPTION_ERROR", url=PARSE_URL, http=[200], content_type="application/json", json_path="error.code",
+              json_text="internal_api_error_Wikimedia\\Assert\\InvariantException", hard=True),
+    ErrorRule("ACTION_PARSE_PARSOID_RESOURCE_LIMIT_EXCEEDED", url=PARSE_URL, http=[200], content_type="application/json",
+              json_path="error.code", json_text="internal_api_error_Wikimedia\\Parsoid\\Core\\ResourceLimitExceededException", hard=True),
+    ErrorRule("ACTION_PARSE_GENERIC_INTERNAL_API_ERROR", url=PARSE_URL, http=[200], content_type="application/json",
+              json_path="error.code", json_text="internal_api_error_Error", hard=True),
+    ErrorRule("ACTION_PARSE_INVALID_ARGUMENT_EXCEPTION_ERROR", url=PARSE_URL, http=[200], content_type="application/json",
+              json_path="error.code", json_text="internal_api_error_InvalidArgumentException", hard=True),
+    ErrorRule("ACTION_PARSE_INTERNAL_API_TYPE_ERROR", url=PARSE_URL, http=[200], content_type="application/json", json_path="error.code",
+              json_text="internal_api_error_TypeError", hard=True),
+    ErrorRule("ACTION_PARSE_TRUNCATED_RESPONSE", url=PARSE_URL, json_path="warnings.result.*", json_text="This result was truncated", hard=True),
+    ErrorRule("ACTION_PARSE_EMPTY_500_RESPONSE", url=PARSE_URL, http=[500], content_type="text/html", empty_body=True, hard=True),
 ]
 
 # --- fixed values: snapshot metadata ---------------------------------------------------------------
@@ -168,3 +183,20 @@ PNG_SIGNATURE_HEX = "89504E470D0A1A0A"
 # --- fixed values: embeds --------------------------------------------------------------------------
 VIDEO_HOST_MARKS = ["youtube.com/embed/", "youtube-nocookie.com/embed/", "youtu.be/", "youtube.com/watch"]
 VIDEO_ID_PATTERN = r"(?:embed\/|v=|\.be\/)([a-zA-Z0-9_-]+)"
+
+# fixed values: what stands for an embedded frame
+FRAME_CARD_CLASS = "mwo-external-video-card"
+FRAME_TEXTS = {"thumbnail": "Video thumbnail", "label": "View this content externally", "card": "Open embedded content (external)"}
+
+# fixed values: style modules of category pages, and of those with files shown as a gallery
+CATEGORY_STYLE_MODULE = "mediawiki.action.styles"
+GALLERY_STYLE_MODULE = "mediawiki.page.gallery.styles"
+
+# fixed values: texts of metadata violations
+METADATA_MESSAGES = {
+    "required": 'Metadata "{key}" is required',
+    "language": 'MetaData Language: must match pattern "{pattern}"',
+    "graphemes": "MetaData {key}: must NOT have more than {most} graphemes",
+    "characters": "MetaData {key}: must NOT have more than {most} characters",
+    "image": "MetaData {key}: must match regex pattern",
+}

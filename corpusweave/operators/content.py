@@ -168,18 +168,18 @@ def replace_iframes(tokens: DataFrame, site: Site, key: str = "page_id") -> Data
 
     anchor = mapping(("class", "external"), ("href", parts["href"]))
     image = F.map_concat(F.map_filter(attrs, lambda k, v: ~k.isin("src", "alt", "loading")),
-                         mapping(("src", parts["thumbnail"]), ("alt", "Video thumbnail"), ("loading", "lazy")))
+                         mapping(("src", parts["thumbnail"]), ("alt", c.FRAME_TEXTS["thumbnail"]), ("loading", "lazy")))
     card = F.map_concat(F.map_filter(attrs, lambda k, v: k != "class"),
-                        mapping(("class", F.concat_ws(" ", attrs["class"], F.lit("mwo-external-video-card")))))
-    labelled = F.map_concat(anchor, mapping(("aria-label", "View this content externally")))
+                        mapping(("class", F.concat_ws(" ", attrs["class"], F.lit(c.FRAME_CARD_CLASS)))))
+    labelled = F.map_concat(anchor, mapping(("aria-label", c.FRAME_TEXTS["label"])))
     # kind, element, parent, tag, attributes, text, levels below the frame, number of the last token inside
     layouts = {
         "thumbnail": [("start", first, parent, "a", anchor, None, 0, 2), ("start", second, first, "img", image, None, 1, 1),
                       ("end", first, parent, "a", None, None, 0, 2)],
-        "link": [("start", first, parent, "a", labelled, None, 0, 2), ("text", None, first, None, None, "View this content externally", 1, 1),
+        "link": [("start", first, parent, "a", labelled, None, 0, 2), ("text", None, first, None, None, c.FRAME_TEXTS["label"], 1, 1),
                  ("end", first, parent, "a", None, None, 0, 2)],
         "card": [("start", first, parent, "div", card, None, 0, 4), ("start", second, first, "a", anchor, None, 1, 3),
-                 ("text", None, second, None, None, "Open embedded content (external)", 2, 2), ("end", second, first, "a", None, None, 1, 3),
+                 ("text", None, second, None, None, c.FRAME_TEXTS["card"], 2, 2), ("end", second, first, "a", None, None, 1, 3),
                  ("end", first, parent, "div", None, None, 0, 4)],
     }
     # ordinary tokens stay one row each

@@ -135,7 +135,15 @@ def module_edges(pages: DataFrame, key: str) -> DataFrame:
     return pages.select(key, F.inline(both)).select(key, "kind", F.explode("names").alias("module"))
 
 
+def category_styles(flags: DataFrame, key: str) -> DataFrame:
+    """key, kind, module: the styles that category pages add. ``flags``: key, size (members), files, nogallery."""
+    styles = F.array_compact(F.array(
+        F.when(F.col("size") > 0, F.lit(c.CATEGORY_STYLE_MODULE)), F.when((F.col("files") > 0) & ~F.col("nogallery"), F.lit(c.GALLERY_STYLE_MODULE))))
+    return flags.select(key, F.lit("css").alias("kind"), F.explode(styles).alias("module"))
+
+
 def needs_math(modules: Column) -> Column:
+    """Whether a page loads a formula renderer: one of its modules names it."""
     return F.exists(modules, lambda m: m.rlike("(?i)mathjax"))
 
 

@@ -18,12 +18,12 @@ from corpusweave.plans.keyed import lookup
 
 @dataclass(frozen=True)
 class Flags:
-    """What a snapshot variant leaves out."""
+    """What a snapshot variant leaves out; columns where rows are of different variants."""
 
-    nopic: bool = False
-    novid: bool = False
-    nopdf: bool = False
-    nodet: bool = False
+    nopic: bool | Column = False
+    novid: bool | Column = False
+    nopdf: bool | Column = False
+    nodet: bool | Column = False
 
 
 def anchors(tokens: DataFrame, key: str = "page_id") -> DataFrame:
@@ -39,8 +39,8 @@ def anchors(tokens: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def media_wanted(href: Column, flags: Flags) -> Column:
-    sound = (href.contains(".ogg") | href.contains(".oga")) & F.lit(not (flags.nopic or flags.novid or flags.nodet))
-    return (href.contains(".pdf") & F.lit(not flags.nopdf)) | sound
+    sound = (href.contains(".ogg") | href.contains(".oga")) & ~(F.lit(flags.nopic) | F.lit(flags.novid) | F.lit(flags.nodet))
+    return (href.contains(".pdf") & ~F.lit(flags.nopdf)) | sound
 
 
 def classify(links: DataFrame, site: Site, flags: Flags = Flags()) -> DataFrame:
@@ -56,6 +56,9 @@ def classify(links: DataFrame, site: Site, flags: Flags = Flags()) -> DataFrame:
     def has(name: str, word: str) -> Column:
         return F.array_contains(F.col(name), word)
 
+    # addresses are only worked out for links that the first rules leave open
+    first = (has("__class", c.CLASS_NO_REWRITE) | (has("__class", c.CLASS_SELF_LINK) & (F.col("__href") == "")) | has("__class", c.CLASS_RED_LINK)
+             | (F.col("__scheme0").isNotNull() & ~F.col("__scheme0").contains("http")) | has("__rel0", c.REL_NO_REWRITE))
     staged = links.withColumns({
         "__href": F.coalesce("href", F.lit("")), "__class": words("class"), "__rel0": words("rel"),
     }).withColumns({
@@ -67,13 +70,15 @@ def classify(links: DataFrame, site: Site, flags: Flags = Flags()) -> DataFrame:
         "__rel1": F.when((F.size("__rel0") == 0) & (F.coalesce("resource", F.lit("")) != ""), F.array(F.lit(c.REL_MEDIA))).otherwise(F.col("__rel0")),
     }).withColumns({
         "__rel": F.when(F.col("__web") & (F.size("__rel1") == 0), F.array(F.lit(c.REL_EXTERNAL))).otherwise(F.col("__rel1")),
-        "__geo": F.when(is_map_href(F.col("__url")), geo_href("__url")),
-        "__title": href_title("__url", site), "__abs": absolute_url("__url", site.origin + "/"),
+        "__open": ~first & (F.col("__url") != "") & ~F.col("__url").startswith("#"),
+    }).withColumns({
+        "__geo": F.when(F.col("__open") & is_map_href(F.col("__url")), geo_href("__url")),
+        "__title": F.when(F.col("__open"), href_title("__url", site)), "__abs": F.when(F.col("__open"), absolute_url("__url", site.origin + "/")),
     }).withColumns({
         "__outside": ~(F.col("__url").startswith(site.article_url) & ~has("__class", "external")) & ~has("__class", c.CLASS_MIRROR_LINK),
         "__foreign": has("__rel", c.REL_EXTERNAL) | has("__rel", c.REL_INTERWIKI) | has("__class", "extiw"),
         "__is_wiki": has("__rel", c.REL_WIKI),
-        "__asset": F.when(media_wanted(F.col("__url"), flags), asset_path("__abs", escape=True)),
+        "__asset": F.when(F.col("__open") & media_wanted(F.col("__url"), flags), asset_path("__abs", escape=True)),
     })
     url = F.col("__url")
     external = has("__class", "external") | F.col("__foreign")

@@ -35,23 +35,22 @@ def _path_column(dotted: str) -> str:
     return f"__json {dotted}"
 
 
-def _rule_holds(rule: tuple) -> Column:
-    _, code, url, http, content_type, empty, raw, path, text, _ = rule
+def _rule_holds(rule: c.ErrorRule) -> Column:
     holds = [F.lit(True)]
-    if url:
-        holds.append(F.col("url").contains(url))
-    if code:
-        holds.append(F.col("error_code").contains(code))
-    if http:
-        holds.append(F.col("http").isin(*http))
-    if content_type:
-        holds.append(F.lower("content_type").contains(content_type.lower()))
-    if empty:
+    if rule.url:
+        holds.append(F.col("url").contains(rule.url))
+    if rule.error_code:
+        holds.append(F.col("error_code").contains(rule.error_code))
+    if rule.http:
+        holds.append(F.col("http").isin(*rule.http))
+    if rule.content_type:
+        holds.append(F.lower("content_type").contains(rule.content_type.lower()))
+    if rule.empty_body:
         holds.append(F.col("raw_body") == "")
-    if raw:
-        holds.append(F.col("raw_body").contains(raw))
-    if path:
-        holds.append(F.col(f"`{_path_column(path)}`").contains(text))
+    if rule.raw_text:
+        holds.append(F.col("raw_body").contains(rule.raw_text))
+    if rule.json_path:
+        holds.append(F.col(f"`{_path_column(rule.json_path)}`").contains(rule.json_text))
     out = holds[0]
     for h in holds[1:]:
         out = out & h
@@ -64,10 +63,10 @@ def with_first_rule(failures: DataFrame) -> DataFrame:
     ``failures``: url, error_code, http, content_type, raw_body (text responses), json_body (JSON responses).
     """
     number = F.coalesce(*[F.when(_rule_holds(rule), F.lit(n + 1)) for n, rule in enumerate(c.ERROR_RULES)])
-    messages = F.array(*[F.lit(rule[0]) for rule in c.ERROR_RULES])
-    hard = F.array(*[F.lit(rule[-1]) for rule in c.ERROR_RULES])
+    messages = F.array(*[F.lit(rule.message) for rule in c.ERROR_RULES])
+    hard = F.array(*[F.lit(rule.hard) for rule in c.ERROR_RULES])
     # each JSON path is read once per row, however many rules look at it
-    paths = sorted({rule[7] for rule in c.ERROR_RULES if rule[7]})
+    paths = sorted({rule.json_path for rule in c.ERROR_RULES if rule.json_path})
     read = failures.withColumns({_path_column(p): _json_at(F.col("json_body"), p) for p in paths})
     # a filter on the verdict must not be pushed below it, or every rule would be evaluated twice
     marked = read.select(*failures.columns, F.explode(F.array(number.cast("long"))).alias("rule_no"))
@@ -171,25 +170,26 @@ def metadata_violation(has: Column | None = None) -> Column:
 
     Missing keys come first, in the order of the required list; then the keys in schema order.
     """
-    required = [F.when(F.col(f"`{k}`").isNull(), F.lit(f'Metadata "{k}" is required')) for k in c.METADATA_REQUIRED]
+    text = c.METADATA_MESSAGES
+    required = [F.when(F.col(f"`{k}`").isNull(), F.lit(text["required"].format(key=k))) for k in c.METADATA_REQUIRED]
     checks: list[Column] = []
     for key in ("Name", "Creator", "Description", "Language", "Publisher", "Title", "Date", "Illustration_48x48@1", "LongDescription"):
         value = F.col(f"`{key}`")
         if key in c.METADATA_MIN_ONE:
-            checks.append(F.when(value == "", F.lit(f'Metadata "{key}" is required')))
+            checks.append(F.when(value == "", F.lit(text["required"].format(key=key))))
         if key == "Language":
-            checks.append(F.when(~value.rlike(c.METADATA_LANGUAGE_PATTERN), F.lit(f'MetaData Language: must match pattern "{c.METADATA_LANGUAGE_PATTERN}"')))
+            checks.append(F.when(~value.rlike(c.METADATA_LANGUAGE_PATTERN), F.lit(text["language"].format(pattern=c.METADATA_LANGUAGE_PATTERN))))
         if key in c.METADATA_MAX_GRAPHEMES:
             most = c.METADATA_MAX_GRAPHEMES[key]
-            checks.append(F.when(F.regexp_count(value, F.lit(r"\X")) > most, F.lit(f"MetaData {key}: must NOT have more than {most} graphemes")))
+            checks.append(F.when(F.regexp_count(value, F.lit(r"\X")) > most, F.lit(text["graphemes"].format(key=key, most=most))))
         if key == "Date":
             n = c.METADATA_DATE_LENGTH
-            checks.append(F.when(F.char_length(value) > n, F.lit(f"MetaData Date: must NOT have more than {n} characters")))
-            checks.append(F.when(F.char_length(value) < n, F.lit('Metadata "Date" is required')))
+            checks.append(F.when(F.char_length(value) > n, F.lit(text["characters"].format(key=key, most=n))))
+            checks.append(F.when(F.char_length(value) < n, F.lit(text["required"].format(key=key))))
         if key.startswith("Illustration"):
             image = F.hex(value)
             good = image.startswith(c.PNG_SIGNATURE_HEX) & (F.char_length(image) > 16) & ~F.substring(image, 17, 2).isin("0A", "0D")
-            checks.append(F.when(~good, F.lit(f"MetaData {key}: must match regex pattern")))
+            checks.append(F.when(~good, F.lit(text["image"].format(key=key))))
     return F.coalesce(*required, *checks)
 
 

@@ -163,3 +163,20 @@ def gadget_match(spark, sf_dir):
     pages = views.documents(spark, sf_dir).select(
         "doc_id", F.when(F.col("ns") != 0, F.col("ns")).alias("ns"), F.when(F.col("contentmodel") != "src0", F.col("contentmodel")).alias("contentmodel"), F.array("lang").alias("categories"))
     return ops.active_gadgets(pages, GADGETS, "doc_id", skin="vector")
+
+
+@QUERIES.add("""
+WITH m AS (SELECT c_nationkey || '/' || c_mktsegment AS category, count(*) AS size, count(*) FILTER (c_acctbal >= 5000) AS files, min(c_nationkey) % 2 = 0 AS nogallery FROM customer GROUP BY 1)
+SELECT category, 'css' AS kind, 'mediawiki.action.styles' AS module FROM m
+UNION ALL SELECT category, 'css', 'mediawiki.page.gallery.styles' FROM m WHERE files > 0 AND NOT nogallery""")
+def category_styles(spark, sf_dir):
+    customers = views.table(spark, sf_dir, "customer").groupBy(F.concat_ws("/", "c_nationkey", "c_mktsegment").alias("category")).agg(
+        F.count(F.lit(1)).alias("size"), F.count_if(F.col("c_acctbal") >= 5000).alias("files"), (F.min("c_nationkey") % 2 == 0).alias("nogallery"))
+    return ops.category_styles(customers, "category")
+
+
+@QUERIES.add("SELECT p_partkey AS page, p_size % 3 = 0 OR p_size % 5 = 0 AS math FROM part")
+def math_flag(spark, sf_dir):
+    size = F.col("p_size")
+    modules = F.array_compact(F.array(F.lit("jquery"), F.when(size % 3 == 0, F.lit("ext.math.MathJax")), F.when(size % 5 == 0, F.lit("ext.mathjax.loader")), F.lit("ext.math.styles")))
+    return views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), ops.needs_math(modules).alias("math"))

@@ -147,11 +147,9 @@ SELECT page_id, pos, f.variant, CASE WHEN (k = 15 AND f.variant <> 'nopdf') OR (
 FROM v_hk, (VALUES ('full'), ('nopdf'), ('nopic')) f(variant) WHERE k IN (15, 16, 17)"""))
 def link_media(spark, sf_dir):
     links = views.page_hrefs(spark, sf_dir).filter("resource IS NOT NULL")
-    out = None
-    for name, flags in (("full", ops.Flags()), ("nopdf", ops.Flags(nopdf=True)), ("nopic", ops.Flags(nopic=True))):
-        rows = ops.classify(links, SITE, flags).select("page_id", F.col("pos").cast("long").alias("pos"), F.lit(name).alias("variant"), "action", "asset_url")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    variants = F.array(*[F.struct(F.lit(name).alias("variant"), F.lit(name == "nopdf").alias("nopdf"), F.lit(name == "nopic").alias("nopic")) for name in ("full", "nopdf", "nopic")])
+    flags = ops.Flags(nopdf=F.col("nopdf"), nopic=F.col("nopic"))
+    return ops.classify(links.select("*", F.inline(variants)), SITE, flags).select("page_id", F.col("pos").cast("long").alias("pos"), "variant", "action", "asset_url")
 
 
 @QUERIES.add(with_views("pages", body=_KNOWN_SQL + """

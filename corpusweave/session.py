@@ -43,8 +43,21 @@ def shared_folder(spark: SparkSession) -> str:
     return configured
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this run (one Spark application) keeps its intermediate tables. They live as long as results over them are read; ``remove_run_folder``
+    is for the end of the run, and a folder of an application that has ended may be removed at any time."""
+    return f"{shared_folder(spark).rstrip('/')}/corpusweave-{spark.sparkContext.applicationId}"
+
+
 def new_table_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_run_folder(spark: SparkSession) -> bool:
+    """Delete the intermediate tables of this run from whatever store they lie in."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
