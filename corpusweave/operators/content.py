@@ -82,7 +82,8 @@ def remove_empty_sections(tokens: DataFrame, key: str = "page_id") -> DataFrame:
     # start tokens speak for their parent, end tokens listen for their own element and tell its start
     ended = F.col("kind") == "end"
     family = Window.partitionBy(key, F.when(ended, F.col("elem_id")).otherwise(F.col("parent_id")))
-    heard = tokens.withColumn("__heard", F.max(F.when(is_start() & ~heading, True)).over(family))
+    # by page first: the windows below are finer, and would each shuffle for themselves; over tokens that lie by page this falls away
+    heard = tokens.repartition(key).withColumn("__heard", F.max(F.when(is_start() & ~heading, True)).over(family))
     marked = heard.withColumn("__filled", F.max(F.when(ended, F.col("__heard"))).over(Window.partitionBy(key, "elem_id")))
     return drop_subtrees(marked, (F.col("tag") == "section") & F.col("__filled").isNull(), key).drop("__filled", "__heard")
 

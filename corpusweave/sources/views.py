@@ -35,7 +35,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Catalogue of ``pages``: one row per title, the lowest page id."""
+    """Catalogue of ``pages``: one row per title, the lowest page id.
+
+    Links in these pages name single words, so a page's key is the first word of its heading; pages that share it are one entry, as pages of
+    one title are in a wiki.
+    """
     return pages(spark, sf_dir).groupBy("title").agg(F.min("page_id").alias("page_id"))
 
 

@@ -1,4 +1,4 @@
-"""The same queries on tables where one key holds a third of all rows, with broadcasts off so that joins are salted."""
+"""The same queries on tables where one key holds a third of all rows, with broadcasts off so that joins shuffle."""
 
 import os
 
@@ -47,7 +47,7 @@ def skewed(tmp_path_factory):
 
 
 @pytest.fixture(scope="module")
-def salted(spark):
+def shuffling(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield spark
@@ -55,8 +55,8 @@ def salted(spark):
 
 
 @pytest.mark.parametrize("name", QUERIES)
-def test_query_on_skewed_tables(salted, skewed, name):
+def test_query_on_skewed_tables(shuffling, skewed, name):
     folder, con = skewed
     query = registry()[name]
-    result = compare(query.build(salted, folder), con.sql(query.sql))
+    result = compare(query.build(shuffling, folder), con.sql(query.sql))
     assert result.startswith("ok"), result

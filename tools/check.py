@@ -1,6 +1,6 @@
 """Compare registered queries with their SQL twins: ``python tools/check.py [sf] [name prefix ...]``.
 
-``CHECK_NO_BROADCAST=1`` turns broadcasts off, so that every lookup takes its salted form.
+``CHECK_NO_BROADCAST=1`` turns broadcasts off, so that every lookup shuffles.
 """
 
 import math
