@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from corpusweave.llm.rows import Memo, map_documents, text_or_empty
 
 #: Remembered words and pieces between spaces per Python worker.
-WORDS, PIECES, PAIRS = 300_000, 300_000, 500_000
+WORDS, PIECES, PAIRS = 700_000, 700_000, 500_000
 #: Python's str.split takes these for spaces, the tokenizer doesn't.
 SEPARATORS = regex.compile(r"[\x1C-\x1F]")
 SPACE = regex.compile(r"\s+")
