@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -54,9 +55,18 @@ NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'
 HIDDEN = re.compile(r"""\shidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 TOKEN = re.compile(
     r"<!--(?s:.*?)(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|canvas|select|textarea|button|audio|video)\b(?s:.*?)(?:</\1\s*>|\Z)"
+    r"|<(script|style)\b(?s:.*?)(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)", re.I)
+#: Elements that are left out with all in them, if they end; else their tag alone is.
+EMBEDDED = frozenset("noscript template svg iframe object canvas select textarea button audio video".split())
+#: What ends them or, for the last three, shows that they have ended: their next start, or HTML elements outside of foreign ones.
+ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in (*EMBEDDED, "foreignobject", "desc", "title")} | {
+    "button": re.compile(r"</button\s*>|<button\b", re.I),
+    "select": re.compile(r"</select\s*>|<(?:select|input|textarea)\b", re.I),
+    "svg": re.compile(
+        r"</svg\s*>|<(foreignobject|desc|title)\b|<(?:b|big|blockquote|body|br|center|code|dd|div|dl|dt|em|embed|h[1-6]|head|hr|i|img|li|listing|menu|meta|nobr|ol|p|pre|ruby"
+        r"|s|small|span|strong|strike|sub|sup|table|tt|u|ul|var|article|aside|section|main|header|footer|nav|figure)(?=[\s/>])", re.I)}
 WORDS = re.compile(r"[^\W\d_]+")
 
 CONTENT, OTHER, OPEN = 1, 0, None
@@ -85,6 +95,33 @@ def declaration(tag: str, attributes: str, outer: int | None) -> int | None:
     return CONTENT if tag in ("article", "main") or tag != "body" and names & CONTENT_NAMES else outer
 
 
+def embedded_end(page: str, tag: str, at: int, endless: set[str]) -> int | None:
+    """Where an embedded element ends whose start tag ends at ``at``; None if it doesn't. ``endless``: elements with no end in the rest of the page."""
+    while tag not in endless:
+        found = ENDS[tag].search(page, at)
+        if not found:
+            endless.add(tag)
+        elif found[0].startswith("</"):
+            return found.end()
+        elif tag != "svg":
+            return None
+        elif not found[1]:
+            return found.start()
+        else:
+            at = embedded_end(page, found[1].lower(), found.end(), endless) or found.end()
+    return None
+
+
+def tags(page: str) -> Iterator[tuple[re.Match, int]]:
+    """Tags, comments and other markup, and where the text goes on after each; embedded elements count as one."""
+    at, endless = 0, set()
+    while token := TOKEN.search(page, at):
+        at, tag = token.end(), (token[3] or "").lower()
+        if tag in EMBEDDED and not token[2] and not (tag == "svg" and token[4].endswith("/")):
+            at = embedded_end(page, tag, at, endless) or at
+        yield token, at
+
+
 def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, int | None]] = []
@@ -103,9 +140,9 @@ def blocks(page: str) -> list[Block]:
         links, breaks = 0, 0
 
     at = 0
-    for token in TOKEN.finditer(page):
+    for token, after in tags(page):
         plain = page[at:token.start()]
-        at = token.end()
+        at = after
         if plain:
             text.append(plain)
             if plain.strip():

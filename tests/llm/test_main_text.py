@@ -27,6 +27,27 @@ CASES = {
     "navigation only": ("<nav><a href=1>x</a></nav>", ""),
 }
 
+#: Embedded elements that are empty, end by what follows, or don't end.
+EMBEDDED = {
+    "an icon": ("<article><p>one</p><svg class='i'/><p>two</p><svg viewBox='0 0 1 1' /><p>three</p><svg><path d=1 /></svg></article>", "one\ntwo\nthree"),
+    "an svg ended by html": ("<article><p>one</p><svg><path d=1><text>x</text><p>two</p></article>", "one\ntwo"),
+    "html in an svg": ("<article>one<svg><foreignObject><p>two</p></foreignObject><text>x</text></svg><p>three</article>", "one\nthree"),
+    "open to the end": ("<article><p>one</p><canvas><p>two</p><iframe><object><video><p>three</p></article>", "one\ntwo\nthree"),
+    "a button without end": ("<article><p>one</p><button><p>two</p><button>x</button><select><option><p>three</p><input><p>four</p></article>", "one\ntwo\nthree\nfour"),
+    "ended ones": ("<article>one<button>a</button><select><option>b</select><canvas><p>c</canvas><object>d</object><textarea><p>e</textarea><p>two</article>", "one\ntwo"),
+}
+
+
+@pytest.mark.parametrize("name", EMBEDDED)
+def test_embedded_elements(name):
+    page, text = EMBEDDED[name]
+    assert main_text.extract(page) == text
+
+
+def test_embedded_elements_stay_linear():
+    for page in ("<svg>" * 50_000, "<button>" * 50_000, "<svg><title></title>" * 20_000 + "<desc>", "<svg><desc>" * 20_000, "<canvas>" * 50_000, "<select><input>" * 20_000):
+        main_text.extract(page)
+
 
 @pytest.mark.parametrize("name", CASES)
 def test_extract(name):
