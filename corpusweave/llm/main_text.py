@@ -50,6 +50,12 @@ NOT_CONTENT_NAMES = frozenset((
     "related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget"
 ).split())
 CONTENT_NAMES = frozenset("article content entry main post story".split())
+#: Of what is not content by its names, what holds articles of its own; in others, an article or main inside shows that they wrap the page.
+OF_OTHERS = frozenset((
+    "ad ads adv advert adverts advertisement advertising comment comments disqus promo promoted related reply replies respond sponsor sponsored"
+).split())
+#: A class as in "with-sidebar" says what the element holds, not what it is.
+HOLDING = frozenset("has have no with without".split())
 SPLIT_NAMES = re.compile(r"[^a-z]+")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 HIDDEN = re.compile(r"""\shidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -70,6 +76,8 @@ ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in (*EMBEDDED, "foreignob
 WORDS = re.compile(r"[^\W\d_]+")
 
 CONTENT, OTHER, OPEN = 1, 0, None
+#: Other than content by its names, as far as no article or main in it says more.
+NAMED = 2
 
 
 @dataclass
@@ -82,16 +90,22 @@ class Block:
 
 
 def declaration(tag: str, attributes: str, outer: int | None) -> int | None:
-    """What an element says about its content. Inside what is not content nothing is; a header of an article belongs to it."""
+    """What an element says about its content. Inside what is not content nothing is, but an article in what only names call so; a header of an article
+    belongs to it."""
     if outer == OTHER:
         return OTHER
+    if outer == NAMED:
+        return CONTENT if tag in ("article", "main") and not HIDDEN.search(attributes) else OTHER if tag in NOT_CONTENT or HIDDEN.search(attributes) else NAMED
     if tag in NOT_CONTENT or tag == "header" and outer is None or HIDDEN.search(attributes):
         return OTHER
     names = set()
     for found in NAMES.finditer(attributes):
-        names.update(SPLIT_NAMES.split((found[1] or found[2] or found[3] or "").lower()))
+        for name in (found[1] or found[2] or found[3] or "").lower().split():
+            words = set(SPLIT_NAMES.split(name))
+            if not words & HOLDING:
+                names |= words
     if tag not in ("article", "main", "body") and names & NOT_CONTENT_NAMES:
-        return OTHER
+        return OTHER if names & OF_OTHERS else NAMED
     return CONTENT if tag in ("article", "main") or tag != "body" and names & CONTENT_NAMES else outer
 
 
@@ -177,14 +191,14 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
-def first_pass(block: Block, article: bool) -> int | None:
-    """``article``: the page declares its content somewhere, so undeclared blocks are something else."""
+def first_pass(block: Block) -> int | None:
+    """What is declared goes by that, all else by its text, whatever other parts of the page are declared to be."""
     density = block.density
-    if block.declared == OTHER:
+    if block.declared in (OTHER, NAMED):
         return OTHER
     if block.declared == CONTENT:
         return OTHER if block.links > 2 and density > LINK_LIST else CONTENT
-    if article or density > MANY_LINKS:
+    if density > MANY_LINKS:
         return OTHER
     if len(block.text) < SHORT:
         return OTHER if block.links else OPEN
@@ -219,9 +233,8 @@ def second_pass(found: list[Block]) -> None:
 
 def extract(page: str) -> str:
     found = blocks(page)
-    article = any(b.declared == CONTENT for b in found)
     for block in found:
-        block.label = first_pass(block, article)
+        block.label = first_pass(block)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label == CONTENT)
 

@@ -37,6 +37,22 @@ EMBEDDED = {
     "ended ones": ("<article>one<button>a</button><select><option>b</select><canvas><p>c</canvas><object>d</object><textarea><p>e</textarea><p>two</article>", "one\ntwo"),
 }
 
+#: Pages that declare only a part of their main text, or a wrapper of it by a name.
+PARTLY = {
+    "a story beside a teaser card": (f"<body><nav><a href=1>Home</a></nav><div><p>{PROSE}</p><p>{PROSE}</p></div><article><a href=2>More</a></article>", f"{PROSE.strip()}\n{PROSE.strip()}\nMore"),
+    "a story below its data": (f"<body><div class='post-meta'>By A</div><div><p>{PROSE}</p><p>Short.</p><p>{PROSE}</p></div>", f"By A\n{PROSE.strip()}\nShort.\n{PROSE.strip()}"),
+    "a wrapper that holds a sidebar": (f"<div class='page with-sidebar'><p>{PROSE}</p><div class=sidebar>x</div></div>", PROSE.strip()),
+    "an article in a wrapper": ("<div class='sidebar layout'><div>menu</div><article><p>One</p></article><div>x</div></div>", "One"),
+    "articles that are comments": ("<article>One</article><div class=comments><article>I like it</article></div>", "One"),
+    "an article in a hidden place": ("<main>One</main><div class=modal><div hidden><article>x</article></div></div><aside><article>y</article></aside>", "One"),
+}
+
+
+@pytest.mark.parametrize("name", PARTLY)
+def test_declarations_are_no_verdict_on_the_rest_of_the_page(name):
+    page, text = PARTLY[name]
+    assert main_text.extract(page) == text
+
 
 @pytest.mark.parametrize("name", EMBEDDED)
 def test_embedded_elements(name):
