@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,12 @@ def test_class_probabilities_add_up():
     prior = rng.dirichlet(np.ones(maxent.CLASSES)).astype(np.float32)
     p = maxent.softmax(rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32), np.log(prior), rng.integers(0, maxent.ROWS, (maxent.FEATURES, 50)))
     assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+
+
+def test_gradient_is_taken_at_every_token():
+    texts = ["a b c d " * 50, "", "a", "b c " * maxent.BATCH]
+    words = ["", "a", "b", "c", "d"]
+    vocabulary = maxent.Vocabulary(words, np.arange(5, 0, -1, dtype=float), 15, 5).finish(np.zeros((5, maxent.CONTEXTS)))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    found = list(maxent.batches_of(maxent.Reader(vocabulary), [batch]))
+    assert sum(len(kind) for kind, _ in found) == sum(rows.shape[1] for _, rows in found) == sum(len(words_of(t)) for t in texts)
