@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, from_arrow_type
 from pyspark.sql.types import StructField, StructType
 
+from corpusweave.session import new_table_path
+
 #: Rows that are Python objects at the same time in a task; the Arrow batch itself is bounded by Spark.
 SLICE = 128
 
@@ -72,6 +74,14 @@ def word_windows(words: Sequence[bytes], width: int) -> tuple[bytes, list[int],
     return b" ".join(words), starts, (ends[width - 1:] - 1).tolist()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again. In loops this is preferable to a checkpoint, which hands on what the optimizer
+    had inferred about columns: that may double in each round."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Memo(dict):
     """Remembers ``fn`` for up to ``limit`` arguments, then starts anew: bounded memory, whatever the input."""
 

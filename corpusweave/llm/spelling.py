@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.rows import slices, text_or_empty
-from corpusweave.session import cut, new_table_path
+from corpusweave.llm.rows import slices, stored, text_or_empty
+from corpusweave.session import new_table_path
 
-LEAST_CHARS, LEAST_COUNT, DAMAGED, TIMES, LONG = 6, 5, 199, 5, 64
+LEAST_CHARS, LEAST_COUNT, DAMAGED, TIMES, LONG = 6, 5, 199, 5, 32
 RUN = re.compile("[A-Za-zÀ-ÿ]{%d,}" % LEAST_CHARS)
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 FLUSH = 300_000
@@ -84,11 +84,11 @@ def near_in_trie(words: DataFrame) -> DataFrame:
     """word, other: pairs with one edit between them, each once, of the words of ``words``, which are different."""
     spark = words.sparkSession
     path = new_table_path(spark, "spelling-pairs")
-    alive = cut(words.select("word", F.lit("").alias("node"), F.lit(False).alias("ends")))
+    alive = stored(words.select("word", F.lit("").alias("node"), F.lit(False).alias("ends")), "frontier")
     edited = spark.createDataFrame([], "word string, pos int, node string")
     level = 0
     while not (longer := alive.filter(F.length("word") > level)).isEmpty():
-        edges = cut(edges_at(longer, level))
+        edges = stored(edges_at(longer, level), "trie-edges")
         left_out = longer.select("word", F.lit(level + 1).alias("pos"), "node", "ends")
         last = left_out.filter(F.col("ends") & (F.length("word") == F.col("pos"))).select("word", F.col("node").alias("other"))
         reached = ["word", F.col("pos") + 1, "child", "words", "only", "ends"]
@@ -96,14 +96,14 @@ def near_in_trie(words: DataFrame) -> DataFrame:
         followed = going.join(edges, ["node", "ch"]).select(*reached)
         branching = longer.select("word", "node", F.lit(level).alias("pos"), F.substring("word", level + 1, 1).alias("own"))
         replaced = branching.join(edges, "node").filter(F.col("ch") > F.col("own")).select(*reached)
-        moved = cut(followed.union(replaced).toDF("word", "pos", "node", "words", "only", "ends"))
+        moved = stored(followed.union(replaced).toDF("word", "pos", "node", "words", "only", "ends"), "frontier")
         rest, of_only = F.expr("substring(word, pos + 1)"), F.substring("only", level + 2, LONG)
         alone = moved.filter("words = 1").filter(rest == of_only).select("word", F.col("only").alias("other"))
         here = moved.filter("words > 1 AND ends").filter(F.length("word") == F.col("pos")).select("word", F.col("node").alias("other"))
         last.union(alone).union(here).write.mode("append").parquet(path)
         edited = moved.filter("words > 1").select("word", "pos", "node")
         own = longer.select("word", F.substring("word", 1, level + 1).alias("child"))
-        alive = cut(own.join(edges.filter("words > 1").select("child", "ends"), "child").select("word", F.col("child").alias("node"), "ends"))
+        alive = stored(own.join(edges.filter("words > 1").select("child", "ends"), "child").select("word", F.col("child").alias("node"), "ends"), "frontier")
         level += 1
     pairs = spark.read.parquet(path) if level else spark.createDataFrame([], "word string, other string")
     return pairs.distinct()
@@ -113,7 +113,8 @@ def near_by_halves(words: DataFrame) -> DataFrame:
     """word, other: pairs with one edit between them, each once; for long words. Of two such words, ``c`` code points at the front or at the end
     are the same, where c is half the length of the shorter one."""
     length = F.length("word")
-    halves = words.select("word", F.explode(F.array_distinct(F.array(F.floor(length / 2), F.floor((length - 1) / 2)))).cast("int").alias("c"))
+    shorter = F.array(*[F.floor(n / 2).cast("int") for n in (length, length - 1)])
+    halves = words.select("word", F.explode(F.array_distinct(shorter)).alias("c"))
     keyed = halves.select("word", "c", F.inline(F.array(
         F.struct(F.lit(0).alias("side"), F.expr("left(word, c)").alias("half")), F.struct(F.lit(1).alias("side"), F.expr("right(word, c)").alias("half")))))
     other = keyed.withColumnRenamed("word", "other")
@@ -131,10 +132,10 @@ def near_words(words: DataFrame) -> DataFrame:
 def last_forms(forms: DataFrame) -> DataFrame:
     """word, root: where following ``form`` ends, for words that have one. A form is at least ``TIMES`` as frequent as its word, so chains are short;
     each round doubles the length that is followed."""
-    at = cut(forms.select("word", F.col("form").alias("root")))
+    at = stored(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         further = at.alias("x").join(at.select(F.col("word").alias("root"), F.col("root").alias("further")), "root", "left")
-        moved = cut(further.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")))
+        moved = stored(further.select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "forms")
         at = moved.drop("moved")
         if moved.filter("moved").isEmpty():
             return at
@@ -143,12 +144,12 @@ def last_forms(forms: DataFrame) -> DataFrame:
 def variants(docs: DataFrame) -> DataFrame:
     """word, form, root, n, n_near, form_n of every word: ``form`` is its most frequent near word (ties: the smallest in code-point order), if that is found
     ``TIMES`` times as often as the word, ``root`` where forms end."""
-    words = cut(count_words(docs))
+    words = stored(count_words(docs), "words")
     of_other = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
     near = near_words(words.select("word")).join(of_other, "other").groupBy("word").agg(
         F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("rank"), "other")).alias("best"))
     best = F.when(-F.col("best.rank") >= TIMES * F.col("n"), F.col("best.other"))
-    known = cut(words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), best.alias("form"),
-                                                        F.when(best.isNotNull(), -F.col("best.rank")).alias("form_n")))
+    known = stored(words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), best.alias("form"),
+                                                        F.when(best.isNotNull(), -F.col("best.rank")).alias("form_n")), "variants")
     roots = last_forms(known.filter("form IS NOT NULL"))
     return known.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

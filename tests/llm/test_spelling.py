@@ -5,6 +5,8 @@ from collections import Counter
 
 from corpusweave.llm import spelling
 
+LONG = 14
+
 
 def one_edit(a, b):
     if len(a) == len(b):
@@ -41,7 +43,7 @@ def found(df):
 
 def texts_with_variants():
     draw = random.Random(9)
-    stems = ["".join(draw.choice("abé") for _ in range(draw.choice([6, 7, 7, 8]))) for _ in range(40)] + ["x" * 63 + "a", "x" * 64 + "a", "x" * 64 + "b", "x" * 65, "y" + "x" * 65]
+    stems = ["".join(draw.choice("abé") for _ in range(draw.choice([6, 7, 7, 8]))) for _ in range(40)] + ["x" * (LONG - 1) + "a", "x" * LONG + "a", "x" * LONG + "b", "x" * (LONG + 1), "y" + "x" * (LONG + 1)]
     stems += ["é" * 3000, "é" * 3001, "é" * 1500 + "ü" + "é" * 1499, "abcdef", "abcdefg", "bcdefg", "aaaaaa", "aaaaaaa", "aaaaaaaa"]
     words = []
     for stem in stems:
@@ -54,10 +56,11 @@ def texts_with_variants():
     return [(i if i % 50 else None, draw.choice([" ", "1", ", "]).join(w.upper() if draw.random() < 0.1 else w for w in words[i::120])) for i in range(120)]
 
 
-def test_variants_against_all_pairs(spark):
+def test_variants_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "LONG", LONG)
     rows = texts_with_variants()
     expected = brute_force(rows)
-    assert sum(e[0] is not None for e in expected.values()) > 20 and any(len(w) > 64 and e[3] for w, e in expected.items())
+    assert sum(e[0] is not None for e in expected.values()) > 20 and any(len(w) > LONG and e[3] for w, e in expected.items())
     got = spelling.variants(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert dict(got.dtypes) == {"word": "string", "form": "string", "root": "string", "n": "bigint", "n_near": "bigint", "form_n": "bigint"}
     assert found(got) == expected
