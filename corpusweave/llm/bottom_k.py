@@ -8,9 +8,9 @@ A document is the set of its distinct word shingles, as 63-bit hashes. Its sketc
    A passage that a third of all documents hold comes last in this order, so it is a key only for sets which consist of little else.
 3. In each inverted list every set is held against one hub, the set whose values are the most common. Lists make as many pairs as they have rows.
 4. A pair is dropped if the bottom k of its union leave no hope for the similarity, and else verified on the full sets.
-5. Sets of lists whose members still lie in different components are joined once more, now by the rarest values of their full sets: the smaller set of a
-   similar pair has one of its ``n - ceil(8n/9) + 1`` rarest among the ``m - ceil(8m/10) + 1`` rarest of the larger one. That is exact, and sets which
-   share a long passage but not enough of it meet in none of these. Pairs of one component are left out.
+5. Sets of lists whose members still lie in different components are taken once more, now by the rarest values of their full sets: similar sets of n and m shingles share ``s = ceil(4 (n + m) / 9)`` or more, so one of the ``n - s + 1`` rarest of the one is among the ``m - s + 1`` rarest of
+   the other. That is exact, and sets which share a long passage but not enough of it meet in none of these. Each is held against hubs first; then
+   lists whose members still lie apart are joined with themselves, without pairs of one component.
 
 Where both sets have at most ``K`` shingles step 2 is exact. Otherwise the shared part of a sketch is a random draw, and ``least_shared`` lies 4 standard
 deviations below its mean at the similarity itself; even then a pair is missed only if what it doesn't share is also the rarest of what it has.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.llm.components import components
-from corpusweave.llm.rows import Memo, map_documents, slices, text_or_empty
+from corpusweave.llm.rows import SLICE, Memo, map_documents, slices, text_or_empty
 from corpusweave.session import cut, new_table_path
 
 SHINGLE, K, SEED = 4, 64, 42
@@ -37,7 +37,7 @@ SHINGLE, K, SEED = 4, 64, 42
 PART, WHOLE = 4, 5
 SIGMAS = 4.0
 NO_ID = -(1 << 63)
-REMEMBERED = 300_000
+REMEMBERED, MOST_BITS = 300_000, 1 << 29
 MIX = np.array([0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 MARK = [pa.field("key", pa.int64()), pa.field("size", pa.int64()), pa.field("sketch", pa.list_(pa.int64()))]
 
@@ -69,22 +69,22 @@ def key_of(shingles: np.ndarray) -> int:
     return value - (value >> 63 << 64)
 
 
-def text_id() -> list[Column]:
-    """Names a text in joins; a wrong match is found out by the key of its set."""
-    return [F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_a"), F.hash(F.coalesce("text", F.lit(""))).alias("text_b")]
+def text_id() -> Column:
+    """Names a text; where another one has the same name, the key of its set tells them apart."""
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_a")
 
 
-def mark(docs: DataFrame, columns: list[str], width: int = SHINGLE) -> DataFrame:
-    """``columns``, text_a, text_b, key, size, sketch of every row, written and read again."""
-    spark, given = docs.sparkSession, docs.select(*columns, *text_id(), text_or_empty("text"))
-    schema = pa.schema([*(pa.field(c, pa.int64()) for c in columns), pa.field("text_a", pa.int64()), pa.field("text_b", pa.int32()), *MARK])
+def mark(docs: DataFrame, columns: list[str], width: int = SHINGLE, **more: Callable[[np.ndarray], int]) -> DataFrame:
+    """``columns``, text_a, key, size, sketch of every row, written and read again; and what functions named in ``more`` give for its set."""
+    spark, given = docs.sparkSession, docs.select(*columns, text_id(), text_or_empty("text"))
+    schema = pa.schema([*(pa.field(c, pa.int64()) for c in columns), pa.field("text_a", pa.int64()), *MARK, *(pa.field(m, pa.int64()) for m in more)])
 
     def start():
         shingles = shingler(width)
 
         def each(*values):
             found = shingles(values[-1])
-            return [(*values[:-1], key_of(found), len(found), found[:K])]
+            return [(*values[:-1], key_of(found), len(found), found[:K], *(fn(found) for fn in more.values()))]
 
         return each
 
@@ -93,10 +93,9 @@ def mark(docs: DataFrame, columns: list[str], width: int = SHINGLE) -> DataFrame
     return spark.read.parquet(path)
 
 
-def distinct_sets(marked: DataFrame) -> DataFrame:
-    """key, size, sketch, text_a, text_b of each set that isn't empty."""
-    one = marked.filter("size > 0").groupBy("key").agg(F.min(F.struct("text_a", "text_b")).alias("text"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
-    return cut(one.select("key", "size", "sketch", "text.*"))
+def distinct_sets(marked: DataFrame, *more: str) -> DataFrame:
+    """key, size, sketch, text_a (of one of its texts) of each set that isn't empty."""
+    return cut(marked.filter("size > 0").groupBy("key").agg(F.min("text_a").alias("text_a"), *(F.first(c).alias(c) for c in ("size", "sketch", *more))))
 
 
 def least_shared(size: Column) -> Column:
@@ -107,12 +106,13 @@ def least_shared(size: Column) -> Column:
 
 
 def rarest(points: DataFrame, sizes: DataFrame, keep: Column) -> DataFrame:
-    """key, size, weight and the ``keep`` rarest ``values`` of each set, without those that stand in no other set. ``keep`` counts these as well; it may use
+    """key, size, weight, alone (how many values stand in no other set; they come first) and the rest of the ``keep`` rarest ``values`` of each set. ``keep`` may use
     ``size`` and ``total``, the number of values of the set in ``points``."""
     counted = points.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = points.join(counted, "value").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"), F.sum("n").alias("weight"))
-    cutoff = F.greatest(F.lit(0), keep - F.col("total") + F.size("values")).cast("int")
-    return shared.join(sizes, "key").select("key", "size", "weight", F.slice("values", F.lit(1), cutoff)["value"].alias("values"))
+    counted = shared.join(sizes, "key").withColumn("alone", F.col("total") - F.size("values"))
+    cutoff = F.greatest(F.lit(0), keep - F.col("alone")).cast("int")
+    return counted.select("key", "size", "weight", "alone", F.slice("values", F.lit(1), cutoff)["value"].alias("values"))
 
 
 def fits(one: str, two: str) -> Column:
@@ -143,18 +143,48 @@ def hopeful(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(work, "a long, b long")
 
 
-def full_sets(keys: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """key, hashes (the whole set as bytes) of ``keys``, from the texts again."""
-    wanted = sets.join(keys, "key", "left_semi").select("key", "text_a", "text_b")
-    texts = docs.select(*text_id(), text_or_empty("text")).join(wanted, ["text_a", "text_b"]).select("key", "text")
-    # copies of one text: one of them will do
-    texts = texts.groupBy("key").agg(F.min("text").alias("text"))
+def bit_maps(names: DataFrame) -> tuple[int, DataFrame]:
+    """A bit map of 64-bit names, by their leading bits, as a table part, bits: 16 to 32 bits for each name, but never over ``MOST_BITS`` in all (64 MB); beyond that
+    it lets more pass. Also the number of leading bits, of which the last 15 are the place in a part."""
+    power = min(MOST_BITS.bit_length() - 1, max(15, (16 * names.count()).bit_length()))
+    at = F.shiftrightunsigned(names.columns[0], 64 - power)
+    return power, names.select(at.alias("at")).groupBy(F.expr("at div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
+
+
+def text_bits(wanted: DataFrame) -> np.ndarray:
+    power, parts = bit_maps(wanted.select("text_a"))
+    out = np.zeros(1 << power - 3, np.uint8)
+    for part, bits in parts.collect():
+        out[part << 12:(part << 12) + len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
 
-    def start():
-        shingles = shingler(width)
-        return lambda key, text: [(key, found.tobytes())] if key_of(found := shingles(text)) == key else []
 
-    return cut(map_documents(texts, ["key", "text"], pa.schema([("key", pa.int64()), ("hashes", pa.binary())]), start))
+def full_sets(keys: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """key, hashes (the whole set as bytes) of ``keys``, from the texts again. Texts stay where they are: a bit map tells which to look at, and only sets are
+    shuffled; a set that isn't wanted, which the bit map let pass, goes then."""
+    wanted = cut(sets.join(keys, "key", "left_semi").select("key", "text_a"))
+    bits = docs.sparkSession.sparkContext.broadcast(text_bits(wanted))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles, known, done = shingler(width), bits.value, set()
+        shift = np.uint64(64 - (len(known).bit_length() + 2))
+        for batch in batches:
+            at = batch.column(0).to_numpy().view(np.uint64) >> shift
+            found = np.flatnonzero(known[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            for begin in range(0, len(found), SLICE):
+                part, out = batch.take(pa.array(found[begin:begin + SLICE])), []
+                for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if name not in done:  # copies of one text
+                        done.add(name)
+                        of_text = shingles(text)
+                        out.append((key_of(of_text), of_text.tobytes()))
+                if len(done) > REMEMBERED:
+                    done.clear()
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["key", "hashes"])
+
+    found = docs.select(text_id(), text_or_empty("text")).mapInArrow(work, "key long, hashes binary").join(wanted.select("key"), "key", "left_semi")
+    return cut(found.groupBy("key").agg(F.first("hashes").alias("hashes")))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -195,34 +225,47 @@ def values_of(full: DataFrame) -> DataFrame:
     return full.select("key", "hashes").mapInArrow(work, "key long, value long")
 
 
+def hub_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs a, b of each set and the hub of each list (key, size, weight, value) that it stands in: the set whose values are the most common."""
+    hubs = lists.groupBy("value").agg(F.max(F.struct("weight", "key", "size")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = lists.join(hubs.select("value", "hub.key", "hub.size").toDF("value", "hub", "hub_size"), "value")
+    return met.filter(fits("size", "hub_size")).select(F.col("key").alias("a"), F.col("hub").alias("b"))
+
+
+def rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """``lists`` with the root of each key, without lists whose keys all have one root."""
+    root = components(links, "a", "b").withColumnRenamed("node", "key")
+    whole = lists.join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    apart = whole.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    return cut(whole.join(apart.select("value"), "value"))
+
+
 def links(sets: DataFrame, docs: DataFrame, width: int = SHINGLE, more: DataFrame | None = None) -> DataFrame:
     """Pairs a, b of keys with similar sets that connect all such pairs. ``more`` may hold further candidates a, b."""
     sizes = sets.select("key", "size", F.least("size", F.lit(K)).alias("total"))
     points = sets.select("key", F.explode("sketch").alias("value"))
     lists = cut(rarest(points, sizes, F.col("total") - least_shared(F.col("size")) + 1).select("key", "size", "weight", F.explode("values").alias("value")))
-    hubs = lists.groupBy("value").agg(F.max(F.struct("weight", "key", "size")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = lists.join(hubs.select("value", "hub.key", "hub.size").toDF("value", "hub", "hub_size"), "value")
-    pairs = met.filter(fits("size", "hub_size")).select(F.col("key").alias("a"), F.col("hub").alias("b"))
+    pairs = hub_pairs(lists)
     pairs = cut(hopeful(ordered(pairs.union(more) if more is not None else pairs), sets))
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    first = verified(pairs, full_sets(keys, sets, docs, width))
-
-    root = components(first, "a", "b").withColumnRenamed("node", "key")
-    rooted = lists.select("key", "value").join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    apart = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    open_keys = cut(rooted.join(apart.select("value"), "value").select("key", "root").distinct())
-    full = full_sets(open_keys.select("key"), sets, docs, width)
-    sizes = sets.join(open_keys, "key").select("key", "size", F.col("size").alias("total"))
-    probe = F.col("size") - F.ceil(F.col("size") * PART / WHOLE) + 1
-    found = rarest(values_of(full), sizes, probe).join(open_keys, "key")
-    # the two roles differ only in how many of the values count
-    index = F.col("size") - F.ceil(F.col("size") * (2 * PART) / (PART + WHOLE)) + 1
-    probed = cut(found.select("key", "size", "root", (F.size("values") - (probe - index)).alias("indexed"), F.posexplode("values").alias("at", "value")))
-    small, large = (probed.filter(which).select("value", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "root"))) for side, which in (("a", "at < indexed"), ("b", "true")))
-    before = F.struct("size_a", "key_a") < F.struct("size_b", "key_b")
-    pairs = small.join(large, "value").filter(before & fits("size_a", "size_b") & (F.col("root_a") != F.col("root_b")))
+    found = verified(pairs, full_sets(keys, sets, docs, width))
+
+    # what is left is done exactly
+    open_keys = cut(rooted(lists.select("key", "value"), found).select("key").distinct())
+    full = full_sets(open_keys, sets, docs, width)
+    sizes = sets.join(open_keys, "key", "left_semi").select("key", "size", F.col("size").alias("total"))
+    rare = rarest(values_of(full), sizes, F.col("size") - F.ceil(F.col("size") * PART / WHOLE) + 1)
+    lists = cut(rare.select("key", "size", "weight", "alone", F.posexplode("values").alias("at", "value")).withColumn("at", F.col("at") + F.col("alone")).drop("alone"))
+    found = found.union(verified(hopeful(ordered(hub_pairs(lists)), sets), full))
+    lists = rooted(lists, found)
+    small, large = (lists.select("value", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "root", "at"))) for side in "ab")
+    # the first common value leaves as many behind it, in either set, as they must share at least
+    shared = F.ceil((F.col("size_a") + F.col("size_b")) * PART / (PART + WHOLE))
+    ahead = (F.col("at_a") <= F.col("size_a") - shared) & (F.col("at_b") <= F.col("size_b") - shared)
+    before = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("key_a") < F.col("key_b")))
+    pairs = small.join(large, "value").filter(before & fits("size_a", "size_b") & ahead & (F.col("root_a") != F.col("root_b")))
     pairs = hopeful(ordered(pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))), sets)
-    return first.union(verified(pairs, full))
+    return found.union(verified(pairs, full))
 
 
 def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:

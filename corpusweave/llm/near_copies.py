@@ -1,114 +1,70 @@
-"""Near copies: texts with at least ``PART`` / ``WHOLE`` of their word shingles in common (Jaccard, as sets), and one document of each group of them.
+"""Near copies: texts with at least 0.8 of their 5-word shingles in common (Jaccard, as sets), and one document of each group of them.
 
-Candidates: every distinct shingle set gives ``BANDS`` band values, each of the smallest hashes under ``DEEP`` functions. Sets of similarity s share a value
-with probability 1 - (1 - s ** DEEP) ** BANDS; at 0.8 that is 0.99993, above it more, and equal sets always meet. Every candidate is verified on the sets themselves.
+SimHash comes first: the fingerprint of each distinct shingle set, and by ball hashing (``simhash.links``) all pairs at most ``RADIUS`` bits apart. Sets of similarity 0.8
+differ in about 15 % of the bits, which balls don't reach, so these candidates are the closest copies only. The others come from bottom-k sketches (``bottom_k.links``), which take
+the first ones along. Every candidate of either kind is verified on the full sets.
 
-A bucket of n sets isn't compared pair by pair. First each set is held against one hub of its bucket, another one in each band. What then still lies in
-different components of a bucket is compared in all pairs, except within one component: so all pairs of a bucket are linked, compared, or in one component.
-The second step is small where buckets hold copies, and grows as the square only of groups that share values but aren't linked.
-
-Texts of fewer words than a shingle are one shingle; null and word-free texts are equal. Sets are told apart by 64 bits of their hashes.
+Texts of fewer words than a shingle are one shingle; null and word-free texts are equal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusweave.llm import bottom_k, simhash
 from corpusweave.llm.components import components
-from corpusweave.llm.rows import add_struct, map_documents, slices, text_or_empty, word_windows
-from corpusweave.session import cut, new_table_path
-
-SHINGLE, SEED = 5, 42
-#: The similarity as a fraction, so that the border is exact.
-PART, WHOLE = 4, 5
-BANDS, DEEP = 24, 5
-BLOCK = 1 << 12
-_DRAW = np.random.default_rng(SEED)
-FLIPS, ODD = (_DRAW.integers(0, 1 << 64, (BANDS * DEEP, 1), np.uint64) | np.uint64(low) for low in (0, 1))
-MARK = pa.schema([("key", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
-
-def shingles(text: str) -> np.ndarray:
-    """XXH64 of the distinct word shingles, sorted; bytes.split takes just space and 09-0D."""
-    words = text.encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, starts, ends = word_windows(words, min(SHINGLE, len(words)))
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)], np.uint64))
-
-
-def mark(text: str) -> tuple[int, int, list[int]]:
-    """What names the shingle set, its size and its band values."""
-    found = shingles(text)
-    least = np.full(BANDS * DEEP, np.iinfo(np.uint64).max)
-    for at in range(0, len(found), BLOCK):
-        np.minimum(least, ((found[at:at + BLOCK] ^ FLIPS) * ODD).min(axis=1), out=least)
-    bands = [xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, DEEP))]
-    key, *bands = (v - (v >> 63 << 64) for v in [xxhash.xxh64_intdigest(found.tobytes(), SEED), *bands])
-    return key, len(found), bands
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """a and b are sorted and distinct."""
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return WHOLE * shared >= PART * (len(both) - shared)
-
+from corpusweave.llm.rows import stored
+from corpusweave.session import cut
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs a, b those with similar sets."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one, two = (sets.select(F.col("key").alias(side), F.col("hashes").alias(f"of_{side}")) for side in "ab")
+SHINGLE = 5
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for a, b, of_a, of_b in slices(batches):
-            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(of_a, of_b, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([v for v, keep in zip(c, ok, strict=True) if keep], pa.int64()) for c in (a, b)], names=["a", "b"])
 
-    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(work, "a long, b long"))
+def fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a set of 63-bit hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), simhash.BLOCK):
+        counts += np.unpackbits(shingles[at:at + simhash.BLOCK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(shingles)).view(np.int64)[0])
 
 
-def across(met: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs a, b of one bucket that ``links`` leave in different components and whose sizes allow the similarity."""
-    root = components(links, "a", "b").withColumnRenamed("node", "key")
-    met = cut(met.join(root, "key", "left").select("band", "key", "size", F.coalesce("root", "key").alias("root")))
-    of_root = met.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    parts = of_root.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("n", "root")).alias("largest"))
-    unsettled = parts.filter("parts > 1").select("band", "largest")
-    here = met.join(unsettled, "band")
-    outside = here.filter("root <> largest").select("band", F.col("key").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    fits = F.lit(WHOLE) * F.least("size", "size_a") >= F.lit(PART) * F.greatest("size", "size_a")
-    apart = (F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("largest")) | (F.col("key") > F.col("a")))
-    return outside.join(here, "band").filter(fits & apart).select("a", F.col("key").alias("b"))
+def close_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs a, b of keys that connect all sets (key, fp) with fingerprints at most ``simhash.RADIUS`` bits apart."""
+    first = cut(sets.groupBy("fp").agg(F.min("key").alias("first")))
+    same = sets.select("key", "fp").join(first, "fp").filter("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    near = simhash.links(first.select("fp")).join(first.withColumnRenamed("first", "a"), "fp")
+    return same.union(near.join(first.select(F.col("fp").alias("other"), F.col("first").alias("b")), "other").select("a", "b"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document with the smallest id of each group of linked texts, with all its columns. A group keeps one row, so rows with equal ids or none
-    count as different documents unless their texts are linked; a null id is smaller than any other."""
-    spark = docs.sparkSession
-    path = new_table_path(spark, "near-copies")
-    marked = add_struct(docs.select(F.struct("*").alias("doc"), text_or_empty()), "text", "mark", MARK, lambda: mark)
-    marked = marked.select("doc", "mark.*", F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
-    marked.write.parquet(path)
-    marked = spark.read.parquet(path)
-    order = F.struct(F.col("doc.doc_id").isNotNull().alias("has_id"), F.col("doc.doc_id").alias("doc_id"), "tie", "row")
-    distinct = cut(marked.groupBy("key").agg(F.min(order).alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")))
-    points = distinct.select("key", "size", F.explode("bands").alias("band"))
-    hubs = points.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min_by("key", F.xxhash64("key", "band")).alias("hub")).filter("n > 1")
-    met = cut(points.join(hubs.select("band", "hub"), "band"))
-    rows = distinct.join(met.select("key").distinct(), "key").select("key", F.col("least.row").alias("row"))
-    texts = marked.select("row", F.coalesce("doc.text", F.lit("")).alias("text")).join(rows, "row").select("key", "text")
-    schema = pa.schema([("key", pa.int64()), ("hashes", pa.binary())])
-    sets = cut(map_documents(texts, ["key", "text"], schema, lambda: lambda key, text: [(key, shingles(text).tobytes())]))
-    links = verified(met.filter("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")), sets)
-    links = links.union(verified(across(met.drop("hub"), links), sets))
-    classes = distinct.select("key", "least").join(components(links, "a", "b").withColumnRenamed("node", "key"), "key", "left")
-    kept = classes.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("least").alias("least")).select(F.col("least.row").alias("row"))
-    return marked.join(kept, "row", "left_semi").select("doc.*")
+    count as different documents unless their texts are linked; a null id is smaller than any other.
+
+    Most rows stay and are never shuffled: a bit map, of bounded size, tells which of them must be looked up among those that go or stand twice.
+    """
+    marked = bottom_k.mark(docs, ["doc_id"], SHINGLE, fp=fingerprint)
+    sets = bottom_k.distinct_sets(marked, "fp")
+    found = components(bottom_k.links(sets, docs, SHINGLE, close_pairs(sets)), "a", "b").withColumnRenamed("node", "key")
+    order = F.struct(F.col("doc_id").isNotNull().alias("has_id"), "doc_id", "text_a")
+    classes = marked.groupBy("key").agg(F.min(order).alias("least")).join(found, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = classes.groupBy("root").agg(F.min("least").alias("least"))
+    of_key = classes.select("key", "root").join(least, "root").select("key", "least")
+    name = F.xxhash64("doc_id", "text_a").alias("__name")
+    rows = marked.groupBy("doc_id", "text_a", "key").agg(F.count(F.lit(1)).alias("n")).join(of_key, "key")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_a") == F.col("least.text_a"))
+    looked_up = stored(rows.select(name, F.col("doc_id").alias("__id"), F.col("text_a").alias("__text"), stays.alias("__stays"), "n").filter("NOT __stays OR n > 1").drop("n"), "not-kept")
+
+    power, parts = bottom_k.bit_maps(looked_up.select("__name"))
+    parts = stored(parts.toDF("__part", "__bits"), "bit-map")  # at most 64 MB
+    at = F.shiftrightunsigned("__name", 64 - power)
+    named = docs.select("*", bottom_k.text_id().alias("__text_a")).select("*", F.xxhash64("doc_id", "__text_a").alias("__name"))
+    named = named.withColumn("__part", F.shiftright(at, 15)).join(F.broadcast(parts), "__part", "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(at, 3) % 4096 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")), F.lit(0)) != 0
+    named = named.withColumn("__maybe", maybe)
+    passed = named.filter("NOT __maybe").select(*docs.columns)
+    asked = named.filter("__maybe").join(looked_up.withColumnRenamed("__name", "__their"), (
+        F.col("__name") == F.col("__their")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_a") == F.col("__text")), "left")
+    once = asked.filter("__stays").dropDuplicates(["__name", "__id", "__text"]).select(*docs.columns)
+    return passed.union(asked.filter("__stays IS NULL").select(*docs.columns)).union(once)
