@@ -20,6 +20,7 @@ from corpusweave.session import cut, small_table
 # fixed values: the two url forms of style sheets
 IMPORT_PATTERN = r"""(?i)@import\s+(?:url\(\s*(['"]?)(.*?)\1\s*\)|(['"])(.*?)\3)\s*([^;]*);"""
 URL_PATTERN = r"""(?i)url\(['"]{0,1}(.*?)['"]{0,1}\)"""
+URL_SPAN = r"""(?i)(url\(['"]{0,1})(.*?)(['"]{0,1}\))"""
 SUPPORTS_PATTERN = r"(?i)supports\s*\((.*?)\)"
 
 
@@ -43,14 +44,24 @@ def inline_sheets(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFr
 
 
 def local_urls(text: Column, base: Column | str, to_page: Callable[[Column], Column]) -> Column:
-    """The text of a sheet with its URLs, taken as relative to ``base``, replaced by what ``to_page`` makes of their place in the snapshot."""
-    refs = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(URL_PATTERN), F.lit(1)), lambda u: (u != "") & ~u.startswith("data")))
+    """The text of a sheet with its URLs, taken as relative to ``base``, replaced by what ``to_page`` makes of their place in the snapshot.
+
+    The sheet is cut at its ``url()`` spans and put together again, so a URL is replaced where it stands and nowhere else: it may be part of another
+    one, of a selector or of a comment, and may come twice.
+    """
+    spans = F.arrays_zip(
+        F.split(text, URL_PATTERN, -1).alias("before"), *[F.regexp_extract_all(text, F.lit(URL_SPAN), F.lit(i)).alias(n) for i, n in enumerate(("opening", "ref", "closing"), 1)])
 
     def local(ref: Column) -> Column:
         path = to_page(asset_path(absolute_url(ref, base), escape=True))
         return F.replace(F.replace(F.replace(path, F.lit("'"), F.lit("%27")), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29"))
 
-    return F.aggregate(refs, text, lambda done, ref: F.coalesce(F.replace(done, ref, local(ref)), done))
+    def rewritten(span: Column) -> Column:
+        ref = F.coalesce(span["ref"], F.lit(""))  # nothing follows what stands behind the last span
+        led = F.when((ref == "") | ref.startswith("data"), ref).otherwise(F.coalesce(local(ref), ref))
+        return F.concat(span["before"], F.coalesce(span["opening"], F.lit("")), led, F.coalesce(span["closing"], F.lit("")))
+
+    return F.array_join(F.transform(spans, rewritten), "")
 
 
 def rewrite_inline_styles(tokens: DataFrame, site: Site, page_path: Column, key: str = "page_id") -> DataFrame:

@@ -30,13 +30,13 @@ def asset_refs(spark, sf_dir):
 
 @QUERIES.add(with_views("sections", body="""
 s AS (SELECT doc_id AS page_id, doc_id + section AS k FROM v_sections WHERE len(string_split(body, ' ')) >= 4),
-r AS (SELECT page_id, 'https://img.example.org/a/ab/P' || k || '.png' AS url, 'image' AS kind, 120 AS width FROM s WHERE k % 16 = 2
-  UNION SELECT page_id, 'https://wiki.example.org/im/i.png', 'image', NULL FROM s WHERE k % 16 = 9
-  UNION SELECT page_id, 'https://img.example.org/a/ab/V' || k || '.jpg', 'image', NULL FROM s WHERE k % 16 = 10
-  UNION SELECT page_id, 'https://wiki.example.org/v/' || k || '.webm', 'video', NULL FROM s WHERE k % 16 IN (10, 14)
-  UNION SELECT page_id, 'https://wiki.example.org/v/' || k || '.ogg', 'video', NULL FROM s WHERE k % 16 = 12
-  UNION SELECT page_id, 'https://wiki.example.org/w/api.php?title=V' || k || '.webm&lang=en&trackformat=vtt', 'subtitle', NULL FROM s WHERE k % 16 = 14
-  UNION SELECT page_id, 'https://wiki.example.org/im/n.png', 'image', NULL FROM s WHERE k % 16 = 15)
+r AS (SELECT page_id, 'https://img.example.org/a/ab/P' || k || '.png' AS url, 'image' AS kind, 120 AS width FROM s WHERE k % 20 = 2
+  UNION SELECT page_id, 'https://wiki.example.org/im/i.png', 'image', NULL FROM s WHERE k % 20 = 9
+  UNION SELECT page_id, 'https://img.example.org/a/ab/V' || k || '.jpg', 'image', NULL FROM s WHERE k % 20 = 10
+  UNION SELECT page_id, 'https://wiki.example.org/v/' || k || '.webm', 'video', NULL FROM s WHERE k % 20 IN (10, 14)
+  UNION SELECT page_id, 'https://wiki.example.org/v/' || k || '.ogg', 'video', NULL FROM s WHERE k % 20 = 12
+  UNION SELECT page_id, 'https://wiki.example.org/w/api.php?title=V' || k || '.webm&lang=en&trackformat=vtt', 'subtitle', NULL FROM s WHERE k % 20 = 14
+  UNION SELECT page_id, 'https://wiki.example.org/im/n.png', 'image', NULL FROM s WHERE k % 20 = 15)
 SELECT page_id, url, kind, CAST(width AS BIGINT) AS width FROM r"""))
 def asset_refs_html(spark, sf_dir):
     # the tokens have three readers

@@ -75,6 +75,31 @@ def merge_continuation_objects(spark, sf_dir):
     return batches.merge_entries(_continuations(spark, sf_dir), "page", "seq", "props")
 
 
+# "mixed" is an object, an array or a number, by turn: what comes before a change of its kind is gone
+@QUERIES.add("""
+WITH c AS (SELECT conv_id AS page, turn, role, text, 'props.' || role AS props, turn % 3 AS kind, string_split(text, chr(10)) AS arr FROM conversations),
+k AS (SELECT page, arg_max(kind, turn) AS kind FROM c GROUP BY page),
+since AS (SELECT k.page, k.kind, coalesce(max(turn) FILTER (c.kind <> k.kind), -1) AS turn FROM k JOIN c USING (page) GROUP BY k.page, k.kind),
+mixed AS (SELECT c.page, c.turn, c.kind FROM c JOIN since s ON s.page = c.page AND c.turn > s.turn),
+parts AS (SELECT page, turn, unnest(arr) AS item, unnest(range(len(arr))) AS pos FROM c)
+SELECT page, 'kind' AS path, CAST(1 AS BIGINT) AS ordinal, to_json(arg_max(role, turn)) AS value FROM c GROUP BY page
+UNION ALL SELECT page, props || '.n', 1, CAST(arg_max(length(text), turn) AS VARCHAR) FROM c GROUP BY page, props
+UNION ALL SELECT page, props || '.t' || (turn % 2), 1, CAST(max(turn) AS VARCHAR) FROM c GROUP BY page, props, turn % 2
+UNION ALL SELECT page, 'parts', row_number() OVER (PARTITION BY page ORDER BY turn, pos), to_json(item) FROM parts
+UNION ALL SELECT page, 'mixed.x', 1, CAST(max(turn) AS VARCHAR) FROM mixed WHERE kind = 0 GROUP BY page
+UNION ALL SELECT page, 'mixed', row_number() OVER (PARTITION BY page ORDER BY turn), CAST(turn AS VARCHAR) FROM mixed WHERE kind = 1
+UNION ALL SELECT page, 'mixed', 1, CAST(max(turn) AS VARCHAR) FROM mixed WHERE kind = 2 GROUP BY page""")
+def merge_nested(spark, sf_dir):
+    turn = F.col("turn")
+    props = F.create_map("role", F.create_map(F.lit("n"), F.length("text").cast("long"), F.concat(F.lit("t"), (turn % 2).cast("string")), turn))
+    body = F.to_json(F.struct(F.col("role").alias("kind"), props.alias("props"), F.split("text", "\n").alias("parts")))
+    mixed = F.when(turn % 3 == 0, F.concat(F.lit('{"x":'), turn, F.lit("}"))).when(turn % 3 == 1, F.concat(F.lit("["), turn, F.lit("]"))).otherwise(turn.cast("string"))
+    landed = views.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("page"), F.col("turn").alias("seq"), F.parse_json(F.concat(F.regexp_replace(body, r"\}$", ""), F.lit(',"mixed":'), mixed, F.lit("}"))).alias("doc"))
+    leaves = batches.merge_nested(landed, "page", "seq", "doc")
+    return leaves.select("page", F.array_join("path", ".").alias("path"), "ordinal", "value")
+
+
 @QUERIES.add(r"""
 WITH f0 AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: replace(x, chr(13), '')), lambda x: x <> '') AS arr FROM documents),
 i0 AS (SELECT doc_id, list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS arr FROM documents),

@@ -21,9 +21,11 @@ from corpusweave.sources.wiki_html import EXTRAS, wiki_pages, wiki_sql
 QUERIES = Family()
 
 
+# where a page never ends its <b>, the bold goes on in each paragraph that follows and in the footer
 @QUERIES.add(r"""
 WITH s AS (SELECT page_id, html, regexp_replace(html, '(?s)<script>.*?</script>', '<script></script>', 'g') AS body FROM pages)
-SELECT page_id, len(regexp_extract_all(body, '<[a-zA-Z]')) AS elements, len(regexp_extract_all(body, '<a ')) AS anchors,
+SELECT page_id, len(regexp_extract_all(body, '<[a-zA-Z]'))
+    + CASE WHEN contains(body, '<b>') AND NOT contains(body, '</b>') THEN len(regexp_extract_all(substr(body, strpos(body, '<b>')), '<p>')) + 1 ELSE 0 END AS elements, len(regexp_extract_all(body, '<a ')) AS anchors,
   len(regexp_extract_all(body, '(?s)<!--.*?-->')) AS comments,
   len(regexp_extract_all(regexp_replace(body, '(?s)<!--.*?-->|<script>|</script>', '', 'g'), '<(?:br|meta)[^>]*>')) AS voids FROM s""")
 def html_tokens_per_page(spark, sf_dir):
@@ -105,8 +107,9 @@ _RENDERED_SQL = wiki_sql({
         '<div src="https://x.example.org/e?k={k}" class="mwo-external-video-card"><a class="external" href="https://x.example.org/e?k={k}">Open embedded content (external)</a></div>',
     12: '<audio controls="" src="../@V@/{k}.ogg"></audio>', 14: '<video controls="40"><source src="../@V@/{k}.webm"><track src="../V{k}.webm-en.vtt"></video>',
     15: '<ul class="gallery"><li class="gallerybox"></li></ul>',
+    19: "<style>.b/a.png{background:url(../@S@/a.png)} i{background:url('../@J@/a.png')} p{src:url(../@S@/a.png)} b{src:url(data:b/a.png)}</style>",
 }, drop_empty=True)
-for _mark, _dir in (("@A@", "https://img.example.org/a/ab/"), ("@I@", "https://wiki.example.org/im/"), ("@V@", "https://wiki.example.org/v/")):
+for _mark, _dir in (("@A@", "https://img.example.org/a/ab/"), ("@I@", "https://wiki.example.org/im/"), ("@V@", "https://wiki.example.org/v/"), ("@S@", "https://wiki.example.org/b/"), ("@J@", "https://wiki.example.org/im/b/")):
     _RENDERED_SQL = _RENDERED_SQL.replace(_mark, "_assets_/' || md5('" + _dir.replace("/a/ab/", "/") + "') || '")
 _RENDERED_SQL = _RENDERED_SQL.replace("@Y@{k}@", "_assets_/' || md5('https://img.youtube.com/vi/v' || k || '/') || '")
 

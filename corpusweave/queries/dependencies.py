@@ -23,7 +23,7 @@ def _sheets(spark, sf_dir):
     k = F.col("s_suppkey")
     body = _cat('@import url("', k * 2 + 1, ".css\") screen;\n@IMPORT '", k * 2 + 2, ".css' supports(display: grid) print and (x);\n@import url(",
                 F.when(k > 2, F.floor((k - 1) / 2).cast("long")).otherwise(-1), ".css);\n.a{background:url(img/", k, '.png)} .b{background:url("data:image/png;base64,x")} .c{src:url(\'../f/n',
-                F.col("s_nationkey"), "(1.woff')} .d{background:URL()}")
+                F.col("s_nationkey"), "(1.woff')} .d{background:URL()}\n.a.png{background:url(a.png)} .e{background:url('img/a.png')} .f{background:url(\"a.png\")}")
     return views.table(spark, sf_dir, "supplier").select("s_suppkey", _cat(HOST, k, ".css").alias("url"), body.alias("body"))
 
 
@@ -31,7 +31,10 @@ def _sheets(spark, sf_dir):
 SELECT 'https://css.example.org/css/' || s_suppkey || '.css' AS sheet, CAST(u.pos AS BIGINT) AS pos, u.url AS full_url, u.path AS path, '../' || replace(u.path, '(', '%28') AS replacement
 FROM (SELECT s_suppkey, unnest([
   {'pos': 0, 'url': 'https://css.example.org/css/img/' || s_suppkey || '.png', 'path': '_assets_/' || md5('https://css.example.org/css/img/') || '/' || s_suppkey || '.png'},
-  {'pos': 2, 'url': 'https://css.example.org/f/n' || s_nationkey || '(1.woff', 'path': '_assets_/' || md5('https://css.example.org/f/') || '/n' || s_nationkey || '(1.woff'}]) AS u FROM supplier)""")
+  {'pos': 2, 'url': 'https://css.example.org/f/n' || s_nationkey || '(1.woff', 'path': '_assets_/' || md5('https://css.example.org/f/') || '/n' || s_nationkey || '(1.woff'},
+  {'pos': 4, 'url': 'https://css.example.org/css/a.png', 'path': '_assets_/' || md5('https://css.example.org/css/') || '/a.png'},
+  {'pos': 5, 'url': 'https://css.example.org/css/img/a.png', 'path': '_assets_/' || md5('https://css.example.org/css/img/') || '/a.png'},
+  {'pos': 6, 'url': 'https://css.example.org/css/a.png', 'path': '_assets_/' || md5('https://css.example.org/css/') || '/a.png'}]) AS u FROM supplier)""")
 def css_urls(spark, sf_dir):
     return ops.css_urls(_sheets(spark, sf_dir))
 
@@ -72,7 +75,9 @@ p AS (SELECT root, list_append(base, -1) AS key, chr(10) || '/* start ' || {_NAM
     || CASE via WHEN 0 THEN '@media screen {{' || chr(10) WHEN 1 THEN '@media print and (x) {{' || chr(10) || '@supports (display: grid) {{' || chr(10) ELSE '' END AS text FROM q
   UNION ALL SELECT root, list_append(base, u), chr(10) FROM q, (VALUES (2), (4)) x(u)
   UNION ALL SELECT root, list_append(base, 6), chr(10) || '.a{{background:url(../_assets_/' || md5('https://css.example.org/css/img/') || '/' || node || '.png)}} .b{{background:url("data:image/png;base64,x")}} .c{{src:url(''../_assets_/'
-    || md5('https://css.example.org/f/') || '/n' || nk || '%281.woff'')}} .d{{background:URL()}}' FROM q
+    || md5('https://css.example.org/f/') || '/n' || nk || '%281.woff'')}} .d{{background:URL()}}' || chr(10)
+    || '.a.png{{background:url(../_assets_/' || md5('https://css.example.org/css/') || '/a.png)}} .e{{background:url(''../_assets_/' || md5('https://css.example.org/css/img/') || '/a.png'')}} .f{{background:url("../_assets_/'
+    || md5('https://css.example.org/css/') || '/a.png")}}' FROM q
   UNION ALL SELECT root, list_append(base, 1000), repeat(chr(10) || '}}' || chr(10), CASE via WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END) || chr(10) || '/* end   ' || {_NAME.format("node")} || ' */' || chr(10) FROM q)
 SELECT {_NAME.format("root")} AS root, md5(string_agg(text, '' ORDER BY key)) AS text_md5, CAST(sum(length(text)) AS BIGINT) AS chars FROM p GROUP BY p.root""")
 def css_text(spark, sf_dir):

@@ -63,3 +63,21 @@ def stream_stalls(spark, sf_dir):
     stream = jobs.silences(_stream(spark, sf_dir), F.col("user_id"), "ts", "6 hours", "0 seconds")
     jobs.run_available(stream, "append", jobs.batch_table_sink(path), new_table_path(spark, "stalls-checkpoint"))
     return spark.read.parquet(path).select("source", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "events")
+
+
+@QUERIES.add("SELECT user_id, event_type, count(*) - 1 AS repeats FROM events GROUP BY user_id, event_type HAVING count(*) > 1")
+def cursor_guard(spark, sf_dir):
+    # the log lands in several pieces, each a batch; a cursor may come again any number of batches later
+    landed, schema = new_table_path(spark, "landed-cursors"), "user_id long, event_type string"
+    views.table(spark, sf_dir, "events").select("user_id", "event_type").repartition(4, "user_id", F.col("event_id") % 7).write.parquet(landed)
+    pieces = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    return jobs.repeated_keys(spark, pieces, ["user_id", "event_type"], new_table_path(spark, "guard"), new_table_path(spark, "guard-checkpoint"))
+
+
+@QUERIES.add("SELECT CAST(user_id AS VARCHAR) AS source, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last, count(*) AS events FROM events GROUP BY user_id")
+def silence_alarms(spark, sf_dir):
+    # the log ends, so that every source falls silent; no later event is needed to tell
+    path = new_table_path(spark, "alarms")
+    alarms = jobs.silence_alarms(_stream(spark, sf_dir), F.col("user_id"), "ts", 2000)
+    jobs.run_until_silent(alarms, jobs.batch_table_sink(path), new_table_path(spark, "alarms-checkpoint"))
+    return spark.read.parquet(path).select("source", F.date_format("last", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last"), "events")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusweave.plans.ranks import rank_in_group
+from corpusweave.session import cut
 
 PAGE_RECORD = """struct<title string, ns int, contentmodel string, missing boolean, pagelanguagehtmlcode string,
   pagelanguagedir string,
@@ -54,6 +56,58 @@ def merge_entries(records: DataFrame, key: str, seq: str, mapping: str) -> DataF
     return entries.groupBy(key, "field").agg(F.max_by("value", seq).alias("value"))
 
 
+def merge_nested(records: DataFrame, key: str, seq: str, document: str) -> DataFrame:
+    """Records of one page merged at any depth: key, path, kind, ordinal, value (as JSON), one row per leaf.
+
+    Later responses win: objects are merged field by field, arrays appended in response order, anything else replaced. If a field has another kind in a
+    later response (an object after an array, say), what came before is gone. ``document`` is a VARIANT; ``seq`` is unique in a page.
+
+    ``path`` is the list of fields that lead to the leaf. Its kind is ``array`` for one item of an array, ``object`` for an object without fields, else
+    ``scalar``. Each round goes one level down, for all pages at once, so there are as many rounds as records are deep; leaves stay rows, and no page is
+    put together in one task.
+    """
+    here = records.select(key, seq, F.array().cast("array<string>").alias("path"), F.col(document).alias("value"))
+    leaves = []
+    while True:
+        shape = F.lower(F.regexp_extract(F.schema_of_variant("value"), "^(OBJECT|ARRAY)", 1))
+        here = cut(here.filter("value IS NOT NULL").withColumn("kind", F.when(shape == "", "scalar").otherwise(shape)))
+        if here.isEmpty():
+            break
+        newest = [F.max(F.when(F.col("kind") == k, F.col(seq))).alias(k) for k in ("object", "array", "scalar")]
+        last = here.groupBy(key, "path").agg(F.max(seq).alias("last"), *newest)
+        # of the kind that the last response gives, all since another one was given
+        winner = F.when(F.col("object") == F.col("last"), "object").when(F.col("array") == F.col("last"), "array").otherwise("scalar")
+        others = F.greatest(*[F.when(winner != k, F.col(k)) for k in ("object", "array", "scalar")])
+        last = last.select(key, "path", winner.alias("kind"), "last", F.coalesce(others, F.lit(-(1 << 62))).alias("since"))
+        live = cut(here.join(last, [key, "path", "kind"]).filter(F.col(seq) > F.col("since")))
+        leaves.append(live.filter((F.col("kind") == "scalar") & (F.col(seq) == F.col("last"))).select(
+            key, "path", "kind", F.lit(1).cast("long").alias("ordinal"), F.to_json("value").alias("value")))
+        items = live.filter("kind = 'array'").select(key, "path", seq, F.posexplode(F.col("value").cast("array<variant>")).alias("__pos", "item"))
+        items = items.select(key, "path", seq, "__pos", F.to_json("item").alias("value"))
+        leaves.append(rank_in_group(items, [key, "path"], [seq, "__pos"], rank="ordinal").select(key, "path", F.lit("array").alias("kind"), "ordinal", "value"))
+        objects = live.filter("kind = 'object'")
+        fields = objects.select(key, seq, "path", F.explode(F.col("value").cast("map<string, variant>")).alias("field", "item"))
+        bare = objects.groupBy(key, "path").agg(F.min(F.to_json("value")).alias("value")).filter("value = '{}'")
+        leaves.append(bare.select(key, "path", F.lit("object").alias("kind"), F.lit(1).cast("long").alias("ordinal"), "value"))
+        here = fields.select(key, seq, F.concat("path", F.array("field")).alias("path"), F.col("item").alias("value"))
+    return reduce(DataFrame.union, leaves) if leaves else records.sparkSession.createDataFrame([], f"{key} long, path array<string>, kind string, ordinal long, value string")
+
+
+def rebuild(leaves: DataFrame, key: str) -> DataFrame:
+    """key, document: the leaves of ``merge_nested`` as one JSON text a page, fields in the order of their names; for pages that fit a row. Levels are closed from the deepest up."""
+    depth = leaves.agg(F.coalesce(F.max(F.size("path")), F.lit(0))).first()[0]
+    arrays = leaves.filter("kind = 'array'").groupBy(key, "path").agg(
+        F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "value"))), lambda x: x["value"]), ","), F.lit("]")).alias("value"))
+    rows = leaves.filter("kind <> 'array'").select(key, "path", "value").union(arrays)
+    for level in range(depth, 0, -1):
+        named = F.concat(F.regexp_extract(F.to_json(F.create_map(F.element_at("path", -1), F.lit(0))), r"(?s)^\{(.*)0\}$", 1), "value")
+        closed = rows.filter(F.size("path") == level).select(key, F.slice("path", 1, level - 1).alias("path"), F.element_at("path", -1).alias("field"), named.alias("member"))
+        closed = closed.groupBy(key, "path").agg(F.array_sort(F.collect_list(F.struct("field", "member"))).alias("members"))
+        closed = closed.select(key, "path", F.concat(F.lit("{"), F.array_join(F.transform("members", lambda m: m["member"]), ","), F.lit("}")).alias("value"))
+        rows = cut(rows.filter(F.size("path") < level).union(closed))
+    return rows.select(key, F.col("value").alias("document"))
+
+
 def repeated_cursors(responses: DataFrame, scan: str, cursor: str) -> DataFrame:
     """Cursors met more than once in one scan: the scan would never end."""
     return responses.filter(F.col(cursor).isNotNull()).groupBy(scan, cursor).agg(

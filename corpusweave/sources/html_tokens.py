@@ -1,19 +1,19 @@
 """HTML to a token table, the form every content operator works on.
 
 Each element is an interval [seq, end_seq] of its page's token numbers, so a subtree is a range of
-numbers. The parse is one Arrow-batched pass over the pages; everything after it is relational.
+numbers. The parse (``html_tree``) is one Arrow-batched pass over the pages; everything after it is relational.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusweave.plans.layout import spread
+from corpusweave.sources.html_tree import VOID, tokens_of
 
 TOKEN_COLUMNS = ("seq int, kind string, elem_id int, parent_id int, tag string, attrs map<string,string>, "
                  "text string, depth int, end_seq int")
@@ -21,108 +21,6 @@ TOKEN_COLUMNS = ("seq int, kind string, elem_id int, parent_id int, tag string,
 # rows held before a batch is handed on; a batch exceeds it by at most one page
 BATCH_ROWS = 20000
 
-# fixed values: elements without content, and the open elements each start tag closes
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLOSED_BY_BLOCK = frozenset(
-    "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p "
-    "pre section table ul".split())
-CLOSED_BY_START = {
-    **{tag: {"p"} for tag in CLOSED_BY_BLOCK},
-    "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
-    "th": {"td", "th"}, "tbody": {"tr", "td", "th", "thead", "tbody"},
-}
-# an implied end never reaches beyond one of these
-BARRIERS = frozenset("body html table ul ol dl section article div td th select button".split())
-
-FOREIGN, HTML_IN_FOREIGN = frozenset(("svg", "math")), frozenset(("foreignobject", "annotation-xml", "desc"))
-
-
-class _Tokens(HTMLParser):
-    """Collects tokens; text keeps its entities, so that serialising gives back the same bytes."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=False)
-        self.rows: list[list] = []
-        self.open: list[int] = []
-        self.elements = 0
-
-    def _emit(self, kind: str, tag: str | None = None, attrs: list | None = None, text: str | None = None) -> int:
-        parent = self.rows[self.open[-1]][2] if self.open else None
-        self.rows.append([len(self.rows), kind, None, parent, tag, attrs, text, len(self.open), len(self.rows)])
-        return len(self.rows) - 1
-
-    def _text(self, data: str) -> None:
-        last = self.rows[-1] if self.rows else None
-        if last and last[1] == "text":
-            last[6] += data
-        else:
-            self._emit("text", text=data)
-
-    def _close(self, depth: int) -> None:
-        while len(self.open) > depth:
-            start = self.rows[self.open.pop()]
-            row = self.rows[self._emit("end", start[4])]
-            row[2], row[3], row[7] = start[2], start[3], start[7]
-            start[8] = row[0]
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        closes = CLOSED_BY_START.get(tag, ())
-        for depth in range(len(self.open) - 1, -1, -1):
-            name = self.rows[self.open[depth]][4]
-            if name in closes:
-                self._close(depth)
-            elif name in BARRIERS:
-                break
-        first: dict[str, str] = {}
-        for name, value in attrs:
-            first.setdefault(name, value or "")
-        number = self._emit("start", tag, list(first.items()))
-        self.rows[number][2] = self.elements
-        self.elements += 1
-        if tag not in VOID:
-            self.open.append(number)
-
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and (tag in FOREIGN or self._in_foreign()):
-            self._close(len(self.open) - 1)
-
-    def _in_foreign(self) -> bool:
-        """Whether the nearest element that decides it is drawing or formula markup, where a self-closing tag is an empty element."""
-        for number in reversed(self.open[:-1]):
-            name = self.rows[number][4]
-            if name in FOREIGN or name in HTML_IN_FOREIGN:
-                return name in FOREIGN
-        return False
-
-    def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.rows[self.open[depth]][4] == tag:
-                self._close(depth)
-                return
-
-    def handle_data(self, data: str) -> None:
-        self._text(data)
-
-    def handle_entityref(self, name: str) -> None:
-        self._text(f"&{name};")
-
-    def handle_charref(self, name: str) -> None:
-        self._text(f"&#{name};")
-
-    def handle_comment(self, data: str) -> None:
-        self._emit("comment", text=data)
-
-    def handle_pi(self, data: str) -> None:
-        self._emit("comment", text=f"?{data}")
-
-    def unknown_decl(self, data: str) -> None:
-        self._emit("comment", text=f"[{data}")
-
-    def handle_decl(self, decl: str) -> None:
-        self._emit("decl", text=decl)
-
-
 def tokenize(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key plus the token columns, one row per start tag, end tag, text run, comment or doctype."""
     key_type = pages.schema[key].dataType.simpleString()
@@ -141,11 +39,7 @@ def tokenize(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
             for page, body in zip(incoming.column(0).to_pylist(), incoming.column(1).to_pylist()):
                 if body is None:
                     continue
-                reader = _Tokens()
-                reader.feed(body)
-                reader.close()
-                reader._close(0)
-                held.extend((page, *row) for row in reader.rows)
+                held.extend((page, *row) for row in tokens_of(body))
                 if len(held) > BATCH_ROWS:
                     yield batch(held)
                     held = []

@@ -27,9 +27,19 @@ EXTRAS = [
     '<svg><path d="M{k}"/><g><circle r="1"/></g></svg><math><mspace width="1"/><mi>a</mi></math>',
     '<video><source src="/v/{k}.webm"><track src="/w/api.php?title=V{k}.webm&amp;lang=en&amp;trackformat=srt"></video>',
     '<ul class="gallery"><li class="gallerybox"><ul class="gallery"><li><img src="/im/n.png"></li></ul></li></ul>',
+    '<p>a<b>b</p><p>c</b>d{k}</p>',
+    '<table>m<tr><td>{k}<td><i>x<p>y</i>z</table></p>',
+    '<b>1<i>2<div>3</b>4</i>5</div>',
+    "<style>.b/a.png{background:url(b/a.png)} i{background:url('im/b/a.png')} p{src:url(b/a.png)} b{src:url(data:b/a.png)}</style>",
+]
+# as they are written back: empty elements of drawings and formulas have an end tag, and the tree is the one that browsers make
+WRITTEN = [
+    *EXTRAS[:13], '<svg><path d="M{k}"></path><g><circle r="1"></circle></g></svg><math><mspace width="1"></mspace><mi>a</mi></math>', *EXTRAS[14:16],
+    '<p>a<b>b</b></p><p><b>c</b>d{k}</p>',
+    'm<table><tbody><tr><td>{k}</td><td><i>x</i><p><i>y</i>z</p></td></tr></tbody></table><p></p>',
+    '<b>1<i>2</i></b><i></i><div><i><b>3</b>4</i>5</div>',
+    EXTRAS[19],
 ]
-# as they are written back: empty elements of drawings and formulas have an end tag
-WRITTEN = [*EXTRAS[:13], '<svg><path d="M{k}"></path><g><circle r="1"></circle></g></svg><math><mspace width="1"></mspace><mi>a</mi></math>', *EXTRAS[14:]]
 MIN_WORDS = 4
 
 
