@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusweave import constants as c
 from corpusweave.functions.assets import asset_path
-from corpusweave.functions.text import relative_href
+from corpusweave.functions.text import let, relative_href
 from corpusweave.functions.urls import Site, absolute_url
 from corpusweave.plans.closure import first_positions, reach
 from corpusweave.plans.keyed import members_of, missing_from
@@ -53,12 +53,12 @@ def local_urls(text: Column, base: Column | str, to_page: Callable[[Column], Col
         F.split(text, URL_PATTERN, -1).alias("before"), *[F.regexp_extract_all(text, F.lit(URL_SPAN), F.lit(i)).alias(n) for i, n in enumerate(("opening", "ref", "closing"), 1)])
 
     def local(ref: Column) -> Column:
-        path = to_page(asset_path(absolute_url(ref, base), escape=True))
+        path = let(let(absolute_url(ref, base), lambda url: asset_path(url, escape=True)), to_page)
         return F.replace(F.replace(F.replace(path, F.lit("'"), F.lit("%27")), F.lit("("), F.lit("%28")), F.lit(")"), F.lit("%29"))
 
     def rewritten(span: Column) -> Column:
-        ref = F.coalesce(span["ref"], F.lit(""))  # nothing follows what stands behind the last span
-        led = F.when((ref == "") | ref.startswith("data"), ref).otherwise(F.coalesce(local(ref), ref))
+        # nothing follows what stands behind the last span
+        led = let(F.coalesce(span["ref"], F.lit("")), lambda ref: F.when((ref == "") | ref.startswith("data"), ref).otherwise(F.coalesce(local(ref), ref)))
         return F.concat(span["before"], F.coalesce(span["opening"], F.lit("")), led, F.coalesce(span["closing"], F.lit("")))
 
     return F.array_join(F.transform(spans, rewritten), "")
