@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusweave.llm import bottom_k, bpe, byte_cnn, language, main_text, maxent, order_minhash, packing, rules, simhash, spelling, turns, warc
+from corpusweave.llm import bottom_k, bpe, byte_cnn, language, main_text, maxent, order_minhash, packing, rules, simhash, spelling, turns, twins, warc
 from corpusweave.queries import Family
 
 QUERIES = Family()
@@ -92,16 +92,16 @@ def op6_maxent(spark: SparkSession, folder: str) -> DataFrame:
     return maxent.held_out_scores(table(spark, folder, "documents"))
 
 
-@QUERIES.add()
+@QUERIES.add(sql=twins.TURNS)
 def op11_turns(spark: SparkSession, folder: str) -> DataFrame:
     return turns.repairs(table(spark, folder, "conversations"))
 
 
-@QUERIES.add()
+@QUERIES.add(sql=twins.SPELLING)
 def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
 
 
-@QUERIES.add()
+@QUERIES.add(sql=twins.BOTTOM_K)
 def op13_bottom_k(spark: SparkSession, folder: str) -> DataFrame:
     return bottom_k.groups(table(spark, folder, "documents"))
