@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 from pyspark.sql.window import Window
 
 from corpusweave import constants as c
@@ -13,7 +15,7 @@ from corpusweave.functions.assets import asset_path, subtitle_path, subtitle_url
 from corpusweave.functions.text import encode_component, let, plain_number, relative_href, title_path
 from corpusweave.functions.urls import Site, absolute_url
 from corpusweave.plans.intervals import count_inside, count_nearest, drop_subtrees, inside_of, is_start
-from corpusweave.sources.html_tokens import css_classes
+from corpusweave.sources.html_tokens import VOID, css_classes
 
 ATTRS = "attrs"
 
@@ -391,6 +393,57 @@ def transform_pages(tokens: DataFrame, step: Callable[[DataFrame], DataFrame], m
     return out.withColumns({n: F.when(F.col("__main").isNull(), F.col(n)).otherwise(F.col("__main")[n]) for n in names}).drop("__main")
 
 
+def transform_each_page(tokens: DataFrame, step: Callable[[Any, list[Row]], Iterable[Row | tuple]], key: str = "page_id", skipped: Column | None = None) -> DataFrame:
+    """Apply a user's function to the tokens of one page at a time: ``step(page, tokens)`` gets them in order and gives the tokens of the new page.
+
+    For code that needs a page as a whole; rules that are columns are better off in ``transform_pages``. The function is a table function over the tokens, partitioned
+    by page, so a task holds one page. What it gives has the columns of ``tokens``; ``seq`` must be in order and ``end_seq`` of a start its end's ``seq``, as far as later steps need
+    them (``renumbered`` sees to both). Pages that satisfy ``skipped``, such as the main page, don't pass through it.
+    """
+    place, names = tokens.columns.index(key), tokens.columns
+
+    class Page:
+        def __init__(self) -> None:
+            self.tokens: list[Row] = []
+
+        def eval(self, token: Row) -> None:
+            attrs = token[ATTRS]
+            self.tokens.append(Row(**(token.asDict() | {ATTRS: None if attrs is None else dict(attrs)})))
+
+        def terminate(self) -> Iterator[tuple]:
+            if self.tokens:
+                for token in step(self.tokens[0][place], self.tokens):
+                    row = token.asDict() if isinstance(token, Row) else dict(zip(names, token, strict=True))
+                    yield tuple(list(row[n].items()) if n == ATTRS and row[n] is not None else row[n] for n in names)
+
+    # a map would come to Python without its order
+    chosen = tokens if skipped is None else tokens.filter(~F.coalesce(skipped, F.lit(False)))
+    chosen = chosen.withColumn(ATTRS, F.map_entries(ATTRS))
+    hook = udtf(Page, returnType=chosen.schema)
+    out = hook(chosen.asTable().partitionBy(key).orderBy("seq")).withColumn(ATTRS, F.map_from_entries(ATTRS))
+    return out if skipped is None else out.union(tokens.filter(F.coalesce(skipped, F.lit(False))))
+
+
+def renumbered(page: list[Row]) -> list[Row]:
+    """Tokens of a page, in their order, with ``seq``, ``end_seq``, ``depth`` and element numbers that fit; starts and ends must be nested."""
+    out: list[dict] = []
+    path: list[dict] = []
+    elements = 0
+    for seq, token in enumerate(page):
+        row = token.asDict() | {"seq": seq, "end_seq": seq, "depth": len(path), "parent_id": path[-1]["elem_id"] if path else None, "elem_id": None}
+        if row["kind"] == "end":
+            begun = path.pop()
+            begun["end_seq"] = seq
+            row |= {"elem_id": begun["elem_id"], "parent_id": begun["parent_id"], "depth": begun["depth"]}
+        elif row["kind"] == "start":
+            row["elem_id"] = elements
+            elements += 1
+            if row["tag"] not in VOID:
+                path.append(row)
+        out.append(row)
+    return [Row(**row) for row in out]
+
+
 def keep_language_section(tokens: DataFrame, language: str, key: str = "page_id") -> DataFrame:
     """Pages with a section heading of the language; other languages' ``details`` and minor headings' go."""
     heading = is_start() & has_class("sectionlangue")

@@ -82,13 +82,13 @@ k AS (SELECT page, arg_max(kind, turn) AS kind FROM c GROUP BY page),
 since AS (SELECT k.page, k.kind, coalesce(max(turn) FILTER (c.kind <> k.kind), -1) AS turn FROM k JOIN c USING (page) GROUP BY k.page, k.kind),
 mixed AS (SELECT c.page, c.turn, c.kind FROM c JOIN since s ON s.page = c.page AND c.turn > s.turn),
 parts AS (SELECT page, turn, unnest(arr) AS item, unnest(range(len(arr))) AS pos FROM c)
-SELECT page, 'kind' AS path, CAST(1 AS BIGINT) AS ordinal, to_json(arg_max(role, turn)) AS value FROM c GROUP BY page
+SELECT page, path, ordinal, CAST(value AS VARCHAR) AS value FROM (SELECT page, 'kind' AS path, CAST(1 AS BIGINT) AS ordinal, to_json(arg_max(role, turn)) AS value FROM c GROUP BY page
 UNION ALL SELECT page, props || '.n', 1, CAST(arg_max(length(text), turn) AS VARCHAR) FROM c GROUP BY page, props
 UNION ALL SELECT page, props || '.t' || (turn % 2), 1, CAST(max(turn) AS VARCHAR) FROM c GROUP BY page, props, turn % 2
 UNION ALL SELECT page, 'parts', row_number() OVER (PARTITION BY page ORDER BY turn, pos), to_json(item) FROM parts
 UNION ALL SELECT page, 'mixed.x', 1, CAST(max(turn) AS VARCHAR) FROM mixed WHERE kind = 0 GROUP BY page
 UNION ALL SELECT page, 'mixed', row_number() OVER (PARTITION BY page ORDER BY turn), CAST(turn AS VARCHAR) FROM mixed WHERE kind = 1
-UNION ALL SELECT page, 'mixed', 1, CAST(max(turn) AS VARCHAR) FROM mixed WHERE kind = 2 GROUP BY page""")
+UNION ALL SELECT page, 'mixed', 1, CAST(max(turn) AS VARCHAR) FROM mixed WHERE kind = 2 GROUP BY page)""")
 def merge_nested(spark, sf_dir):
     turn = F.col("turn")
     props = F.create_map("role", F.create_map(F.lit("n"), F.length("text").cast("long"), F.concat(F.lit("t"), (turn % 2).cast("string")), turn))

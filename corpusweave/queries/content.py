@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpusweave import constants as c
@@ -78,6 +78,31 @@ SELECT page_id, html_md5 FROM (""" + wiki_sql(where="doc_id = 0") + """) UNION A
 """ + wiki_sql(where="doc_id <> 0").replace("CASE WHEN i > 0 THEN '<h2>S ' || i || '</h2>' ELSE '' END", "''") + ")")
 
 
+def _numbered(page, tokens):
+    """Every heading gets its number and how many there are, which no column of one token knows; references go with what they hold."""
+    headings = sum(t.kind == "start" and t.tag == "h2" for t in tokens)
+    out, n, inside, gone = [], 0, False, -1
+    for token in tokens:
+        if token.seq <= gone:
+            continue
+        if token.kind == "start" and token.tag == "sup":
+            gone = token.end_seq
+            continue
+        if token.tag == "h2":
+            inside = token.kind == "start"
+            n += inside
+        elif inside and token.kind == "text":
+            token = Row(**(token.asDict() | {"text": f"{n}/{headings} {token.text}"}))
+        out.append(token)
+    return ops.renumbered(out)
+
+
+# cross-element logic in user code; the main page is left as it is
+_cleaned("hook_page", lambda t: ops.transform_each_page(t, _numbered, skipped=F.col("page_id") == 0), """
+SELECT page_id, html_md5 FROM (""" + wiki_sql(where="doc_id = 0") + """) UNION ALL SELECT page_id, html_md5 FROM (
+""" + wiki_sql({4: EXTRAS[4].split("</sup>", 1)[1]}, where="doc_id <> 0").replace("'<h2>S ' || i ||", "'<h2>' || i || '/' || (max(i) OVER (PARTITION BY doc_id)) || ' S ' || i ||") + ")")
+
+
 _MEDIA_SQL = wiki_sql({
     2: '<ul class="gallery"><li class="gallerybox"><img src="../@A@/P{k}.png" width="120" loading="lazy"></li><li class="gallerybox">t</li></ul>',
     9: '<figure><figcaption>f</figcaption></figure><span typeof="mw:File/Frameless"></span><figure><img src="../@I@/i.png" loading="lazy"></figure>',

@@ -14,15 +14,16 @@ def test_link_href(column):
 
 
 def test_relative_href(column):
-    rows = [("", "foo.css"), ("A", "foo.css"), ("A/B", "foo.css"), ("A/B/C", "x"), ("/A", "x"), ("//A//B", "x"), ("A///B/C", "x")]
-    want = ["./foo.css", "./foo.css", "../foo.css", "../../x", "./x", "../x", "../../x"]
+    rows = [("Mill/Pond/Weir", "a/b.svg"), ("Mill///Pond/Weir", "b"), ("//Mill//Pond", "b"), ("Mill/Pond", "a/b.svg"), ("/Mill", "b"), ("Mill", "a/b.svg"), ("", "b")]
+    want = ["../../a/b.svg", "../../b", "../b", "../a/b.svg", "./b", "./a/b.svg", "./b"]
     assert column(rows, "p string, b string", text.relative_href("p", "b")) == want
 
 
 def test_truncate_words(column):
-    n = 240
-    rows = ["f" * n, "f" * (n + 1), "f" * n + " " + "f" * n, "a" * n + " " + "b" * (n + 1), "f" * (n - 2) + "Ö", "f" * (n - 1) + "Ö"]
-    want = ["f" * n, "f" * n, "f" * n + " " + "f" * n, "a" * n + " " + "b" * n, "f" * (n - 2) + "Ö", "f" * (n - 1)]
+    # a word holds 240 bytes at most; each word of a title is judged alone
+    long, fits = "ngx" * 90, "kl" * 120
+    rows = [f"up {long} down", fits + "z", f"{fits} {fits} {long}", "q" * 239 + "é", "q" * 238 + "é", "short words only", ""]
+    want = [f"up {long[:240]} down", fits, f"{fits} {fits} {long[:240]}", "q" * 239, "q" * 238 + "é", "short words only", ""]
     assert column(rows, "t string", text.truncate_words("t")) == want
 
 
