@@ -28,8 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusweave.llm.components import components
+from corpusweave.llm.components import compact, components
 from corpusweave.llm.rows import SLICE, Memo, map_documents, slices, text_or_empty
+from corpusweave.plans.bitmaps import bit_map, leading_bits
 from corpusweave.session import cut, new_table_path
 
 SHINGLE, K, SEED = 4, 64, 42
@@ -37,7 +38,7 @@ SHINGLE, K, SEED = 4, 64, 42
 PART, WHOLE = 4, 5
 SIGMAS = 4.0
 NO_ID = -(1 << 63)
-REMEMBERED, MOST_BITS = 300_000, 1 << 29
+REMEMBERED = 300_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 MARK = [pa.field("key", pa.int64()), pa.field("size", pa.int64()), pa.field("sketch", pa.list_(pa.int64()))]
 
@@ -143,16 +144,10 @@ def hopeful(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(work, "a long, b long")
 
 
-def bit_maps(names: DataFrame) -> tuple[int, DataFrame]:
-    """A bit map of 64-bit names, by their leading bits, as a table part, bits: 16 to 32 bits for each name, but never over ``MOST_BITS`` in all (64 MB); beyond that
-    it lets more pass. Also the number of leading bits, of which the last 15 are the place in a part."""
-    power = min(MOST_BITS.bit_length() - 1, max(15, (16 * names.count()).bit_length()))
-    at = F.shiftrightunsigned(names.columns[0], 64 - power)
-    return power, names.select(at.alias("at")).groupBy(F.expr("at div 32768").alias("part")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
-
-
 def text_bits(wanted: DataFrame) -> np.ndarray:
-    power, parts = bit_maps(wanted.select("text_a"))
+    """A bit map of the texts of ``wanted``, at most 64 MB."""
+    power = leading_bits(wanted.count())
+    parts = bit_map(wanted.select("text_a"), power)
     out = np.zeros(1 << power - 3, np.uint8)
     for part, bits in parts.collect():
         out[part << 12:(part << 12) + len(bits)] = np.frombuffer(bits, np.uint8)
@@ -162,7 +157,7 @@ def text_bits(wanted: DataFrame) -> np.ndarray:
 def full_sets(keys: DataFrame, sets: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """key, hashes (the whole set as bytes) of ``keys``, from the texts again. Texts stay where they are: a bit map tells which to look at, and only sets are
     shuffled; a set that isn't wanted, which the bit map let pass, goes then."""
-    wanted = cut(sets.join(keys, "key", "left_semi").select("key", "text_a"))
+    wanted = compact(sets.join(keys, "key", "left_semi").select("key", "text_a"))
     bits = docs.sparkSession.sparkContext.broadcast(text_bits(wanted))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +178,8 @@ def full_sets(keys: DataFrame, sets: DataFrame, docs: DataFrame, width: int) ->
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["key", "hashes"])
 
-    found = docs.select(text_id(), text_or_empty("text")).mapInArrow(work, "key long, hashes binary").join(wanted.select("key"), "key", "left_semi")
-    return cut(found.groupBy("key").agg(F.first("hashes").alias("hashes")))
+    found = docs.select(text_id(), text_or_empty("text")).mapInArrow(work, "key long, hashes binary").groupBy("key").agg(F.first("hashes").alias("hashes"))
+    return cut(found.join(wanted.select("key"), "key", "left_semi"))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -204,7 +199,7 @@ def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
             ok = [similar(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in zip(of_a, of_b, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([v for v, keep in zip(c, ok, strict=True) if keep], pa.int64()) for c in (a, b)], names=["a", "b"])
 
-    return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(work, "a long, b long"))
+    return compact(pairs.join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(work, "a long, b long"))
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -237,25 +232,25 @@ def rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
     root = components(links, "a", "b").withColumnRenamed("node", "key")
     whole = lists.join(root, "key", "left").withColumn("root", F.coalesce("root", "key"))
     apart = whole.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    return cut(whole.join(apart.select("value"), "value"))
+    return compact(whole.join(apart.select("value"), "value"))
 
 
 def links(sets: DataFrame, docs: DataFrame, width: int = SHINGLE, more: DataFrame | None = None) -> DataFrame:
     """Pairs a, b of keys with similar sets that connect all such pairs. ``more`` may hold further candidates a, b."""
     sizes = sets.select("key", "size", F.least("size", F.lit(K)).alias("total"))
     points = sets.select("key", F.explode("sketch").alias("value"))
-    lists = cut(rarest(points, sizes, F.col("total") - least_shared(F.col("size")) + 1).select("key", "size", "weight", F.explode("values").alias("value")))
+    lists = compact(rarest(points, sizes, F.col("total") - least_shared(F.col("size")) + 1).select("key", "size", "weight", F.explode("values").alias("value")))
     pairs = hub_pairs(lists)
-    pairs = cut(hopeful(ordered(pairs.union(more) if more is not None else pairs), sets))
+    pairs = compact(hopeful(ordered(pairs.union(more) if more is not None else pairs), sets))
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     found = verified(pairs, full_sets(keys, sets, docs, width))
 
     # what is left is done exactly
-    open_keys = cut(rooted(lists.select("key", "value"), found).select("key").distinct())
+    open_keys = compact(rooted(lists.select("key", "value"), found).select("key").distinct())
     full = full_sets(open_keys, sets, docs, width)
     sizes = sets.join(open_keys, "key", "left_semi").select("key", "size", F.col("size").alias("total"))
     rare = rarest(values_of(full), sizes, F.col("size") - F.ceil(F.col("size") * PART / WHOLE) + 1)
-    lists = cut(rare.select("key", "size", "weight", "alone", F.posexplode("values").alias("at", "value")).withColumn("at", F.col("at") + F.col("alone")).drop("alone"))
+    lists = compact(rare.select("key", "size", "weight", "alone", F.posexplode("values").alias("at", "value")).withColumn("at", F.col("at") + F.col("alone")).drop("alone"))
     found = found.union(verified(hopeful(ordered(hub_pairs(lists)), sets), full))
     lists = rooted(lists, found)
     small, large = (lists.select("value", *(F.col(c).alias(f"{c}_{side}") for c in ("key", "size", "root", "at"))) for side in "ab")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from corpusweave.llm import bottom_k, simhash
 from corpusweave.llm.components import components
 from corpusweave.llm.rows import stored
+from corpusweave.plans.bitmaps import bit_is_set, bit_map, leading_bits, part_of
 from corpusweave.session import cut
 
 SHINGLE = 5
@@ -55,14 +56,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_a") == F.col("least.text_a"))
     looked_up = stored(rows.select(name, F.col("doc_id").alias("__id"), F.col("text_a").alias("__text"), stays.alias("__stays"), "n").filter("NOT __stays OR n > 1").drop("n"), "not-kept")
 
-    power, parts = bottom_k.bit_maps(looked_up.select("__name"))
-    parts = stored(parts.toDF("__part", "__bits"), "bit-map")  # at most 64 MB
-    at = F.shiftrightunsigned("__name", 64 - power)
+    power = leading_bits(looked_up.count())
+    parts = stored(bit_map(looked_up.select("__name"), power).toDF("__part", "__bits"), "bit-map")  # at most 64 MB
     named = docs.select("*", bottom_k.text_id().alias("__text_a")).select("*", F.xxhash64("doc_id", "__text_a").alias("__name"))
-    named = named.withColumn("__part", F.shiftright(at, 15)).join(F.broadcast(parts), "__part", "left")
-    byte = F.conv(F.hex(F.substring("__bits", (F.shiftright(at, 3) % 4096 + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    maybe = F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")), F.lit(0)) != 0
-    named = named.withColumn("__maybe", maybe)
+    named = named.withColumn("__part", part_of("__name", power)).join(F.broadcast(parts), "__part", "left").withColumn("__maybe", bit_is_set("__bits", "__name", power))
     passed = named.filter("NOT __maybe").select(*docs.columns)
     asked = named.filter("__maybe").join(looked_up.withColumnRenamed("__name", "__their"), (
         F.col("__name") == F.col("__their")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_a") == F.col("__text")), "left")
