@@ -48,6 +48,21 @@ def warning_census(spark, sf_dir):
     return batches.warning_census(_responses(spark, sf_dir))
 
 
+@QUERIES.add("""
+SELECT 'good' AS reason, count(*) AS lines, sum(doc_id)::BIGINT AS seqs FROM documents WHERE doc_id % 6 NOT IN (1, 2, 3)
+UNION ALL SELECT CASE doc_id % 6 WHEN 1 THEN 'not json' WHEN 2 THEN 'other shape' ELSE 'empty' END, count(*), NULL FROM documents WHERE doc_id % 6 IN (1, 2, 3) GROUP BY 1""")
+def quarantine(spark, sf_dir):
+    """Every sixth landed line is cut off in its middle, every sixth has a list for a number, every sixth nothing in it."""
+    k = F.col("doc_id")
+    whole = F.to_json(F.struct(k.alias("seq"), F.struct(F.array(F.struct(F.col("text").alias("title"))).alias("pages")).alias("query")))
+    line = F.when(k % 6 == 1, F.substring(whole, 1, 20)).when(k % 6 == 2, F.regexp_replace(whole, '"seq":([0-9]+)', '"seq":[$1]')).when(k % 6 == 3, "{}").otherwise(whole)
+    path = new_table_path(spark, "landed")
+    views.table(spark, sf_dir, "documents").select(line.alias("value")).write.text(path)
+    good, malformed = batches.read_quarantined(spark, path)
+    return good.agg(F.lit("good").alias("reason"), F.count(F.lit(1)).alias("lines"), F.sum("seq").alias("seqs")).union(
+        malformed.groupBy("reason").agg(F.count(F.lit(1)), F.lit(None).cast("long")))
+
+
 def _continuations(spark, sf_dir):
     return views.table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("page"), F.col("turn").alias("seq"), F.when(F.col("role") == "assistant", F.col("text")).alias("answer"),

@@ -7,9 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusweave.plans.ranks import rank_in_group
-from corpusweave.session import cut
+from corpusweave.session import cut, new_table_path
 
 PAGE_RECORD = """struct<title string, ns int, contentmodel string, missing boolean, pagelanguagehtmlcode string,
   pagelanguagedir string,
@@ -29,6 +30,25 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RESPONSE_SCHEMA).json(path)
 
 
+def read_quarantined(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(responses, malformed): lines that are not a response, cut off or of another shape, as file, line, bytes and reason instead of rows of nulls.
+
+    A line is malformed if it isn't JSON, if a field has another type than a response gives it, or if it has neither a number nor a query, a warning or an
+    error. Both tables are views of one kept reading, so they always add up to the lines that have landed; blank lines are none.
+    """
+    schema = StructType.fromDDL(f"{RESPONSE_SCHEMA}, __line string")
+    read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "__line").json(path)
+    path_kept = new_table_path(spark, "responses-read")
+    read.withColumn("__file", F.input_file_name()).write.parquet(path_kept)
+    read = spark.read.parquet(path_kept)
+    empty = F.col("seq").isNull() | (F.col("query").isNull() & F.col("warnings").isNull() & F.col("error").isNull())
+    good = F.col("__line").isNull() & ~empty
+    reason = F.when(F.col("__line").isNull(), "empty").when(F.try_parse_json("__line").isNull(), "not json").otherwise("other shape")
+    text = F.coalesce("__line", F.to_json(F.struct(*[c for c in read.columns if not c.startswith("__")])))
+    malformed = read.filter(~good).select(F.col("__file").alias("file"), text.alias("line"), F.octet_length(text).cast("long").alias("bytes"), reason.alias("reason"))
+    return read.filter(good).drop("__line", "__file"), malformed
+
+
 def page_records(responses: DataFrame) -> DataFrame:
     """One row per page record; a page split over several responses still has several rows."""
     return responses.select("seq", F.inline("query.pages"))

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from corpusweave.session import new_table_path
 from corpusweave.sources import batches
 
 
@@ -57,3 +58,14 @@ def test_kinds_that_change_and_records_without_fields(spark):
     assert got == {(1, "a", "array", 1): "1", (1, "a", "array", 2): "2", (1, "b.k", "scalar", 1): "2", (1, "b.l", "array", 1): "3", (1, "b.l", "array", 2): "4",
                    (2, "", "object", 1): "{}", (4, "n", "scalar", 1): "null"}
     assert batches.merge_nested(frame(spark, []), "page", "seq", "doc").count() == 0
+
+
+def test_malformed_responses_are_kept_apart(spark):
+    lines = ['{"seq":1,"query":{"pages":[{"title":"A"}]}}', '{"seq":2,"query":{"pa', '{"seq":"x","query":{"pages":[]}}', '{"seq":3}', '{"seq":4,"error":{"code":"maxlag"}}', "[1,2]", "", "null"]
+    path = new_table_path(spark, "landed")
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    good, malformed = batches.read_quarantined(spark, path)
+    assert sorted(r.seq for r in good.collect()) == [1, 4] and good.columns == batches.read_responses(spark, path).columns
+    got = {r.line: r.reason for r in malformed.collect()}
+    assert got[lines[1]] == "not json" and got[lines[2]] == "other shape" and got['{"seq":3}'] == "empty"
+    assert all(r.file.startswith("file:") and r.bytes == len(r.line.encode()) for r in malformed.collect())

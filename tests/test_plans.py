@@ -147,6 +147,20 @@ SCANS = {
 }
 
 
+def test_a_rank_shuffles_its_rows_once(spark):
+    """Ranges are the one shuffle; the finished ranks join a broadcast table of at most one row per partition, without an exchange of the rows."""
+    rows = [(None if i % 5 == 0 else "hot" if i % 3 else f"g{i % 7}", i % 11, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, v int, id long").repartition(6)
+    ranked = ranks.rank_in_group(df, ["g"], ["v", "id"])
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange" not in plan.split("BroadcastExchange")[0]
+    want = {}
+    for g, v, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        want.setdefault(g, []).append((v, i))
+    assert {(r.g, r.id): r.rank for r in ranked.collect()} == {(g, i): n for g, order in want.items() for n, (_, i) in enumerate(order, 1)}
+    assert ranks.rank_in_group(df.filter("id < 0"), ["g"], ["id"], total="n").count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no benchmark tables")
 @pytest.mark.parametrize("name", SCANS)
 def test_tables_are_read_no_oftener_than_needed(spark, name):
