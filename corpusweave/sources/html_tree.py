@@ -217,12 +217,10 @@ class Builder:
                     bookmark = self.active.index(copy) + 1
                 copy.take(last)
                 last = copy
+            last.leave()
             self.foster = True
             parent, where = self.place(above)
             self.foster = False
-            if where is not None and last.parent is parent:
-                last.leave()
-                parent, where = parent, next(k for k, n in enumerate(parent.kids) if n.tag == "table" and n in self.open)
             parent.take(last, where)
             copy = element.like()
             for kid in block.kids:
