@@ -81,9 +81,3 @@ def groups(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> Dat
     of_print = classes.join(least, "root").select("fp", "component_id")
     named = [F.nullif(F.col(c), F.lit(NO_ID)).alias(c) for c in ("doc_id", "component_id")]
     return marks.join(of_print, "fp").select(named[0], F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), named[1])
-
-
-def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """The document with the smallest id of each group, with all its columns; rows with equal ids are one document."""
-    kept = groups(docs, radius, shingle).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
