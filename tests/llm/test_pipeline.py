@@ -37,3 +37,16 @@ def test_each_stage_against_brute_force(spark):
 def test_queries_are_registered():
     names = list(__spark_entry__.queries())
     assert [n for i in range(1, 14) for n in names if n.startswith(f"op{i}_")] and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
+
+
+def test_stages_take_odd_and_empty_tables(spark, odd_documents, no_documents):
+    """Nulls, repeated rows, very long texts and clashing names pass all stages, and so does a table without rows; what a stage keeps has the columns that came."""
+    *filters, (_, pack) = corpus_pipeline.STAGES
+    for docs in (odd_documents, no_documents):
+        columns = docs.columns
+        for _, stage in filters:
+            docs = stage(spark, docs, FOLDER)
+            assert docs.columns == columns
+        kept = docs.select("doc_id").collect()
+        packed = pack(spark, docs, FOLDER).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in kept}
