@@ -38,7 +38,7 @@ SHINGLE, K, SEED = 4, 64, 42
 PART, WHOLE = 4, 5
 SIGMAS = 4.0
 NO_ID = -(1 << 63)
-REMEMBERED = 300_000
+REMEMBERED = 1 << 16
 MIX = np.array([0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 MARK = [pa.field("key", pa.int64()), pa.field("size", pa.int64()), pa.field("sketch", pa.list_(pa.int64()))]
 
