@@ -65,6 +65,34 @@ def test_reach_ends_on_cycles_and_ignores(spark):
     assert {r.title for r in closure.reach(seeds, edges, "title", ignored).collect()} == set("abc")
 
 
+def test_a_long_chain_takes_as_many_rounds_as_it_crosses_blocks(spark):
+    edges = spark.range(5000).selectExpr("format_string('n%05d', id) AS src", "format_string('n%05d', id + 1) AS dst").repartition(5)
+    seeds = spark.createDataFrame([("n00000",), ("nowhere",)], "title string")
+    whole = closure.reach(seeds, edges, "title")
+    assert whole.count() == 5002 and whole.agg(F.max("round")).first()[0] == 1
+    parted = closure.reach(seeds, edges, "title", block=1000)
+    assert parted.distinct().count() == parted.count() == 5002 and parted.agg(F.max("round")).first()[0] <= 6
+
+
+@pytest.mark.parametrize("block", [7, 60, 10_000])
+def test_reach_over_blocks_against_plain_search(spark, block):
+    # a hub with a third of all edges, which lies in several blocks; repeated edges, cycles, edges without an end
+    rng = random.Random(block)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(110)] + [(5, i) for i in range(100, 160)] + [(159, 1), (1, 5), (3, 3), (None, 4), (6, None)] + [(7, 8)] * 50
+    ignored, seeds = {104, 130, 9}, [5, 9, 200, 5]
+    seen, ahead = {5, 200}, [5, 200]
+    while ahead:
+        node = ahead.pop()
+        for src, dst in edges:
+            if src == node and dst is not None and dst not in seen | ignored:
+                seen.add(dst)
+                ahead.append(dst)
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    got = closure.reach(spark.createDataFrame([(s,) for s in seeds], "id long"), df, "id", spark.createDataFrame([(i,) for i in ignored], "id long"), block)
+    assert sorted(r.id for r in got.collect()) == sorted(seen)
+    assert closure.reach(spark.createDataFrame([(1,)], "id long"), df.limit(0), "id").count() == 1
+
+
 def depth_first(edges, root):
     order, seen = [], set()
 
