@@ -11,6 +11,9 @@ from corpusweave.llm import byte_cnn, near_copies, packing, rules
 from corpusweave.llm.queries import TOKENIZER, table
 from corpusweave.session import new_table_path
 
+#: Words that packing remembers: Python workers outlive their stages, so its memory stands beside what the earlier ones left.
+REMEMBERED = 1 << 16
+
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the byte network takes for good ones."""
@@ -29,7 +32,7 @@ def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 4096, as pieces of documents."""
-    return packing.pack(docs, TOKENIZER)
+    return packing.pack(docs, TOKENIZER, remembered=REMEMBERED)
 
 
 STAGES = [("quality classifier", classify), ("quality rules", apply_rules), ("SimHash near-dedup", remove_copies), ("packing", pack)]

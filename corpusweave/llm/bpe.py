@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 
 from corpusweave.llm.rows import Memo, map_documents, text_or_empty
 
-#: Remembered words and pieces between spaces per Python worker.
-WORDS, PIECES, PAIRS = 700_000, 700_000, 500_000
+#: Remembered words, as many pieces between spaces, and pairs of tokens per Python worker.
+WORDS, PAIRS = 700_000, 500_000
 #: Python's str.split takes these for spaces, the tokenizer doesn't.
 SEPARATORS = regex.compile(r"[\x1C-\x1F]")
 SPACE = regex.compile(r"\s+")
@@ -44,7 +44,7 @@ def byte_letters() -> dict[str, int]:
 class Encoder:
     """A tokenizers file of the kind BPE with word ends. A word's letters are its bytes; the last one has 256 added to mark the end."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = WORDS):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, suffix = spec["model"], spec["model"]["end_of_word_suffix"]
@@ -74,10 +74,10 @@ class Encoder:
         self.automaton.make_automaton()
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.fits = Memo(self._compatible, PAIRS)
-        self.words = Memo(self._word, WORDS)
-        self.pieces = Memo(self._piece, PIECES)
-        self.packed = Memo(lambda piece: array("I", self._piece(piece)).tobytes(), PIECES)
+        self.fits = Memo(self._compatible, min(remembered, PAIRS))
+        self.words = Memo(self._word, remembered)
+        self.pieces = Memo(self._piece, remembered)
+        self.packed = Memo(lambda piece: array("I", self._piece(piece)).tobytes(), remembered)
 
     def _compatible(self, pair: tuple[int, int]) -> bool:
         """Would merging the joined text of two tokens end in these two? Undo their merges, the latest first, down to the letters at
@@ -151,9 +151,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = WORDS) -> Encoder:
     """One per Python worker and file."""
-    return Encoder(path)
+    return Encoder(path, remembered)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

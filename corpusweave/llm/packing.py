@@ -23,8 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from corpusweave.llm.bpe import encoder
-from corpusweave.llm.rows import slices, text_or_empty
+from corpusweave.llm.bpe import WORDS, encoder
+from corpusweave.llm.rows import give_back, slices, text_or_empty
 
 CAPACITY = 4096
 GRAIN = 64
@@ -92,17 +92,18 @@ class Packer:
         self.open.clear()
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grain: int = GRAIN, remembered: int = WORDS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``docs[doc_id, text]``, null texts empty; ``path``: the tokenizers file. Sequence ids are unique over all workers: the partition's number
-    and a counter. ``capacity`` and ``grain`` are powers of two.
+    and a counter. ``capacity`` and ``grain`` are powers of two. ``remembered``: words that a worker
+    keeps the ids of, some 600 bytes each; fewer cost time only.
     """
     if capacity & (capacity - 1) or grain & (grain - 1) or grain > capacity:
         raise ValueError("capacity and grain are powers of two, the grain not above the capacity")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, encode = Packer(TaskContext.get().partitionId() << 40, capacity, grain), encoder(path).encode_bytes
+        packer, encode = Packer(TaskContext.get().partitionId() << 40, capacity, grain), encoder(path, remembered).encode_bytes
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
@@ -113,5 +114,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grain: int = GRAI
                 yield batch(rows)
         if rows := list(packer.finish()):
             yield batch(rows)
+        give_back()
 
     return docs.select("doc_id", text_or_empty()).mapInArrow(work, from_arrow_schema(PIECES))

@@ -34,6 +34,11 @@ def slices(batches: Iterable[pa.RecordBatch], size: int = SLICE) -> Iterator[lis
             yield [column.to_pylist() for column in part.columns]
 
 
+def give_back() -> None:
+    """For the end of a task: its worker lives on, and what Arrow keeps for later would stand beside the memory of the next stage."""
+    pa.default_memory_pool().release_unused()
+
+
 def map_documents(df: DataFrame, columns: Sequence[Column | str], schema: pa.Schema,
                   start: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
     """Apply a function to rows; ``start`` makes it once per task, it takes the columns' values and gives output rows."""
@@ -45,6 +50,7 @@ def map_documents(df: DataFrame, columns: Sequence[Column | str], schema: pa.Sch
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, type=field.type) for column, field in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+        give_back()
 
     return df.select(*columns).mapInArrow(work, from_arrow_schema(schema))
 
@@ -63,6 +69,7 @@ def add_struct(df: DataFrame, column: str, name: str, schema: pa.Schema, start:
                 found = zip(*(each(t or "") for t in part.column(names.index(column)).to_pylist()), strict=True)
                 struct = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(found, schema, strict=True)], fields=list(schema))
                 yield pa.RecordBatch.from_arrays([*part.columns, struct], names=[*names, name])
+        give_back()
 
     return df.mapInArrow(work, out)
 

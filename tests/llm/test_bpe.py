@@ -98,3 +98,8 @@ def test_cuts_are_powers_of_two_but_for_the_last():
     for n in range(1, 9000, 7):
         found = packing.cuts(n)
         assert sum(found) == n and all(x & (x - 1) == 0 for x in found[:-1]) and (found[-1] < 2 * packing.GRAIN or n % 4096 == 0 or found[-1] & (found[-1] - 1) == 0)
+
+
+def test_a_small_memory_gives_the_same_ids():
+    text = "Words of a text, und noch ein paar Wörter; words again, 123 of them. " * 3
+    assert bpe.Encoder(PATH, 2).encode_bytes(text) == bpe.Encoder(PATH).encode_bytes(text)
