@@ -85,9 +85,10 @@ def measure(text: str) -> tuple[int, ...]:
             how_many(UPPER), how_many(LOWER), raw.count(b"!"), sum(map(eq, words, islice(words, 1, None))))
 
 
-def rule_in(struct: str, rule: str) -> str:
-    """The rule over measurements that are fields of a struct column."""
-    return re.sub("|".join(MEASURES), lambda m: f"{struct}.{m[0]}", RULES[rule])
+def failure_bits(struct: str = "") -> Column:
+    """Bit i is set if rule i fails, over measurements that are columns or fields of a struct column."""
+    rules = [re.sub("|".join(MEASURES), lambda m: f"{struct}.{m[0]}", rule) if struct else rule for rule in RULES.values()]
+    return reduce(Column.bitwiseOR, (F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, rule in enumerate(rules)))
 
 
 def mask(rules: tuple[str, ...]) -> int:
@@ -101,16 +102,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     def start():
         return lambda doc_id, text: [(doc_id, *measure(text))]
 
-    measured = map_documents(docs, ["doc_id", text_or_empty()], schema, start)
-    bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, rule in enumerate(RULES.values())]
-    failed = bits[0]
-    for bit in bits[1:]:
-        failed = failed.bitwiseOR(bit)
-    return measured.withColumn("failed", failed)
+    return map_documents(docs, ["doc_id", text_or_empty()], schema, start).withColumn("failed", failure_bits())
 
 
-def passes(policy: str = CURRENT) -> Column:
-    return F.col("failed").bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
+def passes(policy: str = CURRENT, failed: str = "failed") -> Column:
+    return F.col(failed).bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
 
 
 def ablations(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -135,9 +131,13 @@ def judged(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
     return ledger(docs).withColumn("base_failed", base).withColumn("kept", ~base & passes(policy))
 
 
+def with_ledger(docs: DataFrame) -> DataFrame:
+    """``docs`` with all their columns, the measurements (struct ``__measured``) and the failure bits (``__failed``) of every rule, in one pass over
+    the texts: no join back to them. Kept as a table, it answers any later policy."""
+    measured = add_struct(docs, "text", "__measured", pa.schema([(m, pa.int64()) for m in MEASURES]), lambda: measure)
+    return measured.withColumn("__failed", failure_bits("__measured"))
+
+
 def without_failures(docs: DataFrame, policy: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns, in one pass over the texts: no join back to them."""
-    found = "__measured"
-    measured = add_struct(docs, "text", found, pa.schema([(m, pa.int64()) for m in MEASURES]), lambda: measure)
-    failed = reduce(Column.__or__, (F.expr(rule_in(found, rule)) for rule in POLICIES[policy]))
-    return measured.filter(~failed).drop(found)
+    """The rows of ``docs`` that pass by the mask of the policy, with all their columns."""
+    return with_ledger(docs).filter(passes(policy, "__failed")).drop("__measured", "__failed")

@@ -51,3 +51,11 @@ def test_stage_keeps_rows_whole(odd_documents, no_documents):
 
 def brute_force_fast(text):
     return brute_force(text) if len(text) < 20_000 else rules.measure(text)
+
+
+def test_stage_and_ledger_agree_for_every_policy(odd_documents):
+    ledger = rules.with_ledger(odd_documents)
+    assert sorted(map(str, ledger.select("doc_id", "__failed").collect())) == sorted(
+        str(r).replace("failed", "__failed") for r in rules.ledger(odd_documents).select("doc_id", "failed").collect())
+    for policy in rules.POLICIES:
+        assert ledger.filter(rules.passes(policy, "__failed")).count() == rules.without_failures(odd_documents, policy).count()
