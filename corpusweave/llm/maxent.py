@@ -1,8 +1,10 @@
 """Language-model scores by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) P(word | class). The class factor is a softmax over hashed features: the word before, the two before
-together, skips to the second and third before, and the classes of the three before. The word factor is the unigram share of the word
-in its class, with the base model's smoothing, so that it covers unseen words too.
+P(word | history) = P(class | history) P(word | class, history). Both factors are softmaxes over hashed features. That of the class: the word before, the
+two before together, skips to the second and third before, and the classes of the three before. That of the word, over all words of its class: the word
+before, the one before that and both together, each along with the class. There a word's weights are those of its slot: the ``OWN`` most frequent words of a
+class have one each, the others are hashed to the rest. Without weights the factors are the base model's shares, with its smoothing, so that they cover
+unseen words too; words of one slot differ by these shares alone, so the sum over a class is one over slots, and exact.
 
 Counts come from all training documents and stay a table; only the ``HEAD`` most frequent words, of which there are no more however large
 the corpus, go to every task. Rarer words are counted and looked up by joins, in which no key is hot: hot words are in the head.
@@ -22,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,10 @@ FEATURED = 1 << 13
 ROW_BITS, BLOCK = 14, 1 << 9
 ROWS = 1 << ROW_BITS
 FEATURES = 5
+#: The word factor: slots of a class, those of one word, and which features it takes.
+SLOTS, OWN = 32, 24
+INNER, INNER_BITS = (0, 1, 3), 15
+INNER_ROWS = 1 << INNER_BITS
 ROUNDS, RATE, BATCH, SCORED, BOUND = 2, 0.15, 8192, 2048, 15.0
 FLUSH, REMEMBERED = 300_000, 300_000
 #: Odd multipliers of the feature hash.
@@ -80,14 +87,15 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 # ---- sums of number blocks over tasks
 
-def sum_blocks(rows: DataFrame, width: int) -> dict[int, np.ndarray]:
+def sum_blocks(rows: DataFrame) -> dict[int, np.ndarray]:
     """Sums of ``values`` (float32, as bytes) by ``block``. Each task of the sum adds up rows as they arrive; the result is as large as one row of each block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for blocks, values in slices(batches, 16):
             for block, raw in zip(blocks, values, strict=True):
-                total.setdefault(block, np.zeros(width)).__iadd__(np.frombuffer(raw, np.float32))
+                values = np.frombuffer(raw, np.float32)
+                total.setdefault(block, np.zeros(len(values))).__iadd__(values)
         if total:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(total), pa.int64()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["block", "values"])
@@ -107,6 +115,7 @@ class Vocabulary:
     total: int
     distinct: int
     classes: np.ndarray | None = None  # of the words
+    slots: np.ndarray | None = None  # of the words, in their class
     grams: dict[str, np.ndarray] = field(default_factory=dict)
 
     @property
@@ -137,12 +146,21 @@ class Vocabulary:
         band = np.where(share > 2e-3, 0, np.where(share > 1e-4, 1, 2))
         topics = [*seeds.tolist(), *(self.topic_of(w) for w in self.words[len(seeds):])]
         self.classes = np.array(topics, np.int64) * BANDS + band
+        before, slots = [0] * CLASSES, []  # words are in order of their counts
+        for word, kind in zip(self.words, self.classes.tolist(), strict=True):
+            slots.append(before[kind] if before[kind] < OWN else slot_of_rare(word))
+            before[kind] += 1
+        self.slots = np.array(slots, np.int64)
         return self
 
     def class_of_rare(self, word: str) -> int:
         return self.topic_of(word) * BANDS + 2
 
 
+def slot_of_rare(word: str) -> int:
+    return OWN + crc32(word.encode()) % (SLOTS - OWN)
+
+
 def cluster(vectors: np.ndarray, rounds: int = 40) -> np.ndarray:
     """k-means by cosine around the mean; first centres: the most frequent word, then always the one least like the centres so far. Words without
     neighbours go to the first cluster."""
@@ -189,7 +207,7 @@ def neighbours(docs: DataFrame, words: Broadcast) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], names=["block", "values"])
 
     rows = docs.select(text_or_empty()).mapInArrow(work, "block long, values binary")
-    found = sum_blocks(rows, wide * CONTEXTS)
+    found = sum_blocks(rows)
     out = np.zeros((SEEDS // wide, wide * CONTEXTS))
     for block, values in found.items():
         out[block] = values
@@ -199,19 +217,21 @@ def neighbours(docs: DataFrame, words: Broadcast) -> np.ndarray:
 # ---- the model
 
 class Reader:
-    """Texts to ids, classes and features, in one task."""
+    """Texts to ids, cells (class and slot) and features, in one task."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         size = len(vocabulary.words)
-        # ids: of the head, then one per class for rarer words
-        self.classes = np.concatenate([vocabulary.classes, np.arange(CLASSES)])
-        ids = np.arange(size + CLASSES)
+        # ids: of the head, then one per class and shared slot for rarer words
+        shared = SLOTS - OWN
+        self.classes = np.concatenate([vocabulary.classes, np.repeat(np.arange(CLASSES), shared)])
+        self.cells = self.classes * SLOTS + np.concatenate([vocabulary.slots, np.tile(np.arange(OWN, SLOTS), CLASSES)])
+        ids = np.arange(size + CLASSES * shared)
         self.named = np.where(ids < min(size, FEATURED), ids, FEATURED + self.classes).astype(np.uint64) + np.uint64(1)
         self.log_base = np.log10((vocabulary.counts + 0.5) / vocabulary.mass)
         self.size = size
         self.head = {w.encode(): i for i, w in enumerate(vocabulary.words)}
-        self.place = Memo(lambda w: size + vocabulary.class_of_rare(w.decode()), len(self.head) + REMEMBERED)
+        self.place = Memo(lambda w: size + vocabulary.class_of_rare(w.decode()) * shared + slot_of_rare(w.decode()) - OWN, len(self.head) + REMEMBERED)
         self.place.update(self.head)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
@@ -221,7 +241,7 @@ class Reader:
         return found
 
     def features(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Classes and rows of features (FEATURES x tokens) of texts, of which each begins without history."""
+        """Cells and rows of features of texts, of which each begins without history. Of the rows (a column per token) the first FEATURES are those of the class."""
         joined = np.concatenate(ids)
         at = np.concatenate([np.arange(len(i)) for i in ids])
         word, kind = self.named[joined], self.classes[joined]
@@ -234,14 +254,18 @@ class Reader:
             back.append((one, two))
         (w1, c1), (w2, c2), (w3, c3) = back
         keys = (w1, w2, w3, w1 * np.uint64(100_003) + w2, (c1 * np.uint64(64) + c2) * np.uint64(64) + c3)
-        rows = np.empty((FEATURES, len(joined)), np.int32)
+        rows = np.empty((FEATURES + len(INNER), len(joined)), np.int32)
         for i, key in enumerate(keys):
             rows[i] = ((key + np.uint64(i << 40)) * MIX[i]) >> np.uint64(64 - ROW_BITS)
-        return kind, rows
+        own = kind.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for n, i in enumerate(INNER):
+            rows[FEATURES + n] = ((keys[i] + own + np.uint64((FEATURES + i) << 40)) * MIX[i]) >> np.uint64(64 - INNER_BITS)
+        return self.cells[joined], rows
 
 
 def exponentials(weights: np.ndarray, prior: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Unscaled probabilities of the classes; weights are kept within ``BOUND``, so nothing overflows."""
+    """Unscaled probabilities of the classes, or of the slots of each token's class (``prior``: a row per token); weights are kept within ``BOUND``,
+    so nothing overflows."""
     z = weights.take(rows[0], axis=0)
     z += prior
     for row in rows[1:]:
@@ -285,59 +309,81 @@ def batches_of(reader: Reader, batches: Iterator[pa.RecordBatch]) -> Iterator[tu
         yield reader.features(held)
 
 
-def train_round(docs: DataFrame, vocabulary: Broadcast, prior: np.ndarray, weights: np.ndarray, rate: float) -> np.ndarray:
-    """Every task descends from ``weights`` over its documents; the results are averaged by how often each met a feature."""
+@dataclass
+class Priors:
+    """The base model's logarithms of the classes' probabilities, and of slots within classes."""
+
+    classes: np.ndarray
+    slots: np.ndarray
+
+    def outer(self, cells: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the class factor: prior, what came, rows of features."""
+        return self.classes, cells // SLOTS, rows[:FEATURES]
+
+    def inner(self, cells: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the word factor."""
+        return self.slots[cells // SLOTS], cells % SLOTS, rows[FEATURES:]
+
+
+def train_round(docs: DataFrame, vocabulary: Broadcast, priors: Priors, weights: list[np.ndarray], rate: float) -> list[np.ndarray]:
+    """Every task descends from ``weights`` (of classes, of slots) over its documents; the results are averaged by how often each met a feature."""
     start = docs.sparkSession.sparkContext.broadcast(weights)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, own = Reader(vocabulary.value), start.value.copy()
-        squares, seen = np.zeros(ROWS), np.zeros(ROWS, np.float32)
-        for kind, rows in batches_of(reader, batches):
-            for at in range(0, len(kind), BATCH):
-                descend(own, squares, seen, prior, kind[at:at + BATCH], rows[:, at:at + BATCH], rate)
-        for block in range(ROWS // BLOCK):
-            part = slice(block * BLOCK, (block + 1) * BLOCK)
-            if seen[part].any():
-                values = np.concatenate([own[part] * seen[part, None], seen[part, None]], axis=1).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([values.tobytes()], pa.binary())], names=["block", "values"])
+        reader, own = Reader(vocabulary.value), [w.copy() for w in start.value]
+        squares, seen = [np.zeros(len(w)) for w in own], [np.zeros(len(w), np.float32) for w in own]
+        for cells, rows in batches_of(reader, batches):
+            for at in range(0, len(cells), BATCH):
+                part = cells[at:at + BATCH], rows[:, at:at + BATCH]
+                for i, factor in enumerate((priors.outer, priors.inner)):
+                    descend(own[i], squares[i], seen[i], *factor(*part), rate)
+        for i, met in enumerate(seen):
+            for block in range(len(met) // BLOCK):
+                part = slice(block * BLOCK, (block + 1) * BLOCK)
+                if met[part].any():
+                    values = np.concatenate([own[i][part] * met[part, None], met[part, None]], axis=1).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([2 * block + i], pa.int64()), pa.array([values.tobytes()], pa.binary())], names=["block", "values"])
 
     rows = docs.select(text_or_empty()).mapInArrow(work, "block long, values binary")
-    averaged = weights.copy()
-    for block, values in sum_blocks(rows, BLOCK * (CLASSES + 1)).items():
-        values = values.reshape(BLOCK, CLASSES + 1)
+    averaged = [w.copy() for w in weights]
+    for place, values in sum_blocks(rows).items():
+        block, i = divmod(place, 2)
+        values = values.reshape(BLOCK, -1)
         met = values[:, -1] > 0
-        averaged[block * BLOCK:(block + 1) * BLOCK][met] = values[met, :-1] / values[met, -1:]
+        averaged[i][block * BLOCK:(block + 1) * BLOCK][met] = values[met, :-1] / values[met, -1:]
     start.unpersist()
     return averaged
 
 
-def class_masses(counts: DataFrame, vocabulary: Broadcast) -> np.ndarray:
-    """The base model's probability of each class, over all words; an unseen word may be of any class of rare ones."""
+def base_priors(counts: DataFrame, vocabulary: Broadcast) -> Priors:
+    """What the base model gives classes and slots, over all words; an unseen word may be in any shared slot of rare words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
-        head = {w: k for w, k in zip(known.words, known.classes.tolist(), strict=True)}
-        total = np.zeros(CLASSES)
+        head = {w: k for w, k in zip(known.words, (known.classes * SLOTS + known.slots).tolist(), strict=True)}
+        total = np.zeros(CLASSES * SLOTS)
         for words, n in slices(batches, 4096):
             for word, c in zip(words, n, strict=True):
-                kind = head.get(word)
-                total[known.class_of_rare(word) if kind is None else kind] += c + 0.5
-        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int64()), pa.array(total)], names=["kind", "mass"])
+                cell = head.get(word)
+                total[known.class_of_rare(word) * SLOTS + slot_of_rare(word) if cell is None else cell] += c + 0.5
+        yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES * SLOTS), pa.int64()), pa.array(total)], names=["cell", "mass"])
 
-    sums = counts.select("word", "c").mapInArrow(work, "kind long, mass double").groupBy("kind").agg(F.sum("mass").alias("mass")).collect()
-    out = np.zeros(CLASSES)
-    for kind, mass in sums:
-        out[kind] = mass
-    out[BANDS - 1::BANDS] += 0.5
-    return np.maximum(out, 0.5) / vocabulary.value.mass
+    sums = counts.select("word", "c").mapInArrow(work, "cell long, mass double").groupBy("cell").agg(F.sum("mass").alias("mass")).collect()
+    out = np.zeros(CLASSES * SLOTS)
+    for cell, mass in sums:
+        out[cell] = mass
+    out = out.reshape(CLASSES, SLOTS)
+    out[BANDS - 1::BANDS, OWN:] += 0.5
+    whole = np.maximum(out.sum(axis=1), 0.5)
+    return Priors(np.log(whole / vocabulary.value.mass).astype(np.float32), np.log(np.maximum(out / whole[:, None], 1e-30)).astype(np.float32))
 
 
 @dataclass
 class Model:
     counts: DataFrame
     vocabulary: Vocabulary
-    prior: np.ndarray
-    weights: np.ndarray
+    priors: Priors
+    weights: list[np.ndarray]
 
 
 def frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -364,41 +410,48 @@ def fit(docs: DataFrame) -> Model:
     vocabulary = Vocabulary(words.value, np.array([r["c"] for r in head], float), total, distinct)
     vocabulary.finish(neighbours(docs, words)[:len(head)])
     shared = spark.sparkContext.broadcast(vocabulary)
-    prior = class_masses(counts, shared)
-    weights = np.zeros((ROWS, CLASSES), np.float32)
+    priors = base_priors(counts, shared)
+    weights = [np.zeros((ROWS, CLASSES), np.float32), np.zeros((INNER_ROWS, SLOTS), np.float32)]
     turn = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS))
     for i in range(ROUNDS):
-        weights = train_round(docs.filter(turn == i), shared, np.log(prior).astype(np.float32), weights, RATE / (i + 1))
-    return Model(counts, vocabulary, prior, weights)
+        weights = train_round(docs.filter(turn == i), shared, priors, weights, RATE / (i + 1))
+    return Model(counts, vocabulary, priors, weights)
+
+
+def gains(priors: Priors, weights: list[np.ndarray], cells: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """log10 of P(class | history) P(slot | class, history) over the base model's share of the slot, of each token."""
+    out = np.zeros(len(cells))
+    for at in range(0, len(cells), SCORED):
+        part = slice(at, at + SCORED)
+        for table, factor in zip(weights, (priors.outer, priors.inner), strict=True):
+            prior, came, which = factor(cells[part], rows[:, part])
+            z = exponentials(table, prior, which)
+            each = np.arange(len(came))
+            before = prior[came] if prior.ndim == 1 else prior[each, came]
+            out[part] += np.log10(np.maximum(z[each, came].astype(np.float64) / z.sum(axis=1), 1e-30)) - before.astype(np.float64) / np.log(10)
+    return out
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score: sums of log10 over the tokens of each whole text."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.vocabulary, model.prior, model.weights))
+    shared = spark.sparkContext.broadcast((model.vocabulary, model.priors, model.weights))
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64()),
                         ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, prior, weights = shared.value
+        vocabulary, priors, weights = shared.value
         reader, row = Reader(vocabulary), TaskContext.get().partitionId() << 36
-        log_prior = np.log(prior).astype(np.float32)
         for doc_ids, texts in slices(batches, 64):
             split = [tokens(text) for text in texts]
             ids = [reader.ids(words) for words in split]
-            kind, rows = reader.features(ids)
-            gains = np.empty(len(kind))
-            for at in range(0, len(kind), SCORED):
-                part = kind[at:at + SCORED]
-                z = exponentials(weights, log_prior, rows[:, at:at + SCORED])
-                p = z[np.arange(len(part)), part].astype(np.float64) / z.sum(axis=1)
-                gains[at:at + SCORED] = np.log10(np.maximum(p, 1e-30) / prior[part])
+            gain = gains(priors, weights, *reader.features(ids))
             ends = np.cumsum([len(i) for i in ids])
             out = []
             for doc_id, words, own, end in zip(doc_ids, split, ids, ends, strict=True):
                 common = own < reader.size
                 rare = Counter([words[i] for i in np.flatnonzero(~common).tolist()])
-                out.append((row, doc_id, len(words), int(common.sum()), float(reader.log_base[own[common]].sum()), float(gains[end - len(own):end].sum()),
+                out.append((row, doc_id, len(words), int(common.sum()), float(reader.log_base[own[common]].sum()), float(gain[end - len(own):end].sum()),
                             list(rare), list(rare.values())))
                 row += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)

@@ -156,3 +156,23 @@ def test_gradient_is_taken_at_every_token():
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
     found = list(maxent.batches_of(maxent.Reader(vocabulary), [batch]))
     assert sum(len(kind) for kind, _ in found) == sum(rows.shape[1] for _, rows in found) == sum(len(words_of(t)) for t in texts)
+
+
+def test_the_word_factor_goes_by_history_and_adds_up(spark):
+    docs = spark.createDataFrame([(i, ("red cat " if i % 2 else "blue dog ") * 100) for i in range(400)], "doc_id long, text string")
+    model = maxent.fit(docs)
+    assert len(set(model.vocabulary.classes.tolist())) == 1, "all of one class, so that the class factor tells nothing"
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["red cat", "red dog", "blue cat", "blue dog"])], "doc_id long, text string")
+    found = {r.doc_id: r for r in maxent.scores(asked, model).collect()}
+    assert np.ptp([r.base_score for r in found.values()]) < 1e-9
+    assert found[0].score > found[1].score + 0.1 and found[3].score > found[2].score + 0.1
+    # over all words and one unseen word in each shared slot of rare words
+    reader = maxent.Reader(model.vocabulary)
+    unseen = {maxent.slot_of_rare(w): w for w in map(str, range(1000))}
+    total = 0.0
+    for word in [*model.vocabulary.words, *unseen.values()]:
+        cells, rows = reader.features([reader.ids([b"red", word.encode()])])
+        count = dict(zip(model.vocabulary.words, model.vocabulary.counts)).get(word, 0)
+        total += (count + 0.5) / model.vocabulary.mass * 10 ** maxent.gains(model.priors, model.weights, cells, rows)[1]
+    absent = maxent.CLASSES // maxent.BANDS - 1  # other classes of rare words hold unseen words alone
+    assert 1 - 0.5 * (absent + 1) * len(unseen) / model.vocabulary.mass < total <= 1 + 1e-5
