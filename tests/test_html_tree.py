@@ -3,10 +3,12 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 
 from corpusweave.sources import html_tokens
-from corpusweave.sources.html_tree import VOID, tokens_of
+from corpusweave.sources.html_tokens import runs
+from corpusweave.sources.html_tree import VOID, Builder, Tokens, tokens_of
 
 
 def written(html):
@@ -114,3 +116,28 @@ def test_time_is_linear_or_bounded_by_active_formatting(unit):
 def test_through_spark(spark):
     pages = spark.createDataFrame([(1, "<p>a<b>b</p><p>c</b>d</p>"), (2, None), (3, "")], "page_id int, html string")
     assert [(r.page_id, r.html) for r in html_tokens.serialise(html_tokens.tokenize(pages)).collect()] == [(1, "<p>a<b>b</b></p><p><b>c</b>d</p>")]
+
+
+def test_tokens_in_columns_are_those_of_each_page():
+    """Pages one after the other in the same columns: places of tokens and of attributes are of their own page. The tree is freed at once."""
+    pages = ['<div a="1" b="2"><br><p>x<b>y</p>z</b></div>', "", "<p>t", '<svg viewBox="0"><path d="M"/></svg><i c>q</i>']
+    tokens = Tokens()
+    assert [tokens.add(p) for p in pages] == [len(tokens_of(p)) for p in pages]
+    kinds, elements, _, tags, begins, names, values, texts, _, _ = tokens.lists
+    rows = [row for p in pages for row in tokens_of(p)]
+    assert [(r[1], r[2], r[4], r[6]) for r in rows] == list(zip(kinds, elements, tags, texts))
+    assert [pair for r in rows for pair in r[5] or []] == list(zip(names, values)) and [r[5] is None for r in rows] == [b is None for b in begins]
+    builder = Builder()
+    builder.feed(pages[0])
+    child = builder.root.kids[0]
+    builder.write(Tokens())
+    assert child.parent is None
+
+
+def test_runs_that_go_on_over_batches():
+    keys = [1, 1, 2, 2, 2, 2, 2, 3, None, None, 4]
+    for size in range(1, 12):
+        table = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(range(len(keys)))], names=["k", "n"])
+        found = [(part.slice(a, b - a).to_pydict()) for part, ends in runs(table.slice(at, size) for at in range(0, len(keys), size))
+                 for a, b in zip([0, *ends[:-1]], ends)]
+        assert [(set(f["k"]), f["n"]) for f in found] == [({1}, [0, 1]), ({2}, [2, 3, 4, 5, 6]), ({3}, [7]), ({None}, [8, 9]), ({4}, [10])], size
