@@ -73,3 +73,13 @@ def test_empty_reference_spans_go_after_frames_made_gaps(spark):
     tokens = html_tokens.tokenize(spark.createDataFrame([(1, html)], "page_id int, html string"))
     out = html_tokens.serialise(content.reference_spans(content.replace_iframes(tokens, SITE))).first().html
     assert out.endswith('</a><sup id="q">[1]</sup>')
+
+
+def test_classes_are_split_only_where_there_are_some(spark):
+    html = '<div class="x y">t</div><p class="">u</p><i>v</i><b class="xy">w</b>'
+    tokens = html_tokens.tokenize(spark.createDataFrame([(1, html)], "page_id int, html string"))
+    asked = tokens.select("seq", "kind", "tag", content.has_class("x", "z").alias("has"))
+    assert {(r.tag, r.has) for r in asked.collect() if r.kind == "start"} == {("div", True), ("p", False), ("i", False), ("b", False)}
+    assert not any(r.has or r.has is None for r in asked.collect() if r.kind != "start")
+    plan = asked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("isnotnull(attrs") < plan.index("arrays_overlap")
