@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusweave.functions.urls import Site
 from corpusweave.operators import content
 from corpusweave.plans import closure, intervals, keyed, layout, ranks
 from corpusweave.queries import registry
@@ -138,6 +139,12 @@ def test_unwrap_keeps_content(spark):
     assert html_tokens.serialise(left).first().html == '<div class="a">onetwo<div class="x">in<span></span></div></div>last'
 
 
+def test_urls_of_lost_media_are_not_looked_for_twice(spark):
+    site = Site(origin="https://en.wikipedia.org")
+    media = content.media_attributes(tokens_of(spark, HTML), site, F.lit("A/b"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in media  # lost images are no rows to begin with; a filter would look for every path a second time
+
+
 def test_count_inside_and_nearest(spark):
     tokens = tokens_of(spark, "<ul><li><ul><li>x</li><li>y</li></ul></li><li>z</li></ul>")
     text = F.col("kind") == "text"
