@@ -139,10 +139,12 @@ def test_unwrap_keeps_content(spark):
     assert html_tokens.serialise(left).first().html == '<div class="a">onetwo<div class="x">in<span></span></div></div>last'
 
 
-def test_urls_of_lost_media_are_not_looked_for_twice(spark):
+def test_urls_of_media_and_frames_are_resolved_once(spark):
     site = Site(origin="https://en.wikipedia.org")
     media = content.media_attributes(tokens_of(spark, HTML), site, F.lit("A/b"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter" not in media  # lost images are no rows to begin with; a filter would look for every path a second time
+    frame = tokens_of(spark, HTML).select(content.iframe_parts(F.col("attrs")["src"], site))._jdf.queryExecution().optimizedPlan().toString()
+    assert frame.count("[src], (?s)") <= 2  # once for each thing asked of it: 52
 
 
 def test_count_inside_and_nearest(spark):
