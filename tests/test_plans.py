@@ -139,6 +139,18 @@ def test_unwrap_keeps_content(spark):
     assert html_tokens.serialise(left).first().html == '<div class="a">onetwo<div class="x">in<span></span></div></div>last'
 
 
+def test_next_hit_of_each_element(spark):
+    tokens = tokens_of(spark, "<ul><li><b>x</b></li><li></li></ul><b>y</b>")
+    found = intervals.with_next(tokens, "n", intervals.is_start("b")).withColumn("held", intervals.followed_inside("n"))
+    assert [(r.tag, r.held) for r in found.filter("kind = 'start'").orderBy("seq").collect()] == [("ul", True), ("li", True), ("b", False), ("li", False), ("b", False)]
+
+
+def test_boxes_without_content_are_found_with_one_sort(spark):
+    tokens = tokens_of(spark, HTML)
+    for step in (content.remove_empty_frames, content.remove_linkless, content.remove_empty_galleries):
+        assert step(tokens)._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
 def test_urls_of_media_and_frames_are_resolved_once(spark):
     site = Site(origin="https://en.wikipedia.org")
     media = content.media_attributes(tokens_of(spark, HTML), site, F.lit("A/b"))._jdf.queryExecution().optimizedPlan().toString()
