@@ -19,6 +19,11 @@ FULL_SIZE = 10_000_000
 
 # --- references ------------------------------------------------------------------------------------
 
+def file_elements(tokens: DataFrame) -> DataFrame:
+    """The tokens that ``token_refs`` and ``media_sources`` look at: starts of elements that name files."""
+    return tokens.filter(is_start("img", "video", "audio", "source", "track"))
+
+
 def token_refs(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFrame:
     """key, url, kind, width, seq of the images, posters and subtitles a page's elements name.
 
@@ -66,7 +71,7 @@ def _with_choice(tokens: DataFrame, key: str) -> DataFrame:
 
 def media_sources(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFrame:
     """The one source taken for each video and audio element, in the columns of ``token_refs`` plus source_seq."""
-    kept = _with_choice(tokens, key).filter(F.col("__chosen") == F.col("seq"))
+    kept = _with_choice(file_elements(tokens), key).filter(F.col("__chosen") == F.col("seq"))
     return kept.select(
         key, absolute_url("__address", site.origin + "/").alias("url"), F.lit("video").alias("kind"), F.lit(None).cast("long").alias("width"),
         F.col("__at").alias("seq"), F.col("seq").alias("source_seq"))

@@ -39,9 +39,9 @@ r AS (SELECT page_id, 'https://img.example.org/a/ab/P' || k || '.png' AS url, 'i
   UNION SELECT page_id, 'https://wiki.example.org/im/n.png', 'image', NULL FROM s WHERE k % 20 = 15)
 SELECT page_id, url, kind, CAST(width AS BIGINT) AS width FROM r"""))
 def asset_refs_html(spark, sf_dir):
-    # the tokens have three readers
+    # tokens and references have two readers each; of the tokens only those that name files are kept
     path = new_table_path(spark, "tokens")
-    html_tokens.tokenize(wiki_pages(spark, sf_dir)).write.parquet(path)
+    ops.file_elements(html_tokens.tokenize(wiki_pages(spark, sf_dir))).write.parquet(path)
     tokens = spark.read.parquet(path)
     refs = ops.token_refs(tokens, views.SITE).unionByName(ops.media_sources(tokens, views.SITE).drop("source_seq"))
     uses = ops.first_uses(refs, "page_id", "seq").drop("seq")

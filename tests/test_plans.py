@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusweave.functions.urls import Site
-from corpusweave.operators import content
+from corpusweave.operators import assets, content
 from corpusweave.plans import closure, intervals, keyed, layout, ranks
 from corpusweave.queries import registry
 from corpusweave.session import shared_folder, small_table
@@ -151,6 +151,15 @@ def test_boxes_without_content_are_found_with_one_sort(spark):
         assert step(tokens)._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
 
 
+def test_files_are_sought_among_few_tokens(spark):
+    tokens = tokens_of(spark, '<p>a<video poster="/p.png"><source src="/a.webm"></video></p><p>b</p>')
+    site = Site(origin="https://en.wikipedia.org")
+    plan = assets.media_sources(tokens, site)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rstrip().split("MapInArrow")[0].rstrip(" +-\n").split("\n")[-1].lstrip(" +-").startswith("Filter")  # before any window
+    assert assets.file_elements(tokens).count() == 2
+    assert [(r.url, r.seq) for r in assets.media_sources(tokens, site).collect()] == [("https://en.wikipedia.org/a.webm", 2)]
+
+
 def test_urls_of_media_and_frames_are_resolved_once(spark):
     site = Site(origin="https://en.wikipedia.org")
     media = content.media_attributes(tokens_of(spark, HTML), site, F.lit("A/b"))._jdf.queryExecution().optimizedPlan().toString()
