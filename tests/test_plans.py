@@ -151,6 +151,21 @@ def test_boxes_without_content_are_found_with_one_sort(spark):
         assert step(tokens)._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
 
 
+def sorts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Sort [")
+
+
+def test_sections_take_two_sorts(spark):
+    assert sorts(content.remove_empty_sections(tokens_of(spark, HTML))) == 2  # by element twice: 3
+
+
+def test_children_are_told_from_what_lies_deeper(spark):
+    tokens = tokens_of(spark, "<ul><li><ul><b>x</b></ul></li></ul><ul><b>y</b></ul><ul></ul><b>z</b>")
+    tokens = tokens.union(tokens)  # a page may come twice
+    found = intervals.with_child(tokens, "held", intervals.is_start("b")).filter("kind = 'start' AND tag = 'ul'").orderBy("seq")
+    assert [r.held for r in found.collect()] == [False, False, True, True, True, True, False, False]
+
+
 def test_files_are_sought_among_few_tokens(spark):
     tokens = tokens_of(spark, '<p>a<video poster="/p.png"><source src="/a.webm"></video></p><p>b</p>')
     site = Site(origin="https://en.wikipedia.org")
