@@ -159,6 +159,10 @@ def test_sections_take_two_sorts(spark):
     assert sorts(content.remove_empty_sections(tokens_of(spark, HTML))) == 2  # by element twice: 3
 
 
+def test_language_sections_take_three_sorts(spark):
+    assert sorts(content.keep_language_section(tokens_of(spark, HTML), "fr")) == 3  # 7, all of which a task holds memory for
+
+
 def test_children_are_told_from_what_lies_deeper(spark):
     tokens = tokens_of(spark, "<ul><li><ul><b>x</b></ul></li></ul><ul><b>y</b></ul><ul></ul><b>z</b>")
     tokens = tokens.union(tokens)  # a page may come twice
