@@ -180,6 +180,15 @@ def test_empty_section_with_heading_only(spark):
     assert cleaned(spark, html, content.remove_empty_sections) == want
 
 
+def test_map_links_show_one_globe(spark):
+    def link(inner):
+        return f'<a class="mw-kartographer-maplink">{inner}</a>'
+
+    cases = {link("<b>1</b>2") + "t" + link("3"): link("🌍") + "t" + link("🌍"), link("<i></i>"): link("<i></i>"), link("<b>1</b>") + link("<i></i>") + "t": link("🌍") + link("<i></i>") + "t"}
+    for html, want in cases.items():
+        assert cleaned(spark, f"<p>{html}</p>", content.globe_map_links) == f"<p>{want}</p>"
+
+
 def test_placeholders_keep_formulas(spark):
     html = '<img class="mwe-math-fallback-image-inline" src="/m.svg"><img alt="x" width="60" height="30" src="/p.png" srcset="q">'
     out = cleaned(spark, html, content.image_placeholders)

@@ -159,6 +159,10 @@ def test_sections_take_two_sorts(spark):
     assert sorts(content.remove_empty_sections(tokens_of(spark, HTML))) == 2  # by element twice: 3
 
 
+def test_reference_spans_and_map_links_take_two_sorts(spark):
+    assert sorts(content.globe_map_links(content.reference_spans(tokens_of(spark, HTML)))) == 2  # in turns by element and by number: 4
+
+
 def test_language_sections_take_three_sorts(spark):
     assert sorts(content.keep_language_section(tokens_of(spark, HTML), "fr")) == 3  # 7, all of which a task holds memory for
 
