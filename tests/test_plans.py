@@ -11,7 +11,7 @@ from corpusweave.operators import assets, content
 from corpusweave.plans import closure, intervals, keyed, layout, ranks
 from corpusweave.queries import registry
 from corpusweave.session import shared_folder, small_table
-from corpusweave.sources import html_tokens
+from corpusweave.sources import html_tokens, wiki_html
 
 
 def hot_rows(n=3000, seed=1):
@@ -167,6 +167,19 @@ def test_language_sections_take_three_sorts(spark):
     assert sorts(content.keep_language_section(tokens_of(spark, HTML), "fr")) == 3  # 7, all of which a task holds memory for
 
 
+def test_lines_are_not_split_for_counting_words(spark, tmp_path):
+    rows = [(i, text, "en") for i, text in enumerate(["a b c", "a b c d\na  b \n\na b", "a b c ", ""])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = wiki_html.wiki_pages(spark, str(tmp_path), ["<hr>"])
+    assert 'split(lambda' not in pages._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.page_id, r.html.count("<hr>")) for r in pages.orderBy("page_id").collect()] == [(0, 0), (1, 2), (2, 1), (3, 0)]
+
+
+def test_tags_without_attributes_need_no_lambda(column):
+    tag = html_tokens.markup(F.lit("start"), F.lit("p"), F.col("a"), F.lit(None).cast("string"))
+    assert column([({},), ({"b": 'c"'},), (None,)], "a map<string,string>", tag) == ["<p>", '<p b="c&quot;">', None]
+
+
 def test_children_are_told_from_what_lies_deeper(spark):
     tokens = tokens_of(spark, "<ul><li><ul><b>x</b></ul></li></ul><ul><b>y</b></ul><ul></ul><b>z</b>")
     tokens = tokens.union(tokens)  # a page may come twice
