@@ -176,3 +176,54 @@ def test_the_word_factor_goes_by_history_and_adds_up(spark):
         total += (count + 0.5) / model.vocabulary.mass * 10 ** maxent.gains(model.priors, model.weights, cells, rows)[1]
     absent = maxent.CLASSES // maxent.BANDS - 1  # other classes of rare words hold unseen words alone
     assert 1 - 0.5 * (absent + 1) * len(unseen) / model.vocabulary.mass < total <= 1 + 1e-5
+
+
+def test_letters_of_many_words_say_what_those_of_each_say():
+    draw = random.Random(7)
+    seeds = ["the", "of", "", "<", "a>b", "\u00e9t\u00e9", "\U0001f600\U0001f600", "nation", "ration"] * 3
+    vocabulary = maxent.Vocabulary(seeds, np.arange(len(seeds), 0, -1, dtype=float), 99, 9)
+    grams = vocabulary.finish(np.abs(np.random.default_rng(1).normal(size=(len(seeds), maxent.CONTEXTS))) * 9).grams
+    words = [*seeds, "x", "\uffff", "nation" * 500, *("".join(draw.choices("thenatior<>\u00e9\U0001f600z", k=draw.randrange(12))) for _ in range(2000))]
+
+    def of_one(word):
+        edged, score = f"<{word}>", np.zeros(maxent.TOPICS)
+        for i in range(len(edged) - 1):
+            score += next((grams[edged[i:i + n]] for n in (4, 3, 2) if edged[i:i + n] in grams), 0)
+        return score.argmax()
+
+    found = maxent.Letters(grams).topics(words)
+    assert found.tolist() == [of_one(w) for w in words] and len(set(found.tolist())) > 2
+    assert len(maxent.Letters({}).topics(words)) == len(words) and len(maxent.Letters(grams).topics([])) == 0
+
+
+@pytest.mark.parametrize("kinds", [1, 3, 40, 3000])
+def test_gradients_of_equal_features_are_summed(kinds):
+    rng = np.random.default_rng(kinds)
+    values, row = rng.normal(size=(4000, 5)).astype(np.float32), rng.integers(0, kinds, 4000)
+    order = np.argsort(row, kind="stable")
+    which, first, sizes = np.unique(row[order], return_index=True, return_counts=True)
+    expected = np.zeros((kinds, 5))
+    np.add.at(expected, row, values)
+    assert np.allclose(maxent.sum_runs(values, order, first, sizes), expected[which], atol=1e-4)
+
+
+def test_coded_texts_train_like_texts():
+    texts = ["a b c d " * 50, "", "a", "never met " * 9, "b c " * maxent.BATCH]
+    words = ["", "a", "b", "c", "d"]
+    reader = maxent.Reader(maxent.Vocabulary(words, np.arange(5, 0, -1, dtype=float), 15, 5).finish(np.zeros((5, maxent.CONTEXTS))))
+    coded = [reader.ids(maxent.tokens(t)).tobytes() for t in texts]
+    plain, read = (list(maxent.batches_of(reader, [pa.RecordBatch.from_arrays([pa.array(t)], names=["text"])])) for t in (texts, coded))
+    assert all(np.array_equal(a, b) for one, two in zip(plain, read, strict=True) for a, b in zip(one, two, strict=True))
+
+
+def test_documents_are_read_for_counts_neighbours_and_codes_only(spark):
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(i, f"some words {i % 7}") for i in range(300)], "doc_id long, text string").mapInArrow(count, "doc_id long, text string")
+    assert len(maxent.held_out_scores(docs).collect()) == 300
+    assert passed.value == 3 * 300
