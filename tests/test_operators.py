@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -346,3 +347,40 @@ def test_a_hook_sees_one_page_at_a_time(spark):
     assert got == {i: pages[3][1] if i == 3 else f"<body><p>b<br></p><p>{i}</p><i>a</i></body>" for i in range(6)}
     again = {r.page_id: r.html for r in html_tokens.serialise(content.drop_subtrees(out, F.col("tag") == "p")).collect()}
     assert set(again.values()) == {"<body><i>a</i></body>"}
+
+
+def test_a_hook_parses_pages_once_also_where_some_are_skipped(spark):
+    tokens = html_tokens.tokenize(spark.createDataFrame([(1, "<p>a</p>"), (2, "<p>b</p>")], "page_id int, html string"))
+    out = content.transform_each_page(tokens, lambda page, rows: rows[1:-1], skipped=(F.col("page_id") == 1) | (F.col("kind") == "end"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2, "one to parse, one for the hook"
+    # tokens that are skipped stay, those of the same page that are not are what the function sees
+    assert sorted((r.page_id, r.seq, r.kind) for r in out.collect()) == [(1, 0, "start"), (1, 1, "text"), (1, 2, "end"), (2, 2, "end")]
+
+
+def test_a_hook_sees_plain_values_and_may_change_attributes_in_place(spark):
+    html = '<p id="a" class="">x<br data-y="&amp;1"><!--c--></p>'
+    tokens = html_tokens.tokenize(spark.createDataFrame([(1, html)], "page_id long, html string")).withColumns({
+        "lost": F.when(F.col("seq") == 1, F.lit(None)).otherwise(F.col("seq").cast("long")), "extra": F.create_map(F.lit("k"), "seq"), "part": F.lit(0.5)})
+    want = sorted(map(tuple, tokens.collect()), key=lambda r: r[1])
+
+    def step(page, rows):
+        assert [*map(tuple, rows)] == [(*r[:-2], [*r[-2].items()], r[-1]) for r in want]
+        assert {type(v) for r in rows for v in r} <= {int, str, dict, list, float, type(None)}
+        rows[0].attrs["class"] = "z"
+        rows[2].attrs.clear()
+        return rows
+
+    out = sorted(content.transform_each_page(tokens, step).collect(), key=lambda r: r.seq)
+    assert out[0].attrs == {"id": "a", "class": "z"} and out[2].attrs == {}
+    assert [(*r[:6], *r[7:]) for r in out] == [(*r[:6], *r[7:]) for r in want] and [r.attrs for r in out[3:]] == [r[6] for r in want[3:]]
+
+
+def test_values_of_columns_are_those_of_to_pylist():
+    pairs = pa.array([[("a", "1"), ("b", "2")], None, [], [("c", None)], [("d", "é")]], pa.map_(pa.string(), pa.string()))
+    for begin, length in ((0, 5), (1, 3), (3, 2), (2, 1), (1, 0)):
+        part = pairs.slice(begin, length)
+        dicts = content.attribute_dicts(part)
+        assert dicts == [None if p is None else dict(p) for p in part.to_pylist()]
+        assert content.attribute_maps(dicts, pairs.type).equals(pa.array([None if d is None else [*d.items()] for d in dicts], pairs.type))
+    for column in (pa.array([1, None, 2**62], pa.int64()), pa.array([1, 2], pa.int32()), pa.array(["a", None]), pa.array([True, None]), pa.array([], pa.int32())):
+        assert content.python_values(column) == column.to_pylist()
