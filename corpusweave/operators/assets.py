@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +13,7 @@ from corpusweave.functions.assets import asset_path, subtitle_path, subtitle_url
 from corpusweave.functions.text import relative_href
 from corpusweave.functions.urls import Site, absolute_url, url_host, without_http
 from corpusweave.operators.links import Flags
-from corpusweave.plans.intervals import drop_subtrees, inside_of, is_start
+from corpusweave.plans.intervals import drop_subtrees, is_start, with_running
 from corpusweave.plans.keyed import best_per_key, lookup
 
 FULL_SIZE = 10_000_000
@@ -77,12 +79,17 @@ def media_sources(tokens: DataFrame, site: Site, key: str = "page_id") -> DataFr
         F.col("__at").alias("seq"), F.col("seq").alias("source_seq"))
 
 
-def prune_sources(tokens: DataFrame, key: str = "page_id") -> DataFrame:
-    """Keep of each video and audio element the chosen source only; elements without one go."""
-    marked = _with_choice(tokens, key).withColumn("__media", inside_of(F.col("tag").isin("video", "audio"), key))
-    lost = (F.col("tag").isin("video", "audio") & F.col("__chosen").isNull()) | (
-        (F.col("tag") == "source") & F.col("__media") & ~F.col("__chosen").eqNullSafe(F.col("seq")))
-    return drop_subtrees(marked, lost, key).select(*tokens.columns)
+def prune_sources(tokens: DataFrame, key: str = "page_id", step: Callable[[DataFrame], DataFrame] = lambda t: t) -> DataFrame:
+    """Keep of each video and audio element the chosen source only; elements without one go.
+
+    ``step`` is what is done to each token besides: it runs when sources are chosen and before tokens are put in order again.
+    """
+    media = F.col("tag").isin("video", "audio")
+    chosen = _with_choice(tokens, key).select(
+        *tokens.columns, (media & F.col("__chosen").isNull()).alias("__lost"), (is_start("source") & ~F.col("__chosen").eqNullSafe(F.col("seq"))).alias("__spare"))
+    left = drop_subtrees(step(chosen), F.col("__lost"), key, helpers=("__lost",))
+    marked = with_running(left, {"__media": F.max(F.when(is_start() & media, F.col("end_seq")))}, key)
+    return marked.filter(~F.coalesce(F.col("__spare") & (F.col("__media") >= F.col("seq")), F.lit(False))).select(*tokens.columns)
 
 
 def _positive(value: Column) -> Column:

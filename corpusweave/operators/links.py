@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -141,10 +142,11 @@ def final_hrefs(decided: DataFrame) -> DataFrame:
     return decided.withColumn("new_href", F.when(below, relative_href("page_path", "new_href")).otherwise(F.col("new_href")))
 
 
-def rewrite_links(tokens: DataFrame, decided: DataFrame, known: DataFrame, key: str = "page_id") -> DataFrame:
+def rewrite_links(tokens: DataFrame, decided: DataFrame, known: DataFrame, key: str = "page_id", marks: Mapping[str, Column] | None = None) -> DataFrame:
     """Tokens with every link as decided: ``decided`` is ``classify(anchors(tokens))`` with its page_path.
 
-    Wiki links outside the snapshot are unwrapped like the rest of that kind; their text stays.
+    Wiki links outside the snapshot are unwrapped like the rest of that kind; their text stays. ``marks`` are columns of ``intervals.of_element`` that a later
+    step wants, which are brought to the tokens on the way.
     """
     lost = (F.col("action") == "wiki") & (F.col("state") == "unwrap")
     final = final_hrefs(resolve(decided, known))
@@ -156,15 +158,14 @@ def rewrite_links(tokens: DataFrame, decided: DataFrame, known: DataFrame, key:
     told = tokens.withColumn("__told", F.lit(None).cast(verdicts.select(F.struct(*columns).alias("v")).schema["v"].dataType)).unionByName(
         verdicts.select(key, "elem_id", *blank, F.struct(*columns).alias("__told"))).repartition(key)
     element = Window.partitionBy(key, "elem_id")
-    joined = told.withColumn("__told", F.when(F.col("elem_id").isNotNull(), F.max("__told").over(element))).filter("kind IS NOT NULL")
-    joined = joined.select(*tokens.columns, "__told.*")
+    own = F.when(F.col("elem_id").isNotNull(), F.max("__told").over(element))
+    joined = told.withColumns({"__told": own, **(marks or {})}).filter("kind IS NOT NULL").select(*tokens.columns, *(marks or {}), "__told.*")
     classes = F.concat_ws(" ", F.col("attrs")["class"], F.lit("external"))
     attrs = F.transform_values("attrs", lambda k, v: F.when(k == "href", F.coalesce("__href", v)).when((k == "class") & F.col("__mark"), classes).otherwise(v))
     attrs = F.when(F.col("__mark") & F.col("attrs")["class"].isNull(), F.map_concat(attrs, F.create_map(F.lit("class"), F.lit("external")))).otherwise(attrs)
-    kept = drop_subtrees(joined, F.coalesce(F.col("__action") == "delete", F.lit(False)), key)
-    kept = kept.filter("`__action` IS NULL OR `__action` <> 'unwrap'")
     changed = (F.col("kind") == "start") & F.col("__action").isin("wiki", "external", "geo", "media", "keep")
-    return kept.withColumn("attrs", F.when(changed, attrs).otherwise(F.col("attrs"))).select(*tokens.columns)
+    kept = joined.filter("`__action` IS NULL OR `__action` <> 'unwrap'").withColumn("attrs", F.when(changed, attrs).otherwise(F.col("attrs"))).drop("__href", "__mark")
+    return drop_subtrees(kept, F.coalesce(F.col("__action") == "delete", F.lit(False)), key, helpers=("__action",))
 
 
 def fan_in(links: DataFrame, known: DataFrame) -> DataFrame:

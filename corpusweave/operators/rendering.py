@@ -16,12 +16,13 @@ def clean_pages(tokens: DataFrame, site: Site, page_path: Column, flags: Flags =
     """Everything between rewritten links and media: later steps see what earlier ones left.
 
     Frames come first, so that thumbnails are treated as images; galleries are judged before classes are
-    removed; attributes come last, because classes and ids are still needed until then.
+    removed; attributes come last, because classes and ids are still needed until then. Frames never become what ``remove_tags`` takes,
+    so it comes before them, where it shares a pass.
     """
-    out = content.replace_iframes(content.remove_edit_links(tokens, key), site, key)
+    out = content.replace_iframes(content.remove_tags(content.remove_edit_links(tokens, key), flags.nopic, key), site, key)
     if flags.nodet:
         out = content.remove_citations(out, key)
-    out = content.remove_empty_galleries(content.remove_tags(out, flags.nopic, key), key)
+    out = content.remove_empty_galleries(out, key)
     out = content.remove_classes(out, lead_only=flags.nodet, key=key)
     if flags.nodet:
         out = content.lead_section(out, key)
@@ -35,13 +36,17 @@ def clean_pages(tokens: DataFrame, site: Site, page_path: Column, flags: Flags =
 
 def place_media(tokens: DataFrame, site: Site, page_path: Column, flags: Flags = Flags(), key: str = "page_id") -> DataFrame:
     """Media of cleaned pages: sources chosen and led to the snapshot, or replaced where the variant leaves them out."""
+    def led(heard: DataFrame) -> DataFrame:
+        return content.media_attributes(heard, site, page_path)
+
     if flags.nopic or flags.novid or flags.nodet:
         heard = drop_subtrees(tokens, F.col("tag").isin("video", "audio"), key)
+        if flags.nopic:
+            heard = content.image_placeholders(content.drop_indirect_images(heard))
+        placed = led(heard)
     else:
-        heard = assets.prune_sources(tokens, key)
-    if flags.nopic:
-        heard = content.image_placeholders(content.drop_indirect_images(heard))
-    return content.remove_empty_frames(content.media_attributes(heard, site, page_path), key)
+        placed = assets.prune_sources(tokens, key, step=led)
+    return content.remove_empty_frames(placed, key)
 
 
 def render(tokens: DataFrame, known: DataFrame, site: Site, page_path: Column, flags: Flags = Flags(), key: str = "page_id") -> DataFrame:
@@ -50,5 +55,5 @@ def render(tokens: DataFrame, known: DataFrame, site: Site, page_path: Column, f
     Tokens are shuffled once, by page; the only other shuffle is that of link titles and known titles.
     """
     decided = links.classify(links.anchors(tokens, key).withColumn("page_path", page_path), site, flags)
-    linked = links.rewrite_links(tokens, decided, known, key)
+    linked = links.rewrite_links(tokens, decided, known, key, marks=content.reference_marks(key))
     return place_media(clean_pages(linked, site, page_path, flags, key=key), site, page_path, flags, key)

@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from corpusweave.functions.urls import Site
-from corpusweave.operators import content, links, rendering
+from corpusweave.operators import assets, content, links, rendering
 from corpusweave.session import cut, new_table_path
 from corpusweave.sources import html_tokens
 
@@ -83,3 +83,41 @@ def test_classes_are_split_only_where_there_are_some(spark):
     assert not any(r.has or r.has is None for r in asked.collect() if r.kind != "start")
     plan = asked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("isnotnull(attrs") < plan.index("arrays_overlap")
+
+
+def test_steps_that_share_a_pass_leave_what_they_leave_one_by_one(spark):
+    frame = '<iframe class="{}" src="{}">in<b></iframe>'.format
+    pages = [
+        frame("mw-editsection", "https://youtu.be/v") + "<p>a</p>" + frame("noprint", "https://x.org/e"),
+        '<span class="mw-editsection">e<link>' + frame("", "https://youtu.be/v") + "</span>t" + frame("", "") + "u" + frame("ab", "https://www.youtube.com/"),
+        '<ul class="gallery"><li class="gallerybox"><i class="noprint"><img></i></li><li class="gallerybox">x</li></ul><div class="noprint"><p class="noprint">y</p></div>z',
+        '<div id="purgelink">1<script>s</script><p id="purgelink">2</p></div><p id="purgelink">3</p><script>t</script><section><h2>h</h2></section>',
+        '<a href="">gone<i class="mw-editsection">e</i></a><a class="new" href="/r">kept<link></a><a href="/wiki/Here">h</a>',
+        '<video><source src="a.webm"><source src="b.vp9.webm"><div><source src="c.webm"></div></video><source src="d"><audio></audio><video><img src="e.png"></video>',
+        '<span rel="dc:references" id="r"><span rel="dc:references"></span><span>s</span></span><span rel="dc:references"><link></span>',
+    ]
+    tokens = cut(html_tokens.tokenize(spark.createDataFrame([*enumerate(pages)], "page_id int, html string")))
+    known = links.known_titles(spark.createDataFrame([("Here",)], "title string"), spark.createDataFrame([], "from_title string"))
+    decided = links.classify(links.anchors(tokens).withColumn("page_path", F.lit("Page")), SITE)
+    steps = [
+        lambda t: links.rewrite_links(t, decided, known), content.remove_edit_links, content.remove_tags, lambda t: content.replace_iframes(t, SITE),
+        content.remove_empty_galleries, content.remove_classes, content.remove_linkless, content.reference_spans, content.remove_ids, content.remove_scripts,
+        content.remove_empty_sections, assets.prune_sources,
+    ]
+    alone = together = tokens
+    for step in steps:
+        alone, together = cut(step(alone)), step(together)
+    assert together.columns == tokens.columns
+    assert sorted(map(str, together.collect())) == sorted(map(str, alone.collect()))
+    html = {r.page_id: r.html for r in html_tokens.serialise(together).collect()}
+    card = '<div src="https://www.youtube.com/" class="ab mwo-external-video-card"><a class="external" href="https://www.youtube.com/">Open embedded content (external)</a></div>'
+    assert html[0] == "<p>a</p>" and html[1] == "tu" + card
+    assert html[2] == '<ul class="gallery"><li class="gallerybox"></li></ul>z' and html[3] == '<p id="purgelink">3</p>' and html[4] == 'kept<a href="Here">h</a>'
+    assert html[5] == '<video><source src="b.vp9.webm"><div></div></video><source src="d">' and html[6] == '<sup id="r"><span>s</span></sup>'
+
+
+def test_chain_puts_tokens_in_order_few_times(spark):
+    tokens = html_tokens.tokenize_to_table(spark.createDataFrame([(1, HTML), (2, HTML)], "page_id int, html string"), new_table_path(spark, "tokens"))
+    known = links.known_titles(spark.createDataFrame([("Here",)], "title string"), spark.createDataFrame([], "from_title string"))
+    plan = rendering.render(tokens, known, SITE, F.lit("Page"))._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Sort \[page_id", plan)) <= 6 and len(re.findall(r"\bWindow \[", plan)) <= 20
